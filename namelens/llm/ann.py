@@ -78,7 +78,7 @@ def scan(q: np.ndarray, c: np.ndarray, k: int, columns: int, epsilon: float, chu
     return [f[0] for f in found]
 
 
-def search(embeddings: DataFrame, query_rule: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = 512, most_lists: int = 4096, probe: float = 0.6, sample_rows: int = 20_000, block: int = 4096, query_block: int = 2048, columns: int = 16, epsilon: float = 2.1, seed: int = 9) -> DataFrame:
+def search(embeddings: DataFrame, query_rule: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = 512, most_lists: int = 4096, probe: float = 0.75, sample_rows: int = 20_000, block: int = 4096, query_block: int = 2048, columns: int = 16, epsilon: float = 2.1, seed: int = 9) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``query_rule`` picks, the ``k`` largest inner products.
 
     The centres come from about ``sample_rows`` vectors at most; every vector is in a list, and a query probes the
