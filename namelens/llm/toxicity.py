@@ -78,7 +78,7 @@ class ToxicityModel:
         return self.__dict__ | {"_automaton": None}
 
     def features(self, text: str | None) -> tuple[float, float, int]:
-        """log(1 + weight matched), log(1 + that weight in a thousand words), words matched."""
+        """log(1 + weight of the distinct words matched), log(1 + that weight in a thousand words), words matched."""
         folded, a = fold(text), self.automaton()
         if not len(a):
             return 0.0, 0.0, 0
@@ -93,7 +93,10 @@ class ToxicityModel:
         for s, e in excused:
             for k in [k for k in best if s <= k < e]:
                 del best[k]
-        total, words = sum(best.values()), max(1, folded.count(" ") - 1)
+        distinct: dict[str, float] = {}
+        for start, weight in best.items():
+            distinct[folded[start : folded.find(" ", start + 1)]] = weight
+        total, words = sum(distinct.values()), max(1, folded.count(" ") - 1)
         return math.log1p(total), math.log1p(1000 * total / words), len(best)
 
     def score(self, text: str | None) -> float:
@@ -102,11 +105,12 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 30_000, least_gain: float = 12.0, lexicon_size: int = 20_000, seed: int = 5) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 30_000, least_gain: float = 20.0, least_ratio: float = 12.0, lexicon_size: int = 20_000, seed: int = 5) -> ToxicityModel:
     """Learns lexicon and logistic weights from at most about ``sample_rows`` labelled rows, chosen by a seeded hash.
 
     The chosen labels are few enough to broadcast, so no text is shuffled. A fifth of them weighs the features and the
-    rest make the lexicon, which keeps terms whose log-likelihood gain is at least ``least_gain``. Rows with a null id
+    rest make the lexicon, which keeps terms whose log-likelihood gain is at least ``least_gain``
+    and which toxic texts have ``least_ratio`` times as often. Rows with a null id
     or label teach nothing; an id with several labels counts with the largest; without labels the lexicon is empty.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
@@ -141,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         p = n1 / (n0 + n1)
         gain = F.expr(f"2 * (b * ln(greatest(b, 1e-9) / ((a + b) * {p!r}D)) + a * ln(greatest(a, 1e-9) / ((a + b) * {1 - p!r}D)))")
         ratio = F.expr(f"ln((b + 0.5D) / {n1 + 1}D) - ln((a + 0.5D) / {n0 + 1}D)")
-        lexicon = counts.where("term != '' and b >= 3").withColumn("gain", gain).withColumn("weight", ratio).where(f"gain >= {least_gain} and weight >= {math.log(4)}")
+        lexicon = counts.where("term != '' and b >= 3").withColumn("gain", gain).withColumn("weight", ratio).where(f"gain >= {least_gain} and weight >= {math.log(least_ratio)}")
         model.lexicon = {r.term: r.weight for r in lexicon.orderBy(F.desc("gain"), "term").limit(lexicon_size).collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +159,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> list[float]:
-    """Newton's method with a small ridge on all but the intercept."""
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 100) -> list[float]:
+    """Newton's method on the likelihood with a small ridge on all but the intercept; steps are halved until they help."""
     w, keep = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+
+    def loss(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ v).sum() - y @ (x @ v) + v @ keep @ v / 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+        slope = x.T @ (y - p) - keep @ w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, slope)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return [float(v) for v in w]
 
