@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32, written
-from .word_tokens import ChunkTokenizer
+from .word_tokens import tokenizer_for
 
 
 def cuts(n: int, capacity: int, tail: int) -> list[int]:
@@ -56,7 +56,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     kinds = "task int, size int, ordinal long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        tokens, task = tokenizer_for(tokenizer_path), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), {}
         names = [k.split()[0] for k in kinds.split(", ")]
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, written
 from .files import new_file, opened, read_range
-from .word_tokens import ChunkTokenizer
+from .word_tokens import tokenizer_for
 
 SEPARATOR = 49407
 
@@ -29,7 +29,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = ChunkTokenizer(tokenizer_path, literal=True), np.array([separator], "<u2").tobytes()
+        tokens, end = tokenizer_for(tokenizer_path, literal=True), np.array([separator], "<u2").tobytes()
         name, out, size, count = None, None, 0, 0
         for batch in batches:
             files, numbers = [], []

@@ -6,6 +6,8 @@ the whole text because the vocabulary's splitting pattern has no match that span
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 
@@ -43,3 +45,9 @@ class ChunkTokenizer:
                 (known if len(known) < self.limit else self.more)[c] = np.array(e.ids, "<u4").tobytes()
         more = self.more
         return b"".join([known[c] if c in known else more[c] for c in chunks])
+
+
+@functools.cache
+def tokenizer_for(path: str | None = None, literal: bool = False) -> ChunkTokenizer:
+    """One tokenizer, with the ids it knows, for all tasks of a worker process."""
+    return ChunkTokenizer(path, literal)
