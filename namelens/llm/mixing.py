@@ -59,7 +59,7 @@ def apportioned(parties: DataFrame, votes: Column, seats: Column, within: list[s
     return q.groupBy(*kept).agg((F.min("low") + F.sum(won.cast("long"))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_words: int = 4_000_000, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_words: int = 400_000, seed: int = 1) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row.
 
     Blocks have ``block_words`` words, fewer where the total is under 4096 such blocks. Null texts have size 0 and are
