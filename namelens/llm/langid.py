@@ -44,6 +44,10 @@ class LanguageModel:
     logp: np.ndarray
     prior: np.ndarray
     piece_limit: int = 12
+    met: dict | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"met": None}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log P(word | language) for each word, summed over all segmentations; [words, languages].
@@ -145,9 +149,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
 
     def make():
         m: LanguageModel = shared.value
-        row_of: dict[str, int] = {}
+        if m.met is None:  # the tasks of a worker process share the model, and what it has met
+            m.met = {"rows": {}, "table": np.zeros((cache, len(m.languages))), "words": np.zeros(cache)}
+        state, row_of = m.met, m.met["rows"]
         fresh: dict[str, int] = {}
-        state = {"table": np.zeros((cache, len(m.languages))), "words": np.zeros(cache)}
 
         def learn(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             parts, owner = [], []
