@@ -116,7 +116,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 for chunk, n in Counter(text.as_py().split()).items():
                     for w in letters_of(chunk):
                         counter[w[:64]] += n
-            if sum(map(len, words.values())) > 300_000:
+            if sum(map(len, words.values())) > 150_000:
                 yield flush()
         yield flush()
 

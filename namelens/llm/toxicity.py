@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 counter = found[int(y.as_py() > 0)]
                 counter.update(own)
                 counter[""] += 1
-                if len(counter) > 400_000:
+                if len(counter) > 150_000:
                     yield flush()
         yield flush()
 

@@ -14,7 +14,7 @@ import numpy as np
 class ChunkTokenizer:
     """``literal``: special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str | None = None, literal: bool = False, limit: int = 250_000):
+    def __init__(self, path: str | None = None, literal: bool = False, limit: int = 180_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
