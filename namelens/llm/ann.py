@@ -78,10 +78,10 @@ def scan(q: np.ndarray, c: np.ndarray, k: int, columns: int, epsilon: float, chu
     return [f[0] for f in found]
 
 
-def search(embeddings: DataFrame, query_rule: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = 512, most_lists: int = 4096, probe: float = 0.75, sample_rows: int = 20_000, block: int = 4096, query_block: int = 2048, columns: int = 16, epsilon: float = 2.1, seed: int = 9) -> DataFrame:
+def search(embeddings: DataFrame, query_rule: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists_per_root: float = 0.3, most_lists: int = 4096, probe: float = 0.75, sample_rows: int = 20_000, block: int = 4096, query_block: int = 2048, columns: int = 16, epsilon: float = 2.1, seed: int = 9) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``query_rule`` picks, the ``k`` largest inner products.
 
-    The centres come from about ``sample_rows`` vectors at most; every vector is in a list, and a query probes the
+    There are sqrt(n) * ``lists_per_root`` lists, so what all probes return grows as n to the power 1.5. The centres come from about ``sample_rows`` vectors at most; every vector is in a list, and a query probes the
     share ``probe`` of them. Equal vectors: only those with the k + 1 smallest ids can ever be returned, so only these
     are scanned; equal queries are searched once. Ties go to the smaller vec_id. A query's own row never counts; a
     repeated vec_id counts as its own row as well. Vectors that are null, zero, of another length than most, or hold
@@ -98,7 +98,7 @@ def search(embeddings: DataFrame, query_rule: str = "vec_id % 20 = 0", k: int =
         return rows.sparkSession.createDataFrame([], schema)
     top = rows.agg(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)"))).first()[0]
     sample = np.array([r.v for r in sampled(rows, "vec_id", bounded_fraction(total, sample_rows), seed).select("v").collect()] or [rows.first().v])
-    lists = max(1, min(most_lists, round(total / list_rows), len(sample)))
+    lists = max(1, min(most_lists, round(lists_per_root * math.sqrt(total)), len(sample)))
     lifted = lambda x: np.hstack([x, np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0))[:, None]])
     size = sample.shape[1] + 1
     turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))[0]

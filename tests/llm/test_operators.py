@@ -124,7 +124,7 @@ def test_near_vectors(spark):
         got = {r.vec_id: r for r in pivot_dedup.near_duplicates(df, block=block).collect()}
         assert len(got) == 405 and [got[k].n_links for k in range(400)] == near.sum(axis=1).tolist()
         assert got[204].component_id == 1 and got[100].component_id == 0 and got[900].kept and not got[204].kept
-    found = ann.search(df, k=5, list_rows=40, block=64).collect()
+    found = ann.search(df, k=5, lists_per_root=0.5, block=64).collect()
     hit = total = 0
     for query in range(0, 400, 20):
         own = sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)
