@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
+from .text import let
 
 STEP = "struct<cost:int,path:array<struct<rule:string,note:string>>>"
 
@@ -39,7 +40,7 @@ def skeleton_distance(s1: Column, s2: Column, w1: Column, w2: Column) -> Column:
         return F.substring(text, k, F.lit(1))
 
     def add(cell: Column, s: Column) -> Column:
-        return F.struct((cell.cost + s.cost).cast("int").alias("cost"), F.concat(cell.path, F.array(s.edit)).alias("path"))
+        return let(F.struct(cell.alias("c"), s.alias("s")), lambda x: F.struct((x.c.cost + x.s.cost).cast("int").alias("cost"), F.concat(x.c.path, F.array(x.s.edit)).alias("path")))
 
     zero = F.struct(F.lit(0).alias("cost"), F.array().cast("array<struct<rule:string,note:string>>").alias("path"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
@@ -57,12 +58,15 @@ def skeleton_distance(s1: Column, s2: Column, w1: Column, w2: Column) -> Column:
             sub = add(F.element_at(above, j), substitution(x, y, wx | wy))
             dele = add(F.element_at(above, j + 1), indel(x, wx, "-"))
             ins = add(F.element_at(row, j), indel(y, wy, "+"))
-            best = F.when((sub.cost <= dele.cost) & (sub.cost <= ins.cost), sub).when(dele.cost <= ins.cost, dele).otherwise(ins)
+            best = let(F.struct(sub.alias("s"), dele.alias("d"), ins.alias("i")), lambda c: F.when((c.s.cost <= c.d.cost) & (c.s.cost <= c.i.cost), c.s).when(c.d.cost <= c.i.cost, c.d).otherwise(c.i))
             return F.concat(row, F.array(best)).cast(cells)
 
         return F.aggregate(upto(m), start, cell)
 
-    final = F.element_at(F.aggregate(upto(n), first, next_row), -1)
-    rules = F.array_distinct(F.transform(F.reverse(final.path), lambda e: e.rule))
-    notes = F.filter(F.transform(final.path, lambda e: e.note), lambda t: t != "")
-    return F.struct(final.cost.alias("cost"), rules.alias("rules"), notes.alias("notes"))
+
+    def told(final: Column) -> Column:
+        rules = F.array_distinct(F.transform(F.reverse(final.path), lambda e: e.rule))
+        notes = F.filter(F.transform(final.path, lambda e: e.note), lambda t: t != "")
+        return F.struct(final.cost.alias("cost"), rules.alias("rules"), notes.alias("notes"))
+
+    return let(F.element_at(F.aggregate(upto(n), first, next_row), -1), told)

@@ -17,14 +17,18 @@ TD1_CHECKS = {"documentNumber": ([(0, 5, 9)], (0, 14)), "dob": ([(1, 0, 6)], (1,
 
 def check_digit(text: Column) -> Column:
     """Weighted sum modulo 10 as text; null if a character has no value."""
-    value = lambda k: F.when(F.substring(text, k, F.lit(1)) == "<", 0).otherwise(F.nullif(F.instr(F.lit(ALPHABET), F.substring(text, k, F.lit(1))), F.lit(0)) - 1)
-    weight = lambda k: F.element_at(F.array(F.lit(1), F.lit(7), F.lit(3)), k % 3 + 1)
-    total = F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), lambda s, k: s + value(k) * weight(k))
-    return F.when(F.length(text) > 0, (total % 10).cast("string")).otherwise(F.lit("0"))
+
+    def of(t: Column) -> Column:
+        value = lambda c: F.when(c == "<", 0).otherwise(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)) - 1)
+        weight = lambda k: F.element_at(F.array(F.lit(1), F.lit(7), F.lit(3)), k % 3 + 1)
+        total = F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), lambda s, k: s + value(F.substring(t, k, F.lit(1))) * weight(k))
+        return F.when(F.length(t) > 0, (total % 10).cast("string")).otherwise(F.lit("0"))
+
+    return let(text, of)
 
 
 def zone_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.upper(text), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)\s+", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.upper(F.coalesce(text, F.lit(""))), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)\s+", "")), lambda x: x != "")
 
 
 def iso_from(yymmdd: Column, year: int | None) -> Column:

@@ -46,16 +46,19 @@ def tokenize(name: Column) -> Column:
 
 
 def known_name(token: Column) -> Column:
-    """The common name that a token spells, or null."""
-    key = without(normalize_token(token), MARKS + " ")
+    """The common name that a token spells, or null.
+
+    One pattern with a group for each name: only the group that matched leaves text, and the commas before it tell which.
+    """
+    names = F.array(*map(F.lit, lx.KNOWN))
+    pattern = "^(?:" + "|".join(f"({p})" for p in lx.KNOWN.values()) + ")$"
+    groups = ",".join(f"${k + 1}" for k in range(len(lx.KNOWN)))
 
     def find(k: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for name, pattern in reversed(lx.KNOWN.items()):
-            found = F.when(k.rlike(f"^(?:{pattern})$"), name).otherwise(found)
-        return found
+        before = F.length(F.regexp_extract(F.regexp_replace(k, pattern, groups), "^,*", 0))
+        return F.when(k.rlike(pattern), F.get(names, before))
 
-    return let(key, find)
+    return let(without(normalize_token(token), MARKS + " "), find)
 
 
 def first_vowel(token: Column) -> Column:
@@ -69,9 +72,12 @@ def skeleton(token: Column) -> Column:
 
     Letter groups are read before letters, runs of a class are one, vowels drop, and w or y count only at the start.
     """
-    script = detect_script(token)
-    text = normalize_token(token)
-    text = F.when(script == "hebrew", without(F.translate(text, "'’", lx.GERESH * 2), "-`ʿʼ")).when(script == "latin", F.translate(text, MARKS, "'" * len(MARKS))).otherwise(without(text, MARKS))
+
+    def plain(x: Column) -> Column:
+        hebrew, latin = without(F.translate(x.text, "'’", lx.GERESH * 2), "-`ʿʼ"), F.translate(x.text, MARKS, "'" * len(MARKS))
+        return F.when(x.script == "hebrew", hebrew).when(x.script == "latin", latin).otherwise(without(x.text, MARKS))
+
+    text = let(F.struct(detect_script(token).alias("script"), normalize_token(token).alias("text")), plain)
     groups = "|".join(lx.LATIN_PAIRS) + "|[" + "".join(lx.HEBREW_GERESH) + "]" + lx.GERESH + "|."
     units = F.regexp_extract_all(text, F.lit(groups), F.lit(0))
     classes = lx.map_of(lx.unit_classes())

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks as ck
+from ..functions.address import check_address
 from .names import name_scores
+from .zones import add_zone_checks
 
 VERDICTS = ("NO_MATCH", "REFER", "MATCH")
 CHECK = "struct<field:string,status:string,rules:array<string>,cap:string>"
@@ -19,24 +21,34 @@ def thresholds(match: int = 85, refer: int = 60) -> tuple[int, int]:
 def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> DataFrame:
     """One row for each pair of records whose fields end in _a and _b, keyed by ``query_id``.
 
-    A check's cap lowers the verdict to REFER at most; every capped check is a hard stop, and CAP-1 is cited if one
+    ``address``, ``mrz`` (a travel zone) and ``provenance`` (a map of fields to states) are checked where both sides
+    have the column. A check's cap lowers the verdict to REFER at most; every capped check is a hard stop, and CAP-1 is cited if one
     lowered the verdict. ``today`` is required: no clock is read.
     """
     match, refer = thresholds(match, refer)
     scores = name_scores(pairs, "fullName_a", "fullName_b").select(F.col("a").alias("fullName_a"), F.col("b").alias("fullName_b"), F.col("score").alias("name_score"), F.col("pairs").alias("name_pairs"))
     rows = pairs.join(scores, pairs.fullName_a.eqNullSafe(scores.fullName_a) & pairs.fullName_b.eqNullSafe(scores.fullName_b)).drop(scores.fullName_a).drop(scores.fullName_b)
     c = F.col
+    has = lambda field: {f"{field}_a", f"{field}_b"} <= set(pairs.columns)
+    none = F.array().cast(f"array<{CHECK}>")
+    for side in "ab":
+        rows = add_zone_checks(rows, today, f"_{side}", side, f"__zone_rows_{side}") if has("mrz") else rows.withColumn(f"__zone_rows_{side}", none)
     found = [
         ck.check_dob(c("dob_a"), c("dob_b")),
         ck.check_expiry(c("expiry_a"), c("expiry_b"), c("docType_a"), c("docType_b"), today),
         ck.check_doc_number(c("docNumber_a"), c("docNumber_b"), c("docType_a"), c("docType_b"), c("country_a"), c("country_b")),
         ck.validate_doc_number(c("docNumber_a"), c("docType_a"), c("country_a"), "a"),
         ck.validate_doc_number(c("docNumber_b"), c("docType_b"), c("country_b"), "b"),
+    ]
+    after = [
         ck.check_sex(c("sex_a"), c("sex_b")),
         ck.check_type(c("docType_a"), c("docType_b")),
         ck.check_country(c("country_a"), c("country_b")),
+        *([check_address(c("address_a"), c("address_b"))] if has("address") else []),
     ]
-    rows = rows.withColumn("checks", F.array_compact(F.array(*[x.cast(CHECK) for x in found])))
+    listed = lambda checks: F.array_compact(F.array(*[x.cast(CHECK) for x in checks]))
+    read = [ck.check_provenance(c(f"provenance_{s}"), s).cast(f"array<{CHECK}>") for s in "ab"] if has("provenance") else []
+    rows = rows.withColumn("checks", F.concat(listed(found), c("__zone_rows_a"), c("__zone_rows_b"), listed(after), *read))
     provisional = F.when(c("name_score") >= match, 2).when(c("name_score") >= refer, 1).otherwise(0)
     stops = F.transform(F.filter("checks", lambda x: x.cap.isNotNull()), lambda x: F.struct(x.field.alias("field"), x.rules.alias("rules")))
     rows = rows.withColumn("provisional", provisional).withColumn("hard_stops", stops)

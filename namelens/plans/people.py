@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import lexicon as lx
+from ..functions import mrz
+from ..functions.capture import MONTHS as MONTH_NUMBERS
+from ..operators.zones import ALPHA_3
+from ..sources.shared import written
+
 #: Invented names in three scripts.
 NAMES = (
     "Mohammad Abdullah Al-Farsi", "محمد عبد الله الفارسي", "Muhammed Abdallah Elfarsi", "Samira Haddad", "سميرة حداد", "Karim Nasser Shadid",
@@ -13,6 +21,12 @@ NAMES = (
     "Layla Umm Salim", "Zainab Sayed", "زينب السيد", "Ibrahim Chalil", "Peter Novák", "José Núñez", "Ahmad Nasser", "חיים ברוך", "Abu Bakr Dandachi",
 )
 COUNTRIES = ("SY", "EG", "JO", "IL", "US", "FR", "IR")
+STREETS = ("King St.", "شارع الملك", "Road", "Flat B")
+CITIES = ("Haifa", "عمّان", "Nazareth", "Aleppo", "חיפה")
+SURNAMES = ("AL FARSI", "HADDAD", "SHADID", "KHALIL", "MANSOUR")
+GIVEN = ("MOHAMMAD", "SAMIRA", "KARIM NASSER", "YOUSSEF", "WALID")
+MONTHS = tuple(MONTH_NUMBERS)
+EVENTS = {"signup": "proposal", "error": "clear", "purchase": "confirm", "view": "edit", "click": "restore"}
 RISK = (("SY", "high"), ("IR", "high"), ("EG", "medium"))
 
 
@@ -27,9 +41,13 @@ def date_of(n: Column) -> Column:
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, fullName, dob, sex, nationality, docType, docNumber, expiry, country, address)."""
+    """(query_id, fullName, dob, sex, nationality, docType, docNumber, expiry, country)."""
+    return persons_of(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
+def persons_of(customers: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    c = customers.select("c_custkey")
     kind = pick(("passport", "national_id", "drivers_license"), k)
     return c.select(k.alias("query_id"), pick(NAMES, k * 7).alias("fullName"), F.when(k % 11 != 0, date_of(k)).alias("dob"), pick(("M", "F", ""), k).alias("sex"), pick(COUNTRIES, k).alias("nationality"), kind.alias("docType"), F.lpad((k * 7919 % 1000000000).cast("string"), 9, "0").alias("docNumber"), F.concat((2020 + k % 15).cast("string"), F.lit("-06-30")).alias("expiry"), pick(COUNTRIES, k).alias("country"))
 
@@ -42,9 +60,48 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(k.alias("idx"), F.concat(F.lit("E-"), k.cast("string")).alias("id"), F.lit("derived").alias("source"), F.when(k % 4 == 0, "pep").otherwise("sanction").alias("type"), F.concat(F.lit("P"), (k % 5).cast("string")).alias("program"), pick(NAMES, k * 11 + 3).alias("name"), alias.alias("aliases"), F.when(k % 2 == 0, date_of(k * 3)).alias("dob"), pick(("M", "F", ""), k + 1).alias("sex"), F.when(k % 5 != 0, pick(COUNTRIES, k + 2)).alias("nationality"))
 
 
-def record_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each person beside the one with the next key: columns of the first end in _a, of the second in _b."""
-    p = persons(spark, sf_dir)
+def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons with an address and a travel zone; in some the zone's number isn't the printed one."""
+    k, p = F.col("query_id"), persons(spark, sf_dir)
+    address = F.concat((k % 90 + 1).cast("string"), F.lit(" "), pick(STREETS, k), F.lit(", "), pick(CITIES, k * 3))
+    born = date_of(k)
+    yymmdd = F.concat(F.substring(born, 3, 2), F.substring(born, 6, 2), F.substring(born, 9, 2))
+    number = F.lpad(((k + F.when(k % 10 == 3, 1).otherwise(0)) * 7919 % 1000000000).cast("string"), 9, "0")
+    land = F.coalesce(F.try_element_at(lx.map_of(ALPHA_3), F.col("country")), F.lit("UTO"))
+    zone = mrz.build_td3(F.lit("P<"), F.lit("UTO"), pick(SURNAMES, k), pick(GIVEN, k), number, land, yymmdd, F.col("sex"), F.concat(F.substring("expiry", 3, 2), F.lit("0630")), F.lit(""))
+    return written(p.withColumn("address", address).withColumn("zone", zone), "passports")
+
+
+def passports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons with an address and a column ``mrz``: in some a digit of the zone is wrong, or there is none."""
+    k = F.col("query_id")
+    wrong = F.concat(F.substring("zone", 1, 88), ((F.substring("zone", 89, 1).cast("int") + 1) % 10).cast("string"))
+    mixed = F.when(k % 13 == 0, None).when(k % 10 == 9, "no zone here").when(k % 10 == 7, wrong).otherwise(F.col("zone"))
+    return zoned(spark, sf_dir).withColumn("mrz", mixed).drop("zone")
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, zone_text, page_text): passports as a recogniser might read them, letters for digits and filler lost."""
+    p, k = zoned(spark, sf_dir).where("query_id % 10 != 3"), F.col("query_id")
+    first, second = F.substring_index("zone", "\n", 1), F.substring_index("zone", "\n", -1)
+    blurred = F.concat(F.rtrim(F.translate(first, "<", " ")), F.repeat(F.lit("K"), F.length(first) - F.length(F.rtrim(F.translate(first, "<", " ")))))
+    blurred = F.regexp_replace(blurred, " ", "«")
+    misread = F.concat(F.substring(second, 1, 13), F.translate(F.substring(second, 14, 6), "0158", "OISB"), F.substring(second, 20, 99))
+    born, month = date_of(k), F.element_at(F.array(*map(F.lit, MONTHS)), (1 + k % 12).cast("int"))
+    page = F.concat(F.lit("Born "), (1 + k % 28).cast("string"), F.lit(" "), month, F.lit(" "), F.substring(born, 1, 4), F.lit(" expires 30/06/"), F.substring("expiry", 3, 2), F.lit(" no. "), F.col("docNumber"))
+    return p.select("query_id", F.concat(F.lit("utopia\n"), blurred, F.lit("\r\n"), misread, F.lit("\n")).alias("zone_text"), page.alias("page_text"))
+
+
+def field_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, side, field, seq, event, value, validated) derived from the table events."""
+    k, user = F.col("event_id"), F.col("user_id")
+    kind = F.element_at(lx.map_of(EVENTS), F.col("event_type"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(user.alias("record_id"), F.when(k % 2 == 0, "a").otherwise("b").alias("side"), pick(("dob", "fullName", "sex"), k).alias("field"), k.alias("seq"), kind.alias("event"), pick(("x", "y"), F.floor(k / 2)).alias("value"), (k % 5 < 2).alias("validated"))
+
+
+def record_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = persons) -> DataFrame:
+    """Each person beside the one whose key is 30 more: columns of the first end in _a, of the second in _b."""
+    p = source(spark, sf_dir)
     a = p.select("query_id", *[F.col(c).alias(f"{c}_a") for c in p.columns[1:]])
     b = p.select((F.col("query_id") - 30).alias("query_id"), *[F.col(c).alias(f"{c}_b") for c in p.columns[1:]])
     return a.join(b, "query_id")

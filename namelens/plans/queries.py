@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
+from ..functions import capture, mrz, notes
 from ..functions import checks as ck
-from ..functions import mrz
+from ..functions.address import check_address, locality
 from ..functions.text import detect_script, first_vowel, normalize_token, skeleton, tokenize
 from ..operators import compare as cmp
 from ..operators import names, screening
+from ..operators.provenance import provenance_states
+from ..operators.zones import add_zone_checks
 from ..sources import watchlist as wl
-from .people import COUNTRIES, NAMES, RISK, persons, record_pairs, watchlist
+from ..sources.shared import new_path
+from ..streaming.screening import screen_stream
+from . import registry
+from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, RISK, SURNAMES, field_events, passports, persons, persons_of, record_pairs, scans, watchlist
 
 TODAY = "2026-07-21"
 
@@ -129,6 +135,75 @@ def loader_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.agg(F.count("*").alias("total"), F.count_if(F.col("type") == "sanction").alias("sanction"), F.count_if(F.col("type") == "pep").alias("pep"))
 
 
+def streamed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of people who arrive as a stream, one micro-batch after another until all are in."""
+    out = new_path(spark, "stream-hits")
+    schema = spark.read.parquet(f"{sf_dir}/customer.parquet").schema
+    people = persons_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/customer.parquet*"))
+    screen_stream(people, watchlist(spark, sf_dir), out, new_path(spark, "stream-state"), available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "rank", "idx", "matched_name", "name_score", "classification")
+
+
+def address_localities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passports(spark, sf_dir).select("query_id", locality(F.col("address")).alias("locality"))
+
+
+def address_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct pair of addresses is compared once."""
+    pairs = record_pairs(spark, sf_dir, passports).select("query_id", "address_a", "address_b")
+    checked = pairs.select("address_a", "address_b").distinct().select("address_a", "address_b", check_address(F.col("address_a"), F.col("address_b")).alias("r"))
+    return pairs.join(checked, ["address_a", "address_b"]).select("query_id", *check_columns(F.col("r")))
+
+
+def zone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = add_zone_checks(passports(spark, sf_dir), TODAY).select("query_id", F.explode("zone_checks").alias("r"))
+    return found.select("query_id", F.trim("r.field").alias("field"), *check_columns(F.col("r")))
+
+
+def zone_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What zones' digits and fields say, beside the names."""
+    return zone_rows(spark, sf_dir).where("field != 'zone name'")
+
+
+def zone_name_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_rows(spark, sf_dir).where("field = 'zone name'")
+
+
+def captured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = scans(spark, sf_dir).select("query_id", capture.captured(F.col("zone_text"), F.col("page_text"), 2026).alias("c"))
+    rows = read.select("query_id", F.size("c.zone.corrections").alias("corrections"), F.explode("c.proposals").alias("p"))
+    return rows.select("query_id", "corrections", "p.field", F.when(F.col("p.field") != "mrz", F.col("p.value")).alias("value"), "p.source", "p.validated")
+
+
+def printed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans(spark, sf_dir).select("query_id", capture.visual_fields(F.col("page_text")).alias("v")).select("query_id", "v.dob", "v.expiry", F.col("v.docNumber").alias("number"))
+
+
+def field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance_states(field_events(spark, sf_dir))
+
+
+def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of records with addresses and travel zones."""
+    out = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
+    return out.select("query_id", "name_score", "verdict", F.size("checks").alias("n_checks"), F.size("hard_stops").alias("stops"), "cap_rule")
+
+
+def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = record_pairs(spark, sf_dir)
+    out = cmp.compare(pairs, TODAY).join(pairs.select("query_id", "fullName_a", "fullName_b"), "query_id")
+    c = F.col
+    return out.select("query_id", notes.case_note(c("verdict"), c("name_score"), c("checks"), c("cap_rule"), (c("fullName_a"), c("fullName_b")), TODAY, 85, 60).alias("note"))
+
+
+def rules_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each rule is cited by comparisons and screening; ``about`` is null for a rule that isn't registered."""
+    verdicts = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
+    checks = verdicts.select(F.flatten(F.transform("checks", lambda x: x.rules)).alias("rules"))
+    tokens = verdicts.select(F.flatten(F.transform("name_pairs", lambda x: x.rules)).alias("rules"))
+    return registry.cited(checks, tokens, hits(spark, sf_dir).select("rules"))
+
+
 def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
@@ -137,7 +212,7 @@ def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (screen_hits, screen_disposition, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_dedup, loader_counts)
+    for f in (screen_hits, screen_disposition, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, document_verdicts, case_notes, rules_cited)
 }
 
 
@@ -186,4 +261,36 @@ ORACLE_SQL = {
         f as (select *, row_number() over (partition by id order by k) as n from r)
         select cast(row_number() over (order by k) - 1 as bigint) as idx, id, 'sanction' as type, name, case when k % 2 = 0 then '1970-01-02' end as dob, 'SY' as nationality, 2 as n_aliases from f where n = 1""",
     "loader_counts": "select count(*) as total, count(*) filter (where s_suppkey % 4 != 0) as sanction, count(*) filter (where s_suppkey % 4 = 0) as pep from supplier",
+    "address_localities": f"""with {_persons} select query_id, trim({_pick(('King', 'الملك', '', 'B'), 'query_id')} || ' ' || {_pick(CITIES, 'query_id * 3')}) as locality from p""",
+    "zone_checks": f"""with {_persons}, z as (select * from p where query_id % 13 != 0)
+        select query_id, 'zone' as field, 'warn' as status, 'MRZ-4' as rules, 'REFER' as cap from z where query_id % 10 = 9
+        union all select query_id, 'zone digits', 'ok', 'MRZ-1', null from z where query_id % 10 != 9
+        union all select query_id, 'zone composite', if(query_id % 10 = 7, 'bad', 'ok'), 'MRZ-2', if(query_id % 10 = 7, 'REFER', null) from z where query_id % 10 != 9
+        union all select query_id, 'zone against print', if(query_id % 10 = 3, 'bad', 'ok'), 'MRZ-3', if(query_id % 10 = 3, 'REFER', null) from z where query_id % 10 != 9""",
+    "captured_fields": f"""with {_persons}, s as (select *, {_date('query_id')} as born from p where query_id % 10 != 3),
+        m as (select *, born[3:4] || born[6:7] || born[9:10] || lpad(cast(0 as varchar), 0, '0') as six from s),
+        d as (select *, cast(list_sum(list_transform(range(1, 7), lambda k: cast(six[k] as int) * ([7, 3, 1])[(k - 1) % 3 + 1])) as bigint) % 10 as digit from m),
+        n as (select *, cast(length(regexp_replace(six, '[^0158]', '', 'g')) as int) as corrections from d),
+        f as (select query_id, corrections, unnest([
+            {{'field': 'mrz', 'value': null, 'validated': true}}, {{'field': 'dob', 'value': born, 'validated': true}},
+            {{'field': 'expiry', 'value': expiry, 'validated': true}}, {{'field': 'docNumber', 'value': docNumber, 'validated': true}},
+            {{'field': 'fullName', 'value': {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')}, 'validated': false}},
+            {{'field': 'sex', 'value': nullif(sex, ''), 'validated': false}},
+            {{'field': 'country', 'value': case when country in ('SY', 'EG', 'JO', 'IL') then country else 'OTHER' end, 'validated': false}},
+            {{'field': 'docType', 'value': 'passport', 'validated': false}}]) as r from n)
+        select query_id, corrections, r.field as field, r.value as value, 'mrz' as source, r.validated as validated from f where r.value is not null or r.field = 'mrz'""",
+    "printed_fields": f"with {_persons} select query_id, {_date('query_id')} as dob, expiry, docNumber as number from p where query_id % 10 != 3",
+    "field_states": f"""with recursive e as (select user_id as record_id, if(event_id % 2 = 0, 'a', 'b') as side, (['dob', 'fullName', 'sex'])[event_id % 3 + 1] as field,
+            {" ".join(["case event_type"] + [f"when '{a}' then '{b}'" for a, b in EVENTS.items()] + ["end"])} as event, (['x', 'y'])[(event_id // 2) % 2 + 1] as value, event_id % 5 < 2 as validated, event_id from events),
+        o as (select *, row_number() over (partition by record_id, side, field order by event_id) as n, count(*) over (partition by record_id, side, field) as total from e),
+        f as (select distinct record_id, side, field, cast(0 as bigint) as n, total, 'typed' as state, '' as value, cast(null as varchar) as read, false as sure from o
+            union all select f.record_id, f.side, f.field, o.n, f.total,
+                case when o.event = 'proposal' then if(o.validated, 'mrz-validated', 'ocr-unconfirmed') when o.event in ('edit', 'clear') then 'typed'
+                    when o.event = 'confirm' and (f.state = 'ocr-unconfirmed' or (f.state = 'typed' and f.value = f.read)) then 'confirmed'
+                    when o.event = 'restore' and f.state = 'typed' and f.value != f.read then if(f.sure, 'mrz-validated', 'ocr-unconfirmed') else f.state end,
+                case when o.event in ('proposal', 'edit') then o.value when o.event = 'clear' then '' when o.event = 'restore' and f.state = 'typed' and f.value != f.read then f.read else f.value end,
+                case when o.event = 'proposal' then o.value when o.event = 'clear' then null else f.read end,
+                case when o.event = 'proposal' then o.validated when o.event = 'clear' then false else f.sure end
+            from f join o on o.record_id = f.record_id and o.side = f.side and o.field = f.field and o.n = f.n + 1)
+        select record_id, side, field, state, value from f where n = total""",
 }

@@ -13,7 +13,7 @@ from namelens.operators.screening import screen
 from namelens.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer supplier part documents".split()
+TABLES = "customer supplier part documents events".split()
 
 
 def test_skeletons(spark):
