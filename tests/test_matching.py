@@ -1,16 +1,24 @@
 """Golden cases of the matching library, and its queries against DuckDB."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from namelens.functions import checks as ck
 from namelens.functions import mrz
+from namelens.functions.address import check_address, locality
+from namelens.functions.capture import captured
+from namelens.functions.notes import wrap
 from namelens.functions.particles import name_tokens
 from namelens.functions.text import skeleton
 from namelens.operators.names import name_scores
+from namelens.operators.provenance import provenance_states
 from namelens.operators.screening import screen
 from namelens.plans import queries as q
+from namelens.plans import registry
+from namelens.streaming.screening import advance, provenance_stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer supplier part documents events".split()
@@ -64,3 +72,58 @@ def test_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(repr(tuple(r[names.index(c)] for c in df.columns)) for r in cur.fetchall())
     assert sorted(repr(tuple(r)) for r in df.collect()) == want
+
+
+def test_capture_and_addresses(spark):
+    zone = "noise\nP<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<KKKKKKKKK\nL898902C36UTO74O8122F12O4159ZE184226B<<<<<10\n"
+    row = spark.range(1).select(
+        captured(F.lit(zone), F.lit(None).cast("string"), 2026).alias("c"), captured(F.lit(""), F.lit("Born 7 MAR 94, until 2031"), 2026).alias("v"),
+        locality(F.lit("12 King Street, Amman")).alias("l"), check_address(F.lit("شارع 5، عمان"), F.lit("Amman")).alias("same"), check_address(F.lit("Road 3"), F.lit("Amman")).alias("none"),
+    ).first()
+    got = {p.field: (p.value, p.validated) for p in row.c.proposals}
+    assert (got["dob"], got["expiry"], got["docNumber"], got["fullName"]) == (("1974-08-12", True), ("2012-04-15", True), ("L898902C3", True), ("ANNA MARIA ERIKSSON", False))
+    assert [(c["line"], c["pos"], c["from"], c["to"]) for c in row.c.zone.corrections] == [(2, 16, "O", "0"), (2, 24, "O", "0")]
+    assert [(p.field, p.value, p.source) for p in row.v.proposals] == [("dob", "1994-03-07", "visual")]
+    assert (row.l, row.same.status, row.none.rules) == ("King Amman", "ok", ["MISS-1"])
+
+
+def test_wrapped_notes(spark):
+    text = "one two three  four"
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(wrap(F.col("t"), width=9, hang=1).alias("w")).collect()
+    assert [r.w for r in rows] == ["one two\n three\n four", "", ""]
+
+
+EVENTS = "record_id long, side string, field string, seq long, event string, value string, validated boolean"
+
+
+def test_field_states(spark):
+    """The batch form equals the fold of single events, whatever their order; unknown events and null values do nothing."""
+    random.seed(5)
+    kinds = ["proposal", "edit", "clear", "confirm", "restore", "other"]
+    rows = [(k % 60, "a", "dob", k, random.choice(kinds), random.choice(["x", "y", None]), random.random() < 0.4) for k in range(420)]
+    want = {}
+    for r in rows:
+        want[r[0]] = advance(want.get(r[0], ("typed", "", None, False)), *r[4:])
+    got = provenance_states(spark.createDataFrame(rows, EVENTS)).collect()
+    assert {r.record_id: (r.state, r.value) for r in got} == {k: v[:2] for k, v in want.items()}
+    assert provenance_states(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def test_field_states_of_a_stream(spark, tmp_path):
+    rows = [(1, "a", "dob", 1, "proposal", "x", False), (1, "a", "dob", 2, "confirm", None, None), (2, "b", "sex", 1, "edit", "M", None)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "in"))
+    stream = provenance_stream(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")))
+    stream.writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.record_id, r.field, r.state, r.value) for r in spark.table("states").collect()} == {(1, "dob", "confirmed", "x"), (2, "sex", "typed", "M")}
+
+
+def test_streamed_hits_equal_batch(spark):
+    streamed = q.streamed_hits(spark, SF)
+    want = q.screen_hits(spark, SF).select(streamed.columns)
+    assert sorted(streamed.collect()) == sorted(want.collect())
+
+
+def test_registry(spark):
+    assert sum(map(len, registry.RULES.values())) == 56
+    unknown = registry.cited(spark.createDataFrame([(["SCR-1", "NOPE"],)], "rules array<string>")).where("about is null").collect()
+    assert [r.rule for r in unknown] == ["NOPE"]
