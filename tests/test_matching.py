@@ -13,6 +13,7 @@ from namelens.functions.capture import captured
 from namelens.functions.notes import wrap
 from namelens.functions.particles import name_tokens
 from namelens.functions.text import skeleton
+from namelens.operators.compare import compare
 from namelens.operators.names import name_scores
 from namelens.operators.provenance import provenance_states
 from namelens.operators.screening import screen
@@ -87,6 +88,21 @@ def test_capture_and_addresses(spark):
     assert (row.l, row.same.status, row.none.rules) == ("King Amman", "ok", ["MISS-1"])
 
 
+def test_verdicts_with_zones(spark):
+    """Zones that agree, one held against a swapped birth date, one missing beside another name, and one that can't be read."""
+    zone = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
+    fields = ["fullName", "dob", "expiry", "docNumber", "docType", "country", "sex", "mrz"]
+    own = dict(zip(fields, ("Anna Maria Eriksson", "1974-08-12", "2012-04-15", "L898902C3", "passport", "UT", "F", zone), strict=True))
+    cases = [(own, own), (own | {"dob": "1974-12-08"}, own), (own, own | {"fullName": "Jonathan Smith", "mrz": None}), (own, own | {"mrz": "prose"})]
+    schema = "query_id long, " + ", ".join(f"{f}_{s} string" for s in "ab" for f in fields)
+    pairs = spark.createDataFrame([(k, *[a[f] for f in fields], *[b[f] for f in fields]) for k, (a, b) in enumerate(cases)], schema)
+    got = {r.query_id: r for r in compare(pairs, "2010-01-01").collect()}
+    assert [(got[k].provisional_verdict, got[k].verdict, got[k].cap_rule) for k in range(4)] == [("MATCH", "MATCH", None), ("MATCH", "REFER", "CAP-1"), ("NO_MATCH", "NO_MATCH", None), ("MATCH", "REFER", "CAP-1")]
+    assert [[s.rules for s in got[k].hard_stops] for k in range(4)] == [[], [["DOB-SWAP"], ["MRZ-3"]], [], [["MRZ-4"]]]
+    zones = [(c.rules[0], c.status) for c in got[0].checks if c.rules[0].startswith("MRZ")]
+    assert zones == [("MRZ-1", "ok"), ("MRZ-2", "ok"), ("MRZ-3", "ok"), ("MRZ-3", "ok")] * 2
+
+
 def test_wrapped_notes(spark):
     text = "one two three  four"
     rows = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(wrap(F.col("t"), width=9, hang=1).alias("w")).collect()
