@@ -5,6 +5,13 @@ each pivot. Two vectors that share at least ``shared`` pivots are candidates and
 As two such descriptions must also meet in their first nearest - shared + 1 pivots under any common order, a vector is
 posted under those only, in the order rare pivots first, and a pair is counted in the list of its first shared pivot.
 Lists longer than a block are worked off as pairs of blocks, so no list of any length comes to one task.
+
+That finds sparse vectors. Members of a large group of near copies would have pivots out of the group itself and seldom
+share any, so dense regions take an exact way. With t the angle of the wanted cosine, pivots within 2t of another are
+dropped, those with most drawn neighbours staying, and a vector within 2t of a remaining pivot has its home there. A
+partner of a vector at home with a pivot is at most t farther from that pivot than the farthest vector at home there,
+so every vector within that bound visits the pivot's list, and homes are compared with homes and visitors. Only pairs
+of two vectors without a home are left to the shared pivots.
 """
 
 from __future__ import annotations
@@ -22,11 +29,28 @@ from .components import connected_components
 from .vectors import matrix, usable
 
 
+def thinned(points: np.ndarray, angle: float, block: int = 256) -> np.ndarray:
+    """The unit vectors of which none is within twice the angle of another; those with most others within it stay."""
+    within, spacing = math.cos(angle), math.cos(min(math.pi, 2 * angle))
+    crowd = np.concatenate([(points[at : at + block] @ points.T >= within).sum(axis=1) for at in range(0, len(points), block)])
+    points = points[np.argsort(-crowd, kind="stable")]
+    kept = points[:0]
+    for at in range(0, len(points), block):
+        part = points[at : at + block]
+        part = part[~(part @ kept.T >= spacing).any(axis=1)]
+        own, stays = part @ part.T >= spacing, []
+        for r in range(len(part)):
+            if not own[r, stays].any():
+                stays.append(r)
+        kept = np.concatenate([kept, part[stays]])
+    return kept
+
+
 def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, nearest: int = 10, shared: int = 2, pivots_per_root: float = 6.0, most_pivots: int = 8192, block: int = 2048, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Pivots are a hashed sample of sqrt(n) * ``pivots_per_root`` vectors, ``most_pivots`` at most; every vector is
-    indexed. Equal vectors are one entry with a count. Vectors that are null, zero, of another length than most, or
+    Pivots are a hashed, then thinned sample of sqrt(n) * ``pivots_per_root`` vectors, ``most_pivots`` at most; every
+    vector is indexed. Links are exact where an end has a home. Equal vectors are one entry with a count. Vectors that are null, zero, of another length than most, or
     hold null or non-finite components link with nothing and are their own component. A row with a null id is
     returned with no links, a null component and kept false. Repeated rows count as vectors of their own. Other
     columns are ignored; an empty table gives an empty table.
@@ -42,6 +66,10 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
         return everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     points = np.array([r.v for r in drawn])
     points /= np.linalg.norm(points, axis=1)[:, None]
+    angle = math.acos(max(-1.0, min(1.0, cosine)))
+    points = thinned(points, angle)
+    wanted = len(points)
+    at_home = math.cos(min(math.pi, 2 * angle))
     k = min(nearest, wanted)
     need = min(shared, k)
     reference = spark.sparkContext.broadcast(points)
@@ -55,9 +83,40 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k]
                 order = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
                 bytes_of = [r.tobytes() for r in np.ascontiguousarray(x, "<f8")]
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(bytes_of, pa.binary()), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["rep", "n", "x", "pivots"])
+                close = near[np.arange(len(part)), order[:, 0]]
+                home = np.where(close >= at_home, order[:, 0], -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(bytes_of, pa.binary()), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())), pa.array(home), pa.array(close)], names=["rep", "n", "x", "pivots", "home", "close"])
 
-    described = written(classes.select("v", "rep", "n").mapInArrow(describe, "rep long, n long, x binary, pivots array<int>"), "described")
+    everyone = written(classes.select("v", "rep", "n").mapInArrow(describe, "rep long, n long, x binary, pivots array<int>, home int, close double"), "described")
+    at_pivot = {r.home: r for r in everyone.where("home >= 0").groupBy("home").agg(F.min("close").alias("close"), F.count("*").alias("n")).collect()}  # a row for each pivot
+    bounds = np.full(wanted, np.inf)
+    for p, r in at_pivot.items():
+        bounds[p] = math.cos(min(math.pi, math.acos(max(-1.0, min(1.0, r.close))) + angle)) - 1e-9
+    reach = spark.sparkContext.broadcast(bounds)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                x, home = matrix(part.column(2)), part.column(3).to_numpy()
+                near = (x / np.linalg.norm(x, axis=1)[:, None]) @ reference.value.T
+                row, p = np.nonzero(near >= reach.value)
+                ok = (home[row] < 0) | (p < home[row])  # two vectors with homes meet at the first of them
+                row, p = row[ok], p[ok]
+                chosen = part.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), chosen.column(0), chosen.column(1), chosen.column(2)], names=["p", "rep", "n", "x"])
+
+    visits = written(everyone.select("rep", "n", "x", "home").mapInArrow(visit, "p int, rep long, n long, x binary"), "visits")
+    visitors = {r.p: r["count"] for r in visits.groupBy("p").count().collect()}  # a number for each pivot
+    lists = [(p, -(-r.n // block), -(-visitors.get(p, 0) // block)) for p, r in at_pivot.items() if r.n + visitors.get(p, 0) > 1]
+    cells = F.broadcast(spark.createDataFrame(lists, "p int, homes int, guests int"))  # most_pivots rows at most
+    mixed_in = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
+    inside = everyone.where("home >= 0").select(F.col("home").alias("p"), "rep", "n", "x").join(cells, "p").withColumn("side", mixed_in(F.col("homes")))
+    inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("homes") + F.col("guests") - 1))).withColumn("low", F.least("side", "o")).withColumn("high", F.greatest("side", "o"))
+    outside = visits.join(cells, "p").withColumn("side", F.col("homes") + mixed_in(F.col("guests")))
+    outside = outside.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("homes") - 1))).withColumn("high", F.col("side"))
+    dense = inside.select("p", "low", "high", "side", "rep", "n", "x").union(outside.select("p", "low", "high", "side", "rep", "n", "x"))
+    described = everyone.where("home < 0")
     use = {r.p: r["count"] for r in described.select(F.explode("pivots").alias("p")).groupBy("p").count().collect()}  # a number for each pivot
     rank = np.full(wanted, 0, np.int64)
     rank[sorted(range(wanted), key=lambda p: (use.get(p, 0), p))] = np.arange(wanted)
@@ -118,8 +177,39 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
         touched = links > 0
         return pa.table({"rep": pa.array(reps[touched], pa.int64()), "links": pa.array(links[touched].astype(np.int64)), "root": pa.array(lab[touched], pa.int64())})
 
+    def verify_all(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        side, reps, n = (group.column(c).to_numpy() for c in ("side", "rep", "n"))
+        x = matrix(group.column("x"))
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        near = np.zeros((len(a), len(b)), bool)
+        links = np.zeros(len(reps))
+        for s in range(0, len(a), 512):
+            rows_ = a[s : s + 512]
+            part = (x[rows_] @ x[b].T) / (norm[rows_][:, None] * norm[b][None, :]) >= cosine
+            if low == high:
+                part[np.arange(len(rows_)), np.arange(s, s + len(rows_))] = False
+            near[s : s + 512] = part
+            links[rows_] += part @ n[b].astype(float)
+            if low != high:
+                links[b] += n[rows_].astype(float) @ part
+        lab = reps.copy()
+        while near.any():
+            before, most = lab.copy(), np.iinfo(np.int64).max
+            for s in range(0, len(a), 512):
+                rows_, part = a[s : s + 512], near[s : s + 512]
+                lab[rows_] = np.minimum(lab[rows_], np.where(part, lab[b][None, :], most).min(axis=1))
+                lab[b] = np.minimum(lab[b], np.where(part, lab[rows_][:, None], most).min(axis=0))
+            if (lab == before).all():
+                break
+        touched = links > 0
+        return pa.table({"rep": pa.array(reps[touched], pa.int64()), "links": pa.array(links[touched].astype(np.int64)), "root": pa.array(lab[touched], pa.int64())})
+
     posted = described.mapInArrow(post, "list int, low int, high int, side int, rep long, n long, x binary, own binary")
-    found = written(posted.groupBy("list", "low", "high").applyInArrow(verify, "rep long, links long, root long"), "links")
+    sparse_links = posted.groupBy("list", "low", "high").applyInArrow(verify, "rep long, links long, root long")
+    dense_links = dense.groupBy("p", "low", "high").applyInArrow(verify_all, "rep long, links long, root long")
+    found = written(sparse_links.union(dense_links), "links")
     comps = connected_components(found.where("root < rep").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     summary = classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -137,6 +137,22 @@ def test_near_vectors(spark):
     assert pivot_dedup.near_duplicates(df.limit(0)).count() == 0 and ann.search(df.limit(0)).count() == 0
 
 
+def test_near_vectors_in_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] + 0.22 * np.linalg.norm(x[0]) / 8 * rng.standard_normal((2000, 64))
+    x[3000:3300] = x[3000] + 0.1 * rng.standard_normal((300, 64))
+    for k in range(4000, 4400, 2):
+        x[k + 1] = x[k] + 0.1 * rng.standard_normal(64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.95) & ~np.eye(6000, dtype=bool)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivot_dedup.near_duplicates(df, block=512).collect()}
+    want = near.sum(axis=1)
+    assert 0.2 < near[:2000, :2000].mean() < 0.99 and [got[k] for k in range(2000)] == want[:2000].tolist()
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.999 * near.sum()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     clean = ["the", "tree", "is", "green", "and", "quiet", "water", "runs"]
