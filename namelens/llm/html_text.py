@@ -1,6 +1,6 @@
 """Main text of pages by nearest-URL page differencing.
 
-Pages of a host are put in the order of their URL's path; each is compared with the pages before and after it there.
+Pages of a host are put in the order of their URL's path and query; each is compared with the pages before and after it there.
 Text lines are aligned by their longest common subsequence, and lines that a page shares with such a neighbour are
 template. Markup says where that evidence counts: lines in menus, footers, adverts and the like are never text, and in
 an element that holds the article, a shared line goes only if it is mostly links.
@@ -8,6 +8,7 @@ an element that holds the article, a shared line goes only if it is mostly links
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -164,44 +165,98 @@ def main_text(lines: list[tuple[int, str]], hashes: list[int], neighbours: list[
     return " ".join(lines[k][1] for k in chosen if k not in drop)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hot_share: float = 1e-4, cell_pages: int = 256) -> DataFrame:
+def neighbours_of(k: int, hosts: list[str], hashes: list[list[int]]) -> list[list[int] | None]:
+    """The pages before and after the page at ``k``, where they are of its host."""
+    return [hashes[j] for j in (k - 1, k + 1) if 0 <= j < len(hosts) and hosts[j] == hosts[k]]
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_pages: int = 512, most_parts: int = 2048, edge: int = 16) -> DataFrame:
     """(page_id, url, text, n_chars) for every row.
 
-    A host with more than ``hot_share`` of all pages, and more than ``cell_pages``, is dealt by a hash of the path into
-    cells of about ``cell_pages``, so no host is worked off by one task; at most 1 / hot_share hosts can be so large.
-    Null or empty html gives an empty text; pages with a null URL are neighbours of each other; repeated rows are
-    returned each; other columns are ignored; an empty table gives an empty table.
+    All pages are put in the order of host, path, query and page_id and cut into ranges of about ``part_pages``,
+    ``most_parts`` at most, along keys from a hashed sample. The ``edge`` first and last pages of a range are also sent
+    to the range beside it, so every page meets its true neighbours and no host is worked off by one task. Null or
+    empty html gives an empty text; pages with a null URL are neighbours of each other; repeated rows are returned
+    each; other columns are ignored; an empty table gives an empty table.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host, path = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    hosts = rows.select(host.alias("host")).groupBy("host").count()
-    hot = hosts.where(F.col("count") > max(cell_pages, int(rows.count() * hot_share))).select("host", F.ceil(F.col("count") / cell_pages).cast("int").alias("cells"))
-    placed = rows.withColumn("host", host).withColumn("path", path).join(F.broadcast(hot), "host", "left")  # at most 1 / hot_share rows
-    placed = placed.withColumn("cell", F.pmod(F.crc32("path"), F.coalesce("cells", F.lit(1)))).drop("cells")
+    host, path, query = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*\??([^#]*)", 1)
+    order = ["host", "path", "query", "id", "link"]
+    keyed = rows.select("page_id", "url", host.alias("host"), path.alias("path"), query.alias("query"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.coalesce("url", F.lit("")).alias("link"), "html")
+    keys = keyed.select(*order)
+    total = rows.count()
+    parts = max(1, min(most_parts, total // part_pages))
+    share = min(1.0, 20 * parts / max(total, 1))
+    drawn = sorted(tuple(r) for r in keys.where(F.pmod(F.xxhash64(F.lit(5), "id", "link"), F.lit(1_000_000)) < int(share * 1_000_000)).collect()) if parts > 1 else []  # about 20 keys a range
+    cuts = sorted({drawn[k * len(drawn) // parts] for k in range(1, parts)}) if drawn else []
+    bounds = rows.sparkSession.sparkContext.broadcast(cuts)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect.bisect_right(bounds.value, key) for key in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["part", *order])
+
+    first, last = {}, {}  # of each range, the key that ``edge`` pages reach to from its start and from its end
+    if cuts:
+        placed = keys.mapInArrow(place, "part int, host string, path string, query string, id long, link string")
+        for into, way in ((first, [F.asc(c) for c in order]), (last, [F.desc(c) for c in order])):
+            near_end = placed.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*way))).where(F.col("k") <= edge)
+            found = near_end.groupBy("part").agg(F.max_by(F.struct(*order), "k").alias("key")).collect()  # a row for each range
+            into.update({r.part: tuple(r.key) for r in found})
+    ends = rows.sparkSession.sparkContext.broadcast((first, last))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            zones, lines, hashes = [], [], []
-            for page in batch.column("html"):
+            zones, lines, hashes, take, at, own = [], [], [], [], [], []
+            keys_of = zip(*(batch.column(c).to_pylist() for c in order), strict=True)
+            for k, (page, key) in enumerate(zip(batch.column("html"), keys_of, strict=True)):
                 got = lines_of(page.as_py())
                 zones.append(bytes(z for z, _ in got))
                 lines.append([t for _, t in got])
                 hashes.append([xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for _, t in got])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "path", "cell")), pa.array(zones, pa.binary()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", "host", "path", "cell", "zones", "lines", "hashes"])
+                part = bisect.bisect_right(bounds.value, key)
+                sent = [part]
+                if bounds.value and key <= ends.value[0][part]:
+                    sent.append(part - 1)
+                if bounds.value and key >= ends.value[1][part]:
+                    sent.append(part + 1)
+                for to in sent:
+                    take.append(k), at.append(to), own.append(to == part)
+            whole = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", *order)), pa.array(zones, pa.binary()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", *order, "zones", "lines", "hashes"])
+            sent_rows = whole.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own, pa.bool_()), *sent_rows.columns], names=["part", "own", *whole.schema.names])
 
-    parsed = placed.select("page_id", "url", "host", "path", "cell", "html").mapInArrow(parse, "page_id long, url string, host string, path string, cell long, zones binary, lines array<string>, hashes array<long>")
-    near = Window.partitionBy("host", "cell").orderBy("path", "page_id", "url")
-    paired = parsed.withColumn("before", F.lag("hashes").over(near)).withColumn("after", F.lead("hashes").over(near))
+    parsed = keyed.mapInArrow(parse, "part int, own boolean, page_id long, url string, host string, path string, query string, id long, link string, zones binary, lines array<string>, hashes array<long>")
+    ordered = parsed.repartition("part").sortWithinPartitions("part", *order)
 
     def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            texts = []
-            for zones, lines, hashes, before, after in zip(*(batch.column(c) for c in ("zones", "lines", "hashes", "before", "after")), strict=True):
-                texts.append(main_text(list(zip(zones.as_py(), lines.as_py(), strict=True)), hashes.as_py(), [before.as_py(), after.as_py()]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            part, at = batch.column("part").to_numpy(), 0
+            while at < len(batch):
+                end = at + int((part[at:] == part[at]).argmin() or len(batch) - at)
+                if held and held[0].column("part")[0].as_py() != part[at]:
+                    yield from texts_of(held)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from texts_of(held)
+
+    def texts_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts = [h for b in held for h in b.column("host").to_pylist()]
+        hashes = [h for b in held for h in b.column("hashes").to_pylist()]
+        at = 0
+        for batch in held:
+            texts, mine = [], batch.filter(batch.column("own"))
+            own = [at + k for k, o in enumerate(batch.column("own").to_pylist()) if o]
+            for k, zones, lines in zip(own, mine.column("zones"), mine.column("lines"), strict=True):
+                texts.append(main_text(list(zip(zones.as_py(), lines.as_py(), strict=True)), hashes[k], neighbours_of(k, hosts, hashes)))
+            at += len(batch)
+            yield pa.RecordBatch.from_arrays([mine.column("page_id"), mine.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    out = paired.select("page_id", "url", "zones", "lines", "hashes", "before", "after").mapInArrow(subtract, "page_id long, url string, text string")
+    out = ordered.select("part", "own", "page_id", "url", "host", "zones", "lines", "hashes").mapInArrow(subtract, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

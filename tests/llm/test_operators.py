@@ -210,6 +210,17 @@ def test_html(spark):
     assert html_text.shared_lines([1, 2, 3, 4, 2], [2, 9, 3, 2]) == {1, 2, 4}
 
 
+def test_html_neighbours_on_a_large_host(spark):
+    page = lambda k: f"<body><div>Notice of block {k // 2}</div><div>Text of page {k}{' and on' * 9}</div></body>"
+    rows = [(k, None if k % 3 == 0 else f"http://hot.org/a/{k:04}" if k < 600 else f"http://hot.org/index.php?id={k:04}", page(k)) for k in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    whole = {r.page_id: r.text for r in html_text.extract(df, part_pages=10_000).collect()}
+    got = {r.page_id: r.text for r in html_text.extract(df, part_pages=40).collect()}
+    assert got == whole and len(got) == 900
+    # Ids 3n + 1 and 3n + 2 are neighbours; they share a notice if n is odd, whatever range they are in.
+    assert all(got[k] == f"Text of page {k}{' and on' * 9}" for n in range(1, 300, 2) for k in (3 * n + 1, 3 * n + 2) if (3 * n + 1) // 2 == (3 * n + 2) // 2)
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 900
     rows = [(1, "u", big), (2, "u", big), (3, None, "x"), (4, "u", "x"), (5, "u", None), (None, "u", big)]
