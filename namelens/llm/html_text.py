@@ -1,8 +1,8 @@
 """Main text of pages by nearest-URL page differencing.
 
-Pages of a host are put in the order of their URL's path and query; each is compared with the pages before and after it there.
-Text lines are aligned by their longest common subsequence, and lines that a page shares with such a neighbour are
-template. Markup says where that evidence counts: lines in menus, footers, adverts and the like are never text, and in
+Pages of a host are put in the order of their URL's path and query; each is compared with the four
+nearest different pages before and after it there. Text lines are aligned by their longest common subsequence, and lines
+that a page shares with such neighbours, copies of it aside, are template. Markup says where that evidence counts: lines in menus, footers, adverts and the like are never text, and in
 an element that holds the article, a shared line goes only if it is mostly links.
 """
 
@@ -146,28 +146,58 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return kept
 
 
-def main_text(lines: list[tuple[int, str]], hashes: list[int], neighbours: list[list[int] | None], copy_share: float = 0.5) -> str:
+def template_of(texts: list[str], hashes: list[int], chosen: set[int], neighbours: list[list[int]], copy_share: float = 0.5) -> set[int]:
+    """Positions in ``chosen`` of the lines that the page shares with pages that aren't copies of it.
+
+    Pages of a host share its template, however long; a copy shares more. So of the neighbours, put in the order of what
+    they share, one in the lower half tells what is template, and those that share ``copy_share`` or more of the rest
+    are copies. With fewer than three neighbours nothing tells one from the other, and who shares that much of the text
+    is a copy.
+    """
+    met = sorted((shared_lines(hashes, other) & chosen for other in neighbours if other), key=lambda own: sum(len(texts[k]) for k in own))
+    if not met:
+        return set()
+    rest = chosen - met[len(met) // 4] if len(met) > 2 else chosen
+    total = sum(len(texts[k]) for k in rest)
+    seen = [own for own in met if sum(len(texts[k]) for k in own & rest) < copy_share * total]
+    return set().union(*seen)
+
+
+def main_text(lines: list[tuple[int, str]], hashes: list[int], neighbours: list[list[int] | None]) -> str:
     """The page's lines less its template.
 
-    A neighbour that shares ``copy_share`` or more of the candidate text is a copy of the page and says nothing about
-    templates. Where markup shows the article, passages in it may repeat between pages for other reasons, so a shared
-    line goes only if it is mostly links; elsewhere every shared line goes.
+    Where markup shows the article, passages in it may repeat between pages for other reasons, so a shared line goes
+    only if it is mostly links; elsewhere every shared line goes.
     """
     inside = any(z in (INSIDE, LINK) for z, _ in lines)
     chosen = [k for k, (z, _) in enumerate(lines) if (z in (INSIDE, LINK) if inside else z == FREE)]
-    total = sum(len(lines[k][1]) for k in chosen)
-    drop: set[int] = set()
-    for other in neighbours:
-        if other:
-            shared = shared_lines(hashes, other) & set(chosen)
-            if sum(len(lines[k][1]) for k in shared) < copy_share * total:
-                drop |= {k for k in shared if not inside or lines[k][0] == LINK}
-    return " ".join(lines[k][1] for k in chosen if k not in drop)
+    drop = template_of([t for _, t in lines], hashes, set(chosen), neighbours)
+    return " ".join(lines[k][1] for k in chosen if k not in drop or inside and lines[k][0] != LINK)
 
 
-def neighbours_of(k: int, hosts: list[str], hashes: list[list[int]]) -> list[list[int] | None]:
-    """The pages before and after the page at ``k``, where they are of its host."""
-    return [hashes[j] for j in (k - 1, k + 1) if 0 <= j < len(hosts) and hosts[j] == hosts[k]]
+def runs_of(hosts: list[str], hashes: list[list[int]]) -> list[tuple[int, int]]:
+    """For each page the first and the last of its run of pages of one host with equal lines."""
+    out, at = [], 0
+    for k in range(1, len(hosts) + 1):
+        if k == len(hosts) or hosts[k] != hosts[at] or hashes[k] != hashes[at]:
+            out += [(at, k - 1)] * (k - at)
+            at = k
+    return out
+
+
+def neighbours_of(k: int, hosts: list[str], hashes: list[list[int]], runs: list[tuple[int, int]], each_side: int = 4, steps: int = 64) -> list[list[int]]:
+    """The nearest pages of its host on each side of the page at ``k`` that aren't equal to it, a run of equal ones once."""
+    out = []
+    for side in (0, 1):
+        j, n = k, 0
+        for _ in range(steps):
+            j = runs[j][side] + (1 if side else -1)
+            if n == each_side or not 0 <= j < len(hosts) or hosts[j] != hosts[k]:
+                break
+            if hashes[j] != hashes[k]:
+                out.append(hashes[j])
+                n += 1
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_pages: int = 512, most_parts: int = 2048, edge: int = 16) -> DataFrame:
@@ -249,12 +279,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def texts_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts = [h for b in held for h in b.column("host").to_pylist()]
         hashes = [h for b in held for h in b.column("hashes").to_pylist()]
-        at = 0
+        runs, at = runs_of(hosts, hashes), 0
         for batch in held:
             texts, mine = [], batch.filter(batch.column("own"))
             own = [at + k for k, o in enumerate(batch.column("own").to_pylist()) if o]
             for k, zones, lines in zip(own, mine.column("zones"), mine.column("lines"), strict=True):
-                texts.append(main_text(list(zip(zones.as_py(), lines.as_py(), strict=True)), hashes[k], neighbours_of(k, hosts, hashes)))
+                texts.append(main_text(list(zip(zones.as_py(), lines.as_py(), strict=True)), hashes[k], neighbours_of(k, hosts, hashes, runs)))
             at += len(batch)
             yield pa.RecordBatch.from_arrays([mine.column("page_id"), mine.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

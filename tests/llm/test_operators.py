@@ -221,6 +221,16 @@ def test_html_neighbours_on_a_large_host(spark):
     assert all(got[k] == f"Text of page {k}{' and on' * 9}" for n in range(1, 300, 2) for k in (3 * n + 1, 3 * n + 2) if (3 * n + 1) // 2 == (3 * n + 2) // 2)
 
 
+def test_html_long_template_and_copies(spark):
+    menu = "".join(f"<div>Menu entry {k} of the whole site</div>" for k in range(12))
+    body = lambda k: "".join(f"<p>Line {j} of story {k} is here to be read.</p>" for j in range(9))
+    short = [(k, f"http://a.org/{k:02}", f"<body>{menu}<p>Short text {k}</p></body>") for k in range(10)]
+    copied = [(20 + k, f"http://b.org/{k:02}", f"<body><div>Notice of the site</div>{body(k // 3)}<p>{k if k % 3 == 1 else ''}</p></body>") for k in range(15)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(short + copied, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Short text {k}" for k in range(10))
+    assert all("Notice" not in got[20 + k] and got[20 + k].count("of story") == 9 for k in range(15))
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 900
     rows = [(1, "u", big), (2, "u", big), (3, None, "x"), (4, "u", "x"), (5, "u", None), (None, "u", big)]
