@@ -105,3 +105,31 @@ def record_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSessio
     a = p.select("query_id", *[F.col(c).alias(f"{c}_a") for c in p.columns[1:]])
     b = p.select((F.col("query_id") - 30).alias("query_id"), *[F.col(c).alias(f"{c}_b") for c in p.columns[1:]])
     return a.join(b, "query_id")
+
+
+#: Besides 30, which pairs names that are equal but for their last parts, steps that share no factor with a field's period.
+STEPS = (30, 1, 7, 11, 13)
+
+
+def long_name(name: Column, k: Column) -> Column:
+    """The name and, for each further digit of the key to base 30 but zeros, the last part of one of NAMES."""
+    last = tuple(n.split()[-1] for n in NAMES)
+    digits = [F.floor(k / 30**n) % 30 for n in (1, 2, 3)]
+    return F.concat_ws(" ", name, *[F.when(d > 0, pick(last, d * 7)) for d in digits])
+
+
+def mixed_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = persons) -> DataFrame:
+    """Each person beside one further on, by a step that the key picks; past the last key it goes on with the first.
+
+    Columns as of record_pairs, which the queries that have SQL keep. Names are long ones.
+    """
+    p = source(spark, sf_dir)
+    p = p.withColumn("fullName", long_name(F.col("fullName"), F.col("query_id")))
+    low, high = p.agg(F.min("query_id"), F.max("query_id")).first()
+    if low is None:
+        low = high = 0
+    k = F.col("query_id")
+    a = p.select("query_id", *[F.col(c).alias(f"{c}_a") for c in p.columns[1:]])
+    a = a.withColumn("other", low + (k - low + F.element_at(F.array(*map(F.lit, STEPS)), (F.floor(k / 2) % len(STEPS) + 1).cast("int"))) % (high - low + 1))
+    b = p.select(k.alias("other"), *[F.col(c).alias(f"{c}_b") for c in p.columns[1:]])
+    return a.join(b, "other").drop("other")

@@ -20,7 +20,7 @@ from ..sources import watchlist as wl
 from ..sources.shared import new_path
 from ..streaming.screening import screen_stream
 from . import registry
-from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, RISK, SURNAMES, field_events, passports, persons, persons_of, record_pairs, scans, watchlist
+from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, RISK, SURNAMES, field_events, mixed_pairs, passports, persons, persons_of, record_pairs, scans, watchlist
 
 TODAY = "2026-07-21"
 
@@ -51,12 +51,12 @@ def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = record_pairs(spark, sf_dir).select("fullName_a", "fullName_b")
+    pairs = mixed_pairs(spark, sf_dir).select("fullName_a", "fullName_b")
     return names.name_scores(pairs, "fullName_a", "fullName_b").select("a", "b", "score", "unmatched_middles", F.array_join("rules_a", ",").alias("rules_a"))
 
 
 def record_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cmp.compare(record_pairs(spark, sf_dir), TODAY)
+    out = cmp.compare(mixed_pairs(spark, sf_dir), TODAY)
     return out.select("query_id", "name_score", "provisional_verdict", "verdict", "cap_rule", F.size("hard_stops").alias("stops"))
 
 
@@ -185,12 +185,12 @@ def field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of records with addresses and travel zones."""
-    out = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
+    out = cmp.compare(mixed_pairs(spark, sf_dir, passports), TODAY)
     return out.select("query_id", "name_score", "verdict", F.size("checks").alias("n_checks"), F.size("hard_stops").alias("stops"), "cap_rule")
 
 
 def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = record_pairs(spark, sf_dir)
+    pairs = mixed_pairs(spark, sf_dir)
     out = cmp.compare(pairs, TODAY).join(pairs.select("query_id", "fullName_a", "fullName_b"), "query_id")
     c = F.col
     return out.select("query_id", notes.case_note(c("verdict"), c("name_score"), c("checks"), c("cap_rule"), (c("fullName_a"), c("fullName_b")), TODAY, 85, 60).alias("note"))
@@ -198,7 +198,7 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule is cited by comparisons and screening; ``about`` is null for a rule that isn't registered."""
-    verdicts = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
+    verdicts = cmp.compare(mixed_pairs(spark, sf_dir, passports), TODAY)
     checks = verdicts.select(F.flatten(F.transform("checks", lambda x: x.rules)).alias("rules"))
     tokens = verdicts.select(F.flatten(F.transform("name_pairs", lambda x: x.rules)).alias("rules"))
     return registry.cited(checks, tokens, hits(spark, sf_dir).select("rules"))
