@@ -43,9 +43,13 @@ class LanguageModel:
     pieces: dict[str, int]
     logp: np.ndarray
     prior: np.ndarray
-    piece_limit: int = 12
     met: dict | None = None
 
+    @property
+    def piece_limit(self) -> int:
+        """Characters of the longest piece."""
+        return max(map(len, self.pieces), default=1)
+
     def __getstate__(self):
         return self.__dict__ | {"met": None}
 
@@ -60,7 +64,7 @@ class LanguageModel:
             for at in range(0, len(w), 64):
                 part = ("▁" if at == 0 else "") + w[at : at + 64]
                 by_length.setdefault(len(part), []).append((k, part))
-        unknown, probability = len(self.pieces), np.exp(self.logp)
+        unknown, probability, limit = len(self.pieces), np.exp(self.logp), self.piece_limit
         probability = np.vstack([probability, np.zeros((1, probability.shape[1]))])  # the last row: no such piece
         for n, group in by_length.items():
             for at in range(0, len(group), 4096):
@@ -70,12 +74,12 @@ class LanguageModel:
                 alpha[0] = 1.0
                 scale = np.zeros((len(block), len(self.languages)))
                 for end in range(1, n + 1):
-                    for start in range(max(0, end - self.piece_limit), end):
+                    for start in range(max(0, end - limit), end):
                         ids = np.fromiter((get(w[start:end], none if end - start > 1 else unknown) for _, w in block), np.int64, len(block))
                         if (ids != none).any():
                             alpha[end] += alpha[start] * probability[ids]
                     if end % 16 == 0:  # keeps long words from underflowing
-                        low = max(0, end - self.piece_limit)
+                        low = max(0, end - limit)
                         top = np.maximum(alpha[low : end + 1].max(axis=0), 1e-300)
                         alpha[low : end + 1] /= top
                         scale += np.log(top)
@@ -115,7 +119,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 counter = words.setdefault(lang, Counter())
                 for chunk, n in Counter(text.as_py().split()).items():
                     for w in letters_of(chunk):
-                        counter[w[:64]] += n
+                        for at in range(0, len(w), 64):  # as word_scores cuts it
+                            counter[w[at : at + 64]] += n
             if sum(map(len, words.values())) > 150_000:
                 yield flush()
         yield flush()

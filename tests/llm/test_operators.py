@@ -185,6 +185,17 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(spark.createDataFrame([(1, "the house of people " * 5)], "doc_id long, text string"), model).collect()} == {"en"}
 
 
+def test_language_takes_long_pieces_and_long_runs(spark):
+    run = "ab" * 32 + "house" * 12
+    rows = [(1, "international", "en"), (2, "nation", "fr"), (3, run, "en")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.piece_limit == max(map(len, model.pieces)) > 12
+    whole = model.logp[model.pieces["▁international"], 0]
+    assert model.word_scores(["international"])[0, 0] >= whole - 1e-9
+    learnt = model.logp[[k for p, k in model.pieces.items() if p.endswith("house")], 0]
+    assert learnt.max() > model.logp[model.pieces["▁understanding"], 0] + 1
+
+
 def test_token_files(spark):
     rows = docs(spark)
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows).collect()}
