@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that is an error, as executors don't share one.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,16 +52,46 @@ def crc_of(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def text_parts(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(rows, parts): the texts in order, about ``most`` bytes at once, and which text each part belongs to.
+
+    A text longer than that comes in several parts, cut before white space; a null counts as the empty text.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        if stop == at + 1 and ends[at] - before > 2 * most:
+            text, start = texts[at].as_buffer().to_pybytes(), 0
+            while start < len(text):
+                gap = SPACE.search(text, start + most)
+                end = gap.start() if gap else len(text)
+                yield np.array([at]), pa.array([text[start:end]], pa.large_binary())
+                start = end
+        else:
+            yield np.arange(at, stop), texts.slice(at, stop - at)
+        at = stop
+
+
+def chunks_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(offsets, codes, distinct): each part's chunks between ASCII white space, one at least, as codes of the distinct ones."""
+    split = pc.ascii_split_whitespace(parts.cast(pa.large_string(), safe=False) if pa.types.is_large_binary(parts.type) else parts)
+    coded = split.values.dictionary_encode()
+    return split.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()
+
+
 def with_columns_from_python(
     df: DataFrame,
     inputs: list[str],
     outputs: list[T.StructField],
-    make: Callable[[], Callable[..., list[list]]],
+    make: Callable[[], Callable[..., list]],
 ) -> DataFrame:
     """Appends columns that a Python function derives batch by batch, and keeps the others as they are.
 
-    ``make`` runs once a task and gives a function from the input columns, as lists, to the output columns.
-    A column of ``df`` that has the name of an output is replaced.
+    ``make`` runs once a task and gives a function from the input columns to the output columns, as Arrow arrays or
+    lists. A column of ``df`` that has the name of an output is replaced.
     """
     names = [f.name for f in outputs]
     kept = [f for f in df.schema.fields if f.name not in names]
@@ -64,7 +106,7 @@ def with_columns_from_python(
         function = make()
         kinds = [to_arrow_type(f.dataType) for f in outputs]
         for batch in batches:
-            made = function(*[batch.column(width + k).to_pylist() for k in range(len(inputs))])
+            made = function(*[batch.column(width + k) for k in range(len(inputs))])
             arrays = [batch.column(k) for k in range(width)] + [pa.array(v, kind) for v, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=kept_names + names)
 

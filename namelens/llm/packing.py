@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32, written
-from .word_tokens import tokenizer_for
+from .word_tokens import ChunkTokenizer
 
 
 def cuts(n: int, capacity: int, tail: int) -> list[int]:
@@ -56,22 +56,29 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     kinds = "task int, size int, ordinal long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = tokenizer_for(tokenizer_path), TaskContext.get().partitionId()
-        end, seen = np.array([end_id], "<u4").tobytes(), {}
+        tokens, task = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        end, seen = np.array([end_id], "<u4"), {}
         names = [k.split()[0] for k in kinds.split(", ")]
+        types = [pa.int32(), pa.int32()] + [pa.int64()] * 6 + [pa.list_(pa.int64())] * keep_ids
+
+        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, start = tokens.bytes_of(text.as_py()) + end, 0
-                n = len(data) // 4
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1)), strict=True):
+                ids, start = np.concatenate((ids, end)), 0
+                data, n = ids.astype("<u4", copy=False).data.cast("B"), len(ids)
                 for size in cuts(n, capacity, tail):
                     own = data[4 * start : 4 * (start + size)]
                     ordinal = seen[size] = seen.get(size, -1) + 1
                     rows.append((task, size, ordinal, doc, start, size, crc32(own), n, *([np.frombuffer(own, "<u4").astype(np.int64)] * keep_ids)))
                     start += size
-            types = [pa.int32(), pa.int32()] + [pa.int64()] * 6 + [pa.list_(pa.int64())] * keep_ids
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+                if len(rows) >= 20_000:
+                    yield rows_of(rows)
+                    rows = []
+            yield rows_of(rows)
 
     pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, kinds), "pieces")
     by_task = pieces.groupBy("task", "size").agg((F.max("ordinal") + 1).alias("n"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SPACE, written
 from .components import connected_components
 
 BITS = 64
@@ -35,25 +35,38 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42, chunk: int = 1 << 15) -> int:
-    """Unsigned fingerprint; zero for null or a text without words. Long texts are hashed in chunks of shingles."""
+def word_runs(data: bytes, words: int, most: int = 1 << 20) -> Iterator[tuple[list[bytes], int]]:
+    """(words, shingles that begin in them) of a text in runs of about ``most`` bytes that overlap by ``words`` - 1 words."""
+    at, before = 0, []
+    while at < len(data):
+        gap = SPACE.search(data, at + most)
+        end = gap.start() if gap else len(data)
+        run = before + data[at:end].split()
+        before, at = run[-(words - 1) :] if words > 1 else [], end
+        if run:
+            yield run, len(run) - words + 1
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint; zero for null or a text without words. A long text is hashed run by run."""
     from xxhash import xxh64_intdigest
 
     if not text:
         return 0
-    parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxh64_intdigest(b" ".join(parts), seed)
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    total, n = np.zeros(BITS, np.int64), len(parts) - words + 1
-    for at in range(0, n, chunk):
-        s, e = starts[at : min(at + chunk, n)].tolist(), ends[at + words - 1 : min(at + chunk, n) + words - 1].tolist()
-        h = np.array([xxh64_intdigest(joined[i:j], seed) for i, j in zip(s, e, strict=True)], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    data = text.encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only, and ASCII white space below
+    total, n, parts = np.zeros(BITS, np.int64), 0, []
+    for parts, shingles in word_runs(data, words):
+        if shingles <= 0:
+            continue
+        joined = b" ".join(parts)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        h = np.array([xxh64_intdigest(joined[i:j], seed) for i, j in zip(starts[:shingles].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+        for at in range(0, shingles, 1 << 15):
+            total += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += shingles
+    if not n:
+        return xxh64_intdigest(b" ".join(parts), seed) if parts else 0
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 

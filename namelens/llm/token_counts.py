@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, written
 from .files import new_file, opened, read_range
-from .word_tokens import tokenizer_for
+from .word_tokens import ChunkTokenizer
 
 SEPARATOR = 49407
 
@@ -25,22 +25,23 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """Writes flat little-endian 16-bit token files into ``folder``; (file, doc_index, doc_id) in the order written.
 
     Special tokens' strings in a text are ordinary text, so the separator occurs after each document only. A null or
-    empty text is the separator alone. A task begins another file once one has ``file_bytes``.
+    empty text is the separator alone. A task begins another file once one has ``file_bytes``. Rows with a null id and
+    repeated rows are written like any other; other columns are ignored; an empty table gives no file.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = tokenizer_for(tokenizer_path, literal=True), np.array([separator], "<u2").tobytes()
+        tokens, end = ChunkTokenizer(tokenizer_path, literal=True), np.array([separator], "<u2").tobytes()
         name, out, size, count = None, None, 0, 0
         for batch in batches:
             files, numbers = [], []
-            for text in batch.column(1):
+            for ids in tokens.ids_of(batch.column(1)):
                 if out is None or size >= file_bytes:
                     if out is not None:
                         out.close()
                     name, size, count = new_file(folder, ".tok"), 0, 0
                     fs, path = opened(name)
                     out = fs.open_output_stream(path)
-                data = np.frombuffer(tokens.bytes_of(text.as_py()), "<u4").astype("<u2").tobytes() + end
+                data = ids.astype("<u2").tobytes() + end
                 out.write(data)
                 files.append(name), numbers.append(count)
                 size, count = size + len(data), count + 1
@@ -52,11 +53,13 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "file string, doc_index long, doc_id long")
 
 
-def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tokens: int = 2 << 20) -> DataFrame:
+def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tokens: int = 2 << 20, tasks: int | None = None) -> DataFrame:
     """(file, doc_index, start, n_tokens, closed) of every document in the files that ``files.file`` names.
 
     ``n_tokens`` leaves the separator out. Ids after a file's last separator are a document that isn't closed. An
-    empty document has no tokens; an empty file has no document; a file named twice is read once.
+    empty document has no tokens; an empty file has no document; a file named twice is read once; null names and other
+    columns are ignored; without files there are no rows. Blocks are dealt out to as many ``tasks`` as there are blocks,
+    4096 at most, unless another number is given: their descriptions are too small for Spark to tell what they cost.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +82,9 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tok
                 last = int(at[-1]) if len(at) else None
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([k * block_tokens + n], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([last], pa.int64()), pa.array([at], pa.list_(pa.int64()))], names=["file", "block", "until", "found", "last", "at"])
 
-    named = files.select("file").distinct().where("file is not null").mapInArrow(blocks, "file string, block long, n long")
-    searched = written(named.repartition(F.col("file"), F.col("block")).mapInArrow(find, "file string, block long, until long, found long, last long, at array<long>"), "separators")
+    named = written(files.select("file").distinct().where("file is not null").mapInArrow(blocks, "file string, block long, n long"), "blocks")
+    tasks = tasks or max(1, min(4096, named.count()))
+    searched = written(named.repartition(tasks, F.col("file"), F.col("block")).mapInArrow(find, "file string, block long, until long, found long, last long, at array<long>"), "separators")
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     summary = searched.select("file", "block", "until", "found", "last")
@@ -94,7 +98,10 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tok
 
 
 def token_counts(docs: DataFrame, **settings) -> DataFrame:
-    """(doc_id, file, doc_index, start, n_tokens): writes ``docs`` to flat files, scans them, names the documents."""
+    """(doc_id, file, doc_index, start, n_tokens): writes ``docs`` to flat files, scans them, names the documents.
+
+    A row for each row of ``docs``, those with a null id included; an empty table gives an empty table.
+    """
     folder = shared_path(docs.sparkSession, "tokens")
     order = written(write_token_files(docs, folder, **settings), "order")
     return scan(order).join(order, ["file", "doc_index"]).select("doc_id", F.element_at(F.split("file", "/"), -1).alias("file"), "doc_index", "start", "n_tokens")

@@ -188,6 +188,6 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_o
 
     def make():
         m = shared.value
-        return lambda texts: [[m.score(t) for t in texts]]
+        return lambda texts: [[m.score(t.as_py()) for t in texts]]
 
     return with_columns_from_python(docs, [text_col], [T.StructField(score_out, T.DoubleType())], make)

@@ -1,53 +1,139 @@
 """Token ids of whole texts by a public tokenizer that never joins characters across white space.
 
-Ids are kept per white-space separated chunk, so each distinct chunk of a task is tokenised once. This equals encoding
-the whole text because the vocabulary's splitting pattern has no match that spans white space.
+Texts are split and their chunks dictionary-encoded in Arrow, so each distinct chunk is looked up once and the rest is a
+gather. This equals encoding the whole text because the vocabulary's splitting pattern has no match that spans white space.
+The pattern of the default vocabulary also parts letters from the marks after them, so there a chunk of letters and marks
+is put together from those two, and words are encoded many at a time: each ends with an id that only ends words have.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from .common import chunks_of, text_parts
+
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+@functools.lru_cache(maxsize=2)
+def tokenizer_at(path: str, literal: bool):
+    """(tokenizer, which ids end a word); a worker process reads a vocabulary once."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = literal
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+    return tokenizer, ends
+
+
+class IdLists:
+    """Lists of ids by key, one after another in ``flat``."""
+
+    def __init__(self) -> None:
+        self.place: dict = {}
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def rows_of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, keys), np.int32, len(keys))
+
+    def taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the given places, one after another, and where each place's begin and the last one's end."""
+        lists = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(rows))
+        return lists.values.to_numpy(), lists.offsets.to_numpy()
+
+    def keep(self, keys: list) -> None:
+        """Forgets all but ``keys``."""
+        self.flat, self.ends = self.taken(self.rows_of(keys))
+        self.place = {c: k for k, c in enumerate(keys)}
 
 
 class ChunkTokenizer:
-    """``literal``: special tokens' strings in a text are ordinary text."""
+    """Belongs to one task. It keeps the ids of the chunks and words it met; beyond ``limit`` only those that come again at once.
 
-    def __init__(self, path: str | None = None, literal: bool = False, limit: int = 180_000):
-        import os
+    ``literal``: special tokens' strings in a text are ordinary text.
+    """
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str | None = None, literal: bool = False, limit: int = 150_000):
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.tokenizer.encode_special_tokens = literal
-        self.known: dict[bytes, bytes] = {}
-        self.more: dict[bytes, bytes] = {}
+        self.tokenizer, self.ending = tokenizer_at(path or public_tokenizers.path("word_bpe_49k.json"), literal)
+        self.parted = path is None
         self.limit = limit
+        self.chunks, self.words = IdLists(), IdLists()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after another, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for texts of letters only or of marks only."""
+        ids, lengths = [np.empty(0, np.uint32)], []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ending[got]) + 1
+            n = np.diff(ends, prepend=0)
+            if len(ends) != len(some) or ends[-1] != len(got):  # a character that the vocabulary takes for another kind
+                got, n = self.encode(some)
+            ids.append(got), lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        if not self.parted:
+            self.chunks.add(chunks, *self.encode(texts))
+            return
+        stems = [t.rstrip(MARKS) for t in texts]
+        plain = [s.isalpha() or not s for s in stems]
+        odd = [k for k, p in enumerate(plain) if not p]
+        pairs = [(s.lower() if s.isascii() else s, t[len(s) :]) if p else (t, "") for s, t, p in zip(stems, texts, plain, strict=True)]
+        needed = {x for pair in pairs for x in pair}
+        if len(self.words.place) > self.limit:
+            self.words.keep([x for x in needed if x in self.words.place])
+        whole = {texts[k] for k in odd} - self.words.place.keys()
+        rest = sorted(needed - whole - self.words.place.keys() - {""})
+        if "" not in self.words.place:
+            self.words.add([""], np.empty(0, np.uint32), np.zeros(1, np.int64))
+        if rest:
+            self.words.add(rest, *self.encode_words(rest))
+        if whole:
+            self.words.add(sorted(whole), *self.encode(sorted(whole)))
+        ids, ends = self.words.taken(self.words.rows_of([x for pair in pairs for x in pair]))
+        self.chunks.add(chunks, ids, np.diff(ends[::2]))
 
-    def bytes_of(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers; none for null."""
-        if not text:
-            return b""
-        chunks = text.encode("utf-8", "replace").split()
-        known = self.known
-        new = [c for c in set(chunks) if c not in known and c not in self.more]
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            if len(self.more) > self.limit:
-                self.more.clear()
-                new_set = set(new)
-                again = [c for c in set(chunks) if c not in known and c not in new_set]
-                self.more.update(zip(again, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([c.decode() for c in again], add_special_tokens=False)), strict=True))
-            for c, e in zip(new, encoded, strict=True):
-                (known if len(known) < self.limit else self.more)[c] = np.array(e.ids, "<u4").tobytes()
-        more = self.more
-        return b"".join([known[c] if c in known else more[c] for c in chunks])
-
-
-@functools.cache
-def tokenizer_for(path: str | None = None, literal: bool = False) -> ChunkTokenizer:
-    """One tokenizer, with the ids it knows, for all tasks of a worker process."""
-    return ChunkTokenizer(path, literal)
+    def ids_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in order, as unsigned 32-bit numbers; none for null."""
+        held: list[np.ndarray] = []
+        row = -1
+        for rows, parts in text_parts(texts):
+            offsets, codes, distinct = chunks_of(parts)
+            if len(self.chunks.place) > self.limit:
+                self.chunks.keep([c for c in distinct if c in self.chunks.place])
+            new = [c for c in distinct if c not in self.chunks.place]
+            if new:
+                self.learn(new)
+            ids, ends = self.chunks.taken(self.chunks.rows_of(distinct)[codes])
+            ends = ends[offsets].tolist()
+            for r, s, e in zip(rows.tolist(), ends, ends[1:], strict=False):
+                if r != row:
+                    if row >= 0:
+                        yield held[0] if len(held) == 1 else np.concatenate(held)
+                    held, row = [], r
+                held.append(ids[s:e])
+        if row >= 0:
+            yield held[0] if len(held) == 1 else np.concatenate(held)
