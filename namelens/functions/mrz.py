@@ -75,11 +75,25 @@ def parse(text: Column, today_year: int) -> Column:
     return let(zone_lines(text), choose)
 
 
+def fit(value: Column, length: int) -> Column:
+    return F.rpad(F.substring(F.translate(F.upper(value), " -", "<<"), 1, length), length, "<")
+
+
+def with_digit(value: Column) -> Column:
+    return F.concat(value, check_digit(value))
+
+
+def build_td1(code: Column, state: Column, surname: Column, given: Column, number: Column, nationality: Column, dob: Column, sex: Column, expiry: Column, first_optional: Column, second_optional: Column) -> Column:
+    """Three lines of 30 with valid digits; dates as YYMMDD. Long fields are cut."""
+    num, born, until = (with_digit(fit(c, n)) for c, n in ((number, 9), (dob, 6), (expiry, 6)))
+    own, more = fit(first_optional, 15), fit(second_optional, 11)
+    second = F.concat(born, fit(sex, 1), until, fit(nationality, 3), more)
+    return F.concat(fit(code, 2), fit(state, 3), num, own, F.lit("\n"), second, check_digit(F.concat(num, own, born, until, more)), F.lit("\n"), fit(F.concat(surname, F.lit("<<"), given), 30))
+
+
 def build_td3(code: Column, state: Column, surname: Column, given: Column, number: Column, nationality: Column, dob: Column, sex: Column, expiry: Column, personal: Column) -> Column:
     """Two lines of 44 with valid digits; dates as YYMMDD. Long fields are cut."""
-    fit = lambda c, n: F.rpad(F.substring(F.translate(F.upper(c), " -", "<<"), 1, n), n, "<")
     first = F.concat(fit(code, 2), fit(state, 3), fit(F.concat(surname, F.lit("<<"), given), 39))
-    with_digit = lambda c: F.concat(c, check_digit(c))
     num, born, until, own = (with_digit(fit(c, n)) for c, n in ((number, 9), (dob, 6), (expiry, 6), (personal, 14)))
     second = F.concat(num, fit(nationality, 3), born, fit(sex, 1), until, own)
     return F.concat(first, F.lit("\n"), second, check_digit(F.concat(num, born, until, own)))

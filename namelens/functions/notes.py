@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..lexicon import map_of
 from .text import let
 
 WIDTH = 76
@@ -35,6 +36,15 @@ def edit_notes(notes: Column) -> Column:
     return F.concat(F.array_join(F.slice(notes, 1, 4), ", "), F.when(F.size(notes) > 4, ", …").otherwise(""))
 
 
+# How kinds of documents are shown.
+DOCUMENTS = {"passport": "Passport", "national_id": "National ID", "residence_permit": "Residence permit", "drivers_license": "Driver's licence"}
+
+
+def document_label(kind: Column) -> Column:
+    """The shown form of a kind of document; another kind stands as it is, null is empty."""
+    return F.coalesce(F.try_element_at(map_of(DOCUMENTS), kind), kind, F.lit(""))
+
+
 def section(title: str, *lines: Column) -> Column:
     return F.concat_ws("\n", F.lit(title), F.lit("-" * 60), *lines)
 

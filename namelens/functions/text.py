@@ -45,20 +45,15 @@ def tokenize(name: Column) -> Column:
     return F.filter(F.split(F.coalesce(name, F.lit("")), f"[{SPACES}\\u060C\\u061B]+"), lambda x: x != "")
 
 
-def known_name(token: Column) -> Column:
-    """The common name that a token spells, or null.
+def known_name(token: Column, spellings: dict[str, str] | None = None) -> Column:
+    """The common name that a token spells, or null; ``spellings`` maps normal forms to names, the lexicon's by default."""
+    entries = ", ".join(f"'{k}', '{v}'" for k, v in (spellings or lx.known_spellings()).items())
+    return F.try_element_at(F.expr(f"map({entries})"), without(normalize_token(token), MARKS + " "))
 
-    One pattern with a group for each name: only the group that matched leaves text, and the commas before it tell which.
-    """
-    names = F.array(*map(F.lit, lx.KNOWN))
-    pattern = "^(?:" + "|".join(f"({p})" for p in lx.KNOWN.values()) + ")$"
-    groups = ",".join(f"${k + 1}" for k in range(len(lx.KNOWN)))
-
-    def find(k: Column) -> Column:
-        before = F.length(F.regexp_extract(F.regexp_replace(k, pattern, groups), "^,*", 0))
-        return F.when(k.rlike(pattern), F.get(names, before))
 
-    return let(without(normalize_token(token), MARKS + " "), find)
+def known_label(name: Column) -> Column:
+    """How a common name is shown."""
+    return F.initcap(name)
 
 
 def first_vowel(token: Column) -> Column:

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks as ck
 from ..functions.address import check_address
-from .names import name_scores
-from .zones import add_zone_checks
+from ..sources.shared import written
+from .zones import scored_names, with_zones, zone_rows
 
 VERDICTS = ("NO_MATCH", "REFER", "MATCH")
 CHECK = "struct<field:string,status:string,rules:array<string>,cap:string>"
 
 
-def thresholds(match: int = 85, refer: int = 60) -> tuple[int, int]:
+def thresholds(match: float | None = 85, refer: float | None = 60) -> tuple[float, float]:
+    """Both thresholds; what isn't a number takes the default, and ``refer`` stays below ``match`` but not below 0."""
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
+    match, refer = match if number(match) else 85, refer if number(refer) else 60
     return match, refer if refer < match else max(0, match - 1)
 
 
+def verdict_reason(provisional: Column, verdict: Column, score: Column, match: float, refer: float) -> Column:
+    """One sentence on how the score meets the thresholds and one on what follows."""
+    shown = lambda v: F.when(v == "NO_MATCH", "no match").when(v == "REFER", "review").otherwise("match")
+    where = F.when(provisional == "MATCH", f"reaches {match:g}, from which names match.").when(provisional == "REFER", f"lies from {refer:g} up but below {match:g}.").otherwise(f"is below {refer:g}.")
+    same = F.when(verdict == "MATCH", "No check speaks against one person.").when(verdict == "REFER", "Someone should look at the documents.").otherwise("The records are taken for two persons.")
+    lowered = F.concat(F.lit("A check lowered the verdict from "), shown(provisional), F.lit(" to "), shown(verdict), F.lit("."))
+    return F.concat(F.lit("The name score of "), score.cast("string"), F.lit(" "), where, F.lit(" "), F.when(verdict == provisional, same).otherwise(lowered))
+
+
 def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> DataFrame:
     """One row for each pair of records whose fields end in _a and _b, keyed by ``query_id``.
 
@@ -26,13 +38,18 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     lowered the verdict. ``today`` is required: no clock is read.
     """
     match, refer = thresholds(match, refer)
-    scores = name_scores(pairs, "fullName_a", "fullName_b").select(F.col("a").alias("fullName_a"), F.col("b").alias("fullName_b"), F.col("score").alias("name_score"), F.col("pairs").alias("name_pairs"))
-    rows = pairs.join(scores, pairs.fullName_a.eqNullSafe(scores.fullName_a) & pairs.fullName_b.eqNullSafe(scores.fullName_b)).drop(scores.fullName_a).drop(scores.fullName_b)
     c = F.col
     has = lambda field: {f"{field}_a", f"{field}_b"} <= set(pairs.columns)
     none = F.array().cast(f"array<{CHECK}>")
+    sides = "ab" if has("mrz") else ""
+    rows = written(with_zones(with_zones(pairs, today, "_a"), today, "_b"), "zones") if sides else pairs
+    rows = scored_names(rows, [("fullName_a", "fullName_b", "__names"), *[(f"__latin_{s}", f"fullName_{s}", f"__name_{s}") for s in sides]])
+    missing = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("role"), F.lit(None).cast("int").alias("score"), F.array(F.lit("MISS-1")).alias("rules")))
+    rows = rows.withColumn("name_score", F.coalesce("__names.score", F.lit(0))).withColumn("name_pairs", F.coalesce("__names.pairs", missing))
     for side in "ab":
-        rows = add_zone_checks(rows, today, f"_{side}", side, f"__zone_rows_{side}") if has("mrz") else rows.withColumn(f"__zone_rows_{side}", none)
+        score = F.when(c(f"__latin_{side}").isNotNull(), c(f"__name_{side}.score")) if sides else None
+        found_rows = zone_rows(c(f"__zone_{side}"), lambda field, s=side: c(f"{field}_{s}"), score, side) if sides else none
+        rows = rows.withColumn(f"__zone_rows_{side}", found_rows)
     found = [
         ck.check_dob(c("dob_a"), c("dob_b")),
         ck.check_expiry(c("expiry_a"), c("expiry_b"), c("docType_a"), c("docType_b"), today),
@@ -55,4 +72,4 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     final = F.when(F.size("hard_stops") > 0, F.least(c("provisional"), F.lit(1))).otherwise(c("provisional"))
     name = lambda v: F.element_at(F.array(*map(F.lit, VERDICTS)), v + 1)
     capped = final < c("provisional")
-    return rows.select("query_id", "name_score", "name_pairs", "checks", "hard_stops", name(c("provisional")).alias("provisional_verdict"), name(final).alias("verdict"), capped.alias("capped"), F.when(capped, "CAP-1").alias("cap_rule"))
+    return rows.select("query_id", "name_score", "name_pairs", "checks", "hard_stops", name(c("provisional")).alias("provisional_verdict"), name(final).alias("verdict"), capped.alias("capped"), F.when(capped, "CAP-1").alias("cap_rule"), verdict_reason(name(c("provisional")), name(final), c("name_score"), match, refer).alias("verdict_reason"))

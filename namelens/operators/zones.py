@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +44,29 @@ def zone_rows(zone: Column, record, name_score: Column, side: str) -> Column:
     return F.when(zone.isNull(), F.array().cast(CHECKS)).when(~zone.ok, unread.cast(CHECKS)).otherwise(rows.cast(CHECKS))
 
 
+def with_zones(records: DataFrame, today: str, suffix: str = "") -> DataFrame:
+    """``records`` with their parsed zone as ``__zone`` and the name in it as ``__latin``, null if either name is missing."""
+    parsed = records.withColumn(f"__zone{suffix}", mrz.parse(F.col(f"mrz{suffix}"), int(today[:4])))
+    full = F.col(f"__zone{suffix}.fields.name.full")
+    return parsed.withColumn(f"__latin{suffix}", F.when(~blank(F.col(f"fullName{suffix}")) & (full != ""), full))
+
+
+def scored_names(rows: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """``rows`` with a struct of score and pairs for each (first, second, out); all distinct pairs of names are scored at once."""
+    both = [rows.select(F.col(a).alias("a"), F.col(b).alias("b")) for a, b, _ in pairs]
+    scores = written(name_scores(reduce(DataFrame.union, both).where("a is not null or b is not null").distinct()).select("a", "b", F.struct("score", "pairs").alias("found")), "scores")
+    for a, b, out in pairs:
+        one = scores.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("found").alias(out))
+        rows = rows.join(one, F.col(a).eqNullSafe(F.col("__a")) & F.col(b).eqNullSafe(F.col("__b")), "left").drop("__a", "__b")
+    return rows
+
+
 def add_zone_checks(records: DataFrame, today: str, suffix: str = "", side: str = "", out: str = "zone_checks") -> DataFrame:
     """``records`` with the check rows of their column ``mrz``; every field's column ends in ``suffix``.
 
     Names are scored once for each distinct pair of a zone's name and a printed one. A record without a zone has no
     rows, one whose zone can't be read has MRZ-4 alone, and one without a printed name has no name row.
     """
-    column = lambda field: F.col(f"{field}{suffix}")
-    parsed = records.withColumn("__zone", mrz.parse(column("mrz"), int(today[:4])))
-    parsed = parsed.withColumn("__latin", F.when(~blank(column("fullName")) & (F.col("__zone.fields.name.full") != ""), F.col("__zone.fields.name.full")))
-    parsed = written(parsed, "zones")
-    printed = f"fullName{suffix}"
-    scores = name_scores(parsed.where("__latin is not null"), "__latin", printed).select(F.col("a").alias("__of"), F.col("b").alias("__printed"), F.col("score").alias("__score"))
-    scored = parsed.join(scores, (F.col("__latin") == F.col("__of")) & (F.col(printed) == F.col("__printed")), "left")
-    return scored.withColumn(out, zone_rows(F.col("__zone"), column, F.col("__score"), side)).select(*records.columns, out)
+    scored = scored_names(written(with_zones(records, today, suffix), "zones"), [(f"__latin{suffix}", f"fullName{suffix}", "__name")])
+    score = F.when(F.col(f"__latin{suffix}").isNotNull(), F.col("__name.score"))
+    return scored.withColumn(out, zone_rows(F.col(f"__zone{suffix}"), lambda field: F.col(f"{field}{suffix}"), score, side)).select(*records.columns, out)

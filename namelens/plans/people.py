@@ -82,7 +82,7 @@ def passports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, zone_text, page_text): passports as a recogniser might read them, letters for digits and filler lost."""
-    p, k = zoned(spark, sf_dir).where("query_id % 10 != 3"), F.col("query_id")
+    p, k = zoned(spark, sf_dir), F.col("query_id")
     first, second = F.substring_index("zone", "\n", 1), F.substring_index("zone", "\n", -1)
     blurred = F.concat(F.rtrim(F.translate(first, "<", " ")), F.repeat(F.lit("K"), F.length(first) - F.length(F.rtrim(F.translate(first, "<", " ")))))
     blurred = F.regexp_replace(blurred, " ", "«")
@@ -99,32 +99,16 @@ def field_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(user.alias("record_id"), F.when(k % 2 == 0, "a").otherwise("b").alias("side"), pick(("dob", "fullName", "sex"), k).alias("field"), k.alias("seq"), kind.alias("event"), pick(("x", "y"), F.floor(k / 2)).alias("value"), (k % 5 < 2).alias("validated"))
 
 
-def record_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = persons) -> DataFrame:
-    """Each person beside the one whose key is 30 more: columns of the first end in _a, of the second in _b."""
-    p = source(spark, sf_dir)
-    a = p.select("query_id", *[F.col(c).alias(f"{c}_a") for c in p.columns[1:]])
-    b = p.select((F.col("query_id") - 30).alias("query_id"), *[F.col(c).alias(f"{c}_b") for c in p.columns[1:]])
-    return a.join(b, "query_id")
-
-
-#: Besides 30, which pairs names that are equal but for their last parts, steps that share no factor with a field's period.
+#: How far on the person is with whom one is compared: numbers that share no factor with a field's period, and 30, which pairs
+#: names that are equal but for their last parts.
 STEPS = (30, 1, 7, 11, 13)
 
 
-def long_name(name: Column, k: Column) -> Column:
-    """The name and, for each further digit of the key to base 30 but zeros, the last part of one of NAMES."""
-    last = tuple(n.split()[-1] for n in NAMES)
-    digits = [F.floor(k / 30**n) % 30 for n in (1, 2, 3)]
-    return F.concat_ws(" ", name, *[F.when(d > 0, pick(last, d * 7)) for d in digits])
-
-
-def mixed_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = persons) -> DataFrame:
+def beside(p: DataFrame) -> DataFrame:
     """Each person beside one further on, by a step that the key picks; past the last key it goes on with the first.
 
-    Columns as of record_pairs, which the queries that have SQL keep. Names are long ones.
+    Columns of the first end in _a, of the second in _b.
     """
-    p = source(spark, sf_dir)
-    p = p.withColumn("fullName", long_name(F.col("fullName"), F.col("query_id")))
     low, high = p.agg(F.min("query_id"), F.max("query_id")).first()
     if low is None:
         low = high = 0
@@ -133,3 +117,36 @@ def mixed_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession
     a = a.withColumn("other", low + (k - low + F.element_at(F.array(*map(F.lit, STEPS)), (F.floor(k / 2) % len(STEPS) + 1).cast("int"))) % (high - low + 1))
     b = p.select(k.alias("other"), *[F.col(c).alias(f"{c}_b") for c in p.columns[1:]])
     return a.join(b, "other").drop("other")
+
+
+def record_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = persons) -> DataFrame:
+    """Pairs of ``beside`` in some of which a field of the second is the first's, a slip of it, malformed or missing."""
+    k, c = F.col("query_id"), F.col
+    rows = beside(source(spark, sf_dir))
+    year = F.substring("dob_a", 1, 4)
+    first = F.concat(year, F.lit("-01-01"))
+    swapped = F.concat(year, F.lit("-"), F.substring("dob_a", 9, 2), F.lit("-"), F.substring("dob_a", 6, 2))
+    dob_b = F.when(k % 8 == 0, c("dob_a")).when(k % 8 == 1, swapped).when(k % 8 == 2, F.concat(year, F.lit("-12-31"))).when(k % 8 == 3, first).when(k % 8 == 4, F.concat(year, F.lit("-02-30"))).otherwise(c("dob_b"))
+    planted = {
+        "dob_a": F.when(k % 8 == 3, first).otherwise(c("dob_a")),
+        "dob_b": dob_b,
+        "expiry_a": F.when(k % 18 == 1, None).otherwise(c("expiry_a")),
+        "expiry_b": F.when(k % 9 == 0, c("expiry_a")).when(k % 9 == 1, None).when(k % 9 == 2, F.lit("2030-13-01")).otherwise(c("expiry_b")),
+        "docNumber_b": F.when(k % 5 == 0, c("docNumber_a")).when(k % 5 == 1, F.when(k % 10 == 1, None).otherwise("")).otherwise(c("docNumber_b")),
+        "country_a": F.when(k % 4 == 0, "IL").otherwise(c("country_a")),
+        "country_b": F.when(k % 4 == 0, "IL").otherwise(c("country_b")),
+    }
+    return rows.withColumns(planted)
+
+
+def long_name(name: Column, k: Column) -> Column:
+    """The name and, for each further digit of the key to base 30 but zeros, the last part of one of NAMES."""
+    last = tuple(n.split()[-1] for n in NAMES)
+    digits = [F.floor(k / 30**n) % 30 for n in (1, 2, 3)]
+    return F.concat_ws(" ", name, *[F.when(d > 0, pick(last, d * 7)) for d in digits])
+
+
+def mixed_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = persons) -> DataFrame:
+    """Pairs of ``beside`` under names that grow with the keys."""
+    p = source(spark, sf_dir)
+    return beside(p.withColumn("fullName", long_name(F.col("fullName"), F.col("query_id"))))

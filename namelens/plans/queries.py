@@ -11,7 +11,7 @@ from .. import lexicon as lx
 from ..functions import capture, mrz, notes
 from ..functions import checks as ck
 from ..functions.address import check_address, locality
-from ..functions.text import detect_script, first_vowel, normalize_token, skeleton, tokenize
+from ..functions.text import detect_script, first_vowel, known_label, known_name, normalize_token, skeleton, tokenize
 from ..operators import compare as cmp
 from ..operators import names, screening
 from ..operators.provenance import provenance_states
@@ -20,7 +20,7 @@ from ..sources import watchlist as wl
 from ..sources.shared import new_path
 from ..streaming.screening import screen_stream
 from . import registry
-from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, RISK, SURNAMES, field_events, mixed_pairs, passports, persons, persons_of, record_pairs, scans, watchlist
+from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, RISK, STEPS, STREETS, SURNAMES, field_events, mixed_pairs, passports, persons, persons_of, pick, record_pairs, scans, watchlist
 
 TODAY = "2026-07-21"
 
@@ -83,6 +83,13 @@ def skeleton_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("word", "s.full", "s.cons")
 
 
+def known_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common name that each part of a person's name spells, and how it is shown."""
+    parts = persons(spark, sf_dir).select("query_id", F.posexplode(tokenize(F.col("fullName"))).alias("place", "part"))
+    known = parts.select("part").distinct().select("part", known_name(F.col("part")).alias("known"))
+    return parts.join(known, "part").select("query_id", "place", "part", "known", known_label(F.col("known")).alias("label"))
+
+
 def check_columns(row: Column) -> list[Column]:
     return [row.status.alias("status"), F.array_join(row.rules, ",").alias("rules"), row.cap.alias("cap")]
 
@@ -117,11 +124,31 @@ def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mrz_build_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones built for every person and parsed again."""
-    p = persons(spark, sf_dir).where("dob is not null").withColumn("yymmdd", F.concat(F.substring("dob", 3, 2), F.substring("dob", 6, 2), F.substring("dob", 9, 2)))
-    zone = mrz.build_td3(F.lit("P<"), F.lit("UTO"), F.lit("ERIKSSON"), F.lit("ANNA MARIA"), F.col("docNumber"), F.lit("UTO"), F.col("yymmdd"), F.lit("F"), F.lit("300630"), F.lit(""))
-    got = p.select("query_id", mrz.parse(zone, 2026).alias("m"))
-    return got.select("query_id", F.col("m.fields.documentNumber").alias("number"), F.col("m.fields.dob").alias("dob"), F.col("m.fields.name.full").alias("name"), F.col("m.all_valid").alias("valid"))
+    """Zones of two and of three lines, built for every person and parsed again; in some a digit is wrong."""
+    k, c = F.col("query_id"), F.col
+    born = F.coalesce(c("dob"), F.lit("2001-02-03"))
+    yymmdd = lambda d: F.concat(F.substring(d, 3, 2), F.substring(d, 6, 2), F.substring(d, 9, 2))
+    shared = (pick(SURNAMES, k), pick(GIVEN, k), c("docNumber"), F.lit("UTO"), yymmdd(born), c("sex"), yymmdd(c("expiry")))
+    two = mrz.build_td3(F.lit("P<"), F.lit("UTO"), *shared, F.lit(""))
+    three = mrz.build_td1(F.lit("I<"), F.lit("UTO"), *shared, F.lit("X1"), F.lit(""))
+    zones = persons(spark, sf_dir).select("query_id", F.when(k % 2 == 0, two).otherwise(three).alias("zone"))
+    place = F.when(k % 2 == 0, 55).otherwise(15)  # the digit of the document's number
+    slipped = F.concat(F.substring(c("zone"), F.lit(1), place - 1), ((F.substring(c("zone"), place, F.lit(1)).cast("int") + 1) % 10).cast("string"), F.substring(c("zone"), place + 1, F.lit(99)))
+    got = zones.select("query_id", mrz.parse(F.when(k % 7 == 0, slipped).otherwise(c("zone")), 2026).alias("m"))
+    wrong = F.array_join(F.transform(F.filter("m.checks", lambda x: ~x.valid), lambda x: x.field), ",")
+    return got.select("query_id", c("m.format").alias("format"), c("m.fields.documentNumber").alias("number"), c("m.fields.dob").alias("dob"), c("m.fields.expiry").alias("expiry"), c("m.fields.sex").alias("sex"), c("m.fields.name.full").alias("name"), wrong.alias("wrong"))
+
+
+def watchlist_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as CSV, with quotes, commas and line ends in a field, and read as a watchlist."""
+    folder = new_path(spark, "watchlist-csv")
+    k = F.col("row_order").cast("string")
+    rows = supplier_rows(spark, sf_dir).withColumn("name", F.concat("name", F.lit(', the "old"\none'))).withColumn("id", F.concat(F.lit("id"), k))
+    both = {"sanctions": rows, "peps": rows.withColumn("id", F.when(F.col("row_order") % 3 == 0, F.col("id")).otherwise(F.concat(F.lit("p"), k)))}
+    for kind, own in both.items():
+        own.select(*wl.COLUMNS).write.csv(f"{folder}/{kind}", header=True, quote='"', escape='"')
+    found = wl.load_watchlist(spark, f"{folder}/sanctions", f"{folder}/peps")
+    return found.select("id", "type", "program", "name", "nationality", F.size("aliases").alias("n_aliases"))
 
 
 def watchlist_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +239,7 @@ def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (screen_hits, screen_disposition, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, document_verdicts, case_notes, rules_cited)
+    for f in (screen_hits, screen_disposition, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, known_lookup, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_ingest, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, document_verdicts, case_notes, rules_cited)
 }
 
 
@@ -226,8 +253,15 @@ _persons = f"""p as (select c_custkey as query_id, {_pick(NAMES, 'c_custkey * 7'
     case when c_custkey % 11 != 0 then {_date('c_custkey')} end as dob, {_pick(('M', 'F', ''), 'c_custkey')} as sex,
     {_pick(COUNTRIES, 'c_custkey')} as nationality, {_pick(('passport', 'national_id', 'drivers_license'), 'c_custkey')} as docType,
     lpad(cast(c_custkey * 7919 % 1000000000 as varchar), 9, '0') as docNumber, cast(2020 + c_custkey % 15 as varchar) || '-06-30' as expiry,
-    {_pick(COUNTRIES, 'c_custkey')} as country from customer)"""
-_pairs = f"{_persons}, q as (select a.query_id, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb from p a join p b on b.query_id - 30 = a.query_id)"
+    {_pick(COUNTRIES, 'c_custkey')} as country,
+    cast(c_custkey % 90 + 1 as varchar) || ' ' || {_pick(STREETS, 'c_custkey')} || ', ' || {_pick(CITIES, 'c_custkey * 3')} as address from customer)"""
+_pairs = f"""{_persons}, lo as (select min(query_id) as low, max(query_id) - min(query_id) + 1 as n from p),
+    o as (select p.*, low + (query_id - low + ({list(STEPS)})[(query_id // 2) % {len(STEPS)} + 1]) % n as other from p, lo),
+    j as (select a.query_id as k, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb, a.address as aa, b.address as ab from o a join o b on b.query_id = a.other),
+    q as (select k as query_id, case when k % 8 = 3 then da[1:4] || '-01-01' else da end as da,
+        case k % 8 when 0 then da when 1 then da[1:4] || '-' || da[9:10] || '-' || da[6:7] when 2 then da[1:4] || '-12-31' when 3 then da[1:4] || '-01-01' when 4 then da[1:4] || '-02-30' else db end as db,
+        case when k % 18 = 1 then null else ea end as ea, case k % 9 when 0 then ea when 1 then null when 2 then '2030-13-01' else eb end as eb, sa, sb, ta, tb,
+        na, case k % 5 when 0 then na when 1 then '' else nb end as nb, if(k % 4 = 0, 'IL', ca) as ca, if(k % 4 = 0, 'IL', cb) as cb, aa, ab from j)"""
 _fold_from = "".join(g for g in lx.LATIN_FOLD.values())
 _fold_to = "".join(b * len(g) for b, g in lx.LATIN_FOLD.items())
 _words = r"w as (select unnest(regexp_split_to_array(text, '[\s]+')) as word from documents)"
@@ -243,20 +277,29 @@ ORACLE_SQL = {
         u as (select word, list_transform(regexp_extract_all(lower(word), '{"|".join(lx.LATIN_PAIRS)}|[a-z]'), lambda x: (map {{{_classes}}})[x]) as c from w),
         r as (select word, list_filter(c, lambda x, i: i = 1 or x != c[i - 1]) as c from u)
         select word, array_to_string(c, '') as full, coalesce(array_to_string(list_filter(c, lambda x, i: x != 'A' and (x not in ('W', 'Y') or i = 1)), ''), '') as cons from r""",
-    "dob_check": f"""with {_pairs}, r as (select *, case when da is null or db is null then 0 when da = db and da[6:10] = '01-01' then 1 when da = db then 2
+    "dob_check": f"""with {_pairs}, r as (select *, case when (da is not null and try_strptime(da, '%Y-%m-%d') is null) or (db is not null and try_strptime(db, '%Y-%m-%d') is null) then 6
+        when da is null or db is null then 0 when da = db and da[6:10] = '01-01' then 1 when da = db then 2
         when da = db[1:5] || db[9:10] || '-' || db[6:7] then 3 when da[1:4] = db[1:4] then 4 else 5 end as k from q)
-        select query_id, (['info', 'info', 'ok', 'warn', 'warn', 'bad'])[k + 1] as status, (['MISS-1', 'DOB-1,DOB-4', 'DOB-1', 'DOB-SWAP', 'DOB-2', 'DOB-3'])[k + 1] as rules,
+        select query_id, (['info', 'info', 'ok', 'warn', 'warn', 'bad', 'bad'])[k + 1] as status, (['MISS-1', 'DOB-1,DOB-4', 'DOB-1', 'DOB-SWAP', 'DOB-2', 'DOB-3', 'DATE-1'])[k + 1] as rules,
         case when k in (1, 2) then null else 'REFER' end as cap from r""",
-    "expiry_check": f"""with {_pairs}, r as (select *, case when ea < '{TODAY}' or eb < '{TODAY}' then 0 when ea != eb and ta != tb then 1 when ea != eb then 2 else 3 end as k from q)
-        select query_id, (['bad', 'info', 'warn', 'ok'])[k + 1] as status, (['EXP-1', 'EXP-4', 'EXP-2', 'EXP-3'])[k + 1] as rules, case when k in (0, 2) then 'REFER' end as cap from r""",
+    "expiry_check": f"""with {_pairs}, r as (select *, case when eb = '2030-13-01' then 4 when ea is null and eb is null then 5 when ea < '{TODAY}' or eb < '{TODAY}' then 0
+        when ea != eb and ta != tb then 1 when ea != eb then 2 when ea is null or eb is null then 6 else 3 end as k from q)
+        select query_id, (['bad', 'info', 'warn', 'ok', 'bad', 'info', 'info'])[k + 1] as status, (['EXP-1', 'EXP-4', 'EXP-2', 'EXP-3', 'DATE-1', 'MISS-1', 'EXP-3'])[k + 1] as rules,
+        case when k in (0, 2, 4) then 'REFER' end as cap from r""",
     "sex_check": f"with {_pairs} select query_id, case when sa = sb then 'ok' else 'bad' end as status, 'SEX-1' as rules, case when sa != sb then 'REFER' end as cap from q where sa != '' and sb != ''",
     "doc_number_check": f"""with {_pairs}, r as (select *, ta != tb and ca = 'IL' and cb = 'IL' and ta in ('national_id', 'drivers_license') and tb in ('national_id', 'drivers_license') as shared from q),
-        k as (select query_id, case when na = nb and shared then 0 when na = nb then 1 when shared then 2 when ta != tb then 3 else 4 end as k from r)
-        select query_id, (['ok', 'ok', 'warn', 'info', 'warn'])[k + 1] as status, (['NUM-1,NUM-4', 'NUM-1', 'NUM-2,NUM-4', 'NUM-3', 'NUM-2'])[k + 1] as rules, case when k in (2, 4) then 'REFER' end as cap from k""",
+        k as (select query_id, case when nb = '' then 5 when na = nb and shared then 0 when na = nb then 1 when shared then 2 when ta != tb then 3 else 4 end as k from r)
+        select query_id, (['ok', 'ok', 'warn', 'info', 'warn', 'info'])[k + 1] as status, (['NUM-1,NUM-4', 'NUM-1', 'NUM-2,NUM-4', 'NUM-3', 'NUM-2', 'MISS-1'])[k + 1] as rules, case when k in (2, 4, 5) then 'REFER' end as cap from k""",
     "id_check_digit": f"""with {_persons}, d as (select query_id, docNumber, list_transform(range(1, 10), lambda k: cast(docNumber[k] as int) * (2 - k % 2)) as x from p)
         select query_id, docNumber, list_sum(list_transform(x, lambda v: case when v > 9 then v - 9 else v end)) % 10 = 0 as valid from d""",
     "mrz_check_digits": f"with {_persons} select query_id, cast(cast(list_sum(list_transform(range(1, 10), lambda k: cast(docNumber[k] as int) * ([7, 3, 1])[(k - 1) % 3 + 1])) as bigint) % 10 as varchar) as digit from p",
-    "mrz_build_parse": f"with {_persons} select query_id, docNumber as number, dob, 'ANNA MARIA ERIKSSON' as name, true as valid from p where dob is not null",
+    "mrz_build_parse": f"""with {_persons} select query_id, if(query_id % 2 = 0, 'TD3', 'TD1') as format, docNumber as number, coalesce(dob, '2001-02-03') as dob, expiry, sex,
+        {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as name, if(query_id % 7 = 0, 'documentNumber,composite', '') as wrong from p""",
+    "known_lookup": f"""with {_persons}, t as (select query_id, unnest(string_split(fullName, ' ')) as part, generate_subscripts(string_split(fullName, ' '), 1) - 1 as place from p),
+        k as (select unnest(string_split(spellings, ' ')) as spelling, name from (values {", ".join(f"('{n}', '{x}')" for n, x in lx.KNOWN.items())}) v(name, spellings))
+        select query_id, cast(place as int) as place, part, name as known, upper(name[1]) || name[2:] as label from t left join k on spelling = replace(replace({_norm.replace("word", "part")}, '-', ''), chr(39), '')""",
+    "watchlist_ingest": """select 'id' || s_suppkey as id, 'sanction' as type, 'd' as program, s_name || ', the "old"' || chr(10) || 'one' as name, 'SY' as nationality, 3 as n_aliases from supplier where s_suppkey % 9 != 0
+        union all select 'p' || s_suppkey, 'pep', 'd', s_name || ', the "old"' || chr(10) || 'one', 'SY', 3 from supplier where s_suppkey % 9 != 0 and s_suppkey % 3 != 0""",
     "watchlist_dedup": """with r as (select s_suppkey as k, 'id' || cast(s_suppkey % 70 as varchar) as id, s_name as name from supplier where s_suppkey % 9 != 0),
         f as (select *, row_number() over (partition by id order by k) as n from r)
         select cast(row_number() over (order by k) - 1 as bigint) as idx, id, 'sanction' as type, name, case when k % 2 = 0 then '1970-01-02' end as dob, 'SY' as nationality, 2 as n_aliases from f where n = 1""",
@@ -267,19 +310,19 @@ ORACLE_SQL = {
         union all select query_id, 'zone digits', 'ok', 'MRZ-1', null from z where query_id % 10 != 9
         union all select query_id, 'zone composite', if(query_id % 10 = 7, 'bad', 'ok'), 'MRZ-2', if(query_id % 10 = 7, 'REFER', null) from z where query_id % 10 != 9
         union all select query_id, 'zone against print', if(query_id % 10 = 3, 'bad', 'ok'), 'MRZ-3', if(query_id % 10 = 3, 'REFER', null) from z where query_id % 10 != 9""",
-    "captured_fields": f"""with {_persons}, s as (select *, {_date('query_id')} as born from p where query_id % 10 != 3),
+    "captured_fields": f"""with {_persons}, s as (select *, {_date('query_id')} as born, case when query_id % 10 = 3 then lpad(cast((query_id + 1) * 7919 % 1000000000 as varchar), 9, '0') else docNumber end as zoned from p),
         m as (select *, born[3:4] || born[6:7] || born[9:10] || lpad(cast(0 as varchar), 0, '0') as six from s),
         d as (select *, cast(list_sum(list_transform(range(1, 7), lambda k: cast(six[k] as int) * ([7, 3, 1])[(k - 1) % 3 + 1])) as bigint) % 10 as digit from m),
         n as (select *, cast(length(regexp_replace(six, '[^0158]', '', 'g')) as int) as corrections from d),
         f as (select query_id, corrections, unnest([
             {{'field': 'mrz', 'value': null, 'validated': true}}, {{'field': 'dob', 'value': born, 'validated': true}},
-            {{'field': 'expiry', 'value': expiry, 'validated': true}}, {{'field': 'docNumber', 'value': docNumber, 'validated': true}},
+            {{'field': 'expiry', 'value': expiry, 'validated': true}}, {{'field': 'docNumber', 'value': zoned, 'validated': true}},
             {{'field': 'fullName', 'value': {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')}, 'validated': false}},
             {{'field': 'sex', 'value': nullif(sex, ''), 'validated': false}},
             {{'field': 'country', 'value': case when country in ('SY', 'EG', 'JO', 'IL') then country else 'OTHER' end, 'validated': false}},
             {{'field': 'docType', 'value': 'passport', 'validated': false}}]) as r from n)
         select query_id, corrections, r.field as field, r.value as value, 'mrz' as source, r.validated as validated from f where r.value is not null or r.field = 'mrz'""",
-    "printed_fields": f"with {_persons} select query_id, {_date('query_id')} as dob, expiry, docNumber as number from p where query_id % 10 != 3",
+    "printed_fields": f"with {_persons} select query_id, {_date('query_id')} as dob, expiry, docNumber as number from p",
     "field_states": f"""with recursive e as (select user_id as record_id, if(event_id % 2 = 0, 'a', 'b') as side, (['dob', 'fullName', 'sex'])[event_id % 3 + 1] as field,
             {" ".join(["case event_type"] + [f"when '{a}' then '{b}'" for a, b in EVENTS.items()] + ["end"])} as event, (['x', 'y'])[(event_id // 2) % 2 + 1] as value, event_id % 5 < 2 as validated, event_id from events),
         o as (select *, row_number() over (partition by record_id, side, field order by event_id) as n, count(*) over (partition by record_id, side, field) as total from e),

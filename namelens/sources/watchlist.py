@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 COLUMNS = ("id", "schema", "name", "aliases", "birth_date", "countries", "sanctions", "dataset")
 ALIASES = 12
 
@@ -23,26 +25,49 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"').na.fill("")
 
 
-def to_entries(rows: DataFrame, kind: str) -> DataFrame:
-    """Persons with a name, as entries of ``kind``; keeps ``row_order``."""
+def to_entries(rows: DataFrame, kind: str, most_aliases: int | None = ALIASES) -> DataFrame:
+    """Persons with a name, as entries of ``kind``; keeps ``row_order``.
+
+    An entry has its first ``most_aliases`` aliases other than its name; None keeps all of them.
+    """
     people = rows.where((F.coalesce(F.nullif(F.trim("schema"), F.lit("")), F.lit("Person")) == "Person") & (F.trim("name") != ""))
-    aliases = F.slice(F.filter(multi(F.col("aliases")), lambda x: x != F.trim("name")), 1, ALIASES)
+    aliases = F.filter(multi(F.col("aliases")), lambda x: x != F.trim("name"))
+    aliases = aliases if most_aliases is None else F.slice(aliases, 1, most_aliases)
     first = lambda c: F.get(multi(F.col(c)), F.lit(0))
     return people.select("row_order", F.trim("id").alias("id"), F.col("dataset").alias("source"), F.lit(kind).alias("type"), F.coalesce(first("sanctions"), F.trim("dataset")).alias("program"), F.trim("name").alias("name"), aliases.alias("aliases"), full_iso_date(first("birth_date")).alias("dob"), F.lit(None).cast("string").alias("sex"), F.upper(first("countries")).alias("nationality"))
 
 
-def first_of_each(sanctions: DataFrame, peps: DataFrame | None = None) -> DataFrame:
+def first_of_each(sanctions: DataFrame, peps: DataFrame | None = None, stretch: int = 1 << 16) -> DataFrame:
     """The first row of each id, sanctions before PEPs, in order of position as ``idx``.
 
-    Numbering them needs one order of the whole list; the rows numbered are keys only.
+    Rows are numbered within stretches of ``row_order``; only the stretches' counts are summed in one order.
     """
     both = sanctions.withColumn("part", F.lit(0))
     both = both if peps is None else both.unionByName(peps.withColumn("part", F.lit(1)))
     first = both.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("part", "row_order"))).where("k = 1").drop("k")
-    return first.withColumn("idx", F.row_number().over(Window.orderBy("part", "row_order")).cast("long") - 1).drop("part", "row_order")
+    first = written(first.withColumn("stretch", F.floor(F.col("row_order") / stretch)), "entries")
+    counts = first.groupBy("part", "stretch").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part", "stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = first.join(counts.select("part", "stretch", before.alias("before")), ["part", "stretch"])
+    place = F.row_number().over(Window.partitionBy("part", "stretch").orderBy("row_order"))
+    return numbered.withColumn("idx", F.col("before") + place - 1).drop("part", "stretch", "before", "row_order")
+
+
+def write_entries(entries: DataFrame, path: str) -> None:
+    """The list as JSON lines, one entry a line, in files by kind."""
+    entries.write.partitionBy("type").json(path)
 
 
-def load_watchlist(spark: SparkSession, sanctions_path: str, peps_path: str | None = None) -> DataFrame:
+def chosen(live: DataFrame | None, sample: DataFrame) -> DataFrame:
+    """The live list if it has an entry, else the sample."""
+    return sample if live is None or live.isEmpty() else live
+
+
+def load_watchlist(spark: SparkSession, sanctions_path: str, peps_path: str | None = None, most_aliases: int | None = ALIASES) -> DataFrame:
+    """(idx, id, source, type, program, name, aliases, dob, sex, nationality) from one or two CSV files with a header.
+
+    Rows are taken in the order of the files.
+    """
     numbered = lambda p: read_csv(spark, p).withColumn("row_order", F.monotonically_increasing_id())
-    peps = to_entries(numbered(peps_path), "pep") if peps_path else None
-    return first_of_each(to_entries(numbered(sanctions_path), "sanction"), peps)
+    peps = to_entries(numbered(peps_path), "pep", most_aliases) if peps_path else None
+    return first_of_each(to_entries(numbered(sanctions_path), "sanction", most_aliases), peps)
