@@ -82,6 +82,25 @@ def chunks_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return split.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()
 
 
+#: Rows that pass between Spark and Python at once, where rows hold texts: what both sides hold of a batch stays small.
+BATCH_ROWS = 1000
+
+
+def map_in_python(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` in batches of ``BATCH_ROWS`` at most, which is set in the session; at a task's end free memory goes back."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def with_columns_from_python(
     df: DataFrame,
     inputs: list[str],
@@ -110,7 +129,7 @@ def with_columns_from_python(
             arrays = [batch.column(k) for k in range(width)] + [pa.array(v, kind) for v, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=kept_names + names)
 
-    return safe.mapInArrow(run, schema)
+    return map_in_python(safe, run, schema)
 
 
 def bounded_fraction(rows: int, bound: int) -> float:

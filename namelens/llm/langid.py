@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_fraction, chunks_of, sampled, text_parts, with_columns_from_python
+from .common import bounded_fraction, chunks_of, map_in_python, sampled, text_parts, with_columns_from_python
 
 UNDETERMINED = "und"
 
@@ -198,7 +198,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                     held = 0
         yield flush()
 
-    counts = picked.mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+    counts = map_in_python(picked, count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in counts}) or [UNDETERMINED]
     model = load_pieces(pieces_path)
     size = model.get_piece_size()

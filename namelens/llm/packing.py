@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, written
+from .common import crc32, map_in_python, written
 from .word_tokens import ChunkTokenizer
 
 
@@ -80,7 +80,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     rows = []
             yield rows_of(rows)
 
-    pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, kinds), "pieces")
+    pieces = written(map_in_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), cut, kinds), "pieces")
     by_task = pieces.groupBy("task", "size").agg((F.max("ordinal") + 1).alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = by_task.withColumn("base", earlier).drop("n")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import map_in_python, shared_path, written
 from .files import new_file, opened, read_range
 from .word_tokens import ChunkTokenizer
 
@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         if out is not None:
             out.close()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "file string, doc_index long, doc_id long")
+    return map_in_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), write, "file string, doc_index long, doc_id long")
 
 
 def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tokens: int = 2 << 20, tasks: int | None = None) -> DataFrame:
