@@ -12,7 +12,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_fraction, sampled, with_columns_from_python
+from .common import bounded_fraction, map_in_python, sampled, with_columns_from_python
 
 # Letters of other scripts that look like a Latin letter.
 HOMOGLYPHS = {
@@ -36,10 +36,6 @@ FOLD = str.maketrans(HOMOGLYPHS | {"l": "i"}) | INVISIBLE
 #: Substitutes count inside a word, or at its start if two letters follow.
 SUBSTITUTED = re.compile(r"(?<=[^\W\d_])[013-578@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[013-578@$|](?=[^\W\d_]{2})")
 GAP = re.compile(r"[\W\d_]+")
-#: Harmless phrases that contain a word of the lexicon.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash bags", "clown fish", "circus clown", "sore loser", "pond scum", "soap scum", "stupid question")
-
-
 def fold(text: str | None) -> str:
     """The folded words with a space before and after each; one space if there are none."""
     if not text:
@@ -53,10 +49,11 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class ToxicityModel:
-    """lexicon: folded word (" word ") or beginning (" begin") to weight; logistic: weights of 1, total, density."""
+    """lexicon: folded word (" word ") or beginning (" begin") to weight; exceptions: folded phrases (" two words ") in
+    which a word is harmless; logistic: weights of 1, total, density."""
 
     lexicon: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     logistic: list[float] = field(default_factory=lambda: [-2.0, 0.5, 0.5])
     _automaton: object = None
 
@@ -68,7 +65,7 @@ class ToxicityModel:
             for pattern, weight in self.lexicon.items():
                 a.add_word(pattern, (len(pattern), weight, False))
             for phrase in self.exceptions:
-                a.add_word(folded := fold(phrase), (len(folded), 0.0, True))
+                a.add_word(phrase, (len(phrase), 0.0, True))
             if len(a):
                 a.make_automaton()
             self._automaton = a
@@ -79,10 +76,20 @@ class ToxicityModel:
 
     def features(self, text: str | None) -> tuple[float, float, int]:
         """log(1 + weight of the distinct words matched), log(1 + that weight in a thousand words), words matched."""
-        folded, a = fold(text), self.automaton()
-        if not len(a):
-            return 0.0, 0.0, 0
+        folded = fold(text)
+        best = self.matches(folded)
+        distinct: dict[str, float] = {}
+        for start, weight in best.items():
+            distinct[folded[start : folded.find(" ", start + 1)]] = weight
+        total, words = sum(distinct.values()), max(1, folded.count(" ") - 1)
+        return math.log1p(total), math.log1p(1000 * total / words), len(best)
+
+    def matches(self, folded: str) -> dict[int, float]:
+        """By the place before a word, the largest weight that matches there, unless a phrase excuses it."""
+        a = self.automaton()
         best: dict[int, float] = {}
+        if not len(a):
+            return best
         excused: list[tuple[int, int]] = []
         for end, (size, weight, exception) in a.iter(folded):
             start = end - size + 1
@@ -91,13 +98,11 @@ class ToxicityModel:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         for s, e in excused:
-            for k in [k for k in best if s <= k < e]:
-                del best[k]
-        distinct: dict[str, float] = {}
-        for start, weight in best.items():
-            distinct[folded[start : folded.find(" ", start + 1)]] = weight
-        total, words = sum(distinct.values()), max(1, folded.count(" ") - 1)
-        return math.log1p(total), math.log1p(1000 * total / words), len(best)
+            k = s  # the phrase's words begin at its blanks
+            while k < e:
+                best.pop(k, None)
+                k = folded.find(" ", k + 1)
+        return best
 
     def score(self, text: str | None) -> float:
         x1, x2, _ = self.features(text)
@@ -105,39 +110,65 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 30_000, least_gain: float = 20.0, least_ratio: float = 12.0, lexicon_size: int = 20_000, seed: int = 5) -> ToxicityModel:
+def terms_of(folded: str) -> set[str]:
+    """The words of a folded text and their beginnings."""
+    words = set(folded.split())
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in (3, 4, 5, 6) if len(w) > k}
+
+
+def phrases_at(folded: str, places: dict[int, float]) -> set[str]:
+    """The matching words of a folded text, each with the word before and with the word after it."""
+    out = set()
+    for at in places:
+        end = folded.find(" ", at + 1)
+        before, after = folded.rfind(" ", 0, at), folded.find(" ", end + 1)
+        if before >= 0:
+            out.add(folded[before : end + 1])
+        if after >= 0:
+            out.add(folded[at : after + 1])
+    return out
+
+
+def counted(batches: Iterator[pa.RecordBatch], terms: Callable[[str], set[str]], most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """(term, clean, toxic): in how many of the texts of each label a term stands, summed as far as ``most_bytes`` allow."""
+    found, held = (Counter(), Counter()), 0
+
+    def flush() -> pa.RecordBatch:
+        keys = list(found[0].keys() | found[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in found)], names=["term", "clean", "toxic"])
+        found[0].clear(), found[1].clear()
+        return out
+
+    for batch in batches:
+        for text, y in zip(batch.column(0), batch.column(1), strict=True):
+            counter = found[int(y.as_py() > 0)]
+            before = len(counter)
+            own = terms(fold(text.as_py()))
+            counter.update(own)
+            held += (len(counter) - before) * 120 + sum(map(len, own)) // 4
+            if held > most_bytes:
+                yield flush()
+                held = 0
+    yield flush()
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 30_000, least_gain: float = 20.0, least_ratio: float = 12.0, lexicon_size: int = 20_000, exceptions_size: int = 2_000, seed: int = 5) -> ToxicityModel:
     """Learns lexicon and logistic weights from at most about ``sample_rows`` labelled rows, chosen by a seeded hash.
 
     The chosen labels are few enough to broadcast, so no text is shuffled. A fifth of them weighs the features and the
     rest make the lexicon, which keeps terms whose log-likelihood gain is at least ``least_gain``
-    and which toxic texts have ``least_ratio`` times as often. Rows with a null id
-    or label teach nothing; an id with several labels counts with the largest; without labels the lexicon is empty.
+    and which toxic texts have ``least_ratio`` times as often; of more than ``lexicon_size``, those with the largest
+    gain. A phrase of a matching word and a word beside it is an exception if at least three clean texts have it and
+    it is no likelier in a toxic text than in a clean one; of more than ``exceptions_size``, those in most clean texts. Rows with a null id or label teach nothing; an id with several labels counts with the largest; without labels the lexicon is empty.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen = sampled(known, "id", bounded_fraction(known.count(), sample_rows), seed)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y", (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(5)) == 1).alias("weigh"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (Counter(), Counter())
+        yield from counted(batches, terms_of)
 
-        def flush() -> pa.RecordBatch:
-            keys = list(found[0].keys() | found[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in found)], names=["term", "clean", "toxic"])
-            found[0].clear(), found[1].clear()
-            return out
-
-        for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1), strict=True):
-                words = set(fold(text.as_py()).split())
-                own = {f" {w} " for w in words if len(w) <= 30} | {f" {w[:k]}" for w in words for k in (3, 4, 5, 6) if len(w) > k}
-                counter = found[int(y.as_py() > 0)]
-                counter.update(own)
-                counter[""] += 1
-                if len(counter) > 150_000:
-                    yield flush()
-        yield flush()
-
-    counts = rows.where("not weigh").select("text", "y").mapInArrow(terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    counts = map_in_python(rows.where("not weigh").select("text", "y"), terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     totals = rows.where("not weigh").groupBy().agg(F.sum(F.expr("int(y <= 0)")), F.sum(F.expr("int(y > 0)"))).first()
     n0, n1 = totals[0] or 0, totals[1] or 0
     model = ToxicityModel({})
@@ -148,12 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lexicon = counts.where("term != '' and b >= 3").withColumn("gain", gain).withColumn("weight", ratio).where(f"gain >= {least_gain} and weight >= {math.log(least_ratio)}")
         model.lexicon = {r.term: r.weight for r in lexicon.orderBy(F.desc("gain"), "term").limit(lexicon_size).collect()}
 
+        def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from counted(batches, lambda folded: phrases_at(folded, model.matches(folded)))
+
+        met = map_in_python(rows.where("not weigh").select("text", "y"), phrases, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+        harmless = met.where(f"a >= 3 and b * {n0} <= a * {n1}").orderBy(F.desc("a"), "term").limit(exceptions_size)
+        model = ToxicityModel(model.lexicon, tuple(r.term for r in harmless.collect()))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(1)], names=["x1", "x2", "y"])
 
-    fitted = rows.where("weigh").select("text", "y").mapInArrow(measure, "x1 double, x2 double, y int").collect()
+    fitted = map_in_python(rows.where("weigh").select("text", "y"), measure, "x1 double, x2 double, y int").collect()
     if len({r.y > 0 for r in fitted}) == 2:
         model.logistic = logistic_fit(np.array([[1.0, r.x1, r.x2] for r in fitted]), np.array([float(r.y > 0) for r in fitted]))
     return model
