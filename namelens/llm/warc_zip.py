@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import map_in_python, shared_path, written
 from .files import new_file, opened, read_range
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -117,19 +117,28 @@ def number_in(urn: str) -> int | None:
     return int(digits) if digits else None
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, archive_bytes: int = 256 << 20, level: int = 1) -> DataFrame:
-    """Writes a record for each row into archives in ``folder``; (path, records) of the archives.
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, archive_bytes: int = 256 << 20, level: int = 1, hot_part: int = 5000) -> DataFrame:
+    """Writes a record for each row into archives in ``folder``; (path, records, bytes) of the archives.
 
     Of rows with equal payloads of ``least_bytes`` or more, those with the largest id are responses and the others
-    revisit it. Null html is an empty payload. A null id is never referred to; if only such rows share a payload, all are responses.
+    revisit it. Null html is an empty payload. A null id is never referred to; if only such rows share a payload, all
+    are responses. Repeated rows are written each; other columns are ignored; an empty table gives no archive.
+
+    Payloads that more than one row in ``hot_part`` shares are at most ``hot_part`` and are looked up in a broadcast
+    table; of the rest, no payload's rows are more than that share of all. Rows that look up nothing are dealt out evenly.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     digest = F.sha1(F.encode("html", "UTF-8"))
     large = rows.where(F.octet_length("html") >= least_bytes).select(digest.alias("sha"), "page_id")
-    first = large.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = rows.withColumn("digest", digest).withColumn("sha", F.when(F.octet_length("html") >= least_bytes, F.col("digest")))
-    joined = keyed.join(first, "sha", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first")), F.col("first"))
+    first = written(large.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    hot_rows = max(1000, rows.count() // hot_part)
+    hot = first.where(F.col("n") > hot_rows).select(F.col("sha").alias("digest"), F.col("first").alias("hot"))  # hot_part rows at most
+    keyed = rows.withColumn("digest", digest).withColumn("large", F.octet_length("html") >= least_bytes).join(F.broadcast(hot), "digest", "left")
+    apart = F.concat(F.lit("-"), F.floor(F.rand(7) * 1_000_000).cast("string"))  # no digest begins so
+    keyed = keyed.withColumn("sha", F.when(F.col("large") & F.col("hot").isNull(), F.col("digest")).otherwise(apart))
+    joined = keyed.join(first.where(F.col("n") <= hot_rows).select("sha", F.col("first").alias("cold")), "sha", "left")
+    newest = F.when(F.col("large"), F.coalesce("hot", "cold"))
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < newest), newest)
     ready = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +153,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             archive.close()
             stream.close()
 
+        def manifest_row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([at], pa.int64())], names=["path", "records", "bytes"])
+
         for batch in batches:
             for row in zip(*(batch.column(c) for c in range(5)), strict=True):
                 page, url, html, sha, refers_to = (v.as_py() for v in row)
@@ -159,20 +171,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 at, records = at + len(data), records + 1
                 if at >= archive_bytes:
                     close()
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["path", "records"])
+                    yield manifest_row()
                     archive = None
         if archive is not None:
             close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["path", "records"])
+            yield manifest_row()
 
-    return ready.mapInArrow(write, "path string, records long")
+    return map_in_python(ready, write, "path string, records long, bytes long")
 
 
-def read_archives(archives: DataFrame, run_records: int = 512) -> DataFrame:
+def read_archives(archives: DataFrame, run_records: int = 512, run_bytes: int = 4 << 20, task_bytes: int = 32 << 20) -> DataFrame:
     """A row for each record in the archives that ``archives.path`` names.
 
     (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload): payload is null for a revisit. The
-    index of each archive is dealt out in runs of neighbouring records, and each run is one ranged read.
+    index of each archive is dealt out in runs of neighbouring records, of ``run_bytes`` or one record, and each run is
+    one ranged read. ``archives.bytes`` says how much there is to read, hence how many tasks share it: about
+    ``task_bytes`` each. Null paths and other columns are ignored; without archives there are no rows.
     """
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,22 +199,25 @@ def read_archives(archives: DataFrame, run_records: int = 512) -> DataFrame:
                     if data.method or index.method:
                         raise ValueError(f"{name}: a member isn't stored")
                     entries = [json.loads(x) for x in read_range(f, index.start, index.size).splitlines()]
-                runs = [entries[k : k + run_records] for k in range(0, len(entries), run_records)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(runs)), pa.array([data.start + r[0]["offset"] for r in runs], pa.int64()), pa.array([r[-1]["offset"] + r[-1]["length"] - r[0]["offset"] for r in runs], pa.int64())], names=["path", "start", "length"])
+                runs: list[list[dict]] = []
+                for e in entries:
+                    if not runs or len(runs[-1]) == run_records or e["offset"] + e["length"] - runs[-1][0]["offset"] > run_bytes:
+                        runs.append([])
+                    runs[-1].append(e)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(runs), pa.string()), pa.array([data.start + r[0]["offset"] for r in runs], pa.int64()), pa.array([[e["length"] for e in r] for r in runs], pa.list_(pa.int64()))], names=["path", "start", "lengths"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
-            for name, start, length in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for name, start, lengths in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 fs, path = opened(name)
                 with fs.open_input_file(path) as f:
-                    data = read_range(f, start, length)
-                rows = []
-                while data:
-                    unzip = zlib.decompressobj(31)
-                    warc, http, payload = parsed_record(unzip.decompress(data))
-                    data = unzip.unused_data
+                    data = memoryview(read_range(f, start, sum(lengths)))
+                rows, at = [], 0
+                for length in lengths:
+                    warc, http, payload = parsed_record(zlib.decompress(data[at : at + length], 31))
+                    at += length
                     kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].partition(":")[2]
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{name}: {warc['WARC-Record-ID']} doesn't have its digest")
@@ -208,12 +225,18 @@ def read_archives(archives: DataFrame, run_records: int = 512) -> DataFrame:
                     rows.append((number_in(warc["WARC-Record-ID"]), warc["WARC-Target-URI"], int(http["Content-Length"]), digest, kind, refers, payload if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    runs = archives.select("path").mapInArrow(locate, "path string, start long, length long")
-    return runs.repartition(F.col("path"), F.col("start")).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    whole = archives.agg(F.count("path").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(1, min(100_000, -(-(whole.bytes or 0) // task_bytes)))
+    named = archives.where("path is not null").select("path").repartition(max(1, min(whole.n, tasks)), "path")
+    runs = written(named.mapInArrow(locate, "path string, start long, lengths array<long>"), "runs")
+    return runs.repartition(tasks, F.col("path"), F.col("start")).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame, **settings) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and returns what reading them gives, without the payloads."""
+    """Writes ``pages`` to archives in the shared folder and returns what reading them gives, without the payloads.
+
+    A row for each row of ``pages``, those with a null id included; an empty table gives an empty table.
+    """
     folder = shared_path(pages.sparkSession, "archives")
     manifest = written(write_archives(pages, folder, **settings), "manifest")
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
