@@ -19,7 +19,7 @@ from ..operators.zones import add_zone_checks
 from ..sources import watchlist as wl
 from ..sources.shared import new_path
 from ..streaming.screening import screen_stream
-from . import registry
+from . import name_sql, registry
 from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, RISK, STEPS, STREETS, SURNAMES, field_events, mixed_pairs, passports, persons, persons_of, pick, record_pairs, scans, watchlist
 
 TODAY = "2026-07-21"
@@ -267,8 +267,59 @@ _fold_to = "".join(b * len(g) for b, g in lx.LATIN_FOLD.items())
 _words = r"w as (select unnest(regexp_split_to_array(text, '[\s]+')) as word from documents)"
 _norm = f"translate(translate(replace(lower(word), 'š', 'sh'), '{_fold_from}', '{_fold_to}'), '.,;:_\"“”()[]', '')"
 _classes = ", ".join(f"'{k}': '{v}'" for k, v in (lx.letters({c: g.replace("'", "") for c, g in lx.LATIN.items()}) | lx.LATIN_PAIRS).items())
+_watchlist = f"""e as (select s_suppkey as idx, [{_pick(NAMES, 's_suppkey * 11 + 3')}] || if(s_suppkey % 3 = 0, [{_pick(NAMES, 's_suppkey * 5 + 2')}], []) as names from supplier)"""
+_units = ", ".join(f"'{k}': '{v}'" for k, v in ({u: c for u, c in lx.unit_classes().items() if u != "'"} | {"''": "A"}).items())
+_groups = "|".join(lx.LATIN_PAIRS) + "|[" + "".join(lx.HEBREW_GERESH) + "]" + lx.GERESH + "|."
+#: Block keys of each distinct name of the table ``names``: skeletons of its parts in any script, and those less one letter.
+_keys = rf"""bt as (select distinct name, unnest(regexp_split_to_array(name, '[\s،؛]+')) as part from names),
+    bs as (select name, case when regexp_matches(part, '[\x{{0600}}-\x{{06FF}}]') then regexp_replace(part, '{lx.ARABIC_MARKS}|[-’`ʿʼ]', '', 'g')
+        when regexp_matches(part, '[\x{{0590}}-\x{{05FF}}]') then translate(regexp_replace(part, '{lx.HEBREW_MARKS}', '', 'g'), '’-`ʿʼ', '{lx.GERESH}')
+        else regexp_replace({_norm.replace("word", "part")}, '[-’`ʿʼ]', chr(39), 'g') end as plain from bt),
+    bu as (select name, list_transform(regexp_extract_all(plain, '{_groups}'), lambda x: (map {{{_units}}})[x]) as c from bs),
+    bf as (select name, list_filter(c, lambda x: x is not null) as c from bu),
+    br as (select name, list_filter(c, lambda x, i: i = 1 or x != c[i - 1]) as c from bf),
+    bk as (select name, coalesce(array_to_string(list_filter(c, lambda x, i: x != 'A' and (x not in ('W', 'Y') or i = 1)), ''), '') as cons from br),
+    keys as (select distinct name, unnest([cons] || list_transform(range(1, length(cons) + 1), lambda i: left(cons, i - 1) || substr(cons, i + 1))) as block_key from bk where cons != '')"""
+
+_last = tuple(n.split()[-1] for n in NAMES)
+_digit = lambda n: f"(query_id // {30**n}) % 30"
+_long = "concat_ws(' ', fullName, " + ", ".join(f"case when {_digit(n)} > 0 then {_pick(_last, f'{_digit(n)} * 7')} end" for n in (1, 2, 3)) + ")"
+_beside = f"""g as (select *, {_long} as longName from p), glo as (select min(query_id) as low, max(query_id) - min(query_id) + 1 as n from g),
+    go as (select g.*, low + (query_id - low + ({list(STEPS)})[(query_id // 2) % {len(STEPS)} + 1]) % n as other from g, glo)"""
+_hits = f"""{_persons}, {_watchlist}, names as (select fullName as name from p union select unnest(names) from e), {_keys},
+    i as (select distinct idx, block_key from (select idx, unnest(names) as name from e) join keys using (name)),
+    met as (select distinct q.name, idx, names from keys q join i using (block_key) join e using (idx)),
+    named as (select name, idx, unnest(names) as other, generate_subscripts(names, 1) as position from met),
+    wanted as (select distinct name as a, other as b from named), {name_sql.SCORES},
+    ranked as (select name, idx, other, position, score, row_number() over (partition by name, idx order by score desc, position) as r from named join scores on a = name and b = other),
+    entry as (select s_suppkey as idx, case when s_suppkey % 2 = 0 then {_date('s_suppkey * 3')} end as e_dob, {_pick(('M', 'F', ''), 's_suppkey + 1')} as e_sex, case when s_suppkey % 5 != 0 then {_pick(COUNTRIES, 's_suppkey + 2')} end as e_nat, s_suppkey % 4 = 0 as pep from supplier),
+    seen as (select query_id, idx, other, position, score, pep, [case when dob is null or e_dob is null then 'u' when dob = e_dob or dob = e_dob[1:5] || e_dob[9:10] || '-' || e_dob[6:7] then 'a' else 'c' end,
+        case when sex = '' or e_sex = '' then 'u' when sex = e_sex then 'a' else 'c' end, case when e_nat is null then 'u' when nationality = e_nat then 'a' else 'c' end] as f
+        from p join ranked on ranked.name = p.fullName and r = 1 and score >= 75 join entry using (idx)),
+    hits as (select *, if(list_contains(f, 'c'), 'DISCOUNTED', if(list_contains(f, 'a'), 'STRONG', 'POTENTIAL')) as classification from seen),
+    listed as (select query_id, cast(row_number() over (partition by query_id order by case classification when 'STRONG' then 0 when 'POTENTIAL' then 1 else 2 end, score desc, idx) as int) as rank, idx, other as matched_name, position > 1 as via_alias, score as name_score, classification,
+        concat_ws(',', 'SCR-1', if(position > 1, 'SCR-5', null), case classification when 'DISCOUNTED' then 'SCR-3' when 'STRONG' then 'SCR-2' end, if(pep, 'SCR-6', null)) as rules from hits)"""
 
 ORACLE_SQL = {
+    "screen_hits": f"with recursive {_hits} select * from listed",
+    "streamed_hits": f"with recursive {_hits} select query_id, rank, idx, matched_name, name_score, classification from listed",
+    "screen_disposition": f"""with recursive {_hits}, c as (select query_id, count(*) as hits, count(*) filter (where classification = 'STRONG') as strong, count(*) filter (where classification = 'POTENTIAL') as potential, count(*) filter (where classification = 'DISCOUNTED') as discounted from listed group by query_id),
+        d as (select query_id, coalesce(hits, 0) as hits, coalesce(strong, 0) as strong, coalesce(potential, 0) as potential, coalesce(discounted, 0) as discounted, case nationality when 'SY' then 'high' when 'IR' then 'high' when 'EG' then 'medium' end as country_risk from p left join c using (query_id))
+        select *, if(hits = 0, 'NO_MATCH', 'POTENTIAL_MATCH') as disposition, concat_ws(',', if(hits = 0, 'SCR-4', null), if(country_risk is not null, 'CRISK-1', null)) as rules,
+            if(hits = 0, 'no name or alias reached 75', hits || if(hits = 1, ' hit', ' hits') || ' from 75: ' || concat_ws(', ', if(strong > 0, strong || ' corroborated', null), if(potential > 0, potential || ' potential', null), if(discounted > 0, discounted || ' discounted', null)) || if(discounted = hits, '; look at each before dismissing it', '')) as reason from d""",
+    "name_pair_scores": f"""with recursive {_persons}, {_beside}, wanted as (select distinct a.longName as a, b.longName as b from go a join go b on b.query_id = a.other), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
+        select a, b, score, unmatched_middles, rules as rules_a from scores join name_rules on name = a""",
+    "record_verdicts": f"""with recursive {_persons}, {_beside}, both_ as (select a.query_id, a.longName as a, b.longName as b, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb from go a join go b on b.query_id = a.other),
+        wanted as (select distinct a, b from both_), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES},
+        v as (select *, ca = 'IL' and ta in ('national_id', 'drivers_license') as ia, cb = 'IL' and tb in ('national_id', 'drivers_license') as ib,
+            list_transform([na, nb], lambda x: list_sum(list_transform(range(1, 10), lambda k: (cast(x[k] as int) * (2 - k % 2)) // 10 + (cast(x[k] as int) * (2 - k % 2)) % 10)) % 10 != 0) as wrong from both_),
+        n as (select query_id, a, b, cast(da is null or db is null or da != db as int) + cast(ea < '{TODAY}' or eb < '{TODAY}' or (ea != eb and ta = tb) as int) + cast((ta != tb and ia and ib) or ta = tb as int) + cast(ia and wrong[1] as int) + cast(ib and wrong[2] as int) + cast(sa != '' and sb != '' and sa != sb as int) as stops from v),
+        w as (select query_id, score, stops, case when score >= 85 then 2 when score >= 60 then 1 else 0 end as p from n join scores using (a, b))
+        select query_id, score as name_score, (['NO_MATCH', 'REFER', 'MATCH'])[p + 1] as provisional_verdict, (['NO_MATCH', 'REFER', 'MATCH'])[if(stops > 0, least(p, 1), p) + 1] as verdict, if(stops > 0 and p > 1, 'CAP-1', null) as cap_rule, stops from w""",
+    "block_candidates": f"""with {_persons}, {_watchlist}, names as (select fullName as name from p union select unnest(names) from e), {_keys},
+        i as (select distinct idx, block_key from (select idx, unnest(names) as name from e) join keys using (name)),
+        n as (select distinct q.name, idx from keys q join i using (block_key))
+        select query_id, count(*) as candidates from p join n on p.fullName = n.name group by query_id""",
     "country_risk": f"with {_persons} select query_id, nationality as code, case nationality when 'SY' then 'high' when 'IR' then 'high' when 'EG' then 'medium' end as risk from p",
     "script_counts": f"with {_persons} select case when regexp_matches(fullName, '[\\x{{0600}}-\\x{{06FF}}]') then 'arabic' when regexp_matches(fullName, '[\\x{{0590}}-\\x{{05FF}}]') then 'hebrew' else 'latin' end as script, count(*) as n from p group by 1",
     "normalize_words": f"with {_words} select {_norm} as token, count(*) as n from w where word != '' group by 1",
