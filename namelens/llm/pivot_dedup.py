@@ -126,23 +126,21 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     plan = spark.sparkContext.broadcast((rank, np.maximum(1, -(-by_rank // block))))
     prefix = k - need + 1
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch], most: int = 8192) -> Iterator[pa.RecordBatch]:
         ranks, blocks = plan.value
         for batch in batches:
             own = np.sort(ranks[np.array(batch.column("pivots").to_pylist(), np.int64).reshape(len(batch), k)], axis=1).astype("<i4")
-            reps = batch.column("rep").to_numpy()
-            mixed = (reps * np.int64(-7046029254386353131)) >> 20
-            at, lists, lows, highs, sides = [], [], [], [], []
-            for j in range(prefix):
-                for r in range(len(batch)):
-                    p = int(own[r, j])
-                    n = int(blocks[p])
-                    mine = int(mixed[r] % n)
-                    for other in range(n):
-                        at.append(r), lists.append(p), lows.append(min(mine, other)), highs.append(max(mine, other)), sides.append(mine)
-            chosen = batch.take(pa.array(at, pa.int64()))
-            described_by = [own[r].tobytes() for r in at]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(sides, pa.int32()), chosen.column(0), chosen.column(1), chosen.column(2), pa.array(described_by, pa.binary())], names=["list", "low", "high", "side", "rep", "n", "x", "own"])
+            mixed = (batch.column("rep").to_numpy() * np.int64(-7046029254386353131)) >> 20
+            lists = own[:, :prefix].ravel()
+            row, n = np.repeat(np.arange(len(batch)), prefix), blocks[lists]
+            mine, ends = mixed[row] % n, np.cumsum(n)
+            for low in range(0, int(ends[-1]) if len(ends) else 0, most):  # so many copies of vectors at once
+                copy = np.arange(low, min(low + most, int(ends[-1])))
+                at = np.searchsorted(ends, copy, "right")
+                other, side = copy - (ends[at] - n[at]), mine[at]
+                chosen, of = batch.take(pa.array(row[at], pa.int64())), own[row[at]]
+                described_by = pa.array([o.tobytes() for o in of], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(lists[at], pa.int32()), pa.array(np.minimum(side, other).astype(np.int32)), pa.array(np.maximum(side, other).astype(np.int32)), pa.array(side.astype(np.int32)), chosen.column(0), chosen.column(1), chosen.column(2), described_by], names=["list", "low", "high", "side", "rep", "n", "x", "own"])
 
     def verify(group: pa.Table) -> pa.Table:
         here, low, high = group.column("list")[0].as_py(), group.column("low")[0].as_py(), group.column("high")[0].as_py()

@@ -71,13 +71,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL = {
+    "op8_mixing": """
+        with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size, md5('1:' || coalesce(cast(doc_id as varchar), '')) as draw from documents),
+        s1 as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
+        s2 as (select *, ([5, 2, 1])[place % 3 + 1] as weight, cast(sum(source_size) over () as bigint) as total, 3 * source_size as top from s1),
+        s3 as (select *, cast(total - coalesce(sum(top) over (order by top / weight, place rows between unbounded preceding and 1 preceding), 0) as bigint)
+            / cast(sum(weight) over (order by top / weight, place rows between current row and unbounded following) as bigint) as level from s2),
+        s4 as (select *, max(case when level <= top / weight then level end) over () as final from s3),
+        t as (select source, place, source_size, case when final is null then cast(top as double) else least(cast(top as double), final * weight) end as target,
+            greatest(1, least(64, total // 4096)) as block, cast(greatest(1, ceil(source_size / 400000)) as bigint) as n_shards, total from s4),
+        won as (select place, count(*) as quota from (select place, target, row_number() over (order by target / (2 * s + 1) desc, place) as r, seats
+            from (select *, cast(round(total / block) as bigint) as seats from t), lateral (select unnest(range(seats)) as s)) where r <= seats and target > 0 group by place),
+        p as (select d.doc_id, d.size, d.draw, t.place, cast(('0x' || draw[1:8]) as bigint) % n_shards as shard, source_size, target, block, coalesce(quota, 0) as quota
+            from d join t on d.source is not distinct from t.source left join won on won.place = t.place),
+        h as (select place, shard, cast(sum(size) as bigint) as shard_size, any_value(quota) as seats, any_value(block) as block from p group by place, shard),
+        hw as (select place, shard, count(*) as quota from (select place, shard, shard_size, seats, row_number() over (partition by place order by shard_size / (2 * s + 1) desc, shard) as r
+            from h, lateral (select unnest(range(seats)) as s)) where r <= seats and shard_size > 0 group by place, shard),
+        w as (select h.*, least(coalesce(quota, 0) * block, 3 * shard_size) as words from h left join hw using (place, shard)),
+        x as (select *, if(shard_size > 0, words // shard_size, 0) as whole, if(shard_size > 0, words % shard_size, 0) as rest from w),
+        b as (select place, shard, block, rest, b, least(block, shard_size - b * block) as n from x, lateral (select unnest(range((shard_size - 1) // block + 1)) as b) where rest > 0),
+        c as (select *, least(n, rest - coalesce(sum(n) over (partition by place, shard order by md5('1:' || place || ':' || shard || ':' || b), b rows between unbounded preceding and 1 preceding), 0)) as part from b),
+        l as (select *, coalesce(sum(size) over (partition by place, shard order by draw, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as start, row_number() over () as id from p),
+        o as (select l.id, sum(greatest(0, least(start + size, b * c.block + part) - greatest(start, b * c.block))) as more
+            from l join c on l.place = c.place and l.shard = c.shard and c.part > 0 and b * c.block < start + size and b * c.block + part > start where size > 0 group by l.id)
+        select doc_id, size, source_size, target, cast(whole * size + coalesce(more, 0) as bigint) as taken from l join x using (place, shard) left join o using (id)
+    """,
     "op9_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
         d as (select page_id, octet_length(body) as n, sha1(body) as sha from p),
         f as (select sha, max(page_id) as first from d where n >= 1000 group by sha)
         select d.page_id, cast(n as bigint) as payload_bytes, d.sha as payload_digest,
-               case when d.page_id < f.first then 'revisit' else 'response' end as record_type,
-               case when d.page_id < f.first then f.first end as refers_to
+               case when d.page_id < f.first or d.page_id is null and f.first is not null then 'revisit' else 'response' end as record_type,
+               case when d.page_id < f.first or d.page_id is null then f.first end as refers_to
         from d left join f on d.sha = f.sha and d.n >= 1000
     """,
 }
