@@ -309,6 +309,21 @@ ORACLE_SQL = {
             if(hits = 0, 'no name or alias reached 75', hits || if(hits = 1, ' hit', ' hits') || ' from 75: ' || concat_ws(', ', if(strong > 0, strong || ' corroborated', null), if(potential > 0, potential || ' potential', null), if(discounted > 0, discounted || ' discounted', null)) || if(discounted = hits, '; look at each before dismissing it', '')) as reason from d""",
     "name_pair_scores": f"""with recursive {_persons}, {_beside}, wanted as (select distinct a.longName as a, b.longName as b from go a join go b on b.query_id = a.other), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
         select a, b, score, unmatched_middles, rules as rules_a from scores join name_rules on name = a""",
+    "zone_name_checks": f"""with recursive {_persons}, z as (select query_id, {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as a, fullName as b from p where query_id % 13 != 0 and query_id % 10 != 9),
+        wanted as (select distinct a, b from z), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
+        select query_id, 'zone name' as field, case when score >= 85 then 'ok' when score >= 60 then 'warn' else 'bad' end as status, 'MRZ-3' as rules, if(score < 60, 'REFER', null) as cap from z join scores using (a, b)""",
+    "document_verdicts": f"""with recursive {_persons}, {_beside}, sides as (select *, {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as latin from go),
+        both_ as (select a.query_id, b.query_id as k2, a.longName as a, b.longName as b, a.latin as la, b.latin as lb, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb from sides a join sides b on b.query_id = a.other),
+        wanted as (select a, b from both_ union select la, a from both_ union select lb, b from both_), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES},
+        v as (select *, ca = 'IL' and ta in ('national_id', 'drivers_license') as ia, cb = 'IL' and tb in ('national_id', 'drivers_license') as ib,
+            list_transform([na, nb], lambda x: list_sum(list_transform(range(1, 10), lambda k: (cast(x[k] as int) * (2 - k % 2)) // 10 + (cast(x[k] as int) * (2 - k % 2)) % 10)) % 10 != 0) as wrong from both_),
+        n as (select v.*, s.score, x.score as xa, y.score as xb, cast(da is null or db is null or da != db as int) + cast(ea < '{TODAY}' or eb < '{TODAY}' or (ea != eb and ta = tb) as int) + cast((ta != tb and ia and ib) or ta = tb as int) + cast(ia and wrong[1] as int) + cast(ib and wrong[2] as int) + cast(sa != '' and sb != '' and sa != sb as int) as stops,
+            6 + cast(ia as int) + cast(ib as int) + cast(sa != '' and sb != '' as int) as rows_
+            from v join scores s on s.a = v.a and s.b = v.b join scores x on x.a = la and x.b = v.a join scores y on y.a = lb and y.b = v.b),
+        z as (select *, list_transform([{{'k': query_id, 's': xa}}, {{'k': k2, 's': xb}}], lambda t: case when t.k % 13 = 0 then {{'n': 0, 'stops': 0}} when t.k % 10 = 9 then {{'n': 1, 'stops': 1}}
+            else {{'n': 4, 'stops': cast(t.k % 10 in (3, 7) as int) + cast(t.s < 60 as int)}} end) as zones from n),
+        w as (select query_id, score, stops + zones[1].stops + zones[2].stops as stops, rows_ + zones[1].n + zones[2].n as n_checks, case when score >= 85 then 2 when score >= 60 then 1 else 0 end as p from z)
+        select query_id, score as name_score, (['NO_MATCH', 'REFER', 'MATCH'])[if(stops > 0, least(p, 1), p) + 1] as verdict, n_checks, stops, if(stops > 0 and p > 1, 'CAP-1', null) as cap_rule from w""",
     "record_verdicts": f"""with recursive {_persons}, {_beside}, both_ as (select a.query_id, a.longName as a, b.longName as b, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb from go a join go b on b.query_id = a.other),
         wanted as (select distinct a, b from both_), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES},
         v as (select *, ca = 'IL' and ta in ('national_id', 'drivers_license') as ia, cb = 'IL' and tb in ('national_id', 'drivers_license') as ib,
