@@ -49,8 +49,14 @@ def weight(i: str) -> str:
 
 
 LAYERS = "case when x.known = y.known then 100 when x.known != y.known then 0 when x.cons = '' and y.cons = '' then if(x.bare = y.bare, 100, 0)"
-#: Tokens, rules and attributes of the names in table ``names``, and every score of the pairs in table ``wanted`` (a, b).
-SCORES = f"""known_spellings as (select unnest(string_split(s, ' ')) as spelling, k from (values {", ".join(f"('{n}', '{x}')" for n, x in lx.KNOWN.items())}) v(k, s)),
+
+
+def score_tables(tokens: str = "", pairs: str = "") -> str:
+    """Tokens, rules and attributes of the names in table ``names``, and every score of the pairs in table ``wanted`` (a, b).
+
+    ``tokens`` and ``pairs`` add tokens and pairs of tokens whose skeletons are compared too.
+    """
+    return f"""known_spellings as (select unnest(string_split(s, ' ')) as spelling, k from (values {", ".join(f"('{n}', '{x}')" for n, x in lx.KNOWN.items())}) v(k, s)),
     raw_tokens as (select name, list_filter(regexp_split_to_array(name, '[\\s،؛]+'), lambda t: t != '') as raw from (select distinct name from names)),
     plain_tokens as (select name, list_filter(list_transform(raw, lambda t: {normal('t')}), lambda t: t != '') as ts,
         list_contains(list_transform(raw, lambda t: case {script('t')} when 'arabic' then regexp_matches(t, '{lx.ARABIC_MARKS}') when 'hebrew' then regexp_matches(t, '{lx.HEBREW_MARKS}') else regexp_matches(t, '[{FOLD_FROM}š]') end), true) as marks,
@@ -69,7 +75,7 @@ SCORES = f"""known_spellings as (select unnest(string_split(s, ' ')) as spelling
         when i > 1 and regexp_matches(t, '^[ae]l...') then 'ART-1' end as rule from parts left join known_spellings on spelling = translate({normal('t')}, '-''’`ʿʼ ', '')),
     name_parts as (select name, list(t order by i) filter (where t != '') as ts, list(rule order by i) filter (where rule is not null) as articles from stripped group by name),
     name_rules as (select name, array_to_string(if(marks, ['NORM-1'], []) || if(geresh, ['HEB-1'], []) || list_transform(range(joined), lambda x: 'JOIN-1') || list_transform(range(n - len(ks)), lambda x: 'PAT-1') || coalesce(articles, []), ',') as rules from kept_tokens left join name_parts using (name)),
-    all_tokens as (select distinct unnest(ts) as token from name_parts),
+    all_tokens as (select distinct unnest(ts) as token from name_parts {tokens}),
     reduced as (select token, k as known, translate({normal('token')}, '-''’`ʿʼ. ', '') as bare, if({script('token')} = 'latin', nullif(translate(regexp_extract({normal('token')}, '[aeiou]'), 'eo', 'iu'), ''), null) as vowel,
         regexp_extract_all(case {script('token')} when 'arabic' then translate({normal('token')}, '-''’`ʿʼ', '') when 'hebrew' then translate(translate({normal('token')}, '''’', '{lx.GERESH}{lx.GERESH}'), '-`ʿʼ', '')
             else translate({normal('token')}, '-’`ʿʼ', repeat(chr(39), 5)) end, '{GROUPS}') as us from all_tokens left join known_spellings on spelling = translate({normal('token')}, '-''’`ʿʼ ', '')),
@@ -80,8 +86,8 @@ SCORES = f"""known_spellings as (select unnest(string_split(s, ' ')) as spelling
     lists as (select a, b, p.ts as ta, q.ts as tb from wanted left join name_parts p on p.name = a left join name_parts q on q.name = b),
     grid as (select a, b, i, unnest(tb) as y, generate_subscripts(tb, 1) - 1 as j, x, len(ta) as n, len(tb) as m from (select a, b, unnest(ta) as x, generate_subscripts(ta, 1) - 1 as i, ta, tb from lists)),
     token_pairs as (select x.token as a, y.token as b, x.cons as s1, y.cons as s2, x.weak as w1, y.weak as w2, {LAYERS} end as sure, x.vowel != y.vowel as conflict
-        from (select distinct x as p, y as q from grid) join t x on x.token = p join t y on y.token = q),
-    recursive_rows as (select a, b, s1, s2, w1, w2, 0 as i, list_reduce(range(1, length(s2) + 1), lambda acc, j: acc || [acc[-1] + {indel('s2[j]', 'w2[j]')}], [0]) as r from token_pairs where sure is null
+        from (select x as p, y as q from grid union select cast(null as varchar), null {pairs}) join t x on x.token = p join t y on y.token = q),
+    recursive_rows as (select a, b, s1, s2, w1, w2, 0 as i, list_reduce(range(1, length(s2) + 1), lambda acc, j: acc || [acc[-1] + {indel('s2[j]', 'w2[j]')}], [0]) as r from token_pairs
         union all select a, b, s1, s2, w1, w2, i + 1, list_reduce(range(1, length(s2) + 1), lambda acc, j: acc || [least(r[j] + {substitution('s1[i + 1]', 's2[j]', '(w1[i + 1] or w2[j])')}, r[j + 1] + {indel('s1[i + 1]', 'w1[i + 1]')}, acc[-1] + {indel('s2[j]', 'w2[j]')})], [r[1] + {indel('s1[i + 1]', 'w1[i + 1]')}])
         from recursive_rows where i < length(s1)),
     graded as (select p.a, p.b, case when sure is not null then sure when p.s1 = p.s2 then if(conflict, 78, 100) else cast(floor(greatest(0.0, 1.0::double - (r[-1] / 4.0::double) / greatest(length(p.s1), length(p.s2))) * 100 + 0.5) as int) end as cents, conflict, sure
@@ -97,3 +103,6 @@ SCORES = f"""known_spellings as (select unnest(string_split(s, ' ')) as spelling
         len(list_filter(range(n), lambda i: not list_contains(g.ui, i) and {role('i', 'n')} < 2)) + len(list_filter(range(m), lambda j: not list_contains(g.uj, j) and {role('j', 'm')} < 2)) as others from taken),
     found_scores as (select a, b, unmatched_middles, cast(floor(greatest(0.0::double, weighted / (used + 0.4::double * others) * 100 - 4 * unmatched_middles) + 0.5) as int) as score from summed),
     scores as (select a, b, coalesce(score, 0) as score, cast(coalesce(unmatched_middles, 0) as int) as unmatched_middles from wanted left join found_scores using (a, b))"""
+
+
+SCORES = score_tables()

@@ -309,6 +309,13 @@ ORACLE_SQL = {
             if(hits = 0, 'no name or alias reached 75', hits || if(hits = 1, ' hit', ' hits') || ' from 75: ' || concat_ws(', ', if(strong > 0, strong || ' corroborated', null), if(potential > 0, potential || ' potential', null), if(discounted > 0, discounted || ' discounted', null)) || if(discounted = hits, '; look at each before dismissing it', '')) as reason from d""",
     "name_pair_scores": f"""with recursive {_persons}, {_beside}, wanted as (select distinct a.longName as a, b.longName as b from go a join go b on b.query_id = a.other), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
         select a, b, score, unmatched_middles, rules as rules_a from scores join name_rules on name = a""",
+    "address_check": f"""with recursive {_pairs}, side as (select query_id, {", ".join(f"trim(regexp_replace(regexp_replace({x}, '^[0-9]+ |,', '', 'g'), '^(King) St\\.|^شارع |^Road |^Flat ', '\\1')) as {y}" for x, y in (("aa", "a"), ("ab", "b")))} from q),
+        wanted as (select distinct a, b from side), names as (select a as name from wanted union select b from wanted),
+        {name_sql.score_tables("union select array_to_string(ts, '') from name_parts", "union select array_to_string(p.ts, ''), array_to_string(q.ts, '') from wanted join name_parts p on p.name = a join name_parts q on q.name = b")},
+        sounds as (select w.a, w.b, array_to_string(p.ts, '') as x, array_to_string(q.ts, '') as y from wanted w join name_parts p on p.name = w.a join name_parts q on q.name = w.b),
+        c as (select sounds.a, sounds.b, if(s1 = s2, 100, cast(floor(greatest(0.0::double, 1.0::double - (r[-1] / 4.0::double) / greatest(length(s1), length(s2), 1)) * 100 + 0.5) as int)) as percent
+            from sounds join recursive_rows d on d.a = x and d.b = y and d.i = length(d.s1))
+        select query_id, case when percent >= 80 then 'ok' when percent >= 50 then 'warn' else 'info' end as status, 'ADDR-1' as rules, cast(null as varchar) as cap from side join c using (a, b)""",
     "zone_name_checks": f"""with recursive {_persons}, z as (select query_id, {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as a, fullName as b from p where query_id % 13 != 0 and query_id % 10 != 9),
         wanted as (select distinct a, b from z), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
         select query_id, 'zone name' as field, case when score >= 85 then 'ok' when score >= 60 then 'warn' else 'bad' end as status, 'MRZ-3' as rules, if(score < 60, 'REFER', null) as cap from z join scores using (a, b)""",
