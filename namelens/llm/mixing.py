@@ -84,9 +84,10 @@ def drawn(rows: DataFrame, weights: tuple[int, ...], most: int, block_words: int
     lined = written(placed.withColumn("start", start).join(shards, ["place", "shard"]).drop("quota", "block", "draw"), "lined")
     spread = lined.where("size > 0 and rest > 0").select("place", "shard", "start", "size", "block_size", F.explode(F.expr("sequence(start div block_size, (start + size - 1) div block_size)")).alias("b"))
     low, high = F.greatest(F.col("start"), F.col("b") * F.col("block_size")), F.least(F.col("start") + F.col("size"), F.col("b") * F.col("block_size") + F.col("part"))
-    more = spread.join(blocks, ["place", "shard", "b"]).where(high > low).groupBy("place", "shard", "start").agg(F.sum(high - low).alias("more"))
+    # Spark takes the exploded blocks for as small as their shards and would broadcast them.
+    more = spread.join(blocks.hint("merge"), ["place", "shard", "b"]).where(high > low).groupBy("place", "shard", "start").agg(F.sum(high - low).alias("more"))
     # Only a document that has words begins where it begins; the others take nothing.
-    out = lined.join(more, ["place", "shard", "start"], "left")
+    out = lined.join(more.hint("merge"), ["place", "shard", "start"], "left")
     taken = F.when(F.col("size") > 0, F.col("whole") * F.col("size") + F.coalesce("more", F.lit(0))).otherwise(0)
     return out.select("doc_id", "row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -113,7 +114,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     rows = written(sized(numbered, id_col, text_col, source_col, seed, "__row"), "sizes")
     taken = drawn(rows, weights, most, block_words, shard_words, seed).where("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    joined = numbered.join(taken, "__row")
+    joined = numbered.join(taken.hint("merge"), "__row")
     text, part = F.col(text_col).cast("string"), F.expr("__taken % __size")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), part.cast("int")), "")
     texts = F.concat(F.array_repeat(text, F.expr("int(__taken div __size)")), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
