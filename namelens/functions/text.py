@@ -37,7 +37,9 @@ def normalize_token(token: Column) -> Column:
     latin = F.translate(F.replace(F.lower(token), F.lit("š"), F.lit("sh")), "".join(fold), "".join(fold.values()))
     script = detect_script(token)
     bare = F.when(script == "arabic", F.regexp_replace(token, lx.ARABIC_MARKS, "")).when(script == "hebrew", F.regexp_replace(token, lx.HEBREW_MARKS, "")).otherwise(latin)
-    return trimmed(without(bare, ".,;:_\"“”()[]"))
+    full = trimmed(without(bare, ".,;:_\"“”()[]"))
+    plain = F.btrim(without(F.lower(token), ".,;:_\"()[]"), F.lit("\t\n\v\f\r "))  # of ASCII alone, most tokens of most texts
+    return F.when(F.length(token) == F.octet_length(token), plain).otherwise(full)
 
 
 def tokenize(name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks as ck
-from ..functions.address import check_address
+from ..functions.address import check_address, locality
 from ..sources.shared import written
 from .zones import scored_names, with_zones, zone_rows
 
@@ -30,6 +30,14 @@ def verdict_reason(provisional: Column, verdict: Column, score: Column, match: f
     return F.concat(F.lit("The name score of "), score.cast("string"), F.lit(" "), where, F.lit(" "), F.when(verdict == provisional, same).otherwise(lowered))
 
 
+def with_address_check(pairs: DataFrame, out: str) -> DataFrame:
+    """``pairs`` with the check of address_a and address_b; each distinct pair of localities is compared once."""
+    located = pairs.withColumn("__at_a", locality(F.col("address_a"))).withColumn("__at_b", locality(F.col("address_b")))
+    both = located.select("__at_a", "__at_b").distinct()
+    checked = both.select("__at_a", "__at_b", check_address(F.col("__at_a"), F.col("__at_b")).cast(CHECK).alias(out))
+    return located.join(checked, ["__at_a", "__at_b"]).drop("__at_a", "__at_b")
+
+
 def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> DataFrame:
     """One row for each pair of records whose fields end in _a and _b, keyed by ``query_id``.
 
@@ -42,6 +50,7 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     has = lambda field: {f"{field}_a", f"{field}_b"} <= set(pairs.columns)
     none = F.array().cast(f"array<{CHECK}>")
     sides = "ab" if has("mrz") else ""
+    pairs = with_address_check(pairs, "__address") if has("address") else pairs
     rows = written(with_zones(with_zones(pairs, today, "_a"), today, "_b"), "zones") if sides else pairs
     rows = scored_names(rows, [("fullName_a", "fullName_b", "__names"), *[(f"__latin_{s}", f"fullName_{s}", f"__name_{s}") for s in sides]])
     missing = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("role"), F.lit(None).cast("int").alias("score"), F.array(F.lit("MISS-1")).alias("rules")))
@@ -61,7 +70,7 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
         ck.check_sex(c("sex_a"), c("sex_b")),
         ck.check_type(c("docType_a"), c("docType_b")),
         ck.check_country(c("country_a"), c("country_b")),
-        *([check_address(c("address_a"), c("address_b"))] if has("address") else []),
+        *([c("__address")] if has("address") else []),
     ]
     listed = lambda checks: F.array_compact(F.array(*[x.cast(CHECK) for x in checks]))
     read = [ck.check_provenance(c(f"provenance_{s}"), s).cast(f"array<{CHECK}>") for s in "ab"] if has("provenance") else []

@@ -132,10 +132,13 @@ def record_pairs(spark: SparkSession, sf_dir: str, source: Callable[[SparkSessio
         "dob_b": dob_b,
         "expiry_a": F.when(k % 18 == 1, None).otherwise(c("expiry_a")),
         "expiry_b": F.when(k % 9 == 0, c("expiry_a")).when(k % 9 == 1, None).when(k % 9 == 2, F.lit("2030-13-01")).otherwise(c("expiry_b")),
-        "docNumber_b": F.when(k % 5 == 0, c("docNumber_a")).when(k % 5 == 1, F.when(k % 10 == 1, None).otherwise("")).otherwise(c("docNumber_b")),
+        "docNumber_b": F.when(k % 7 == 0, c("docNumber_a")).when(k % 7 == 1, F.when(k % 14 == 1, None).otherwise("")).otherwise(c("docNumber_b")),
+        "docType_b": F.when(k % 4 == 1, c("docType_a")).otherwise(c("docType_b")),
         "country_a": F.when(k % 4 == 0, "IL").otherwise(c("country_a")),
         "country_b": F.when(k % 4 == 0, "IL").otherwise(c("country_b")),
     }
+    if "address_b" in rows.columns:
+        planted["address_b"] = F.when(k % 6 == 0, c("address_a")).when(k % 6 == 1, "7 Road").when(k % 6 == 2, F.concat(F.lit("5, "), pick(CITIES, k * 3))).otherwise(c("address_b"))
     return rows.withColumns(planted)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions import capture, mrz, notes
 from ..functions import checks as ck
-from ..functions.address import check_address, locality
+from ..functions.address import locality
 from ..functions.text import detect_script, first_vowel, known_label, known_name, normalize_token, skeleton, tokenize
 from ..operators import compare as cmp
 from ..operators import names, screening
@@ -176,10 +176,8 @@ def address_localities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct pair of addresses is compared once."""
     pairs = record_pairs(spark, sf_dir, passports).select("query_id", "address_a", "address_b")
-    checked = pairs.select("address_a", "address_b").distinct().select("address_a", "address_b", check_address(F.col("address_a"), F.col("address_b")).alias("r"))
-    return pairs.join(checked, ["address_a", "address_b"]).select("query_id", *check_columns(F.col("r")))
+    return cmp.with_address_check(pairs, "r").select("query_id", *check_columns(F.col("r")))
 
 
 def zone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,8 +258,9 @@ _pairs = f"""{_persons}, lo as (select min(query_id) as low, max(query_id) - min
     j as (select a.query_id as k, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb, a.address as aa, b.address as ab from o a join o b on b.query_id = a.other),
     q as (select k as query_id, case when k % 8 = 3 then da[1:4] || '-01-01' else da end as da,
         case k % 8 when 0 then da when 1 then da[1:4] || '-' || da[9:10] || '-' || da[6:7] when 2 then da[1:4] || '-12-31' when 3 then da[1:4] || '-01-01' when 4 then da[1:4] || '-02-30' else db end as db,
-        case when k % 18 = 1 then null else ea end as ea, case k % 9 when 0 then ea when 1 then null when 2 then '2030-13-01' else eb end as eb, sa, sb, ta, tb,
-        na, case k % 5 when 0 then na when 1 then '' else nb end as nb, if(k % 4 = 0, 'IL', ca) as ca, if(k % 4 = 0, 'IL', cb) as cb, aa, ab from j)"""
+        case when k % 18 = 1 then null else ea end as ea, case k % 9 when 0 then ea when 1 then null when 2 then '2030-13-01' else eb end as eb, sa, sb, ta, if(k % 4 = 1, ta, tb) as tb,
+        na, case k % 7 when 0 then na when 1 then '' else nb end as nb, if(k % 4 = 0, 'IL', ca) as ca, if(k % 4 = 0, 'IL', cb) as cb, aa,
+        case k % 6 when 0 then aa when 1 then '7 Road' when 2 then '5, ' || {_pick(CITIES, 'k * 3')} else ab end as ab from j)"""
 _fold_from = "".join(g for g in lx.LATIN_FOLD.values())
 _fold_to = "".join(b * len(g) for b, g in lx.LATIN_FOLD.items())
 _words = r"w as (select unnest(regexp_split_to_array(text, '[\s]+')) as word from documents)"
@@ -309,13 +308,13 @@ ORACLE_SQL = {
             if(hits = 0, 'no name or alias reached 75', hits || if(hits = 1, ' hit', ' hits') || ' from 75: ' || concat_ws(', ', if(strong > 0, strong || ' corroborated', null), if(potential > 0, potential || ' potential', null), if(discounted > 0, discounted || ' discounted', null)) || if(discounted = hits, '; look at each before dismissing it', '')) as reason from d""",
     "name_pair_scores": f"""with recursive {_persons}, {_beside}, wanted as (select distinct a.longName as a, b.longName as b from go a join go b on b.query_id = a.other), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
         select a, b, score, unmatched_middles, rules as rules_a from scores join name_rules on name = a""",
-    "address_check": f"""with recursive {_pairs}, side as (select query_id, {", ".join(f"trim(regexp_replace(regexp_replace({x}, '^[0-9]+ |,', '', 'g'), '^(King) St\\.|^شارع |^Road |^Flat ', '\\1')) as {y}" for x, y in (("aa", "a"), ("ab", "b")))} from q),
+    "address_check": f"""with recursive {_pairs}, side as (select query_id, {", ".join(f"trim(regexp_replace(trim(regexp_replace({x}, '[0-9]+|,', '', 'g')), '^(King) St\\.|^شارع |^Road ?|^Flat ', '\\1')) as {y}" for x, y in (("aa", "a"), ("ab", "b")))} from q),
         wanted as (select distinct a, b from side), names as (select a as name from wanted union select b from wanted),
         {name_sql.score_tables("union select array_to_string(ts, '') from name_parts", "union select array_to_string(p.ts, ''), array_to_string(q.ts, '') from wanted join name_parts p on p.name = a join name_parts q on q.name = b")},
         sounds as (select w.a, w.b, array_to_string(p.ts, '') as x, array_to_string(q.ts, '') as y from wanted w join name_parts p on p.name = w.a join name_parts q on q.name = w.b),
         c as (select sounds.a, sounds.b, if(s1 = s2, 100, cast(floor(greatest(0.0::double, 1.0::double - (r[-1] / 4.0::double) / greatest(length(s1), length(s2), 1)) * 100 + 0.5) as int)) as percent
             from sounds join recursive_rows d on d.a = x and d.b = y and d.i = length(d.s1))
-        select query_id, case when percent >= 80 then 'ok' when percent >= 50 then 'warn' else 'info' end as status, 'ADDR-1' as rules, cast(null as varchar) as cap from side join c using (a, b)""",
+        select query_id, case when percent >= 80 then 'ok' when percent >= 50 then 'warn' else 'info' end as status, if(a = '' or b = '', 'MISS-1', 'ADDR-1') as rules, cast(null as varchar) as cap from side left join c using (a, b)""",
     "zone_name_checks": f"""with recursive {_persons}, z as (select query_id, {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as a, fullName as b from p where query_id % 13 != 0 and query_id % 10 != 9),
         wanted as (select distinct a, b from z), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
         select query_id, 'zone name' as field, case when score >= 85 then 'ok' when score >= 60 then 'warn' else 'bad' end as status, 'MRZ-3' as rules, if(score < 60, 'REFER', null) as cap from z join scores using (a, b)""",

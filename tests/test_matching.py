@@ -1,6 +1,7 @@
 """Golden cases of the matching library, and its queries against DuckDB."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -139,6 +140,22 @@ def test_streamed_hits_equal_batch(spark):
     assert sorted(streamed.collect()) == sorted(want.collect())
 
 
+def test_notes_and_rules_of_queries(spark):
+    """A note for each pair that cites its checks' rules; every rule cited is registered, as often as results cite it."""
+    pairs = {r.query_id: r for r in q.mixed_pairs(spark, SF).collect()}
+    found = {r.query_id: r for r in compare(q.mixed_pairs(spark, SF), q.TODAY).collect()}
+    notes = {r.query_id: r.note for r in q.case_notes(spark, SF).collect()}
+    assert notes.keys() == pairs.keys()
+    for k, note in notes.items():
+        assert max(map(len, note.split("\n"))) <= 76 and f"Name score {found[k].name_score} of 100" in note and (("[CAP-1]" in note) == (found[k].cap_rule == "CAP-1"))
+        assert all(" ".join(c.rules) in note.replace("\n", " ").replace("    ", "") for c in found[k].checks)
+    cited = {r.rule: r for r in q.rules_cited(spark, SF).collect()}
+    assert all(r.about for r in cited.values())
+    verdicts = compare(q.mixed_pairs(spark, SF, q.passports), q.TODAY).collect()
+    want = Counter(x for v in verdicts for c in [*v.checks, *v.name_pairs] for x in c.rules) + Counter(x for h in q.hits(spark, SF).collect() for x in h.rules)
+    assert {k: r.n for k, r in cited.items()} == dict(want)
+
+
 def test_registry(spark):
     assert sum(map(len, registry.RULES.values())) == 56
     unknown = registry.cited(spark.createDataFrame([(["SCR-1", "NOPE"],)], "rules array<string>")).where("about is null").collect()
