@@ -46,10 +46,10 @@ def thinned(points: np.ndarray, angle: float, block: int = 256) -> np.ndarray:
     return kept
 
 
-def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, nearest: int = 10, shared: int = 2, pivots_per_root: float = 6.0, most_pivots: int = 8192, block: int = 2048, seed: int = 3) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, nearest: int = 10, shared: int = 2, pivots_per_root: float = 6.0, most_pivots: int = 65_536, block: int = 2048, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Pivots are a hashed, then thinned sample of sqrt(n) * ``pivots_per_root`` vectors, ``most_pivots`` at most; every
+    Pivots are a hashed, then thinned sample of sqrt(n) * ``pivots_per_root`` vectors, ``most_pivots`` at most (collected and broadcast, a vector each); every
     vector is indexed. Links are exact where an end has a home. Equal vectors are one entry with a count. Vectors that are null, zero, of another length than most, or
     hold null or non-finite components link with nothing and are their own component. A row with a null id is
     returned with no links, a null component and kept false. Repeated rows count as vectors of their own. Other
