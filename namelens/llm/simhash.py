@@ -5,6 +5,12 @@ pairs within ``radius`` bits, every bit position gets a non-zero vector of radiu
 non-zero vector) masks the positions whose vector has an odd product with v. Two fingerprints that differ in at most
 ``radius`` positions agree under at least one mask, since at most ``radius`` linear conditions leave a non-zero v.
 So no pair within the radius is ever missed, and candidates only have to be verified.
+
+Documents that share four fifths of their shingles differ in some ten bits, which no number of masks that is of use can
+cover. Where such near copies are wanted too, a document is cut by its own content into segments of some shingles, each
+with a fingerprint of its own; near copies share most of them. Of the documents that share a segment, those that share
+most of all their segments stand in the middle of a group, so each document is compared with these, by the exact
+similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, map_in_python, written
@@ -47,31 +53,64 @@ def word_runs(data: bytes, words: int, most: int = 1 << 20) -> Iterator[tuple[li
             yield run, len(run) - words + 1
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint; zero for null or a text without words. A long text is hashed run by run."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of a text in order, a run of the text at a time; of all words if they are too few."""
     from xxhash import xxh64_intdigest
 
-    if not text:
-        return 0
-    data = text.encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only, and ASCII white space below
-    total, n, parts = np.zeros(BITS, np.int64), 0, []
-    for parts, shingles in word_runs(data, words):
+    data, few = (text or "").encode("utf-8", "surrogatepass").lower(), []  # bytes: A-Z only, and ASCII white space below
+    for few, shingles in word_runs(data, words):
         if shingles <= 0:
             continue
-        joined = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        joined = b" ".join(few)
+        ends = np.cumsum(np.fromiter(map(len, few), np.int64, len(few)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
-        h = np.array([xxh64_intdigest(joined[i:j], seed) for i, j in zip(starts[:shingles].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
-        for at in range(0, shingles, 1 << 15):
-            total += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += shingles
-    if not n:
-        return xxh64_intdigest(b" ".join(parts), seed) if parts else 0
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        yield np.array([xxh64_intdigest(joined[i:j], seed) for i, j in zip(starts[:shingles].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+    if 0 < len(few) < words:
+        yield np.array([xxh64_intdigest(b" ".join(few), seed)], "<u8")
+
+
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def majority(sums: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """The fingerprints of sums of bits over ``n`` hashes."""
+    return np.packbits(2 * sums > np.asarray(n)[..., None], axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint; zero for null or a text without words. A long text is hashed run by run."""
+    total, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, words, seed):
+        for at in range(0, len(h), 1 << 15):
+            total += bits_of(h[at : at + (1 << 15)]).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(majority(total, n)) if n else 0
+
+
+def segments(text: str | None, words: int, seed: int, length: int) -> tuple[dict[int, int], int]:
+    """(fingerprint of a segment: its shingles, shingles in all); a segment begins where a hash is divisible by ``length``."""
+    found: dict[int, int] = {}
+    total = 0
+    for h in shingle_hashes(text, words, seed):
+        for at in range(0, len(h), 1 << 15):
+            part = h[at : at + (1 << 15)]
+            starts = np.unique(np.concatenate(([0], np.flatnonzero(part % np.uint64(length) == 0))))
+            sizes = np.diff(np.append(starts, len(part)))
+            for key, n in zip(majority(np.add.reduceat(bits_of(part), starts, axis=0, dtype=np.int32), sizes).tolist(), sizes.tolist(), strict=True):
+                found[key] = found.get(key, 0) + n
+            total += len(part)
+    return found, total
+
+
+def similarity_of(a: str | None, b: str | None, words: int, seed: int) -> float:
+    """Shared part of the shingles of two texts."""
+    x, y = (set().union(*(h.tolist() for h in shingle_hashes(t, words, seed))) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+    """(doc_id, fp): the fingerprint of every whole text as a signed long; a row for each row, nulls and repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,6 +120,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_in_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
+def near_copies(texts: DataFrame, words: int = 5, similarity: float = 0.8, length: int = 16, hubs: int = 4, least_shared: float = 0.15, seed: int = 42) -> DataFrame:
+    """Links (a, b) between texts (node, text) whose shingle sets are alike by ``similarity`` or more.
+
+    Every text is compared with the ``hubs`` texts of each of its segments that share most of their own segments, the
+    smallest nodes first, if they share ``least_shared`` of its shingles in such segments and sizes allow the similarity. So
+    the work is linear in the texts, however many share a segment. A link is always true; one is missed where two texts
+    share no whole segment, or where more than ``hubs`` other texts stand before both in all that they share, and then
+    the group holds together if they are linked with one of those.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, total = segments(text.as_py(), words, seed, length)
+                out[0].extend([node] * len(found)), out[1].extend(map(signed, found)), out[2].extend(found.values()), out[3].extend([total] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["node", "key", "w", "n"])
+
+    rows = written(map_in_python(texts.select("node", "text"), cut, "node long, key long, w long, n long"), "segments")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = written(rows.join(shared, "key"), "shared-segments")
+    covered = met.groupBy("node").agg((F.sum("w") / F.max("n")).alias("covered"))
+    best = Window.partitionBy("key").orderBy(F.desc("covered"), "hub")
+    middle = met.select(F.col("node").alias("hub"), "key", F.col("n").alias("m")).join(covered.withColumnRenamed("node", "hub"), "hub")
+    middle = middle.withColumn("r", F.row_number().over(best)).where(F.col("r") <= hubs).select("key", "hub", "m")
+    pairs = met.join(middle, "key").where((F.col("node") != F.col("hub")) & (F.least("n", "m") >= F.greatest("n", "m") * similarity * 0.9))  # repeated shingles count in n
+    pairs = pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "key").agg(F.min("w").alias("w"), F.max("n").alias("n"))
+    pairs = written(pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("n").alias("n")).where(F.col("w") >= least_shared * F.col("n")).select("a", "b"), "candidates")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similarity_of(x.as_py(), y.as_py(), words, seed) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return map_in_python(both.select("a", "b", "x", "y"), verify, "a long, b long")
+
+
 def close_pairs(classes: DataFrame, radius: int = 2, pair_limit: int = 64) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints at most ``radius`` bits apart; ``classes`` is (node, fp).
 
@@ -106,9 +183,11 @@ def close_pairs(classes: DataFrame, radius: int = 2, pair_limit: int = 64) -> Da
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, pair_limit: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, pair_limit: int = 64, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links of at most ``radius`` bits.
 
+    With a ``similarity``, links of ``near_copies`` between texts of different fingerprints count too.
+
     Null texts and texts without words have fingerprint zero and are linked like any other; rows with a null doc_id
     take the component of their fingerprint, null if only such rows have it; repeated rows are returned as often as
     they occur; other columns are ignored; an empty table gives an empty table.
@@ -120,6 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("doc_id")
     links = close_pairs(reps, radius, pair_limit)
     same = fps.join(shared, "doc_id").join(classes, "fp").where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    comps = connected_components(links.union(same))
+    links = links.union(same)
+    if similarity is not None:
+        text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+        texts = written(text.join(reps.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+        links = links.union(near_copies(texts, words, similarity))
+    comps = connected_components(links)
     labels = classes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
