@@ -78,29 +78,31 @@ def majority(sums: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     return np.packbits(2 * sums > np.asarray(n)[..., None], axis=-1, bitorder="little").view("<u8")[..., 0]
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint; zero for null or a text without words. A long text is hashed run by run."""
-    total, n = np.zeros(BITS, np.int64), 0
-    for h in shingle_hashes(text, words, seed):
-        for at in range(0, len(h), 1 << 15):
-            total += bits_of(h[at : at + (1 << 15)]).sum(axis=0, dtype=np.int64)
-        n += len(h)
-    return int(majority(total, n)) if n else 0
+def described(text: str | None, words: int, seed: int, length: int | None = None) -> tuple[int, dict[int, int], int]:
+    """(unsigned fingerprint, shingles by fingerprint of a segment, shingles in all) of a text, hashed run by run.
 
-
-def segments(text: str | None, words: int, seed: int, length: int) -> tuple[dict[int, int], int]:
-    """(fingerprint of a segment: its shingles, shingles in all); a segment begins where a hash is divisible by ``length``."""
-    found: dict[int, int] = {}
-    total = 0
+    A segment begins where a hash is divisible by ``length``; without one there are none. The fingerprint is zero for
+    null or a text without words.
+    """
+    total, n, found = np.zeros(BITS, np.int64), 0, {}
     for h in shingle_hashes(text, words, seed):
         for at in range(0, len(h), 1 << 15):
             part = h[at : at + (1 << 15)]
+            bits = bits_of(part)
+            n += len(part)
+            if length is None:
+                total += bits.sum(axis=0, dtype=np.int64)
+                continue
             starts = np.unique(np.concatenate(([0], np.flatnonzero(part % np.uint64(length) == 0))))
-            sizes = np.diff(np.append(starts, len(part)))
-            for key, n in zip(majority(np.add.reduceat(bits_of(part), starts, axis=0, dtype=np.int32), sizes).tolist(), sizes.tolist(), strict=True):
-                found[key] = found.get(key, 0) + n
-            total += len(part)
-    return found, total
+            sizes, sums = np.diff(np.append(starts, len(part))), np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+            total += sums.sum(axis=0)
+            for key, size in zip(majority(sums, sizes).tolist(), sizes.tolist(), strict=True):
+                found[key] = found.get(key, 0) + size
+    return int(majority(total, n)) if n else 0, found, n
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    return described(text, words, seed)[0]
 
 
 def similarity_of(a: str | None, b: str | None, words: int, seed: int) -> float:
@@ -109,38 +111,37 @@ def similarity_of(a: str | None, b: str | None, words: int, seed: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long; a row for each row, nulls and repeats included."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, length: int | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed long; a row for each row, nulls and repeats included.
+
+    With a ``length``, also ``n``, the text's shingles, and ``segments`` of about that many, as (key, w).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [signed(fingerprint(t.as_py(), words, seed)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            got = [described(t.as_py(), words, seed, length) for t in batch.column(1)]
+            columns = {"doc_id": batch.column(0), "fp": pa.array([signed(g[0]) for g in got], pa.int64())}
+            if length is not None:
+                columns["n"] = pa.array([g[2] for g in got], pa.int64())
+                columns["segments"] = pa.array([[{"key": signed(k), "w": w} for k, w in g[1].items()] for g in got], pa.list_(pa.struct([("key", pa.int64()), ("w", pa.int64())])))
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return map_in_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", n long, segments array<struct<key:long,w:long>>" * (length is not None)
+    return map_in_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
-def near_copies(texts: DataFrame, words: int = 5, similarity: float = 0.8, length: int = 16, hubs: int = 4, least_shared: float = 0.15, seed: int = 42) -> DataFrame:
+def near_copies(segments: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8, hubs: int = 4, least_shared: float = 0.15, seed: int = 42) -> DataFrame:
     """Links (a, b) between texts (node, text) whose shingle sets are alike by ``similarity`` or more.
 
-    Every text is compared with the ``hubs`` texts of each of its segments that share most of their own segments, the
-    smallest nodes first, if they share ``least_shared`` of its shingles in such segments and sizes allow the similarity. So
-    the work is linear in the texts, however many share a segment. A link is always true; one is missed where two texts
-    share no whole segment, or where more than ``hubs`` other texts stand before both in all that they share, and then
-    the group holds together if they are linked with one of those.
+    ``segments`` has (node, key, w, n), each node and key once. Every text is compared with the ``hubs`` texts of each of
+    its segments that share most of their own segments, the smallest nodes first, if they share ``least_shared`` of its
+    shingles in such segments and sizes allow the similarity. So the work is linear in the texts, however many share a
+    segment. A link is always true; one is missed where two texts share no whole segment, or where more than ``hubs`` other
+    texts stand before both in all that they share, and then the group holds together if they are linked with one of
+    those. Of several texts of a node the least counts.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, total = segments(text.as_py(), words, seed, length)
-                out[0].extend([node] * len(found)), out[1].extend(map(signed, found)), out[2].extend(found.values()), out[3].extend([total] * len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["node", "key", "w", "n"])
-
-    rows = written(map_in_python(texts.select("node", "text"), cut, "node long, key long, w long, n long"), "segments")
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = written(rows.join(shared, "key"), "shared-segments")
+    shared = segments.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = written(segments.join(shared, "key"), "shared-segments")
     covered = met.groupBy("node").agg((F.sum("w") / F.max("n")).alias("covered"))
     best = Window.partitionBy("key").orderBy(F.desc("covered"), "hub")
     middle = met.select(F.col("node").alias("hub"), "key", F.col("n").alias("m")).join(covered.withColumnRenamed("node", "hub"), "hub")
@@ -148,7 +149,9 @@ def near_copies(texts: DataFrame, words: int = 5, similarity: float = 0.8, lengt
     pairs = met.join(middle, "key").where((F.col("node") != F.col("hub")) & (F.least("n", "m") >= F.greatest("n", "m") * similarity * 0.9))  # repeated shingles count in n
     pairs = pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "key").agg(F.min("w").alias("w"), F.max("n").alias("n"))
     pairs = written(pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("n").alias("n")).where(F.col("w") >= least_shared * F.col("n")).select("a", "b"), "candidates")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,16 +186,17 @@ def close_pairs(classes: DataFrame, radius: int = 2, pair_limit: int = 64) -> Da
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, pair_limit: int = 64, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, pair_limit: int = 64, similarity: float | None = None, length: int = 16) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links of at most ``radius`` bits.
 
-    With a ``similarity``, links of ``near_copies`` between texts of different fingerprints count too.
+    With a ``similarity``, links of ``near_copies`` between texts of different fingerprints count too, found by segments of
+    about ``length`` shingles.
 
     Null texts and texts without words have fingerprint zero and are linked like any other; rows with a null doc_id
     take the component of their fingerprint, null if only such rows have it; repeated rows are returned as often as
     they occur; other columns are ignored; an empty table gives an empty table.
     """
-    fps = written(fingerprints(docs, id_col, text_col, words), "simhash")
+    fps = written(fingerprints(docs, id_col, text_col, words, length=None if similarity is None else length), "simhash")
     classes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
     # A doc_id given to different texts can stand for several fingerprints; such classes belong together.
     reps = classes.select("node", "fp")
@@ -202,8 +206,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(same)
     if similarity is not None:
         text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-        texts = written(text.join(reps.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-        links = links.union(near_copies(texts, words, similarity))
+        first = fps.select(F.col("doc_id").alias("node"), "fp", "n", "segments").join(reps, ["node", "fp"], "left_semi")
+        rows = first.select("node", "n", F.inline("segments")).groupBy("node", "key").agg(F.max("w").alias("w"), F.max("n").alias("n"))
+        links = links.union(near_copies(written(rows, "segments"), text, words, similarity))
     comps = connected_components(links)
     labels = classes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
