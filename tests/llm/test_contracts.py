@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from namelens.llm import html_text, langid, queries, toxicity
+from namelens.llm import html_text, langid, queries, simhash, toxicity
 from namelens.llm.word_tokens import ChunkTokenizer
 
 EN = "the of and thing water house people great time under".split()
@@ -75,10 +75,18 @@ def naive_fingerprint(text, words):
     return sum(1 << b for b in range(64) if 2 * int(bits[b]) > len(h))
 
 
-def naive_groups(rows, words, radius):
+def naive_shingles(text, words):
+    parts = (text or "").lower().split()
+    return {tuple(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def naive_groups(rows, words, radius, similarity=None):
     """doc_id to the smallest doc_id it is linked with."""
     fps = [naive_fingerprint(r.text, words) for r in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= radius or rows[a].doc_id is not None and rows[a].doc_id == rows[b].doc_id]
+    if similarity is not None:
+        sets = [naive_shingles(r.text, words) for r in rows]
+        links += [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
     label = components(len(rows), links)
     least = {}
     for r, c in zip(rows, label, strict=True):
@@ -95,6 +103,38 @@ def test_op10_simhash_dedup(spark, folder):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == Counter((r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, groups, strict=True))
 
 
+def test_near_copies(spark):
+    """Pairs, a chain and a large group around one text, beside texts that only share a passage; all groups at 0.8 are whole."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    text = lambda n: [word() for _ in range(n)]
+
+    def edited(base, n):
+        out = list(base)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    passage, texts = text(60), []
+    for _ in range(40):
+        base = text(rng.randrange(80, 300))
+        texts += [base, edited(base, max(1, len(base) // 60))]
+    middle = text(200)
+    texts += [middle, *(edited(middle, 3) for _ in range(150))]
+    link = text(250)
+    for _ in range(4):
+        texts.append(link)
+        link = edited(link, 4)
+    texts += [text(rng.randrange(100, 200)) + passage + text(40) for _ in range(100)]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, None), (901, ""), (902, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(zip((r[0] for r in rows), naive_groups(df.collect(), 5, 2, 0.8)[1], strict=True))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, words=5, similarity=0.8).collect()}
+    assert got == want and max(Counter(want.values()).values()) == 151
+    assert simhash.near_duplicates(df.limit(0), words=5, similarity=0.8).count() == 0
+
+
 def naive_language(model, text):
     """(language, score, fit) by the forward pass over single characters, piece by piece."""
     p, limit = np.exp(model.logp), max(map(len, model.pieces))
@@ -333,7 +373,7 @@ def test_pipeline(spark, folder):
             want = [r for r in before if (naive_language(model, r.text)[2] or -99) >= corpus_pipeline.LEAST_FIT]
             assert {r.text for r in before} - {r.text for r in want} >= {None, "", " \t", "!!! 12 %%%", "日本語の文章です"} and any(r.text == "the house" for r in want)
         elif name == "simhash_dedup":
-            groups = naive_groups(before, corpus_pipeline.WORDS, corpus_pipeline.RADIUS)[1]
+            groups = naive_groups(before, corpus_pipeline.WORDS, corpus_pipeline.RADIUS, corpus_pipeline.SIMILARITY)[1]
             first = {c for c in groups if c is not None}
             want = [next(r for r in before if r.doc_id == c) for c in sorted(first)]
             want += [r for r, c in zip(before, groups, strict=True) if c is None]
