@@ -71,6 +71,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_dedup": """
+        with recursive v as (select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings),
+        fit as (select *, len(e) as n from v where vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x != 0)) > 0),
+        ok as (select * from fit where n = (select n from fit group by n order by count(*) desc, n limit 1)),
+        links as (select a.r as a, b.r as b from ok a join ok b on a.r != b.r and list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach as (select r, vec_id as least from ok union select b, least from reach join links on a = r)
+        select vec_id, coalesce(n, 0) as n_links, coalesce(component, vec_id) as component_id, coalesce(vec_id = coalesce(component, vec_id), false) as kept
+        from v left join (select a as r, count(*) as n from links group by a) using (r) left join (select r, min(least) as component from reach group by r) using (r)
+    """,
     "op8_mixing": """
         with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size, md5('1:' || coalesce(cast(doc_id as varchar), '')) as draw from documents),
         s1 as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),

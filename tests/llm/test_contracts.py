@@ -248,7 +248,7 @@ def test_op3_and_op7_tokens(spark, folder):
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     df = queries.QUERIES[name](spark, folder)
     cur = con.execute(queries.ORACLE_SQL[name])
