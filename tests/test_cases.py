@@ -9,6 +9,7 @@ from namelens.functions.notes import document_label, edit_notes, screening_note
 from namelens.functions.text import known_label, known_name
 from namelens.operators.compare import compare, thresholds
 from namelens.operators.names import name_scores
+from namelens.operators.provenance import provenance_maps, provenance_states
 from namelens.operators.screening import build_block_index, candidates, dispositions, screen
 from namelens.sources import watchlist as wl
 
@@ -154,3 +155,9 @@ def test_provenance_in_verdicts(spark):
     got = {r.query_id: r for r in compare(spark.createDataFrame(rows, schema), TODAY).collect()}
     assert [got[k].verdict for k in range(3)] == ["MATCH", "REFER", "MATCH"]
     assert [[c.rules[0] for c in got[k].checks if c.rules[0].startswith("OCR")] for k in range(3)] == [["OCR-2"], ["OCR-2", "OCR-1"], ["OCR-2"]]
+
+
+def test_provenance_maps(spark):
+    rows = [(1, "a", "dob", 1, "proposal", "x", True), (1, "a", "sex", 1, "proposal", "M", False), (1, "a", "fullName", 1, "edit", "K", None), (1, "b", "dob", 1, "proposal", "x", True), (1, "b", "dob", 2, "edit", "y", None)]
+    states = provenance_states(spark.createDataFrame(rows, "record_id long, side string, field string, seq long, event string, value string, validated boolean"))
+    assert {(r.record_id, r.side): r.provenance for r in provenance_maps(states).collect()} == {(1, "a"): {"dob": "mrz-validated", "sex": "ocr-unconfirmed"}}
