@@ -52,7 +52,7 @@ def crc_of(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def text_parts(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, pa.Array]]:
+def text_parts(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(rows, parts): the texts in order, about ``most`` bytes at once, and which text each part belongs to.
 
     A text longer than that comes in several parts, cut before white space; a null counts as the empty text.
@@ -75,11 +75,11 @@ def text_parts(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[np.ndarra
         at = stop
 
 
-def chunks_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def chunks_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(offsets, codes, distinct): each part's chunks between ASCII white space, one at least, as codes of the distinct ones."""
     split = pc.ascii_split_whitespace(parts.cast(pa.large_string(), safe=False) if pa.types.is_large_binary(parts.type) else parts)
     coded = split.values.dictionary_encode()
-    return split.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()
+    return split.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary())
 
 
 #: Rows that pass between Spark and Python at once, where rows hold texts: what both sides hold of a batch stays small.

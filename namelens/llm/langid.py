@@ -252,6 +252,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
             total = np.zeros((len(texts), width + 1))
             for rows, parts in text_parts(texts):
                 offsets, codes, distinct = chunks_of(parts)
+                distinct = distinct.to_pylist()
                 if len(row_of) > most:
                     again = [c for c in distinct if c in row_of]
                     table = table[[row_of[c] for c in again]]

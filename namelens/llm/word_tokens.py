@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import chunks_of, text_parts
 
@@ -36,29 +37,42 @@ def tokenizer_at(path: str, literal: bool):
 
 
 class IdLists:
-    """Lists of ids by key, one after another in ``flat``."""
+    """Lists of ids by key, one after another in ``flat``; keys and ids are Arrow and numpy arrays."""
 
     def __init__(self) -> None:
-        self.place: dict = {}
+        self.keys = pa.array([], pa.large_binary())
         self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, keys: list, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+    def add(self, keys: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
         self.flat = np.concatenate((self.flat, ids))
 
-    def rows_of(self, keys: list) -> np.ndarray:
-        return np.fromiter(map(self.place.__getitem__, keys), np.int32, len(keys))
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Where each of ``keys`` stands, -1 if nowhere."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy()
 
     def taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids at the given places, one after another, and where each place's begin and the last one's end."""
         lists = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(rows))
         return lists.values.to_numpy(), lists.offsets.to_numpy()
 
-    def keep(self, keys: list) -> None:
-        """Forgets all but ``keys``."""
-        self.flat, self.ends = self.taken(self.rows_of(keys))
-        self.place = {c: k for k, c in enumerate(keys)}
+    def keep(self, keys: pa.Array) -> None:
+        """Forgets all but what ``keys`` has."""
+        rows = np.unique(self.places(keys))
+        rows = rows[rows >= 0]
+        self.flat, self.ends = self.taken(rows)
+        self.keys = self.keys.take(pa.array(rows))
+
+
+def cut_off(whole: pa.Array, front: pa.Array) -> pa.Array:
+    """What is left of each of ``whole`` behind its beginning in ``front``."""
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+    rest = np.diff(offsets) - pc.binary_length(front).to_numpy()
+    ends = np.concatenate(([0], np.cumsum(rest))).astype(np.int64)
+    at = np.repeat(offsets[1:] - ends[1:], rest) + np.arange(ends[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(whole), [None, pa.py_buffer(ends), pa.py_buffer(data[at])])
 
 
 class ChunkTokenizer:
@@ -67,7 +81,7 @@ class ChunkTokenizer:
     ``literal``: special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str | None = None, literal: bool = False, limit: int = 150_000):
+    def __init__(self, path: str | None = None, literal: bool = False, limit: int = 500_000):
         import public_tokenizers
 
         self.tokenizer, self.ending = tokenizer_at(path or public_tokenizers.path("word_bpe_49k.json"), literal)
@@ -82,7 +96,7 @@ class ChunkTokenizer:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As encode, for texts of letters only or of marks only."""
-        ids, lengths = [np.empty(0, np.uint32)], []
+        ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -93,27 +107,36 @@ class ChunkTokenizer:
             ids.append(got), lengths.append(n)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
+    def learn(self, chunks: pa.Array) -> None:
+        try:
+            texts = chunks.cast(pa.large_string())
+        except pa.ArrowInvalid:  # not UTF-8
+            texts = pa.array([c.decode("utf-8", "replace") for c in chunks.to_pylist()], pa.large_string())
         if not self.parted:
-            self.chunks.add(chunks, *self.encode(texts))
+            self.chunks.add(chunks, *self.encode(texts.to_pylist()))
             return
-        stems = [t.rstrip(MARKS) for t in texts]
-        plain = [s.isalpha() or not s for s in stems]
-        odd = [k for k, p in enumerate(plain) if not p]
-        pairs = [(s.lower() if s.isascii() else s, t[len(s) :]) if p else (t, "") for s, t, p in zip(stems, texts, plain, strict=True)]
-        needed = {x for pair in pairs for x in pair}
-        if len(self.words.place) > self.limit:
-            self.words.keep([x for x in needed if x in self.words.place])
-        whole = {texts[k] for k in odd} - self.words.place.keys()
-        rest = sorted(needed - whole - self.words.place.keys() - {""})
-        if "" not in self.words.place:
-            self.words.add([""], np.empty(0, np.uint32), np.zeros(1, np.int64))
-        if rest:
-            self.words.add(rest, *self.encode_words(rest))
-        if whole:
-            self.words.add(sorted(whole), *self.encode(sorted(whole)))
-        ids, ends = self.words.taken(self.words.rows_of([x for pair in pairs for x in pair]))
+        stems = pc.utf8_rtrim(texts, characters=MARKS)
+        plain = pc.or_(pc.utf8_is_alpha(stems), pc.equal(stems, ""))
+        fronts = pc.if_else(plain, stems, texts)
+        tails = cut_off(texts, fronts)
+        fronts = pc.if_else(pc.and_(plain, pc.string_is_ascii(fronts)), pc.ascii_lower(fronts), fronts).cast(pa.large_binary())
+        coded = pa.concat_arrays([fronts, tails]).dictionary_encode()
+        distinct = coded.dictionary
+        if len(self.words.keys) > self.limit:
+            self.words.keep(distinct)
+        place = self.words.places(distinct).copy()
+        new = np.flatnonzero(place < 0)
+        rest = distinct.take(pa.array(new))
+        odd = pc.is_in(rest, value_set=texts.filter(pc.invert(plain)).cast(pa.large_binary())).to_numpy(zero_copy_only=False)
+        empty = pc.equal(rest, b"").to_numpy(zero_copy_only=False)
+        nothing = lambda words: (np.empty(0, np.uint32), np.zeros(len(words), np.int64))
+        for own, encode in ((new[~odd & ~empty], self.encode_words), (new[odd & ~empty], self.encode), (new[empty], nothing)):
+            if len(own):
+                part = distinct.take(pa.array(own))
+                place[own] = np.arange(len(self.words.keys), len(self.words.keys) + len(own))
+                self.words.add(part, *encode(part.cast(pa.large_string()).to_pylist()))
+        rows = place[coded.indices.to_numpy()]
+        ids, ends = self.words.taken(np.stack((rows[: len(chunks)], rows[len(chunks) :]), axis=1).ravel())
         self.chunks.add(chunks, ids, np.diff(ends[::2]))
 
     def ids_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -122,12 +145,15 @@ class ChunkTokenizer:
         row = -1
         for rows, parts in text_parts(texts):
             offsets, codes, distinct = chunks_of(parts)
-            if len(self.chunks.place) > self.limit:
-                self.chunks.keep([c for c in distinct if c in self.chunks.place])
-            new = [c for c in distinct if c not in self.chunks.place]
-            if new:
-                self.learn(new)
-            ids, ends = self.chunks.taken(self.chunks.rows_of(distinct)[codes])
+            if len(self.chunks.keys) > self.limit:
+                self.chunks.keep(distinct)
+            found = self.chunks.places(distinct)
+            new = found < 0
+            if new.any():
+                found = found.copy()
+                found[new] = np.arange(len(self.chunks.keys), len(self.chunks.keys) + new.sum())
+                self.learn(distinct.filter(pa.array(new)))
+            ids, ends = self.chunks.taken(found[codes])
             ends = ends[offsets].tolist()
             for r, s, e in zip(rows.tolist(), ends, ends[1:], strict=False):
                 if r != row:
