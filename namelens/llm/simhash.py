@@ -140,12 +140,13 @@ def near_copies(segments: DataFrame, texts: DataFrame, words: int = 5, similarit
     texts stand before both in all that they share, and then the group holds together if they are linked with one of
     those. Of several texts of a node the least counts.
     """
-    shared = segments.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # Written tables on one side let Spark split a frequent key of the other side when it joins.
+    shared = written(segments.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     met = written(segments.join(shared, "key"), "shared-segments")
     covered = met.groupBy("node").agg((F.sum("w") / F.max("n")).alias("covered"))
     best = Window.partitionBy("key").orderBy(F.desc("covered"), "hub")
     middle = met.select(F.col("node").alias("hub"), "key", F.col("n").alias("m")).join(covered.withColumnRenamed("node", "hub"), "hub")
-    middle = middle.withColumn("r", F.row_number().over(best)).where(F.col("r") <= hubs).select("key", "hub", "m")
+    middle = written(middle.withColumn("r", F.row_number().over(best)).where(F.col("r") <= hubs).select("key", "hub", "m"), "hubs")
     pairs = met.join(middle, "key").where((F.col("node") != F.col("hub")) & (F.least("n", "m") >= F.greatest("n", "m") * similarity * 0.9))  # repeated shingles count in n
     pairs = pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "key").agg(F.min("w").alias("w"), F.max("n").alias("n"))
     pairs = written(pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("n").alias("n")).where(F.col("w") >= least_shared * F.col("n")).select("a", "b"), "candidates")
