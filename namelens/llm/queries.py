@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, langid, mixing, packing, pivot_dedup, simhash, token_counts, toxicity, warc_zip
+from . import ann, html_text, langid, mixing, packing, pivot_dedup, runs, simhash, token_counts, toxicity, warc_zip
 from .common import crc_of
 
 
@@ -59,6 +59,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", crc_of("doc_id").alias("h"))
+    return runs.digests(runs.with_runs(docs, key="h", rewrite=runs.looped), "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_embedding_dedup, op3_token_counts, op4_nearest_neighbours, op5_toxicity, op6_html_text, op7_packing, op8_mixing, op9_warc, op10_simhash_dedup, pipeline)
+    for f in (op1_language_id, op2_embedding_dedup, op3_token_counts, op4_nearest_neighbours, op5_toxicity, op6_html_text, op7_packing, op8_mixing, op9_warc, op10_simhash_dedup, op11_periodic_runs, pipeline)
 }
 
 ORACLE_SQL = {
