@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, langid, mixing, packing, pivot_dedup, runs, simhash, token_counts, toxicity, warc_zip
+from . import ann, exact_dedup, html_text, langid, merkle, mixing, packing, pivot_dedup, runs, simhash, token_counts, toxicity, warc_zip
 from .common import crc_of
 
 
@@ -64,6 +64,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.with_runs(docs, key="h", rewrite=runs.looped), "doc_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.when(crc_of("doc_id") % 3 == 0, merkle.leaf(*told, lower))
+    leaves = docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("id"), merkle.leaf(*told, F.col("text")).alias("leaf"), altered.alias("altered"))
+    found = merkle.manifest(leaves.withColumn("altered", F.coalesce("altered", "leaf")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("digest", "text_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,9 +86,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_embedding_dedup, op3_token_counts, op4_nearest_neighbours, op5_toxicity, op6_html_text, op7_packing, op8_mixing, op9_warc, op10_simhash_dedup, op11_periodic_runs, pipeline)
+    for f in (op1_language_id, op2_embedding_dedup, op3_token_counts, op4_nearest_neighbours, op5_toxicity, op6_html_text, op7_packing, op8_mixing, op9_warc, op10_simhash_dedup, op11_periodic_runs, op12_merkle_manifest, op13_exact_dedup, pipeline)
 }
 
+_leaf = lambda text: "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+_lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_up = "list_transform(range(0, len(hs), 8), lambda k: sha256(array_to_string(hs[k + 1:k + 8], '')))"
+
 ORACLE_SQL = {
     "op2_embedding_dedup": """
         with recursive v as (select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings),
@@ -119,4 +137,29 @@ ORACLE_SQL = {
                case when d.page_id < f.first or d.page_id is null then f.first end as refers_to
         from d left join f on d.sha = f.sha and d.n >= 1000
     """,
+    "op12_merkle_manifest": f"""
+        with recursive bits as (select b, list_reduce(range(8), lambda c, k: if(c % 2 = 1, xor(c // 2, 3988292384), c // 2), cast(b as bigint)) as v from range(256) t(b)), crcs as (select list(v order by b) as crc from bits),
+        d as (select doc_id, lang, {_leaf('text')} as leaf, {_leaf(_lower)} as lowered,
+            xor(list_reduce(list_transform(range(1, length(coalesce(cast(doc_id as varchar), '')) + 1), lambda k: ascii(cast(doc_id as varchar)[k])), lambda c, x: xor(c // 256, crc[cast(xor(c, x) % 256 as bigint) + 1]), cast(4294967295 as bigint)), 4294967295) as h from documents, crcs),
+        r as (select *, if(h % 3 = 0, lowered, leaf) as altered, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, row_number() over () as id from d),
+        lists as (select lang, 0 as l, list(leaf order by i) as hs from r group by lang),
+        levels as (select * from lists union all select lang, l + 1, {_up} from levels where len(hs) > 1),
+        tops as (select lang, hs[1] as subroot, row_number() over (order by lang nulls first) - 1 as i from levels where len(hs) = 1),
+        over_ as (select 0 as l, list(subroot order by i) as hs from tops union all select l + 1, {_up} from over_ where len(hs) > 1),
+        nodes as (select lang, l, unnest(hs) as h, generate_subscripts(hs, 1) - 1 as k from levels where len(hs) > 1),
+        runs as (select lang, l, k // 8 as up, list(h order by k) as hs from nodes group by lang, l, up),
+        over_nodes as (select l, unnest(hs) as h, generate_subscripts(hs, 1) - 1 as k from over_ where len(hs) > 1),
+        over_runs as (select l, k // 8 as up, list(h order by k) as hs from over_nodes group by l, up),
+        steps as (select id, r.lang, l, hs, (i // cast(pow(8, l) as bigint)) % 8 as slot from r join runs on r.lang is not distinct from runs.lang and up = i // cast(pow(8, l + 1) as bigint)
+            union all select id, r.lang, l + 100, hs, (tops.i // cast(pow(8, l) as bigint)) % 8 from r join tops on r.lang is not distinct from tops.lang join over_runs on up = tops.i // cast(pow(8, l + 1) as bigint)),
+        sides as (select id, list({{'a': array_to_string(hs[1:slot], ''), 'z': array_to_string(hs[slot + 2:8], '')}} order by l) as s from steps group by id),
+        found as (select doc_id, leaf, subroot, (select hs[1] from over_ where len(hs) = 1) as root, sha256(coalesce(array_to_string(list_transform(s, lambda x: x.a || x.z), ''), '')) as proof_sha256,
+            coalesce(list_reduce(s, lambda h, x: sha256(x.a || h || x.z), altered), altered) as folded_root from r join tops on r.lang is not distinct from tops.lang left join sides using (id))
+        select *, folded_root = root as verified from found
+    """,
+    "op13_exact_dedup": """
+        with d as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as plain from documents),
+        g as (select *, first_value(doc_id) over (partition by plain order by n desc, doc_id nulls last) as keep_id, count(*) over (partition by plain) as group_size, row_number() over (partition by plain order by n desc, doc_id nulls last) as place from d)
+        select doc_id, keep_id, group_size, place = 1 as kept, sha256(plain) as text_sha256 from g
+    """,
 }
