@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from .text import let
 
+#: Costs are quarters of a letter. What a class costs to insert or delete where it is weak or unsure, and else.
+CHEAP, FULL = 1, 4
+CLASSES = "BFMNLRHKJGDZTSXWYA"
 STEP = "struct<cost:int,path:array<struct<rule:string,note:string>>>"
 
 
@@ -70,3 +73,81 @@ def skeleton_distance(s1: Column, s2: Column, w1: Column, w2: Column) -> Column:
         return F.struct(final.cost.alias("cost"), rules.alias("rules"), notes.alias("notes"))
 
     return let(F.element_at(F.aggregate(upto(n), first, next_row), -1), told)
+
+
+def near_classes(x: str) -> str:
+    return "".join(y for y in CLASSES if x + y in lx.NEAR or y + x in lx.NEAR)
+
+
+def costs(unsure: bool) -> Column:
+    """What it costs to put one class for another, by their numbers in CLASSES, one row after another."""
+    cost = lambda x, y: 0 if x == y else (1 if unsure else 2) if y in near_classes(x) else 1 if x in lx.WEAK and y in lx.WEAK else FULL
+    return F.expr("array(" + ", ".join(str(cost(x, y)) for x in CLASSES for y in CLASSES) + ")")
+
+
+def letters_of(cons: Column, weak: Column) -> Column:
+    """struct<at, drop, unsure, cheap, held, near, firm> of a skeleton.
+
+    ``at`` numbers its classes, ``drop`` is what each costs to insert or delete, ``cheap`` counts the cheap ones among these.
+    ``held``, ``near`` and ``firm`` are sets of classes as bits: those it has, these and what is near them, and those that
+    aren't cheap.
+    """
+    bits = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc.bitwiseOR(x))
+    around = F.expr("array(" + ", ".join(str(sum(1 << CLASSES.index(y) for y in x + near_classes(x))) for x in CLASSES) + ")")
+    one = lambda k: F.call_function("shiftleft", F.lit(1), k)
+
+    def told(x: Column) -> Column:
+        firm = F.zip_with(x.at, x.drop, lambda k, d: F.when(d == FULL, one(k)).otherwise(0))
+        return F.struct(
+            x.at.alias("at"), x.drop.alias("drop"), x.weak.alias("unsure"), F.size(F.filter(x.drop, lambda d: d == CHEAP)).alias("cheap"),
+            bits(F.transform(x.at, one)).alias("held"), bits(F.transform(x.at, lambda k: F.get(around, k))).alias("near"), bits(firm).alias("firm"),
+        )
+
+    at = F.transform(F.filter(F.split(cons, ""), lambda c: c != ""), lambda c: F.instr(F.lit(CLASSES), c) - 1)
+    weak_ones = [CLASSES.index(c) for c in lx.WEAK]
+    drop = lambda x: F.zip_with(x.at, x.weak, lambda k, w: F.when(w | k.isin(*weak_ones), CHEAP).otherwise(FULL))
+    return let(let(F.struct(at.alias("at"), weak.alias("weak")), lambda x: F.struct(x.at.alias("at"), x.weak.alias("weak"), drop(x).alias("drop"))), told)
+
+
+def least_cost(x: Column, y: Column) -> Column:
+    """A bound that the cost of two skeletons' letters never falls below, from their lengths and the classes they have.
+
+    The longer one loses letters, the cheap ones first. Each class that isn't cheap and that the other hasn't costs a
+    quarter at least, and a whole letter where nothing near it is there either.
+    """
+    n, m = F.size(x.at), F.size(y.at)
+    surplus, cheap = F.abs(n - m), F.when(n > m, x.cheap).otherwise(y.cheap)
+    lengths = F.least(surplus, cheap) * CHEAP + F.greatest(surplus - cheap, F.lit(0)) * FULL
+    count = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+    missing = lambda a, b: count(a.firm, b.near) * (FULL - 1) + count(a.firm, b.held)
+    return F.greatest(lengths, missing(x, y), missing(y, x))
+
+
+def bounded_cost(x: Column, y: Column, limit: Column) -> Column:
+    """The cost of two skeletons' letters, or null once no way through the edit table can stay within ``limit``.
+
+    Only costs are kept: a row of the table is folded from the one above it, and a row with nothing within the limit ends
+    the fold. Sums never shrink from row to row, so the rest couldn't come back below it.
+    """
+    width = len(CLASSES)
+    sure, unsure = costs(False), costs(True)
+    first = F.aggregate(y.drop, F.array(F.lit(0)), lambda row, d: F.concat(row, F.array(F.element_at(row, -1) + d)))
+
+    def next_row(above: Column, i: Column) -> Column:
+        k, drop, wild = F.get(x.at, i), F.get(x.drop, i), F.get(x.unsure, i)
+
+        def cell(row: Column, j: Column) -> Column:
+            where = k * width + F.get(y.at, j)
+            put = F.when(wild | F.get(y.unsure, j), F.get(unsure, where)).otherwise(F.get(sure, where))
+            best = F.least(F.get(above, j) + put, F.get(above, j + 1) + drop, F.get(row, j) + F.get(y.drop, j))
+            return F.concat(row, F.array(best))
+
+        made = F.aggregate(F.sequence(F.lit(0), F.size(y.at) - 1), F.array(F.get(above, F.lit(0)) + drop), cell)
+        kept = let(made, lambda row: F.when(F.array_min(row) <= limit, row).otherwise(F.array().cast("array<int>")))
+        return F.when(F.size(above) == 0, above).otherwise(kept)
+
+    table = F.aggregate(F.sequence(F.lit(0), F.size(x.at) - 1), first, next_row)
+    whole = let(table, lambda row: F.when(F.size(row) > 0, F.element_at(row, -1)))
+    only = lambda a: F.aggregate(a.drop, F.lit(0), lambda s, d: s + d)
+    cost = F.when(F.size(x.at) == 0, only(y)).when(F.size(y.at) == 0, only(x)).otherwise(whole)
+    return F.when(least_cost(x, y) <= limit, F.when(cost <= limit, cost))

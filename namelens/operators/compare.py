@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import checks as ck
 from ..functions.address import check_address, locality
 from ..sources.shared import written
+from .names import name_row
 from .zones import scored_names, with_zones, zone_rows
 
 VERDICTS = ("NO_MATCH", "REFER", "MATCH")
@@ -53,7 +54,7 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     pairs = with_address_check(pairs, "__address") if has("address") else pairs
     rows = written(with_zones(with_zones(pairs, today, "_a"), today, "_b"), "zones") if sides else pairs
     rows = scored_names(rows, [("fullName_a", "fullName_b", "__names"), *[(f"__latin_{s}", f"fullName_{s}", f"__name_{s}") for s in sides]])
-    missing = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("role"), F.lit(None).cast("int").alias("score"), F.array(F.lit("MISS-1")).alias("rules")))
+    missing = F.array(name_row(F.lit(""), F.lit(""), F.lit(""), F.lit(None).cast("int"), F.array(F.lit("MISS-1")), F.array().cast("array<string>")))
     rows = rows.withColumn("name_score", F.coalesce("__names.score", F.lit(0))).withColumn("name_pairs", F.coalesce("__names.pairs", missing))
     for side in "ab":
         score = F.when(c(f"__latin_{side}").isNotNull(), c(f"__name_{side}.score")) if sides else None

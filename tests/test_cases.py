@@ -10,7 +10,7 @@ from namelens.functions.text import known_label, known_name
 from namelens.operators.compare import compare, thresholds
 from namelens.operators.names import name_scores
 from namelens.operators.provenance import provenance_maps, provenance_states
-from namelens.operators.screening import build_block_index, candidates, dispositions, screen
+from namelens.operators.screening import block_keys, blocking_report, build_block_index, candidate_counts, dispositions, posting_bitmaps, screen, sweep
 from namelens.sources import watchlist as wl
 
 TODAY = "2026-07-21"
@@ -101,8 +101,6 @@ def test_blocking_finds_what_all_pairs_find(spark, people):
     first = [(r.entry_id, r.classification, r.rules) for r in sorted(found["reference"], key=lambda r: r["rank"]) if r.query_id == 0]
     assert first[0] == ("SYN-001", "STRONG", ["SCR-1", "SCR-2"]) and first[1][0] == "SYN-001B" and first[1][1] == "POTENTIAL"
     assert any("SCR-5" in r.rules and r.entry_id == "SYN-211" for r in found["reference"] if r.query_id == 2)
-    with pytest.raises(ValueError):
-        screen(people, listed, blocking="exhaustive", most_pairs=3)
     told = {r.query_id: (r.disposition, r.reason) for r in dispositions(people, screen(people, listed)).collect()}
     assert told[0] == ("POTENTIAL_MATCH", "2 hits from 75: 1 corroborated, 1 potential") and told[6] == ("NO_MATCH", "no name or alias reached 75")
     assert told[4][1].endswith("; look at each before dismissing it")
@@ -111,8 +109,18 @@ def test_blocking_finds_what_all_pairs_find(spark, people):
 def test_blocking_reduces_a_large_list(spark, people):
     filler = [(f"BIG-{k}", "sanction", f"Random Filler {k}", [], None, None, None) for k in range(5000)]
     listed = entries(spark, LIST + filler)
-    n = candidates(people.where("query_id = 0"), build_block_index(listed)).count()
-    assert 2 <= n < len(LIST + filler) / 20
+    index = build_block_index(listed)
+    counts = {r.query_id: r.candidates for r in candidate_counts(people, posting_bitmaps(index)).collect()}
+    assert 2 <= counts[0] < len(LIST + filler) / 20 and counts[6] == counts[7] == 0 and len(counts) == len(PEOPLE)
+    keys = {}
+    for r in index.collect():
+        keys.setdefault(r.block_key, set()).add(r.idx)
+    asked = spark.createDataFrame([(k, n) for k, n in enumerate(PEOPLE) if n], "query_id long, n string").select("query_id", F.explode(block_keys(F.col("n"))).alias("key"))
+    want = {}
+    for r in asked.collect():
+        want.setdefault(r.query_id, set()).update(keys.get(r.key, ()))
+    assert {k: len(v) for k, v in want.items()} == {k: n for k, n in counts.items() if k in want}
+    assert max(r.bucket for r in posting_bitmaps(index.withColumn("idx", F.col("idx") + 100_000)).collect()) > 3
 
 
 def test_csv_ingest(spark, tmp_path):
