@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,20 @@ SPACES = r"\u0009-\u000D    -     　﻿"
 MARKS = "-'’`ʿʼ"
 
 
+def remembered(make: Callable[..., Column]) -> Callable[..., Column]:
+    """``make`` of names and numbers, whose large expressions are put together once for each of these."""
+
+    @functools.cache
+    def made(jvm: int, *args: str | int) -> Column:
+        return make(*args)
+
+    @functools.wraps(make)
+    def one(*args: str | int) -> Column:
+        return made(id(SparkContext._gateway), *args)
+
+    return one
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,8 +20,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_parts(spark: SparkSession) -> None:
+    """Lets a shuffle of few bytes keep as many partitions as there are cores: names are small, comparing them is not.
+
+    Set in the session. Shuffles of more bytes are parted as they were.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table there: what reads it more than once neither computes nor plans it again."""
+    small_parts(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
