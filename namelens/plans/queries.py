@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import lexicon as lx
 from ..functions import capture, mrz, notes
 from ..functions import checks as ck
 from ..functions.address import locality
@@ -19,11 +18,10 @@ from ..operators.zones import add_zone_checks
 from ..sources import watchlist as wl
 from ..sources.shared import new_path
 from ..streaming.screening import screen_stream
-from . import name_sql, registry
-from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, RISK, STEPS, STREETS, SURNAMES, field_events, mixed_pairs, passports, persons, persons_of, pick, record_pairs, scans, watchlist
-
-TODAY = "2026-07-21"
-
+from . import registry
+from .oracle import ORACLE_SQL as ORACLE_SQL
+from .oracle import TODAY
+from .people import GIVEN, RISK, SURNAMES, field_events, passports, persons, persons_of, pick, record_pairs, scans, watchlist
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.screen(persons(spark, sf_dir), watchlist(spark, sf_dir))
@@ -33,30 +31,55 @@ def screen_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("query_id", "rank", "idx", "matched_name", "via_alias", "name_score", "classification", F.array_join("rules", ",").alias("rules"))
 
 
+def hit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token pairs that each hit rests on."""
+    rows = hits(spark, sf_dir).select("query_id", "idx", "list_type", F.posexplode("pairs").alias("place", "p"))
+    return rows.select("query_id", "idx", "list_type", (F.col("place") + 1).alias("place"), "p.a", "p.b", "p.role", "p.score", F.array_join("p.rules", ",").alias("rules"))
+
+
+def risks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RISK, "code string, level string, sources array<string>")
+
+
+def disposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people, entries = persons(spark, sf_dir), watchlist(spark, sf_dir)
+    found = screening.candidate_counts(people, screening.posting_bitmaps(screening.build_block_index(entries)))
+    return screening.dispositions(people, screening.screen(people, entries), risks(spark), candidates=found, screened=entries.count())
+
+
 def screen_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    risk = spark.createDataFrame(RISK, "code string, level string")
-    out = screening.dispositions(persons(spark, sf_dir), hits(spark, sf_dir), risk)
-    return out.withColumn("rules", F.array_join("rules", ","))
+    out = disposed(spark, sf_dir).withColumn("rules", F.array_join("rules", ","))
+    return out.withColumn("country_risk_sources", F.array_join("country_risk_sources", "; "))
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every person's disposition at every threshold from 50 to 100, from one screening."""
+    people = persons(spark, sf_dir)
+    return screening.sweep(people, screening.screen(people, watchlist(spark, sf_dir), hit=50)).withColumn("rules", F.array_join("rules", ","))
+
+
+def blocking_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each blocking compares, finds and misses, against all names that can reach the threshold."""
+    return screening.blocking_report(persons(spark, sf_dir), watchlist(spark, sf_dir))
 
 
 def country_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    risk = spark.createDataFrame(RISK, "code string, level string")
     people = persons(spark, sf_dir).select("query_id", F.upper("nationality").alias("code"))
-    return people.join(risk, "code", "left").select("query_id", "code", F.col("level").alias("risk"))
+    return people.join(risks(spark), "code", "left").select("query_id", "code", F.col("level").alias("risk"))
 
 
 def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people, entries = persons(spark, sf_dir), watchlist(spark, sf_dir)
-    return screening.candidates(people, screening.build_block_index(entries)).groupBy("query_id").agg(F.count("*").alias("candidates"))
+    postings = screening.posting_bitmaps(screening.build_block_index(watchlist(spark, sf_dir)))
+    return screening.candidate_counts(persons(spark, sf_dir), postings)
 
 
 def name_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = mixed_pairs(spark, sf_dir).select("fullName_a", "fullName_b")
-    return names.name_scores(pairs, "fullName_a", "fullName_b").select("a", "b", "score", "unmatched_middles", F.array_join("rules_a", ",").alias("rules_a"))
+    pairs = record_pairs(spark, sf_dir).select("fullName_a", "fullName_b")
+    return names.name_scores(pairs, "fullName_a", "fullName_b", rows=False).select("a", "b", "score", "unmatched_middles", F.array_join("rules_a", ",").alias("rules_a"))
 
 
 def record_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cmp.compare(mixed_pairs(spark, sf_dir), TODAY)
+    out = cmp.compare(record_pairs(spark, sf_dir), TODAY)
     return out.select("query_id", "name_score", "provisional_verdict", "verdict", "cap_rule", F.size("hard_stops").alias("stops"))
 
 
@@ -158,7 +181,7 @@ def watchlist_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loader_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = watchlist(spark, sf_dir)
+    entries = watchlist(spark, sf_dir).withColumn("type", F.lower(F.coalesce("type", F.lit("sanction"))))
     return entries.agg(F.count("*").alias("total"), F.count_if(F.col("type") == "sanction").alias("sanction"), F.count_if(F.col("type") == "pep").alias("pep"))
 
 
@@ -210,12 +233,12 @@ def field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of records with addresses and travel zones."""
-    out = cmp.compare(mixed_pairs(spark, sf_dir, passports), TODAY)
+    out = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
     return out.select("query_id", "name_score", "verdict", F.size("checks").alias("n_checks"), F.size("hard_stops").alias("stops"), "cap_rule")
 
 
 def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = mixed_pairs(spark, sf_dir)
+    pairs = record_pairs(spark, sf_dir)
     out = cmp.compare(pairs, TODAY).join(pairs.select("query_id", "fullName_a", "fullName_b"), "query_id")
     c = F.col
     return out.select("query_id", notes.case_note(c("verdict"), c("name_score"), c("checks"), c("cap_rule"), (c("fullName_a"), c("fullName_b")), TODAY, 85, 60).alias("note"))
@@ -223,7 +246,7 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule is cited by comparisons and screening; ``about`` is null for a rule that isn't registered."""
-    verdicts = cmp.compare(mixed_pairs(spark, sf_dir, passports), TODAY)
+    verdicts = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
     checks = verdicts.select(F.flatten(F.transform("checks", lambda x: x.rules)).alias("rules"))
     tokens = verdicts.select(F.flatten(F.transform("name_pairs", lambda x: x.rules)).alias("rules"))
     return registry.cited(checks, tokens, hits(spark, sf_dir).select("rules"))
@@ -237,175 +260,5 @@ def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (screen_hits, screen_disposition, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, known_lookup, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_ingest, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, document_verdicts, case_notes, rules_cited)
-}
-
-
-def sql_list(values: tuple[str, ...]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-_pick = lambda values, at: f"({sql_list(values)})[({at}) % {len(values)} + 1]"
-_date = lambda n: f"(cast(1950 + ({n}) % 50 as varchar) || '-' || lpad(cast(1 + ({n}) % 12 as varchar), 2, '0') || '-' || lpad(cast(1 + ({n}) % 28 as varchar), 2, '0'))"
-_persons = f"""p as (select c_custkey as query_id, {_pick(NAMES, 'c_custkey * 7')} as fullName,
-    case when c_custkey % 11 != 0 then {_date('c_custkey')} end as dob, {_pick(('M', 'F', ''), 'c_custkey')} as sex,
-    {_pick(COUNTRIES, 'c_custkey')} as nationality, {_pick(('passport', 'national_id', 'drivers_license'), 'c_custkey')} as docType,
-    lpad(cast(c_custkey * 7919 % 1000000000 as varchar), 9, '0') as docNumber, cast(2020 + c_custkey % 15 as varchar) || '-06-30' as expiry,
-    {_pick(COUNTRIES, 'c_custkey')} as country,
-    cast(c_custkey % 90 + 1 as varchar) || ' ' || {_pick(STREETS, 'c_custkey')} || ', ' || {_pick(CITIES, 'c_custkey * 3')} as address from customer)"""
-_pairs = f"""{_persons}, lo as (select min(query_id) as low, max(query_id) - min(query_id) + 1 as n from p),
-    o as (select p.*, low + (query_id - low + ({list(STEPS)})[(query_id // 2) % {len(STEPS)} + 1]) % n as other from p, lo),
-    j as (select a.query_id as k, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb, a.address as aa, b.address as ab from o a join o b on b.query_id = a.other),
-    q as (select k as query_id, case when k % 8 = 3 then da[1:4] || '-01-01' else da end as da,
-        case k % 8 when 0 then da when 1 then da[1:4] || '-' || da[9:10] || '-' || da[6:7] when 2 then da[1:4] || '-12-31' when 3 then da[1:4] || '-01-01' when 4 then da[1:4] || '-02-30' else db end as db,
-        case when k % 18 = 1 then null else ea end as ea, case k % 9 when 0 then ea when 1 then null when 2 then '2030-13-01' else eb end as eb, sa, sb, ta, if(k % 4 = 1, ta, tb) as tb,
-        na, case k % 7 when 0 then na when 1 then '' else nb end as nb, if(k % 4 = 0, 'IL', ca) as ca, if(k % 4 = 0, 'IL', cb) as cb, aa,
-        case k % 6 when 0 then aa when 1 then '7 Road' when 2 then '5, ' || {_pick(CITIES, 'k * 3')} else ab end as ab from j)"""
-_fold_from = "".join(g for g in lx.LATIN_FOLD.values())
-_fold_to = "".join(b * len(g) for b, g in lx.LATIN_FOLD.items())
-_words = r"w as (select unnest(regexp_split_to_array(text, '[\s]+')) as word from documents)"
-_norm = f"translate(translate(replace(lower(word), 'š', 'sh'), '{_fold_from}', '{_fold_to}'), '.,;:_\"“”()[]', '')"
-_classes = ", ".join(f"'{k}': '{v}'" for k, v in (lx.letters({c: g.replace("'", "") for c, g in lx.LATIN.items()}) | lx.LATIN_PAIRS).items())
-_watchlist = f"""e as (select s_suppkey as idx, [{_pick(NAMES, 's_suppkey * 11 + 3')}] || if(s_suppkey % 3 = 0, [{_pick(NAMES, 's_suppkey * 5 + 2')}], []) as names from supplier)"""
-_units = ", ".join(f"'{k}': '{v}'" for k, v in ({u: c for u, c in lx.unit_classes().items() if u != "'"} | {"''": "A"}).items())
-_groups = "|".join(lx.LATIN_PAIRS) + "|[" + "".join(lx.HEBREW_GERESH) + "]" + lx.GERESH + "|."
-#: Block keys of each distinct name of the table ``names``: skeletons of its parts in any script, and those less one letter.
-_keys = rf"""bt as (select distinct name, unnest(regexp_split_to_array(name, '[\s،؛]+')) as part from names),
-    bs as (select name, case when regexp_matches(part, '[\x{{0600}}-\x{{06FF}}]') then regexp_replace(part, '{lx.ARABIC_MARKS}|[-’`ʿʼ]', '', 'g')
-        when regexp_matches(part, '[\x{{0590}}-\x{{05FF}}]') then translate(regexp_replace(part, '{lx.HEBREW_MARKS}', '', 'g'), '’-`ʿʼ', '{lx.GERESH}')
-        else regexp_replace({_norm.replace("word", "part")}, '[-’`ʿʼ]', chr(39), 'g') end as plain from bt),
-    bu as (select name, list_transform(regexp_extract_all(plain, '{_groups}'), lambda x: (map {{{_units}}})[x]) as c from bs),
-    bf as (select name, list_filter(c, lambda x: x is not null) as c from bu),
-    br as (select name, list_filter(c, lambda x, i: i = 1 or x != c[i - 1]) as c from bf),
-    bk as (select name, coalesce(array_to_string(list_filter(c, lambda x, i: x != 'A' and (x not in ('W', 'Y') or i = 1)), ''), '') as cons from br),
-    keys as (select distinct name, unnest([cons] || list_transform(range(1, length(cons) + 1), lambda i: left(cons, i - 1) || substr(cons, i + 1))) as block_key from bk where cons != '')"""
-
-_last = tuple(n.split()[-1] for n in NAMES)
-_digit = lambda n: f"(query_id // {30**n}) % 30"
-_long = "concat_ws(' ', fullName, " + ", ".join(f"case when {_digit(n)} > 0 then {_pick(_last, f'{_digit(n)} * 7')} end" for n in (1, 2, 3)) + ")"
-_beside = f"""g as (select *, {_long} as longName from p), glo as (select min(query_id) as low, max(query_id) - min(query_id) + 1 as n from g),
-    go as (select g.*, low + (query_id - low + ({list(STEPS)})[(query_id // 2) % {len(STEPS)} + 1]) % n as other from g, glo)"""
-_hits = f"""{_persons}, {_watchlist}, names as (select fullName as name from p union select unnest(names) from e), {_keys},
-    i as (select distinct idx, block_key from (select idx, unnest(names) as name from e) join keys using (name)),
-    met as (select distinct q.name, idx, names from keys q join i using (block_key) join e using (idx)),
-    named as (select name, idx, unnest(names) as other, generate_subscripts(names, 1) as position from met),
-    wanted as (select distinct name as a, other as b from named), {name_sql.SCORES},
-    ranked as (select name, idx, other, position, score, row_number() over (partition by name, idx order by score desc, position) as r from named join scores on a = name and b = other),
-    entry as (select s_suppkey as idx, case when s_suppkey % 2 = 0 then {_date('s_suppkey * 3')} end as e_dob, {_pick(('M', 'F', ''), 's_suppkey + 1')} as e_sex, case when s_suppkey % 5 != 0 then {_pick(COUNTRIES, 's_suppkey + 2')} end as e_nat, s_suppkey % 4 = 0 as pep from supplier),
-    seen as (select query_id, idx, other, position, score, pep, [case when dob is null or e_dob is null then 'u' when dob = e_dob or dob = e_dob[1:5] || e_dob[9:10] || '-' || e_dob[6:7] then 'a' else 'c' end,
-        case when sex = '' or e_sex = '' then 'u' when sex = e_sex then 'a' else 'c' end, case when e_nat is null then 'u' when nationality = e_nat then 'a' else 'c' end] as f
-        from p join ranked on ranked.name = p.fullName and r = 1 and score >= 75 join entry using (idx)),
-    hits as (select *, if(list_contains(f, 'c'), 'DISCOUNTED', if(list_contains(f, 'a'), 'STRONG', 'POTENTIAL')) as classification from seen),
-    listed as (select query_id, cast(row_number() over (partition by query_id order by case classification when 'STRONG' then 0 when 'POTENTIAL' then 1 else 2 end, score desc, idx) as int) as rank, idx, other as matched_name, position > 1 as via_alias, score as name_score, classification,
-        concat_ws(',', 'SCR-1', if(position > 1, 'SCR-5', null), case classification when 'DISCOUNTED' then 'SCR-3' when 'STRONG' then 'SCR-2' end, if(pep, 'SCR-6', null)) as rules from hits)"""
-
-ORACLE_SQL = {
-    "screen_hits": f"with recursive {_hits} select * from listed",
-    "streamed_hits": f"with recursive {_hits} select query_id, rank, idx, matched_name, name_score, classification from listed",
-    "screen_disposition": f"""with recursive {_hits}, c as (select query_id, count(*) as hits, count(*) filter (where classification = 'STRONG') as strong, count(*) filter (where classification = 'POTENTIAL') as potential, count(*) filter (where classification = 'DISCOUNTED') as discounted from listed group by query_id),
-        d as (select query_id, coalesce(hits, 0) as hits, coalesce(strong, 0) as strong, coalesce(potential, 0) as potential, coalesce(discounted, 0) as discounted, case nationality when 'SY' then 'high' when 'IR' then 'high' when 'EG' then 'medium' end as country_risk from p left join c using (query_id))
-        select *, if(hits = 0, 'NO_MATCH', 'POTENTIAL_MATCH') as disposition, concat_ws(',', if(hits = 0, 'SCR-4', null), if(country_risk is not null, 'CRISK-1', null)) as rules,
-            if(hits = 0, 'no name or alias reached 75', hits || if(hits = 1, ' hit', ' hits') || ' from 75: ' || concat_ws(', ', if(strong > 0, strong || ' corroborated', null), if(potential > 0, potential || ' potential', null), if(discounted > 0, discounted || ' discounted', null)) || if(discounted = hits, '; look at each before dismissing it', '')) as reason from d""",
-    "name_pair_scores": f"""with recursive {_persons}, {_beside}, wanted as (select distinct a.longName as a, b.longName as b from go a join go b on b.query_id = a.other), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
-        select a, b, score, unmatched_middles, rules as rules_a from scores join name_rules on name = a""",
-    "address_check": f"""with recursive {_pairs}, side as (select query_id, {", ".join(f"trim(regexp_replace(trim(regexp_replace({x}, '[0-9]+|,', '', 'g')), '^(King) St\\.|^شارع |^Road ?|^Flat ', '\\1')) as {y}" for x, y in (("aa", "a"), ("ab", "b")))} from q),
-        wanted as (select distinct a, b from side), names as (select a as name from wanted union select b from wanted),
-        {name_sql.score_tables("union select array_to_string(ts, '') from name_parts", "union select array_to_string(p.ts, ''), array_to_string(q.ts, '') from wanted join name_parts p on p.name = a join name_parts q on q.name = b")},
-        sounds as (select w.a, w.b, array_to_string(p.ts, '') as x, array_to_string(q.ts, '') as y from wanted w join name_parts p on p.name = w.a join name_parts q on q.name = w.b),
-        c as (select sounds.a, sounds.b, if(s1 = s2, 100, cast(floor(greatest(0.0::double, 1.0::double - (r[-1] / 4.0::double) / greatest(length(s1), length(s2), 1)) * 100 + 0.5) as int)) as percent
-            from sounds join recursive_rows d on d.a = x and d.b = y and d.i = length(d.s1))
-        select query_id, case when percent >= 80 then 'ok' when percent >= 50 then 'warn' else 'info' end as status, if(a = '' or b = '', 'MISS-1', 'ADDR-1') as rules, cast(null as varchar) as cap from side left join c using (a, b)""",
-    "zone_name_checks": f"""with recursive {_persons}, z as (select query_id, {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as a, fullName as b from p where query_id % 13 != 0 and query_id % 10 != 9),
-        wanted as (select distinct a, b from z), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
-        select query_id, 'zone name' as field, case when score >= 85 then 'ok' when score >= 60 then 'warn' else 'bad' end as status, 'MRZ-3' as rules, if(score < 60, 'REFER', null) as cap from z join scores using (a, b)""",
-    "document_verdicts": f"""with recursive {_persons}, {_beside}, sides as (select *, {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as latin from go),
-        both_ as (select a.query_id, b.query_id as k2, a.longName as a, b.longName as b, a.latin as la, b.latin as lb, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb from sides a join sides b on b.query_id = a.other),
-        wanted as (select a, b from both_ union select la, a from both_ union select lb, b from both_), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES},
-        v as (select *, ca = 'IL' and ta in ('national_id', 'drivers_license') as ia, cb = 'IL' and tb in ('national_id', 'drivers_license') as ib,
-            list_transform([na, nb], lambda x: list_sum(list_transform(range(1, 10), lambda k: (cast(x[k] as int) * (2 - k % 2)) // 10 + (cast(x[k] as int) * (2 - k % 2)) % 10)) % 10 != 0) as wrong from both_),
-        n as (select v.*, s.score, x.score as xa, y.score as xb, cast(da is null or db is null or da != db as int) + cast(ea < '{TODAY}' or eb < '{TODAY}' or (ea != eb and ta = tb) as int) + cast((ta != tb and ia and ib) or ta = tb as int) + cast(ia and wrong[1] as int) + cast(ib and wrong[2] as int) + cast(sa != '' and sb != '' and sa != sb as int) as stops,
-            6 + cast(ia as int) + cast(ib as int) + cast(sa != '' and sb != '' as int) as rows_
-            from v join scores s on s.a = v.a and s.b = v.b join scores x on x.a = la and x.b = v.a join scores y on y.a = lb and y.b = v.b),
-        z as (select *, list_transform([{{'k': query_id, 's': xa}}, {{'k': k2, 's': xb}}], lambda t: case when t.k % 13 = 0 then {{'n': 0, 'stops': 0}} when t.k % 10 = 9 then {{'n': 1, 'stops': 1}}
-            else {{'n': 4, 'stops': cast(t.k % 10 in (3, 7) as int) + cast(t.s < 60 as int)}} end) as zones from n),
-        w as (select query_id, score, stops + zones[1].stops + zones[2].stops as stops, rows_ + zones[1].n + zones[2].n as n_checks, case when score >= 85 then 2 when score >= 60 then 1 else 0 end as p from z)
-        select query_id, score as name_score, (['NO_MATCH', 'REFER', 'MATCH'])[if(stops > 0, least(p, 1), p) + 1] as verdict, n_checks, stops, if(stops > 0 and p > 1, 'CAP-1', null) as cap_rule from w""",
-    "record_verdicts": f"""with recursive {_persons}, {_beside}, both_ as (select a.query_id, a.longName as a, b.longName as b, a.dob as da, b.dob as db, a.expiry as ea, b.expiry as eb, a.sex as sa, b.sex as sb, a.docType as ta, b.docType as tb, a.docNumber as na, b.docNumber as nb, a.country as ca, b.country as cb from go a join go b on b.query_id = a.other),
-        wanted as (select distinct a, b from both_), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES},
-        v as (select *, ca = 'IL' and ta in ('national_id', 'drivers_license') as ia, cb = 'IL' and tb in ('national_id', 'drivers_license') as ib,
-            list_transform([na, nb], lambda x: list_sum(list_transform(range(1, 10), lambda k: (cast(x[k] as int) * (2 - k % 2)) // 10 + (cast(x[k] as int) * (2 - k % 2)) % 10)) % 10 != 0) as wrong from both_),
-        n as (select query_id, a, b, cast(da is null or db is null or da != db as int) + cast(ea < '{TODAY}' or eb < '{TODAY}' or (ea != eb and ta = tb) as int) + cast((ta != tb and ia and ib) or ta = tb as int) + cast(ia and wrong[1] as int) + cast(ib and wrong[2] as int) + cast(sa != '' and sb != '' and sa != sb as int) as stops from v),
-        w as (select query_id, score, stops, case when score >= 85 then 2 when score >= 60 then 1 else 0 end as p from n join scores using (a, b))
-        select query_id, score as name_score, (['NO_MATCH', 'REFER', 'MATCH'])[p + 1] as provisional_verdict, (['NO_MATCH', 'REFER', 'MATCH'])[if(stops > 0, least(p, 1), p) + 1] as verdict, if(stops > 0 and p > 1, 'CAP-1', null) as cap_rule, stops from w""",
-    "block_candidates": f"""with {_persons}, {_watchlist}, names as (select fullName as name from p union select unnest(names) from e), {_keys},
-        i as (select distinct idx, block_key from (select idx, unnest(names) as name from e) join keys using (name)),
-        n as (select distinct q.name, idx from keys q join i using (block_key))
-        select query_id, count(*) as candidates from p join n on p.fullName = n.name group by query_id""",
-    "country_risk": f"with {_persons} select query_id, nationality as code, case nationality when 'SY' then 'high' when 'IR' then 'high' when 'EG' then 'medium' end as risk from p",
-    "script_counts": f"with {_persons} select case when regexp_matches(fullName, '[\\x{{0600}}-\\x{{06FF}}]') then 'arabic' when regexp_matches(fullName, '[\\x{{0590}}-\\x{{05FF}}]') then 'hebrew' else 'latin' end as script, count(*) as n from p group by 1",
-    "normalize_words": f"with {_words} select {_norm} as token, count(*) as n from w where word != '' group by 1",
-    "first_vowel_words": f"with {_words} select nullif(translate(regexp_extract({_norm}, '[aeiou]'), 'eo', 'iu'), '') as vowel, count(*) as n from w where word != '' group by 1",
-    "skeleton_words": f"""with w as (select distinct unnest(string_split(p_name, ' ')) as word from part),
-        u as (select word, list_transform(regexp_extract_all(lower(word), '{"|".join(lx.LATIN_PAIRS)}|[a-z]'), lambda x: (map {{{_classes}}})[x]) as c from w),
-        r as (select word, list_filter(c, lambda x, i: i = 1 or x != c[i - 1]) as c from u)
-        select word, array_to_string(c, '') as full, coalesce(array_to_string(list_filter(c, lambda x, i: x != 'A' and (x not in ('W', 'Y') or i = 1)), ''), '') as cons from r""",
-    "dob_check": f"""with {_pairs}, r as (select *, case when (da is not null and try_strptime(da, '%Y-%m-%d') is null) or (db is not null and try_strptime(db, '%Y-%m-%d') is null) then 6
-        when da is null or db is null then 0 when da = db and da[6:10] = '01-01' then 1 when da = db then 2
-        when da = db[1:5] || db[9:10] || '-' || db[6:7] then 3 when da[1:4] = db[1:4] then 4 else 5 end as k from q)
-        select query_id, (['info', 'info', 'ok', 'warn', 'warn', 'bad', 'bad'])[k + 1] as status, (['MISS-1', 'DOB-1,DOB-4', 'DOB-1', 'DOB-SWAP', 'DOB-2', 'DOB-3', 'DATE-1'])[k + 1] as rules,
-        case when k in (1, 2) then null else 'REFER' end as cap from r""",
-    "expiry_check": f"""with {_pairs}, r as (select *, case when eb = '2030-13-01' then 4 when ea is null and eb is null then 5 when ea < '{TODAY}' or eb < '{TODAY}' then 0
-        when ea != eb and ta != tb then 1 when ea != eb then 2 when ea is null or eb is null then 6 else 3 end as k from q)
-        select query_id, (['bad', 'info', 'warn', 'ok', 'bad', 'info', 'info'])[k + 1] as status, (['EXP-1', 'EXP-4', 'EXP-2', 'EXP-3', 'DATE-1', 'MISS-1', 'EXP-3'])[k + 1] as rules,
-        case when k in (0, 2, 4) then 'REFER' end as cap from r""",
-    "sex_check": f"with {_pairs} select query_id, case when sa = sb then 'ok' else 'bad' end as status, 'SEX-1' as rules, case when sa != sb then 'REFER' end as cap from q where sa != '' and sb != ''",
-    "doc_number_check": f"""with {_pairs}, r as (select *, ta != tb and ca = 'IL' and cb = 'IL' and ta in ('national_id', 'drivers_license') and tb in ('national_id', 'drivers_license') as shared from q),
-        k as (select query_id, case when nb = '' then 5 when na = nb and shared then 0 when na = nb then 1 when shared then 2 when ta != tb then 3 else 4 end as k from r)
-        select query_id, (['ok', 'ok', 'warn', 'info', 'warn', 'info'])[k + 1] as status, (['NUM-1,NUM-4', 'NUM-1', 'NUM-2,NUM-4', 'NUM-3', 'NUM-2', 'MISS-1'])[k + 1] as rules, case when k in (2, 4, 5) then 'REFER' end as cap from k""",
-    "id_check_digit": f"""with {_persons}, d as (select query_id, docNumber, list_transform(range(1, 10), lambda k: cast(docNumber[k] as int) * (2 - k % 2)) as x from p)
-        select query_id, docNumber, list_sum(list_transform(x, lambda v: case when v > 9 then v - 9 else v end)) % 10 = 0 as valid from d""",
-    "mrz_check_digits": f"with {_persons} select query_id, cast(cast(list_sum(list_transform(range(1, 10), lambda k: cast(docNumber[k] as int) * ([7, 3, 1])[(k - 1) % 3 + 1])) as bigint) % 10 as varchar) as digit from p",
-    "mrz_build_parse": f"""with {_persons} select query_id, if(query_id % 2 = 0, 'TD3', 'TD1') as format, docNumber as number, coalesce(dob, '2001-02-03') as dob, expiry, sex,
-        {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as name, if(query_id % 7 = 0, 'documentNumber,composite', '') as wrong from p""",
-    "known_lookup": f"""with {_persons}, t as (select query_id, unnest(string_split(fullName, ' ')) as part, generate_subscripts(string_split(fullName, ' '), 1) - 1 as place from p),
-        k as (select unnest(string_split(spellings, ' ')) as spelling, name from (values {", ".join(f"('{n}', '{x}')" for n, x in lx.KNOWN.items())}) v(name, spellings))
-        select query_id, cast(place as int) as place, part, name as known, upper(name[1]) || name[2:] as label from t left join k on spelling = replace(replace({_norm.replace("word", "part")}, '-', ''), chr(39), '')""",
-    "watchlist_ingest": """select 'id' || s_suppkey as id, 'sanction' as type, 'd' as program, s_name || ', the "old"' || chr(10) || 'one' as name, 'SY' as nationality, 3 as n_aliases from supplier where s_suppkey % 9 != 0
-        union all select 'p' || s_suppkey, 'pep', 'd', s_name || ', the "old"' || chr(10) || 'one', 'SY', 3 from supplier where s_suppkey % 9 != 0 and s_suppkey % 3 != 0""",
-    "watchlist_dedup": """with r as (select s_suppkey as k, 'id' || cast(s_suppkey % 70 as varchar) as id, s_name as name from supplier where s_suppkey % 9 != 0),
-        f as (select *, row_number() over (partition by id order by k) as n from r)
-        select cast(row_number() over (order by k) - 1 as bigint) as idx, id, 'sanction' as type, name, case when k % 2 = 0 then '1970-01-02' end as dob, 'SY' as nationality, 2 as n_aliases from f where n = 1""",
-    "loader_counts": "select count(*) as total, count(*) filter (where s_suppkey % 4 != 0) as sanction, count(*) filter (where s_suppkey % 4 = 0) as pep from supplier",
-    "address_localities": f"""with {_persons} select query_id, trim({_pick(('King', 'الملك', '', 'B'), 'query_id')} || ' ' || {_pick(CITIES, 'query_id * 3')}) as locality from p""",
-    "zone_checks": f"""with {_persons}, z as (select * from p where query_id % 13 != 0)
-        select query_id, 'zone' as field, 'warn' as status, 'MRZ-4' as rules, 'REFER' as cap from z where query_id % 10 = 9
-        union all select query_id, 'zone digits', 'ok', 'MRZ-1', null from z where query_id % 10 != 9
-        union all select query_id, 'zone composite', if(query_id % 10 = 7, 'bad', 'ok'), 'MRZ-2', if(query_id % 10 = 7, 'REFER', null) from z where query_id % 10 != 9
-        union all select query_id, 'zone against print', if(query_id % 10 = 3, 'bad', 'ok'), 'MRZ-3', if(query_id % 10 = 3, 'REFER', null) from z where query_id % 10 != 9""",
-    "captured_fields": f"""with {_persons}, s as (select *, {_date('query_id')} as born, case when query_id % 10 = 3 then lpad(cast((query_id + 1) * 7919 % 1000000000 as varchar), 9, '0') else docNumber end as zoned from p),
-        m as (select *, born[3:4] || born[6:7] || born[9:10] || lpad(cast(0 as varchar), 0, '0') as six from s),
-        d as (select *, cast(list_sum(list_transform(range(1, 7), lambda k: cast(six[k] as int) * ([7, 3, 1])[(k - 1) % 3 + 1])) as bigint) % 10 as digit from m),
-        n as (select *, cast(length(regexp_replace(six, '[^0158]', '', 'g')) as int) as corrections from d),
-        f as (select query_id, corrections, unnest([
-            {{'field': 'mrz', 'value': null, 'validated': true}}, {{'field': 'dob', 'value': born, 'validated': true}},
-            {{'field': 'expiry', 'value': expiry, 'validated': true}}, {{'field': 'docNumber', 'value': zoned, 'validated': true}},
-            {{'field': 'fullName', 'value': {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')}, 'validated': false}},
-            {{'field': 'sex', 'value': nullif(sex, ''), 'validated': false}},
-            {{'field': 'country', 'value': case when country in ('SY', 'EG', 'JO', 'IL') then country else 'OTHER' end, 'validated': false}},
-            {{'field': 'docType', 'value': 'passport', 'validated': false}}]) as r from n)
-        select query_id, corrections, r.field as field, r.value as value, 'mrz' as source, r.validated as validated from f where r.value is not null or r.field = 'mrz'""",
-    "printed_fields": f"with {_persons} select query_id, {_date('query_id')} as dob, expiry, docNumber as number from p",
-    "field_states": f"""with recursive e as (select user_id as record_id, if(event_id % 2 = 0, 'a', 'b') as side, (['dob', 'fullName', 'sex'])[event_id % 3 + 1] as field,
-            {" ".join(["case event_type"] + [f"when '{a}' then '{b}'" for a, b in EVENTS.items()] + ["end"])} as event, (['x', 'y'])[(event_id // 2) % 2 + 1] as value, event_id % 5 < 2 as validated, event_id from events),
-        o as (select *, row_number() over (partition by record_id, side, field order by event_id) as n, count(*) over (partition by record_id, side, field) as total from e),
-        f as (select distinct record_id, side, field, cast(0 as bigint) as n, total, 'typed' as state, '' as value, cast(null as varchar) as read, false as sure from o
-            union all select f.record_id, f.side, f.field, o.n, f.total,
-                case when o.event = 'proposal' then if(o.validated, 'mrz-validated', 'ocr-unconfirmed') when o.event in ('edit', 'clear') then 'typed'
-                    when o.event = 'confirm' and (f.state = 'ocr-unconfirmed' or (f.state = 'typed' and f.value = f.read)) then 'confirmed'
-                    when o.event = 'restore' and f.state = 'typed' and f.value != f.read then if(f.sure, 'mrz-validated', 'ocr-unconfirmed') else f.state end,
-                case when o.event in ('proposal', 'edit') then o.value when o.event = 'clear' then '' when o.event = 'restore' and f.state = 'typed' and f.value != f.read then f.read else f.value end,
-                case when o.event = 'proposal' then o.value when o.event = 'clear' then null else f.read end,
-                case when o.event = 'proposal' then o.validated when o.event = 'clear' then false else f.sure end
-            from f join o on o.record_id = f.record_id and o.side = f.side and o.field = f.field and o.n = f.n + 1)
-        select record_id, side, field, state, value from f where n = total""",
+    for f in (screen_hits, hit_evidence, screen_disposition, threshold_sweep, blocking_recall, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, known_lookup, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_ingest, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, document_verdicts, case_notes, rules_cited)
 }
