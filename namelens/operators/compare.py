@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks as ck
 from ..functions.address import check_address, locality
+from ..functions.text import remembered
 from ..sources.shared import written
 from .names import name_row
 from .zones import scored_names, with_zones, zone_rows
@@ -31,17 +32,23 @@ def verdict_reason(provisional: Column, verdict: Column, score: Column, match: f
     return F.concat(F.lit("The name score of "), score.cast("string"), F.lit(" "), where, F.lit(" "), F.when(verdict == provisional, same).otherwise(lowered))
 
 
+address_row = remembered(lambda a, b: check_address(F.col(a), F.col(b)).cast(CHECK))
+
+
 def with_address_check(pairs: DataFrame, out: str) -> DataFrame:
     """``pairs`` with the check of address_a and address_b; each distinct pair of localities is compared once."""
     located = pairs.withColumn("__at_a", locality(F.col("address_a"))).withColumn("__at_b", locality(F.col("address_b")))
     both = located.select("__at_a", "__at_b").distinct()
-    checked = both.select("__at_a", "__at_b", check_address(F.col("__at_a"), F.col("__at_b")).cast(CHECK).alias(out))
+    checked = both.select("__at_a", "__at_b", address_row("__at_a", "__at_b").alias(out))
     return located.join(checked, ["__at_a", "__at_b"]).drop("__at_a", "__at_b")
 
 
 def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> DataFrame:
     """One row for each pair of records whose fields end in _a and _b, keyed by ``query_id``.
 
+    Beside verdict and checks it holds the rows of the name comparison, the rules that rewrote the names' tokens, whether the
+    score is a mean of several rows, the day and the thresholds.
+
     ``address``, ``mrz`` (a travel zone) and ``provenance`` (a map of fields to states) are checked where both sides
     have the column. A check's cap lowers the verdict to REFER at most; every capped check is a hard stop, and CAP-1 is cited if one
     lowered the verdict. ``today`` is required: no clock is read.
@@ -56,6 +63,7 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     rows = scored_names(rows, [("fullName_a", "fullName_b", "__names"), *[(f"__latin_{s}", f"fullName_{s}", f"__name_{s}") for s in sides]])
     missing = F.array(name_row(F.lit(""), F.lit(""), F.lit(""), F.lit(None).cast("int"), F.array(F.lit("MISS-1")), F.array().cast("array<string>")))
     rows = rows.withColumn("name_score", F.coalesce("__names.score", F.lit(0))).withColumn("name_pairs", F.coalesce("__names.pairs", missing))
+    rows = rows.withColumn("name_rules", F.coalesce("__names.rules", F.array().cast("array<string>"))).withColumn("aggregated", F.coalesce("__names.aggregated", F.lit(False)))
     for side in "ab":
         score = F.when(c(f"__latin_{side}").isNotNull(), c(f"__name_{side}.score")) if sides else None
         found_rows = zone_rows(c(f"__zone_{side}"), lambda field, s=side: c(f"{field}_{s}"), score, side) if sides else none
@@ -82,4 +90,4 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     final = F.when(F.size("hard_stops") > 0, F.least(c("provisional"), F.lit(1))).otherwise(c("provisional"))
     name = lambda v: F.element_at(F.array(*map(F.lit, VERDICTS)), v + 1)
     capped = final < c("provisional")
-    return rows.select("query_id", "name_score", "name_pairs", "checks", "hard_stops", name(c("provisional")).alias("provisional_verdict"), name(final).alias("verdict"), capped.alias("capped"), F.when(capped, "CAP-1").alias("cap_rule"), verdict_reason(name(c("provisional")), name(final), c("name_score"), match, refer).alias("verdict_reason"))
+    return rows.select("query_id", F.lit(today).alias("evaluated_on"), F.struct(F.lit(match).alias("match"), F.lit(refer).alias("refer")).alias("thresholds"), "name_score", "name_pairs", "name_rules", "aggregated", "checks", "hard_stops", name(c("provisional")).alias("provisional_verdict"), name(final).alias("verdict"), capped.alias("capped"), F.when(capped, "CAP-1").alias("cap_rule"), verdict_reason(name(c("provisional")), name(final), c("name_score"), match, refer).alias("verdict_reason"))

@@ -11,6 +11,7 @@ from .. import lexicon as lx
 from ..functions import mrz
 from ..functions.capture import ALPHA_2
 from ..functions.checks import REFER, blank, row, sex_of
+from ..functions.text import remembered
 from ..sources.shared import written
 from .names import name_scores
 
@@ -44,9 +45,12 @@ def zone_rows(zone: Column, record, name_score: Column, side: str) -> Column:
     return F.when(zone.isNull(), F.array().cast(CHECKS)).when(~zone.ok, unread.cast(CHECKS)).otherwise(rows.cast(CHECKS))
 
 
+zone_of = remembered(lambda column, year: mrz.parse(F.col(column), year))
+
+
 def with_zones(records: DataFrame, today: str, suffix: str = "") -> DataFrame:
     """``records`` with their parsed zone as ``__zone`` and the name in it as ``__latin``, null if either name is missing."""
-    parsed = records.withColumn(f"__zone{suffix}", mrz.parse(F.col(f"mrz{suffix}"), int(today[:4])))
+    parsed = records.withColumn(f"__zone{suffix}", zone_of(f"mrz{suffix}", int(today[:4])))
     full = F.col(f"__zone{suffix}.fields.name.full")
     return parsed.withColumn(f"__latin{suffix}", F.when(~blank(F.col(f"fullName{suffix}")) & (full != ""), full))
 
@@ -54,7 +58,7 @@ def with_zones(records: DataFrame, today: str, suffix: str = "") -> DataFrame:
 def scored_names(rows: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
     """``rows`` with a struct of score and pairs for each (first, second, out); all distinct pairs of names are scored at once."""
     both = [rows.select(F.col(a).alias("a"), F.col(b).alias("b")) for a, b, _ in pairs]
-    scores = written(name_scores(reduce(DataFrame.union, both).where("a is not null or b is not null").distinct()).select("a", "b", F.struct("score", "pairs").alias("found")), "scores")
+    scores = written(name_scores(reduce(DataFrame.union, both).where("a is not null or b is not null").distinct()).select("a", "b", F.struct("score", "pairs", F.concat("rules_a", "rules_b").alias("rules"), "aggregated").alias("found")), "scores")
     for a, b, out in pairs:
         one = scores.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("found").alias(out))
         rows = rows.join(one, F.col(a).eqNullSafe(F.col("__a")) & F.col(b).eqNullSafe(F.col("__b")), "left").drop("__a", "__b")

@@ -7,6 +7,7 @@ from functools import partial
 from .. import lexicon as lx
 from . import name_sql
 from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, OTHERS, STEPS, STREETS, SURNAMES, ZONE_FAMILY, ZONE_GIVEN
+from .registry import RULES
 from .people import family_name as spark_family_name
 from .people import name_text as spark_name_text
 
@@ -80,18 +81,20 @@ _sounds = """sounds as (select w.a, w.b, array_to_string(p.ts, '') as x, array_t
     address_rows as (select query_id, case when percent >= 80 then 'ok' when percent >= 50 then 'warn' else 'info' end as status, if(la = '' or lb = '', 'MISS-1', 'ADDR-1') as rules, cast(null as varchar) as cap from side left join percents using (la, lb))"""
 _sound_tokens = name_sql.score_tables("union select array_to_string(ts, '') from name_parts", "union select array_to_string(p.ts, ''), array_to_string(q.ts, '') from side join name_parts p on p.name = la join name_parts q on q.name = lb")
 #: All of a comparison of records with addresses, zones and provenance: ``every`` (query_id, field, status, rules, cap).
-_documents = f"""{_pairs}, {_checks}, {_localities}, {_both_zones},
-    wanted as (select fa as a, fb as b from q union select latin, name from zoned where trim(name) != ''), names as (select a as name from wanted union select b from wanted union select la from side union select lb from side),
-    {_sound_tokens}, {_sounds}, {_zones}, {_zone_names},
+_every = f"""{_sounds}, {_zones}, {_zone_names},
     every as (select * from checks union all select query_id, field || side, status, rules, cap from zone_rows union all select query_id, field || side, status, rules, cap from zone_name_rows
         union all select query_id, 'address', status, rules, cap from address_rows
         union all select query_id, 'provenance a', if(query_id % 5 = 0, 'ok', 'warn'), if(query_id % 5 = 0, 'OCR-2', 'OCR-1'), if(query_id % 5 = 0, null, 'REFER') from q where query_id % 5 < 2
         union all select query_id, 'provenance b', s, if(s = 'ok', 'OCR-2', 'OCR-1'), if(s = 'ok', null, 'REFER') from q, (values ('ok'), ('warn')) v(s) where query_id % 7 = 2)"""
+_document_names = "select fa as a, fb as b from q union select latin, name from zoned where trim(name) != ''"
+_documents = f"""{_pairs}, {_checks}, {_localities}, {_both_zones}, wanted as ({_document_names}), names as (select a as name from wanted union select b from wanted union select la from side union select lb from side),
+    {_sound_tokens}, {_every}"""
 _verdicts = lambda checks: f"""stops as (select query_id, count(*) as n_checks, count(cap) as stops from {checks} group by query_id),
     verdicts as (select q.query_id, fa, fb, coalesce(s.score, 0) as score, n_checks, stops, case when coalesce(s.score, 0) >= 85 then 2 when coalesce(s.score, 0) >= 60 then 1 else 0 end as v from q join stops using (query_id) left join scores s on s.a is not distinct from fa and s.b is not distinct from fb),
     final as (select *, if(stops > 0, least(v, 1), v) as f, if(stops > 0 and v > 1, 'CAP-1', null) as cap_rule from verdicts)"""
 _verdict = lambda v: f"(['NO_MATCH', 'REFER', 'MATCH'])[{v} + 1]"
 
+
 _fold_from = "".join(g for g in lx.LATIN_FOLD.values())
 _fold_to = "".join(b * len(g) for b, g in lx.LATIN_FOLD.items())
 _words = r"w as (select unnest(regexp_split_to_array(text, '[\s]+')) as word from documents)"
@@ -99,7 +102,7 @@ _norm = f"translate(translate(replace(lower(word), 'š', 'sh'), '{_fold_from}',
 _classes = ", ".join(f"'{k}': '{v}'" for k, v in (lx.letters({c: g.replace("'", "") for c, g in lx.LATIN.items()}) | lx.LATIN_PAIRS).items())
 _units = ", ".join(f"'{k}': '{v}'" for k, v in ({u: c for u, c in lx.unit_classes().items() if u != "'"} | {"''": "A"}).items())
 _groups = "|".join(lx.LATIN_PAIRS) + "|[" + "".join(lx.HEBREW_GERESH) + "]" + lx.GERESH + "|."
-_watchlist = f"""e as (select s_suppkey as idx, [{name_text('(s_suppkey * 5)', OTHERS, 1)}] || if(s_suppkey % 3 = 0, [{name_text('(s_suppkey * 5)', NAMES, 0)}], []) || if(s_suppkey % 7 = 1, [{_pick(NAMES, 's_suppkey * 5 + 2')}], []) as names,
+_watchlist = f"""e as (select s_suppkey as idx, if(s_suppkey % 8 = 3, [{_pick(NAMES, 's_suppkey * 11')}], []) || [{name_text('(s_suppkey * 5)', OTHERS, 1)}] || if(s_suppkey % 3 = 0, [{name_text('(s_suppkey * 5)', NAMES, 0)}], []) || if(s_suppkey % 7 = 1, [{_pick(NAMES, 's_suppkey * 5 + 2')}], []) as names,
     case when s_suppkey % 2 = 0 then {_date('s_suppkey * 5')} when s_suppkey % 3 = 0 then {_date('s_suppkey * 3')} end as e_dob, {_pick(('M', 'F', ''), 's_suppkey * 5 + if(s_suppkey % 4 = 1, 1, 0)')} as e_sex,
     case when s_suppkey % 5 != 0 then {_pick(COUNTRIES, 's_suppkey * 5')} end as e_nat, if(s_suppkey % 13 != 0 and s_suppkey % 4 = 0, 'pep', 'sanction') as kind from supplier)"""
 #: Block keys of each distinct name of the table ``names``: skeletons of its parts in any script, and those less one letter.
@@ -114,16 +117,16 @@ _keys = rf"""bt as (select distinct name, unnest(regexp_split_to_array(name, '[\
     bk as (select name, coalesce(array_to_string(list_filter(c, lambda x, i: x != 'A' and (x not in ('W', 'Y') or i = 1)), ''), '') as cons from br),
     keys as (select distinct name, unnest([cons] || list_transform(range(1, length(cons) + 1), lambda i: left(cons, i - 1) || substr(cons, i + 1))) as block_key from bk where cons != '')"""
 _met = "i as (select distinct idx, block_key from (select idx, unnest(names) as name from e) join keys using (name)), met as (select distinct q.name, idx from keys q join i using (block_key) where q.name in (select fullName from p))"
-_hits = lambda least: f"""{_persons}, {_watchlist}, names as (select fullName as name from p union select unnest(names) from e), {_keys}, {_met},
-    named as (select name, idx, unnest(names) as other, generate_subscripts(names, 1) as position from met join e using (idx)),
-    wanted as (select distinct name as a, other as b from named), {name_sql.SCORES},
-    ranked as (select name, idx, other, position, score, row_number() over (partition by name, idx order by score desc, position) as r from named join scores on a = name and b = other),
+_named = "named as (select name, idx, unnest(names) as other, generate_subscripts(names, 1) as position from met join e using (idx))"
+_ranked = lambda least: f"""ranked as (select name, idx, other, position, score, row_number() over (partition by name, idx order by score desc, position) as r from named join scores on a = name and b = other),
     seen as (select query_id, fullName, idx, other, position, score, kind, [case when dob is null or e_dob is null then 'u' when dob = e_dob or dob = e_dob[1:5] || e_dob[9:10] || '-' || e_dob[6:7] then 'a' else 'c' end,
         case when sex = '' or e_sex = '' then 'u' when sex = e_sex then 'a' else 'c' end, case when e_nat is null then 'u' when nationality = e_nat then 'a' else 'c' end] as f
         from p join ranked on ranked.name = p.fullName and r = 1 and score >= {least} join e using (idx)),
     hits as (select *, if(list_contains(f, 'c'), 'DISCOUNTED', if(list_contains(f, 'a'), 'STRONG', 'POTENTIAL')) as classification from seen),
     listed as (select query_id, fullName, kind, cast(row_number() over (partition by query_id order by case classification when 'STRONG' then 0 when 'POTENTIAL' then 1 else 2 end, score desc, idx) as int) as rank, idx, other as matched_name, position > 1 as via_alias, score as name_score, classification,
         concat_ws(',', 'SCR-1', if(position > 1, 'SCR-5', null), case classification when 'DISCOUNTED' then 'SCR-3' when 'STRONG' then 'SCR-2' end, if(kind = 'pep', 'SCR-6', null)) as rules from hits)"""
+_hits = lambda least: f"""{_persons}, {_watchlist}, names as (select fullName as name from p union select unnest(names) from e), {_keys}, {_met}, {_named},
+    wanted as (select distinct name as a, other as b from named), {name_sql.SCORES}, {_ranked(least)}"""
 _counts = ", ".join(f"count(*) filter (where classification = '{c}') as {c.lower()}" for c in ("STRONG", "POTENTIAL", "DISCOUNTED"))
 _told = lambda hit: f"""if(hits = 0, 'NO_MATCH', 'POTENTIAL_MATCH') as disposition, if(hits = 0, 'no name or alias reached ' || {hit}, hits || if(hits = 1, ' hit', ' hits') || ' from ' || {hit} || ': ' || concat_ws(', ', if(strong > 0, strong || ' corroborated', null), if(potential > 0, potential || ' potential', null), if(discounted > 0, discounted || ' discounted', null))
     || if(discounted = hits, '; look at each before dismissing it', '')) as reason"""
@@ -158,6 +161,17 @@ ORACLE_SQL = {
     "document_verdicts": f"with recursive {_documents}, {_verdicts('every')} select query_id, score as name_score, {_verdict('f')} as verdict, n_checks, stops, cap_rule from final",
     "record_verdicts": f"""with recursive {_pairs}, {_checks}, wanted as (select distinct fa as a, fb as b from q), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}, {_verdicts('checks')}
         select query_id, score as name_score, {_verdict('v')} as provisional_verdict, {_verdict('f')} as verdict, cap_rule, stops from final""",
+    "rules_cited": f"""with recursive {_pairs}, {_checks}, {_localities}, {_both_zones}, {_watchlist},
+        names as (select fullName as name from p union select unnest(names) from e union select fb from q union select latin from zoned union select la from side union select lb from side), {_keys}, {_met}, {_named},
+        wanted as ({_document_names} union select name, other from named), {_sound_tokens}, {_every}, {_verdicts('every')}, {_ranked(75)}, {name_sql.row_tables()},
+        texts as (select rules from every union all select r.rules from q join pair_rows r on r.a is not distinct from fa and r.b is not distinct from fb
+            union all select r.rules from q join name_rules r on r.name = fa union all select r.rules from q join name_rules r on r.name = fb
+            union all select 'AGG-1' from q join taken on taken.a = fa and taken.b = fb where n > 1 or m > 1 union all select cap_rule from final where cap_rule is not null
+            union all select rules from listed union all select r.rules from listed join pair_rows r on r.a = fullName and r.b = matched_name
+            union all select 'SCR-4' from p where query_id not in (select query_id from listed) union all select 'CRISK-1' from p where {_risk} is not null),
+        cited as (select rule, count(*) as n from (select unnest(string_split(rules, ',')) as rule from texts where rules != '') group by rule),
+        known as (select unnest(string_split(rules, ' ')) as rule, about from (values {", ".join(f"('{about}', '{' '.join(rules)}')" for about, rules in RULES.items())}) v(about, rules))
+        select rule, about, coalesce(n, 0) as n, case when about is null then 'unregistered' when n is null then 'never cited' else 'cited' end as standing from known full join cited using (rule)""",
     "block_candidates": f"""with {_persons}, {_watchlist}, names as (select fullName as name from p union select unnest(names) from e), {_keys}, {_met}
         select query_id, (select count(*) from met where name = fullName) as candidates from p""",
     "country_risk": f"with {_persons} select query_id, nationality as code, {_risk} as risk from p",

@@ -26,7 +26,7 @@ OTHERS = (
     "محمد عبد الله الفارسي", "Mohamed Abdallah Elfarsi", "מוחמד עבדאללה אלפארסי", "سميرة حداد", "Samirah Hadad", "Kareem Nasir Shadeed",
     "كريم شديد", "Yousef Khalil", "يوسف خليل", "Umar Tarek Qasim", "عمر قاسم", "فاطمة علي المصري", "Fatma Aly Elmasry",
     "Waleed Mansur", "Walid Mansoor", "עבד אלרחמן כמאל", "Abdulrahman Kamel", "Jonathon Smyth", "Rashid Sherif", "Rasheed Sharif", "محمود الشريف",
-    "ليلى أم سالم", "زينب السيد", "Zaynab Elsayed", "ח׳ליל אבראהים", "Petr Novak", "Jose Nunez", "أَحْمَد ناصر", "Chaim Baruch", "ابو بكر دندشي",
+    "ليلى أم سالم", "زينب السيد", "Zaynab Elsayed", "ח׳ליל אבראהים", "Patar Novak", "Jose Nunez", "أَحْمَد ناصر", "Chaim Baruch", "ابو بكر دندشي",
 )
 #: The same names as a travel zone has them: family names and given names.
 ZONE_FAMILY = ("ALFARSI", "ALFARSI", "ELFARSI", "HADDAD", "HADDAD", "SHADID", "SHADEED", "KHALIL", "KHALEEL", "ALQASIM", "QASEM", "ALMASRI", "ALMASRI", "MANSOUR", "MANSOUR", "KAMAL", "KAMAL", "SMITH", "CHERIF", "SHARIF", "ASHSHARIF", "UMM SALIM", "SAYED", "ELSAYED", "CHALIL", "NOVAK", "NUNEZ", "NASSER", "BARUCH", "DANDACHI")
@@ -105,14 +105,18 @@ def persons_of(customers: DataFrame) -> DataFrame:
 
 
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, id, source, type, program, name, aliases, dob, sex, nationality): every fifth person in another spelling."""
+    """(idx, id, source, type, program, name, aliases, dob, sex, nationality): every fifth person in another spelling.
+
+    Some are listed under another name and have theirs as an alias.
+    """
     k, n = F.col("s_suppkey"), F.col("s_suppkey") * 5
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
     own, other = F.expr(name_text("(s_suppkey * 5)", NAMES, 0)), F.expr(name_text("(s_suppkey * 5)", OTHERS, 1))
-    aliases = F.array_compact(F.array(F.when(k % 3 == 0, own), F.when(k % 7 == 1, pick(NAMES, n + 2))))
+    hidden = k % 8 == 3
+    aliases = F.array_compact(F.array(F.when(hidden, other), F.when(k % 3 == 0, own), F.when(k % 7 == 1, pick(NAMES, n + 2))))
     kind = F.when(k % 13 == 0, None).when(k % 12 == 0, "PEP").when(k % 4 == 0, "pep").otherwise("sanction")
     dob = F.when(k % 2 == 0, date_of(n)).when(k % 3 == 0, date_of(k * 3))
-    return s.select(k.alias("idx"), F.concat(F.lit("E-"), k.cast("string")).alias("id"), F.lit("derived").alias("source"), kind.alias("type"), F.concat(F.lit("P"), (k % 5).cast("string")).alias("program"), other.alias("name"), aliases.alias("aliases"), dob.alias("dob"), pick(("M", "F", ""), n + F.when(k % 4 == 1, 1).otherwise(0)).alias("sex"), F.when(k % 5 != 0, pick(COUNTRIES, n)).alias("nationality"))
+    return s.select(k.alias("idx"), F.concat(F.lit("E-"), k.cast("string")).alias("id"), F.lit("derived").alias("source"), kind.alias("type"), F.concat(F.lit("P"), (k % 5).cast("string")).alias("program"), F.when(hidden, pick(NAMES, k * 11)).otherwise(other).alias("name"), aliases.alias("aliases"), dob.alias("dob"), pick(("M", "F", ""), n + F.when(k % 4 == 1, 1).otherwise(0)).alias("sex"), F.when(k % 5 != 0, pick(COUNTRIES, n)).alias("nationality"))
 
 
 def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import names, screening
 from ..operators.provenance import provenance_states
 from ..operators.zones import add_zone_checks
 from ..sources import watchlist as wl
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from ..streaming.screening import screen_stream
 from . import registry
 from .oracle import ORACLE_SQL as ORACLE_SQL
@@ -245,11 +245,16 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each rule is cited by comparisons and screening; ``about`` is null for a rule that isn't registered."""
-    verdicts = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
-    checks = verdicts.select(F.flatten(F.transform("checks", lambda x: x.rules)).alias("rules"))
-    tokens = verdicts.select(F.flatten(F.transform("name_pairs", lambda x: x.rules)).alias("rules"))
-    return registry.cited(checks, tokens, hits(spark, sf_dir).select("rules"))
+    """How often each rule is cited, wherever a comparison or a screening cites one, held against the registry both ways."""
+    verdicts = written(cmp.compare(record_pairs(spark, sf_dir, passports), TODAY), "verdicts")
+    of = lambda rows, c: rows.select(F.flatten(F.transform(c, lambda x: x.rules)).alias("rules"))
+    people, entries = persons(spark, sf_dir), watchlist(spark, sf_dir)
+    found = written(screening.screen(people, entries).select("query_id", "classification", "rules", "pairs"), "hits")
+    once = lambda rows, when, rule: rows.where(when).select(F.array(F.lit(rule)).alias("rules"))
+    return registry.audit(
+        of(verdicts, "checks"), of(verdicts, "name_pairs"), verdicts.select("name_rules"), once(verdicts, "aggregated", "AGG-1"), once(verdicts, "capped", "CAP-1"),
+        found.select("rules"), of(found, "pairs"), screening.dispositions(people, found, risks(spark)).select("rules"),
+    )
 
 
 def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

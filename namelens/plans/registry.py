@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 # The ids of all rules by what they are about.
 RULES = {
     "normal form": ("NORM-1", "ART-1", "ART-2", "JOIN-1", "PAT-1"),
@@ -31,3 +33,15 @@ def cited(*rules: DataFrame) -> DataFrame:
         one = df.select(F.explode(df.columns[0]).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
         every = one if every is None else every.union(one)
     return every.groupBy("rule").agg(F.sum("n").alias("n")).join(F.broadcast(registry(spark)), "rule", "left").select("rule", "about", "n")
+
+
+def audit(*rules: DataFrame) -> DataFrame:
+    """(rule, about, n, standing): every registered rule and every cited one, each held against the other.
+
+    A rule is cited, never cited, or unregistered. Citations are counted before they meet the registry.
+    """
+    found = written(cited(*rules), "cited")
+    known = registry(found.sparkSession)
+    strange = found.where("about is null").withColumn("standing", F.lit("unregistered"))
+    silent = known.join(found, "rule", "left_anti").select("rule", "about", F.lit(0).cast("long").alias("n"), F.lit("never cited").alias("standing"))
+    return found.where("about is not null").withColumn("standing", F.lit("cited")).unionByName(strange).unionByName(silent)
