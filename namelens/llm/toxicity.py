@@ -4,6 +4,9 @@ Folding maps homoglyphs and digit substitutions to one letter each, drops invisi
 by single spaces. The lexicon holds words and beginnings of words that labelled toxic texts have far more often, each
 with its log ratio as weight; phrases in which a word is harmless are exceptions. A text's score is a logistic
 function of the weight it matches and of that weight by its length.
+
+A beginning stands for words that no labelled text had, so it is judged by the different words that have it: toxic texts
+must have many such words and clean ones few. That a single toxic word is frequent says nothing of others that begin alike.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_fraction, map_in_python, sampled, with_columns_from_python
+from .common import bounded_fraction, map_in_python, sampled, with_columns_from_python, written
 
 # Letters of other scripts that look like a Latin letter.
 HOMOGLYPHS = {
@@ -36,6 +39,10 @@ FOLD = str.maketrans(HOMOGLYPHS | {"l": "i"}) | INVISIBLE
 #: Substitutes count inside a word, or at its start if two letters follow.
 SUBSTITUTED = re.compile(r"(?<=[^\W\d_])[013-578@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[013-578@$|](?=[^\W\d_]{2})")
 GAP = re.compile(r"[\W\d_]+")
+#: How many letters a beginning has.
+BEGINNINGS = (3, 4, 5, 6)
+
+
 def fold(text: str | None) -> str:
     """The folded words with a space before and after each; one space if there are none."""
     if not text:
@@ -113,14 +120,16 @@ class ToxicityModel:
 def terms_of(folded: str) -> set[str]:
     """The words of a folded text and their beginnings."""
     words = set(folded.split())
-    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in (3, 4, 5, 6) if len(w) > k}
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def phrases_at(folded: str, places: dict[int, float]) -> set[str]:
-    """The matching words of a folded text, each with the word before and with the word after it."""
+def phrases_at(folded: str, places: dict[int, float], lexicon: dict[str, float]) -> set[str]:
+    """The words of a folded text that the lexicon holds whole, each with the word before and with the word after it."""
     out = set()
     for at in places:
         end = folded.find(" ", at + 1)
+        if folded[at : end + 1] not in lexicon:
+            continue
         before, after = folded.rfind(" ", 0, at), folded.find(" ", end + 1)
         if before >= 0:
             out.add(folded[before : end + 1])
@@ -152,14 +161,26 @@ def counted(batches: Iterator[pa.RecordBatch], terms: Callable[[str], set[str]],
     yield flush()
 
 
+def passing(counts: DataFrame, a: str, b: str, n0: int, n1: int, least_gain: float, least_ratio: float) -> DataFrame:
+    """Rows of ``counts`` that ``b`` of ``n1`` have so much more often than ``a`` of ``n0``, with ``gain`` and the log ratio ``weight``."""
+    p = n1 / max(1, n0 + n1)
+    gain = F.expr(f"2 * ({b} * ln(greatest({b}, 1e-9) / (({a} + {b}) * {p!r}D)) + {a} * ln(greatest({a}, 1e-9) / (({a} + {b}) * {1 - p!r}D)))")
+    ratio = F.expr(f"ln(({b} + 0.5D) / {n1 + 1}D) - ln(({a} + 0.5D) / {n0 + 1}D)")
+    return counts.withColumn("gain", gain).withColumn("weight", ratio).where(f"gain >= {least_gain} and weight >= {math.log(least_ratio)}")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 30_000, least_gain: float = 20.0, least_ratio: float = 12.0, lexicon_size: int = 20_000, exceptions_size: int = 2_000, seed: int = 5) -> ToxicityModel:
     """Learns lexicon and logistic weights from at most about ``sample_rows`` labelled rows, chosen by a seeded hash.
 
     The chosen labels are few enough to broadcast, so no text is shuffled. A fifth of them weighs the features and the
     rest make the lexicon, which keeps terms whose log-likelihood gain is at least ``least_gain``
     and which toxic texts have ``least_ratio`` times as often; of more than ``lexicon_size``, those with the largest
-    gain. A phrase of a matching word and a word beside it is an exception if at least three clean texts have it and
-    it is no likelier in a toxic text than in a clean one; of more than ``exceptions_size``, those in most clean texts. Rows with a null id or label teach nothing; an id with several labels counts with the largest; without labels the lexicon is empty.
+    gain. A beginning has to pass the same test once more with different words in place of texts, those that toxic texts
+    have more often against the others, and weighs as little as the lesser of the two ratios. A phrase of a word that the
+    lexicon holds whole and a word beside it is an exception if at least three clean texts have it and it is no likelier in a toxic
+    text than in a clean one; of more than ``exceptions_size``, those in most clean texts. Rows with a null id or label
+    teach nothing; an id with several labels counts with the largest, and repeated rows count as often as they stand;
+    without labels, or with an empty text table, the lexicon is empty.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen = sampled(known, "id", bounded_fraction(known.count(), sample_rows), seed)
@@ -168,19 +189,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted(batches, terms_of)
 
-    counts = map_in_python(rows.where("not weigh").select("text", "y"), terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    counts = written(map_in_python(rows.where("not weigh").select("text", "y"), terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")), "terms")
     totals = rows.where("not weigh").groupBy().agg(F.sum(F.expr("int(y <= 0)")), F.sum(F.expr("int(y > 0)"))).first()
     n0, n1 = totals[0] or 0, totals[1] or 0
     model = ToxicityModel({})
     if n0 and n1:
-        p = n1 / (n0 + n1)
-        gain = F.expr(f"2 * (b * ln(greatest(b, 1e-9) / ((a + b) * {p!r}D)) + a * ln(greatest(a, 1e-9) / ((a + b) * {1 - p!r}D)))")
-        ratio = F.expr(f"ln((b + 0.5D) / {n1 + 1}D) - ln((a + 0.5D) / {n0 + 1}D)")
-        lexicon = counts.where("term != '' and b >= 3").withColumn("gain", gain).withColumn("weight", ratio).where(f"gain >= {least_gain} and weight >= {math.log(least_ratio)}")
+        told = F.col("term").endswith(" ")
+        words = counts.where(told).select(F.expr("substring(term, 1, length(term) - 1)").alias("word"), F.expr(f"int(b * {n0} > a * {n1})").alias("more"))
+        m0, m1 = words.agg(F.sum(1 - F.col("more")), F.sum("more")).first()
+        stems = words.select("more", F.explode(F.expr(f"transform(filter(array({', '.join(map(str, BEGINNINGS))}), k -> length(word) > k + 1), k -> substring(word, 1, k + 1))")).alias("term"))
+        stems = stems.groupBy("term").agg(F.sum(1 - F.col("more")).alias("words_a"), F.sum("more").alias("words_b"))
+        lexicon = passing(counts.where("term != '' and b >= 3"), "a", "b", n0, n1, least_gain, least_ratio)
+        stems = passing(stems, "words_a", "words_b", m0, m1, least_gain, least_ratio).select("term", F.col("weight").alias("words_weight"))
+        lexicon = lexicon.where(told).unionByName(lexicon.where(~told).join(stems, "term").withColumn("weight", F.least("weight", "words_weight")).drop("words_weight"))
         model.lexicon = {r.term: r.weight for r in lexicon.orderBy(F.desc("gain"), "term").limit(lexicon_size).collect()}
 
         def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from counted(batches, lambda folded: phrases_at(folded, model.matches(folded)))
+            yield from counted(batches, lambda folded: phrases_at(folded, model.matches(folded), model.lexicon))
 
         met = map_in_python(rows.where("not weigh").select("text", "y"), phrases, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
         harmless = met.where(f"a >= 3 and b * {n0} <= a * {n1}").orderBy(F.desc("a"), "term").limit(exceptions_size)
