@@ -226,3 +226,5 @@ ORACLE_SQL = {
             from f join o on o.record_id = f.record_id and o.side = f.side and o.field = f.field and o.n = f.n + 1)
         select record_id, side, field, state, value from f where n = total""",
 }
+
+ORACLE_SQL["streamed_field_states"] = ORACLE_SQL["field_states"]

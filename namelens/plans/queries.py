@@ -17,7 +17,7 @@ from ..operators.provenance import provenance_states
 from ..operators.zones import add_zone_checks
 from ..sources import watchlist as wl
 from ..sources.shared import new_path, written
-from ..streaming.screening import screen_stream
+from ..streaming.screening import late_provenance_stream, latest_states, screen_stream
 from . import registry
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .oracle import TODAY
@@ -231,6 +231,21 @@ def field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance_states(field_events(spark, sf_dir))
 
 
+def streamed_field_states(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
+    """The last state of each field, from events that arrive shuffled: up to half a day late within micro-batches by day."""
+    out, arrived = new_path(spark, "stream-states"), new_path(spark, "arrived")
+    k = F.col("event_id")
+    at = spark.read.parquet(f"{sf_dir}/events.parquet").select(k.alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    late = F.col("at") + F.expr("make_dt_interval(0, 0, 0, cast(pmod(xxhash64(seq), 43200) as int))")
+    rows = written(field_events(spark, sf_dir).join(at, "seq").withColumn("batch", F.floor(F.unix_seconds(late) / (30 * 86400 / batches))), "events")
+    for number in sorted(r.batch for r in rows.select("batch").distinct().collect()):
+        rows.where(F.col("batch") == number).drop("batch").repartition(2, F.xxhash64("seq")).write.mode("append").parquet(arrived)
+    stream = spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+    latest_states(late_provenance_stream(stream, "7 days"), out, new_path(spark, "stream-state")).awaitTermination()
+    last = spark.read.parquet(out).groupBy("record_id", "side", "field").agg(F.max_by(F.struct("state", "value"), "batch").alias("last"))
+    return last.select("record_id", "side", "field", "last.state", "last.value")
+
+
 def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of records with addresses and travel zones."""
     out = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY)
@@ -265,5 +280,5 @@ def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (screen_hits, hit_evidence, screen_disposition, threshold_sweep, blocking_recall, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, known_lookup, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_ingest, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, document_verdicts, case_notes, rules_cited)
+    for f in (screen_hits, hit_evidence, screen_disposition, threshold_sweep, blocking_recall, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, known_lookup, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_ingest, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, streamed_field_states, document_verdicts, case_notes, rules_cited)
 }

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.provenance import ANCHORS, CONFIRMED, KEYS, TYPED, UNCONFIRMED, VALIDATED
@@ -59,3 +60,84 @@ def provenance_stream(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([(*key, now[0], now[1])], columns=[*KEYS, "state", "value"])
 
     return events.groupBy(*KEYS).applyInPandasWithState(fold, "record_id long, side string, field string, state string, value string", "state string, value string, read string, sure boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+STATE = "record_id long, side string, field string, state string, value string"
+EVENT = "at long, seq long, event string, value string, validated boolean"
+START = (TYPED, "", None, False)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def in_order(e: tuple) -> tuple:
+    """Where an event stands among others: by ``seq``, anchors first, then by name and value."""
+    return e[1], e[2] not in ANCHORS, e[2], e[3] or ""
+
+
+class FieldStates(StatefulProcessor):
+    """A field's state behind the watermark, and the events after it in any order.
+
+    Events that no late one can precede any more are folded into the state and forgotten, when the field has new events or
+    by a timer; so a field holds its events of one delay at most.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "state string, value string, read string, sure boolean")
+        self.recent = handle.getListState("recent", EVENT)
+
+    def settle(self, events: list[tuple], watermark: int) -> tuple[tuple, list[tuple]]:
+        """The state after all events up to the watermark, which is kept, and the later events, which are kept too."""
+        now = tuple(self.settled.get()) if self.settled.exists() else START
+        ripe = sorted((e for e in events if e[0] <= watermark), key=in_order)
+        for e in ripe:
+            now = advance(now, *e[2:])
+        rest = [e for e in events if e[0] > watermark]
+        if ripe:
+            self.settled.update(now)
+        if rest:
+            self.recent.put(rest)
+            self.handle.registerTimer(max(e[0] for e in rest) + 1)
+        elif self.recent.exists():
+            self.recent.clear()
+        return now, rest
+
+    def held(self) -> list[tuple]:
+        return [tuple(e) for e in self.recent.get()] if self.recent.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = []
+        for frame in rows:
+            for at, seq, event, value, validated in frame[["millis", "seq", "event", "value", "validated"]].itertuples(index=False):
+                new.append((int(at), int(seq), event, None if pd.isna(value) else value, None if pd.isna(validated) else bool(validated)))
+        now, rest = self.settle(self.held() + new, timerValues.getCurrentWatermarkInMs())
+        for e in sorted(rest, key=in_order):
+            now = advance(now, *e[2:])
+        yield pd.DataFrame([(*key, now[0], now[1])], columns=[*KEYS, "state", "value"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.settle(self.held(), timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def late_provenance_stream(events: DataFrame, delay: str) -> DataFrame:
+    """(record_id, side, field, state, value) of each field that a micro-batch touches, in update mode.
+
+    Beside the columns of ``provenance_states`` ``events`` has ``at``, a timestamp that rises with ``seq`` within a field.
+    Events may come in any order, up to ``delay`` behind the latest; later ones are left out. After each batch a field's state
+    is that of the batch form over all its events so far. Needs the RocksDB state store, which is set in the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = events.withColumn("millis", F.unix_millis("at")).withWatermark("at", delay)
+    return timed.groupBy(*KEYS).transformWithStateInPandas(FieldStates(), STATE, "update", "eventTime")
+
+
+def latest_states(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes each micro-batch's states below ``out``, one folder for each batch, until all that is there has been read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
