@@ -6,6 +6,65 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 REFER = "REFER"
+#: By a check's rules and status: how its outcome is called, and why it came about. {a} and {b} are the records' values.
+OUTCOMES = {
+    ("DATE-1", "bad"): ("not a date", "{a} and {b} can't be compared, as one of them isn't a day of the calendar."),
+    ("MISS-1", "info"): ("missing", "At least one record has no value to compare."),
+    ("DOB-1,DOB-4", "info"): ("equal, first of January", "Both records have {a}, a day that often stands for an unknown one."),
+    ("DOB-1", "ok"): ("equal", "Both records have {a}."),
+    ("DOB-SWAP", "warn"): ("day and month swapped", "{a} and {b} are one date if day and month change places."),
+    ("DOB-2", "warn"): ("same year", "{a} and {b} have only the year in common."),
+    ("DOB-3", "bad"): ("different", "{a} and {b} are of different years."),
+    ("EXP-1", "bad"): ("expired", "Of {a} and {b}, at least one lies before the day of evaluation."),
+    ("EXP-4", "info"): ("different kinds", "{a} and {b} differ, which two kinds of documents may."),
+    ("EXP-2", "warn"): ("different", "{a} and {b} differ on documents of one kind."),
+    ("EXP-3", "info"): ("one date", "Only one record says when its document expires."),
+    ("EXP-3", "ok"): ("equal", "Both documents are valid until {a}."),
+    ("NUM-1", "ok"): ("equal", "Both records have the number {a}."),
+    ("NUM-1,NUM-4", "ok"): ("one identity number", "Both documents carry the person's identity number {a}."),
+    ("NUM-2,NUM-4", "warn"): ("two identity numbers", "Both documents carry an identity number, but {a} isn't {b}."),
+    ("NUM-3", "info"): ("different kinds", "{a} and {b} are numbers of two kinds of documents."),
+    ("NUM-2", "warn"): ("different", "{a} and {b} differ on documents of one kind."),
+    ("ID-CHK", "ok"): ("check digit right", "The check digit of {a}{b} is right."),
+    ("ID-CHK", "bad"): ("check digit wrong", "The check digit of {a}{b} is wrong."),
+    ("ID-CHK,FMT-1", "warn"): ("not nine digits", "{a}{b} hasn't the nine digits of an identity number."),
+    ("FMT-1", "warn"): ("unusual form", "{a}{b} hasn't the form of a passport number."),
+    ("MRZ-4", "warn"): ("unreadable", "The travel zone can't be read."),
+    ("MRZ-1", "ok"): ("digits right", "All check digits of the zone's fields are right."),
+    ("MRZ-1", "bad"): ("digits wrong", "A check digit of a zone's field is wrong."),
+    ("MRZ-2", "ok"): ("whole zone right", "The digit over the whole zone is right."),
+    ("MRZ-2", "bad"): ("whole zone wrong", "The digit over the whole zone is wrong."),
+    ("MRZ-3", "ok"): ("as printed", "The zone agrees with what is printed."),
+    ("MRZ-3", "warn"): ("much as printed", "The zone's name is much like the printed one."),
+    ("MRZ-3", "bad"): ("not as printed", "The zone differs from what is printed."),
+    ("SEX-1", "ok"): ("equal", "Both records say {a}."),
+    ("SEX-1", "bad"): ("different", "One record says {a}, the other {b}."),
+    ("TYPE-1", "ok"): ("one kind", "Both documents are of the kind {a}."),
+    ("TYPE-1", "info"): ("two kinds", "The documents are of the kinds {a} and {b}."),
+    ("CTRY-1", "ok"): ("one country", "Both documents are from {a}."),
+    ("CTRY-1", "warn"): ("two countries", "The documents are from {a} and {b}."),
+    ("ADDR-1", "ok"): ("one place", "The places of {a} and {b} sound alike."),
+    ("ADDR-1", "warn"): ("perhaps one place", "The places of {a} and {b} sound somewhat alike."),
+    ("ADDR-1", "info"): ("two places", "The places of {a} and {b} don't sound alike."),
+    ("OCR-2", "ok"): ("read and verified", "Values read by machine were verified by check digits."),
+    ("OCR-1", "warn"): ("read, unconfirmed", "Values read by machine haven't been confirmed."),
+}
+FULL = "array<struct<field:string,a:string,b:string,status:string,label:string,rules:array<string>,reason:string,cap:string>>"
+
+
+def full_rows(checks: Column, values: dict[str, tuple[Column, Column]]) -> Column:
+    """Check rows with the records' values, how the outcome is called and why it came about; ``values`` by field."""
+    outcomes = F.create_map(*[x for (rules, status), told in OUTCOMES.items() for x in (F.lit(f"{rules} {status}"), F.array(*map(F.lit, told)))])
+    held = F.create_map(*[x for field, (a, b) in values.items() for x in (F.lit(field), F.array(*[F.coalesce(c, F.lit("")) for c in (a, b)]))])
+
+    def whole(c: Column) -> Column:
+        told, said = F.try_element_at(outcomes, F.concat_ws(" ", F.array_join(c.rules, ","), c.status)), F.try_element_at(held, c.field)
+        a, b = (F.coalesce(F.get(said, F.lit(k)), F.lit("")) for k in (0, 1))
+        reason = F.replace(F.replace(F.get(told, F.lit(1)), F.lit("{a}"), a), F.lit("{b}"), b)
+        return F.struct(c.field.alias("field"), a.alias("a"), b.alias("b"), c.status.alias("status"), F.get(told, F.lit(0)).alias("label"), c.rules.alias("rules"), reason.alias("reason"), c.cap.alias("cap"))
+
+    return F.transform(checks, whole).cast(FULL)
+
 
 
 def blank(c: Column) -> Column:

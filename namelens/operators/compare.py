@@ -47,7 +47,8 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     """One row for each pair of records whose fields end in _a and _b, keyed by ``query_id``.
 
     Beside verdict and checks it holds the rows of the name comparison, the rules that rewrote the names' tokens, whether the
-    score is a mean of several rows, the day and the thresholds.
+    score is a mean of several rows, the day and the thresholds. A check row has the records' values, its status and what that
+    is called, its rules, why it came about, and its cap.
 
     ``address``, ``mrz`` (a travel zone) and ``provenance`` (a map of fields to states) are checked where both sides
     have the column. A check's cap lowers the verdict to REFER at most; every capped check is a hard stop, and CAP-1 is cited if one
@@ -84,6 +85,9 @@ def compare(pairs: DataFrame, today: str, match: int = 85, refer: int = 60) -> D
     listed = lambda checks: F.array_compact(F.array(*[x.cast(CHECK) for x in checks]))
     read = [ck.check_provenance(c(f"provenance_{s}"), s).cast(f"array<{CHECK}>") for s in "ab"] if has("provenance") else []
     rows = rows.withColumn("checks", F.concat(listed(found), c("__zone_rows_a"), c("__zone_rows_b"), listed(after), *read))
+    values = {f: (c(f"{f}_a"), c(f"{f}_b")) for f in ("dob", "expiry", "docNumber", "sex", "docType", "country", *(["address"] if has("address") else []))}
+    values |= {"docNumber a": (c("docNumber_a"), F.lit("")), "docNumber b": (F.lit(""), c("docNumber_b"))}
+    rows = rows.withColumn("checks", ck.full_rows(c("checks"), values))
     provisional = F.when(c("name_score") >= match, 2).when(c("name_score") >= refer, 1).otherwise(0)
     stops = F.transform(F.filter("checks", lambda x: x.cap.isNotNull()), lambda x: F.struct(x.field.alias("field"), x.rules.alias("rules")))
     rows = rows.withColumn("provisional", provisional).withColumn("hard_stops", stops)

@@ -56,8 +56,8 @@ def chosen(x: str) -> str:
     return f"(if({x}[1].c <= {x}[2].c and {x}[1].c <= {x}[3].c, {x}[1], if({x}[2].c <= {x}[3].c, {x}[2], {x}[3])))"
 
 
-def step(cell: str, cost: str, code: str) -> str:
-    return f"{{'c': {cell}.c + {cost}, 'p': {cell}.p || {code}}}"
+def step(cell: str, cost: str, code: str, note: str) -> str:
+    return f"{{'c': {cell}.c + {cost}, 'p': {cell}.p || {code}, 'e': {cell}.e || {note}}}"
 
 
 def indel_code(x: str, sure: str) -> str:
@@ -73,19 +73,19 @@ CODES = {"C": "CLS-1", "N": "CLS-2", "L": "LAT-1", "W": "WEAK-1", "H": "HEB-2"}
 
 
 def row_tables() -> str:
-    """``pair_rows`` after ``score_tables``: (a, b, place, x, y, role, cents, rules) of every pair of names in ``wanted``."""
-    add = step("acc[-1]", indel("s2[j]", "w2[j]"), indel_code("s2[j]", "w2[j]"))
-    put = step("r[j]", substitution("s1[i + 1]", "s2[j]", "(w1[i + 1] or w2[j])"), substitution_code("s1[i + 1]", "s2[j]", "(w1[i + 1] or w2[j])"))
-    drop = lambda cell: step(cell, indel("s1[i + 1]", "w1[i + 1]"), indel_code("s1[i + 1]", "w1[i + 1]"))
+    """``pair_rows`` after ``score_tables``: (a, b, place, x, y, role, cents, rules, edits) of every pair of names in ``wanted``."""
+    add = step("acc[-1]", indel("s2[j]", "w2[j]"), indel_code("s2[j]", "w2[j]"), "' +' || s2[j]")
+    put = step("r[j]", substitution("s1[i + 1]", "s2[j]", "(w1[i + 1] or w2[j])"), substitution_code("s1[i + 1]", "s2[j]", "(w1[i + 1] or w2[j])"), "if(s1[i + 1] = s2[j], '', ' ' || s1[i + 1] || '/' || s2[j])")
+    drop = lambda cell: step(cell, indel("s1[i + 1]", "w1[i + 1]"), indel_code("s1[i + 1]", "w1[i + 1]"), "' -' || s1[i + 1]")
     ways = f"[{put}, {drop('r[j + 1]')}, {add}]"
     told = ", ".join(f"{{'at': instr(reverse(way), '{k}'), 'rule': '{rule}'}}" for k, rule in CODES.items())
     return f"""met_pairs as (select distinct ta[p.i + 1] as x, tb[p.j + 1] as y from (select a, b, unnest(g.p) as p from taken) join lists using (a, b)),
-    edit_rows as (select a, b, s1, s2, w1, w2, 0 as i, list_reduce(range(1, length(s2) + 1), lambda acc, j: acc || [{add}], [{{'c': 0, 'p': ''}}]) as r from token_pairs join met_pairs on x = a and y = b where sure is null and s1 != s2
+    edit_rows as (select a, b, s1, s2, w1, w2, 0 as i, list_reduce(range(1, length(s2) + 1), lambda acc, j: acc || [{add}], [{{'c': 0, 'p': '', 'e': ''}}]) as r from token_pairs join met_pairs on x = a and y = b where sure is null and s1 != s2
         union all select a, b, s1, s2, w1, w2, i + 1, list_reduce(range(1, length(s2) + 1), lambda acc, j: acc || [list_transform([{ways}], lambda z: {chosen('z')})[1]], [{drop('r[1]')}]) from edit_rows where i < length(s1)),
-    ways as (select a, b, r[-1].c as cost, r[-1].p as way from edit_rows where i = length(s1)),
+    ways as (select a, b, r[-1].c as cost, r[-1].p as way, string_split(trim(r[-1].e), ' ') as edits from edit_rows where i = length(s1)),
     token_rules as (select t.a, t.b, c.cents, case when x.known = y.known then 'LEX-1' when x.known != y.known then 'LEX-2' when x.cons = '' and y.cons = '' then if(x.bare = y.bare, 'SKEL-1', 'MISS-1')
         else concat_ws(',', if(x.cons = y.cons, 'SKEL-1', if(greatest(0.0::double, 1.0::double - (cost / 4.0::double) / greatest(length(x.cons), length(y.cons))) >= 0.6, 'SKEL-2', 'SKEL-3')), if(x.cons = y.cons and x.whole != y.whole, 'WEAK-1', null),
-            nullif(array_to_string(list_transform(list_sort(list_filter([{told}], lambda v: v.at > 0)), lambda v: v.rule), ','), ''), if(c.cents = 78 and conflict and (x.cons = y.cons or floor(greatest(0.0, 1.0::double - (cost / 4.0::double) / greatest(length(x.cons), length(y.cons))) * 100 + 0.5) >= 90), 'VOW-1', null)) end as rules
+            nullif(array_to_string(list_transform(list_sort(list_filter([{told}], lambda v: v.at > 0)), lambda v: v.rule), ','), ''), if(c.cents = 78 and conflict and (x.cons = y.cons or floor(greatest(0.0, 1.0::double - (cost / 4.0::double) / greatest(length(x.cons), length(y.cons))) * 100 + 0.5) >= 90), 'VOW-1', null)) end as rules, if(x.known is not null and y.known is not null or x.cons = y.cons, [], edits) as edits
         from (select a, b, conflict from token_pairs join met_pairs on x = a and y = b) t join cents c on c.a = t.a and c.b = t.b join t x on x.token = t.a join t y on y.token = t.b left join ways on ways.a = t.a and ways.b = t.b),
     both_sides as (select a, b, n, m, g, ta, tb from taken join lists using (a, b)),
     loose_rows as (select a, b, 0 as kind, p.i as i, ta[p.i + 1] as x, tb[p.j + 1] as y, {role('p.i', 'n')} as role, p.cents as cents, {role('p.i', 'n')} != {role('p.j', 'm')} as moved from (select *, unnest(g.p) as p from both_sides)
@@ -93,7 +93,7 @@ def row_tables() -> str:
         union all select a, b, 2, j, '', tb[j + 1], {role('j', 'm')}, null, false from (select *, unnest(range(m)) as j from both_sides) where not list_contains(g.uj, j)
         union all select a, b, 3, 0, coalesce(a, ''), coalesce(b, ''), 3, null, false from wanted left join both_sides using (a, b) where n is null),
     pair_rows as (select r.a, r.b, cast(row_number() over (partition by r.a, r.b order by kind, i) as int) as place, x, y, (['given', 'family', 'middle', ''])[role + 1] as role, case when kind in (1, 2) and role < 2 then 0 else r.cents end as cents,
-        case when kind = 0 then t.rules || if(moved, ',ORD-1', '') when kind = 3 then 'MISS-1' when role = 2 then 'TOK-1' else 'TOK-2' end as rules from loose_rows r left join token_rules t on t.a = x and t.b = y and kind = 0)"""
+        case when kind = 0 then t.rules || if(moved, ',ORD-1', '') when kind = 3 then 'MISS-1' when role = 2 then 'TOK-1' else 'TOK-2' end as rules, coalesce(t.edits, []) as edits from loose_rows r left join token_rules t on t.a = x and t.b = y and kind = 0)"""
 
 
 def score_tables(tokens: str = "", pairs: str = "") -> str:

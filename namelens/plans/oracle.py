@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import partial
 
 from .. import lexicon as lx
+from ..functions.checks import OUTCOMES
+from ..functions.notes import DOCUMENTS, PAIR_REASONS, STATES
 from . import name_sql
 from .people import CITIES, COUNTRIES, EVENTS, GIVEN, NAMES, OTHERS, STEPS, STREETS, SURNAMES, ZONE_FAMILY, ZONE_GIVEN
 from .registry import RULES
@@ -34,7 +36,7 @@ _persons = f"""p0 as (select c_custkey as query_id, case when c_custkey % 97 = 5
     p as (select *, if(query_id % 10 = 3, {_number('query_id + 1')}, {_number('query_id')}) as z_num, {_date('query_id')} as z_born, expiry as z_exp, nullif(sex, '') as z_sex,
         if(country in ('SY', 'EG', 'JO', 'IL'), country, 'UTO') as z_land, split_part(zone_name, '<<', 2) || ' ' || split_part(zone_name, '<<', 1) as latin from p0)"""
 _israeli = lambda c, t: f"({c} = 'IL' and {t} in ('national_id', 'drivers_license'))"
-_luhn = lambda n: f"(list_sum(list_transform(range(1, 10), lambda k: (cast({n}[k] as int) * (2 - k % 2)) // 10 + (cast({n}[k] as int) * (2 - k % 2)) % 10)) % 10 = 0)"
+_luhn = lambda n: f"(list_sum(list_transform(range(1, 10), lambda k: (try_cast({n}[k] as int) * (2 - k % 2)) // 10 + (try_cast({n}[k] as int) * (2 - k % 2)) % 10)) % 10 = 0)"
 #: Pairs of records: sides a and b of name, dob, expiry, sex, type, number, country, address, and whose zone b has.
 _pairs = f"""{_persons}, o as (select *, row_number() over (order by query_id) - 1 as place, count(*) over () as total from p),
     os as (select *, (place + ({list(STEPS)})[(query_id // 2) % {len(STEPS)} + 1]) % total as other from o),
@@ -89,12 +91,50 @@ _every = f"""{_sounds}, {_zones}, {_zone_names},
 _document_names = "select fa as a, fb as b from q union select latin, name from zoned where trim(name) != ''"
 _documents = f"""{_pairs}, {_checks}, {_localities}, {_both_zones}, wanted as ({_document_names}), names as (select a as name from wanted union select b from wanted union select la from side union select lb from side),
     {_sound_tokens}, {_every}"""
+#: ``every`` with the records' values and what each outcome is called and why it came about.
+_outcomes = f"""outcomes as (select unnest([{", ".join(f"{{'rules': {name_sql.quoted(r)}, 'status': '{s}', 'label': {name_sql.quoted(label)}, 'reason': {name_sql.quoted(why)}}}" for (r, s), (label, why) in OUTCOMES.items())}], recursive := true)),
+    full_rows as (select e.*, label, reason, coalesce(case field when 'dob' then da when 'expiry' then ea when 'docNumber' then na when 'sex' then sa when 'docType' then ta when 'country' then ca when 'address' then aa when 'docNumber a' then na end, '') as a,
+        coalesce(case field when 'dob' then db when 'expiry' then eb when 'docNumber' then nb when 'sex' then sb when 'docType' then tb when 'country' then cb when 'address' then ab when 'docNumber b' then nb end, '') as b
+        from every e join q using (query_id) left join outcomes o on o.rules = e.rules and o.status = e.status)"""
 _verdicts = lambda checks: f"""stops as (select query_id, count(*) as n_checks, count(cap) as stops from {checks} group by query_id),
     verdicts as (select q.query_id, fa, fb, coalesce(s.score, 0) as score, n_checks, stops, case when coalesce(s.score, 0) >= 85 then 2 when coalesce(s.score, 0) >= 60 then 1 else 0 end as v from q join stops using (query_id) left join scores s on s.a is not distinct from fa and s.b is not distinct from fb),
     final as (select *, if(stops > 0, least(v, 1), v) as f, if(stops > 0 and v > 1, 'CAP-1', null) as cap_rule from verdicts)"""
 _verdict = lambda v: f"(['NO_MATCH', 'REFER', 'MATCH'])[{v} + 1]"
 
 
+
+def wrapped(text: str, indent: str = "", hang: int = 0, width: int = 76) -> str:
+    """SQL text for words filled into lines."""
+    first, more = name_sql.quoted(indent), name_sql.quoted(indent + " " * hang)
+    prefix = f"if(acc.done = '', {first}, {more})"
+    fold = f"""list_reduce(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w != ''), lambda acc, w: case when acc.line = '' then {{'done': acc.done, 'line': w}}
+        when length({prefix}) + length(acc.line) + 1 + length(w) > {width} then {{'done': acc.done || {prefix} || acc.line || chr(10), 'line': w}} else {{'done': acc.done, 'line': acc.line || ' ' || w}} end, {{'done': '', 'line': ''}})"""
+    return f"list_transform([{fold}], lambda acc: acc.done || {prefix} || acc.line)[1]"
+
+
+_section = lambda title, body: f"'{title}' || chr(10) || repeat('-', 60) || chr(10) || {body}"
+_FIELDS = ("dob", "expiry", "docNumber", "docNumber a", "docNumber b", *[f"{z} {s}" for s in "ab" for z in ("zone", "zone digits", "zone composite", "zone against print", "zone name")], "sex", "docType", "country", "address", "provenance a", "provenance b")
+_bracketed = lambda rules: f"'[' || replace({rules}, ',', ' ') || ']'"
+_pair_reason = "case " + " ".join(f"when string_split(rules, ',')[1] = '{rule}' then replace(replace(replace({name_sql.quoted(why)}, '{{a}}', x), '{{b}}', y), '{{e}}', array_to_string(edits[1:4], ', ') || if(len(edits) > 4, ', …', ''))" for rule, why in PAIR_REASONS.items()) + " else '' end || if(contains(rules, 'VOW-1'), ' Their first vowels differ.', '') || if(contains(rules, 'ORD-1'), ' They stand at different places.', '')"
+_case = lambda x, values: f"case {x} " + " ".join(f"when '{k}' then {name_sql.quoted(v)}" for k, v in values.items()) + " end"
+_record = lambda s: f"concat_ws(', ', coalesce(nullif(trim(f{s}), ''), '(no name)'), 'born ' || d{s}, 'sex ' || nullif(s{s}, ''), {_case('t' + s, DOCUMENTS)}, 'no. ' || nullif(n{s}, ''), c{s})"
+_reads = [("a", "query_id % 5 = 0", "dob", "mrz-validated"), ("a", "query_id % 5 = 1", "dob", "ocr-unconfirmed"), ("a", "query_id % 5 = 2", "dob", "confirmed"), ("b", "query_id % 7 = 2", "sex", "mrz-validated"), ("b", "query_id % 7 = 2", "dob", "ocr-unconfirmed")]
+_read = "concat_ws(chr(10), " + ", ".join(f"if({when}, '  {side.upper()}: {field} {STATES[state]}', null)" for side, when, field, state in _reads) + ")"
+#: ``notes`` (query_id, note) from ``full_rows``, ``final`` and ``pair_rows``.
+_notes = f"""check_texts as (select query_id, string_agg('  ' || field || ': ' || label || chr(10) || text, chr(10) order by spot, status) as checks, string_agg(if(cap is null, null, '  ' || field || ' ' || {_bracketed('rules')}), chr(10) order by spot, status) as stopped
+        from (select *, list_position({sql_list(_FIELDS)}, field) as spot, {wrapped(_bracketed('rules') + " || ' ' || replace(replace(reason, '{a}', a), '{b}', b)", '     ')} as text from full_rows) group by query_id),
+    pair_texts as (select a, b, string_agg(head || chr(10) || text, chr(10) order by place) as names from (select a, b, place, {wrapped("coalesce(nullif(x, ''), '-') || ' with ' || coalesce(nullif(y, ''), '-') || if(role != '', ' (' || role || coalesce(', ' || cents, '') || ')', '')", '  ', 2)} as head,
+        {wrapped(_bracketed('rules') + " || ' ' || " + _pair_reason, '     ')} as text from pair_rows) group by a, b),
+    rewritten as (select query_id, concat_ws(',', nullif(r1.rules, ''), nullif(r2.rules, '')) as rules from q left join name_rules r1 on r1.name = fa left join name_rules r2 on r2.name = fb),
+    rewritten_once as (select query_id, list_reduce(string_split(rules, ','), lambda acc, r: if(contains(acc || ' ', ' ' || r || ' '), acc, acc || ' ' || r), '') as rules from rewritten where rules != ''),
+    notes as (select q.query_id, concat_ws(chr(10) || chr(10), 'Identity comparison: ' || (['NO MATCH', 'REVIEW', 'MATCH'])[f + 1] || chr(10) || repeat('=', 60) || chr(10) || 'Evaluated on {TODAY}; match from 85, review from 60' || chr(10) || 'Name score ' || score || ' of 100',
+        {_section('Finding', wrapped("'The name score of ' || score || ' ' || (['is below 60.', 'lies from 60 up but below 85.', 'reaches 85, from which names match.'])[v + 1] || ' ' || if(f = v, (['The records are taken for two persons.', 'Someone should look at the documents.', 'No check speaks against one person.'])[v + 1], 'A check lowered the verdict from match to review.')"))},
+        {_section('Records', wrapped("'A: ' || " + _record('a'), '', 3) + " || chr(10) || " + wrapped("'B: ' || " + _record('b'), '', 3))},
+        {_section('Machine-read values', f"nullif({_read}, '')")}, {_section('Rewritten names', "'  [' || trim(o.rules) || ']'")},
+        {_section('Names', "if(n > 1 or m > 1, '  [AGG-1] given and family names weigh more than middle ones' || chr(10), '') || names")}, {_section('Checks', 'checks')},
+        if(cap_rule is null, 'No check lowered the verdict', {_section('What lowered the verdict [CAP-1]', 'stopped')})) as note
+        from q join (select query_id, score, v, f, cap_rule from final) using (query_id) join check_texts using (query_id) left join rewritten_once o using (query_id) left join pair_texts t on t.a is not distinct from q.fa and t.b is not distinct from q.fb left join taken k on k.a = q.fa and k.b = q.fb)"""
+
 _fold_from = "".join(g for g in lx.LATIN_FOLD.values())
 _fold_to = "".join(b * len(g) for b, g in lx.LATIN_FOLD.items())
 _words = r"w as (select unnest(regexp_split_to_array(text, '[\s]+')) as word from documents)"
@@ -154,6 +194,10 @@ ORACLE_SQL = {
         select blocking, (select count(*) from pairs) as pairs, count(*) as candidates, count(*) filter (where score >= 75) as hits, (select count(*) from best where score >= 75) - count(*) filter (where score >= 75) as missed from asked join best using (name, names) group by blocking""",
     "name_pair_scores": f"""with recursive {_pairs}, wanted as (select distinct fa as a, fb as b from q), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}
         select a, b, score, unmatched_middles, coalesce(rules, '') as rules_a from scores left join name_rules on name = a""",
+    "name_pair_rows": f"""with recursive {_pairs}, wanted as (select distinct fa as a, fb as b from q), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}, {name_sql.row_tables()}
+        select r.a as name_a, r.b as name_b, place, x as a, y as b, role, cents as score, rules from pair_rows r""",
+    "case_notes": f"with recursive {_documents}, {_outcomes}, {_verdicts('every')}, {name_sql.row_tables()}, {_notes} select query_id, note from notes",
+    "check_rows": f"""with recursive {_documents}, {_outcomes} select query_id, field, a, b, status, label, rules, replace(replace(reason, '{{a}}', a), '{{b}}', b) as reason, cap from full_rows""",
     "address_check": f"""with recursive {_pairs}, {_localities}, wanted as (select la as a, lb as b from side), names as (select a as name from wanted union select b from wanted), {_sound_tokens}, {_sounds} select * from address_rows""",
     "zone_checks": f"with {_persons}, {_own_zones}, {_zones} select * exclude (side) from zone_rows",
     "zone_name_checks": f"""with recursive {_persons}, {_own_zones}, {_zones}, wanted as (select distinct latin as a, name as b from zoned), names as (select a as name from wanted union select b from wanted), {name_sql.SCORES}, {_zone_names}
@@ -187,7 +231,7 @@ ORACLE_SQL = {
     "sex_check": f"with {_pairs}, {_sex} select * from sex_rows",
     "doc_number_check": f"with {_pairs}, {_doc_number} select * from number_rows",
     "id_check_digit": f"with {_persons} select query_id, docNumber, if(length(docNumber) = 9, {_luhn('docNumber')}, null) as valid from p",
-    "mrz_check_digits": f"with {_persons} select query_id, if(length(docNumber) = 9, cast(cast(list_sum(list_transform(range(1, 10), lambda k: cast(docNumber[k] as int) * ([7, 3, 1])[(k - 1) % 3 + 1])) as bigint) % 10 as varchar), null) as digit from p",
+    "mrz_check_digits": f"with {_persons} select query_id, if(length(docNumber) = 9, cast(cast(list_sum(list_transform(range(1, 10), lambda k: try_cast(docNumber[k] as int) * ([7, 3, 1])[(k - 1) % 3 + 1])) as bigint) % 10 as varchar), null) as digit from p",
     "mrz_build_parse": f"""with {_persons} select query_id, if(query_id % 2 = 0, 'TD3', 'TD1') as format, if(docNumber = '12-X', '12X', docNumber) as number, coalesce(dob, '2001-02-03') as dob, expiry, sex,
         {_pick(GIVEN, 'query_id')} || ' ' || {_pick(SURNAMES, 'query_id')} as name, if(query_id % 7 = 0, 'documentNumber,composite', '') as wrong from p""",
     "known_lookup": f"""with {_persons}, t as (select query_id, unnest(string_split(fullName, ' ')) as part, generate_subscripts(string_split(fullName, ' '), 1) - 1 as place from p where trim(fullName) != ''),

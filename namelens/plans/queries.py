@@ -253,10 +253,22 @@ def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = record_pairs(spark, sf_dir)
-    out = cmp.compare(pairs, TODAY).join(pairs.select("query_id", "fullName_a", "fullName_b"), "query_id")
-    c = F.col
-    return out.select("query_id", notes.case_note(c("verdict"), c("name_score"), c("checks"), c("cap_rule"), (c("fullName_a"), c("fullName_b")), TODAY, 85, 60).alias("note"))
+    """The note of every comparison of records with addresses, zones and provenance."""
+    pairs = written(record_pairs(spark, sf_dir, passports), "pairs")
+    return notes.case_note(pairs, cmp.compare(pairs, TODAY))
+
+
+def check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of every comparison, with values, label and reason."""
+    rows = cmp.compare(record_pairs(spark, sf_dir, passports), TODAY).select("query_id", F.explode("checks").alias("c"))
+    return rows.select("query_id", "c.field", "c.a", "c.b", "c.status", "c.label", F.array_join("c.rules", ",").alias("rules"), "c.reason", "c.cap")
+
+
+def name_pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every comparison of two names."""
+    pairs = record_pairs(spark, sf_dir).select("fullName_a", "fullName_b")
+    rows = names.name_scores(pairs, "fullName_a", "fullName_b").select(F.col("a").alias("name_a"), F.col("b").alias("name_b"), F.posexplode("pairs").alias("place", "p"))
+    return rows.select("name_a", "name_b", (F.col("place") + 1).alias("place"), "p.a", "p.b", "p.role", "p.score", F.array_join("p.rules", ",").alias("rules"))
 
 
 def rules_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,5 +292,5 @@ def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (screen_hits, hit_evidence, screen_disposition, threshold_sweep, blocking_recall, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, known_lookup, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_ingest, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, streamed_field_states, document_verdicts, case_notes, rules_cited)
+    for f in (screen_hits, hit_evidence, screen_disposition, threshold_sweep, blocking_recall, country_risk, block_candidates, name_pair_scores, record_verdicts, script_counts, normalize_words, first_vowel_words, skeleton_words, known_lookup, dob_check, expiry_check, sex_check, doc_number_check, id_check_digit, mrz_check_digits, mrz_build_parse, watchlist_ingest, watchlist_dedup, loader_counts, streamed_hits, address_localities, address_check, zone_checks, zone_name_checks, captured_fields, printed_fields, field_states, streamed_field_states, document_verdicts, check_rows, name_pair_rows, case_notes, rules_cited)
 }
