@@ -29,6 +29,14 @@ from .components import connected_components
 from .vectors import matrix, usable
 
 
+#: Bytes of cosines that a task holds at once, and of pivots that every worker holds.
+COSINE_BYTES, PIVOT_BYTES = 64 << 20, 128 << 20
+
+
+def rows_at_once(pivots: int, most: int) -> int:
+    return max(1, min(most, COSINE_BYTES // (8 * max(1, pivots))))
+
+
 def thinned(points: np.ndarray, angle: float, block: int = 256) -> np.ndarray:
     """The unit vectors of which none is within twice the angle of another; those with most others within it stay."""
     within, spacing = math.cos(angle), math.cos(min(math.pi, 2 * angle))
@@ -49,8 +57,8 @@ def thinned(points: np.ndarray, angle: float, block: int = 256) -> np.ndarray:
 def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, nearest: int = 10, shared: int = 2, pivots_per_root: float = 6.0, most_pivots: int = 65_536, block: int = 2048, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Pivots are a hashed, then thinned sample of sqrt(n) * ``pivots_per_root`` vectors, ``most_pivots`` at most (collected and broadcast, a vector each); every
-    vector is indexed. Links are exact where an end has a home. Equal vectors are one entry with a count. Vectors that are null, zero, of another length than most, or
+    Pivots are a hashed, then thinned sample of sqrt(n) * ``pivots_per_root`` vectors, ``most_pivots`` and 128 MB of doubles at
+    most (collected and broadcast, a vector each); every vector is indexed, and a task holds 64 MB of cosines at once. Links are exact where an end has a home. Equal vectors are one entry with a count. Vectors that are null, zero, of another length than most, or
     hold null or non-finite components link with nothing and are their own component. A row with a null id is
     returned with no links, a null component and kept false. Repeated rows count as vectors of their own. Other
     columns are ignored; an empty table gives an empty table.
@@ -59,7 +67,9 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     rows = written(usable(embeddings, id_col, vector_col), "vectors")
     classes = written(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     total = classes.count()
-    wanted = max(1, min(most_pivots, total, round(pivots_per_root * math.sqrt(total))))
+    width = classes.select(F.size("v")).limit(1).collect()
+    affordable = PIVOT_BYTES // (8 * max(1, width[0][0])) if width else 1
+    wanted = max(1, min(most_pivots, affordable, total, round(pivots_per_root * math.sqrt(total))))
     drawn = classes.select("v", "rep", F.xxhash64(F.lit(seed), "rep").alias("h")).orderBy("h", "rep").limit(wanted).collect()  # bounded by most_pivots
     spark = embeddings.sparkSession
     if not drawn:
@@ -76,8 +86,9 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
+            size = rows_at_once(wanted, 2048)
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
                 x = matrix(part.column(0))
                 near = (x / np.linalg.norm(x, axis=1)[:, None]) @ reference.value.T
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -96,8 +107,9 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
+            size = rows_at_once(wanted, 1024)
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
                 x, home = matrix(part.column(2)), part.column(3).to_numpy()
                 near = (x / np.linalg.norm(x, axis=1)[:, None]) @ reference.value.T
                 row, p = np.nonzero(near >= reach.value)
