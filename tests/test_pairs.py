@@ -5,7 +5,7 @@ from namelens.plans import people
 
 def test_pairs_differ_and_leave_no_one_out(spark):
     """Also where keys have gaps."""
-    source = lambda spark, sf_dir: people.persons_of(spark.range(1, 6001, 3).toDF("c_custkey"))
+    source = lambda spark, sf_dir: people.persons_of(spark.range(1, 2334).where("id % 7 != 3").toDF("c_custkey"))
     p = people.record_pairs(spark, "", source).cache()
     assert p.count() == p.select("query_id").distinct().count() == 2000
     assert p.select("fullName_a").distinct().count() > 1950 and p.select("fullName_a", "fullName_b").distinct().count() > 1950
