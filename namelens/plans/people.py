@@ -83,7 +83,9 @@ def name_text(key: str, names: tuple[str, ...], latin: int, array: str = "elemen
     for k, n in enumerate(names):
         by.setdefault(script_style(n, latin), []).append(str(k))
     family = " ".join(f"when {key} * 7 % {len(names)} in ({', '.join(ks)}) then {family_name(key, style, array, div)}" for style, ks in by.items())
-    return f"concat({listed(names, f'{key} * 7 % {len(names)} + 1', array)}, ' ', case {family} end)"
+    # Names with one of the same first parts all share block keys; most persons have an invented one that grows with the keys.
+    own = f"concat({family_name(f'({key} * 31 + 4096)', latin, array, div)}, ' ', {family_name(f'({key} * 17 + 256)', latin, array, div)})"
+    return f"case when {key} % 300 < 30 or {key} < 300 then concat({listed(names, f'{key} * 7 % {len(names)} + 1', array)}, ' ', case {family} end) else {own} end"
 
 
 def number_of(k: Column) -> Column:
