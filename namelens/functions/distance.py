@@ -88,7 +88,7 @@ def costs(unsure: bool) -> Column:
 def letters_of(cons: Column, weak: Column) -> Column:
     """struct<at, drop, unsure, cheap, held, near, firm> of a skeleton.
 
-    ``at`` numbers its classes, ``drop`` is what each costs to insert or delete, ``cheap`` counts the cheap ones among these.
+    ``at`` numbers its ``many`` classes, ``drop`` is what each costs to insert or delete, ``cheap`` counts the cheap ones.
     ``held``, ``near`` and ``firm`` are sets of classes as bits: those it has, these and what is near them, and those that
     aren't cheap.
     """
@@ -99,7 +99,7 @@ def letters_of(cons: Column, weak: Column) -> Column:
     def told(x: Column) -> Column:
         firm = F.zip_with(x.at, x.drop, lambda k, d: F.when(d == FULL, one(k)).otherwise(0))
         return F.struct(
-            x.at.alias("at"), x.drop.alias("drop"), x.weak.alias("unsure"), F.size(F.filter(x.drop, lambda d: d == CHEAP)).alias("cheap"),
+            x.at.alias("at"), F.size(x.at).alias("many"), x.drop.alias("drop"), x.weak.alias("unsure"), F.size(F.filter(x.drop, lambda d: d == CHEAP)).alias("cheap"),
             bits(F.transform(x.at, one)).alias("held"), bits(F.transform(x.at, lambda k: F.get(around, k))).alias("near"), bits(firm).alias("firm"),
         )
 
@@ -115,7 +115,7 @@ def least_cost(x: Column, y: Column) -> Column:
     The longer one loses letters, the cheap ones first. Each class that isn't cheap and that the other hasn't costs a
     quarter at least, and a whole letter where nothing near it is there either.
     """
-    n, m = F.size(x.at), F.size(y.at)
+    n, m = x.many, y.many
     surplus, cheap = F.abs(n - m), F.when(n > m, x.cheap).otherwise(y.cheap)
     lengths = F.least(surplus, cheap) * CHEAP + F.greatest(surplus - cheap, F.lit(0)) * FULL
     count = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))

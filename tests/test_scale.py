@@ -141,3 +141,26 @@ def test_events_behind_the_watermark_are_forgotten():
     now, rest = states.settle(states.held(), 25)
     assert now == ("typed", "x", "x", False) and rest == [events[1]] and states.held() == [events[1]]
     assert states.settle(states.held(), 40)[0] == ("confirmed", "x", "x", False) and states.held() == []
+
+
+def test_scores_from_a_threshold_miss_nothing(spark):
+    rng = random.Random(5)
+    parts = "mohammad muhammed محمد khaled khalil chalil خليل חליל shadid shadeed hadad omar umar bashira nasser naser smith smyth ali bin abu al-farsi elfarsi فارسي a".split()
+    made = lambda: " ".join(rng.choice(parts) for _ in range(rng.choice((1, 2, 2, 3, 3, 4))))
+    names_ = [made() for _ in range(70)]
+    near = [" ".join(w if rng.random() < 0.7 else rng.choice(parts) for w in n.split()) for n in names_]
+    swapped = [" ".join(reversed(n.split())) for n in names_[:20]]
+    pairs = spark.createDataFrame([(a, b) for a in names_ for b in rng.sample(names_, 12)] + list(zip(names_, near, strict=True)) + list(zip(names_, swapped, strict=False)) + [(None, "omar"), ("", "omar")], "a string, b string")
+    told = lambda df: {(r.a, r.b): (r.score, str(r.pairs), r.unmatched_middles) for r in df.collect()}
+    every = told(names.name_scores(pairs))
+    for least in (30, 60, 75, 92):
+        assert told(names.name_scores(pairs, least=least)) == {k: v for k, v in every.items() if v[0] >= least}
+
+
+def test_letters_alone_leave_out_most_pairs(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(("ba", "da", "fa", "ka", "la", "ma", "na", "ra", "sa", "za", "sha")) for _ in range(4))
+    rows = spark.createDataFrame([(f"{word()} {word()}",) for _ in range(60)], "name string").select("name", names.tokens_in("name").alias("p"))
+    traits = names.with_traits(rows, names.token_attributes(rows.select(F.explode("p.tokens").alias("token"))))
+    both = traits.select(F.col("traits").alias("x")).crossJoin(traits.select(F.col("traits").alias("y")))
+    assert 60 <= both.where(names.can_reach("x", "y", 75)).count() < 60 * 60 / 3
