@@ -1,10 +1,11 @@
 """All pairs of texts whose shingle sets are alike, by prefixes of rare shingles, between groups that are known already.
 
 Two sets of n and m shingles whose Jaccard similarity is s or more share at least s * n and s * m of them. So if each
-set is put in one order, the first n - ceil(s * n) + 1 of one and the first of the other have a member in common. With
-the rarest first, these prefixes hold little that many texts share; a shingle of one text only is at the front and never
-meets another. Where copies are many, they are grouped beforehand, and a prefix shingle that only one group has is left
-out, so that copies aren't compared with each other.
+set is put in one order, the first n - ceil(s * n) + 1 of one and the first of the other have a member in common. Any
+order that all sets keep will do; here it is by how many shingles of all texts fall into a shingle's slot, a table of
+fixed size, so that passages which very many texts share come last and the prefixes seldom hold them. Where copies are
+many, they are grouped beforehand, and a prefix shingle that only one group has is left out, so that copies aren't
+compared with each other. Only prefixes are shuffled, and whole sets only of texts that have a candidate.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_in_python, written
@@ -22,64 +23,104 @@ from .components import connected_components
 from .simhash import near_duplicates, shingle_hashes
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(doc_id, digest, hashes): the distinct XXH64 of a text's shingles in ascending order, and a digest of them."""
+def distinct_shingles(text: str | None, words: int, seed: int) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles in ascending order."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words, seed)]))
+
+
+def digest_of(hashes: np.ndarray) -> bytes:
+    return hashlib.sha256(hashes.tobytes()).digest()[:16]
+
+
+def slot_counts(docs: DataFrame, words: int, seed: int, slots: int) -> np.ndarray:
+    """How many shingles of all texts (doc_id, text) fall into each of ``slots`` slots; that many longs come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for t in batch.column(1):
+                for h in shingle_hashes(t.as_py(), words, seed):
+                    total += np.bincount((h % np.uint64(slots)).astype(np.int64), minlength=slots)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(some, pa.int64()), "c": pa.array(total[some], pa.int64())})
+
+    out = np.zeros(slots, np.int64)
+    for slot, c in map_in_python(docs, run, "slot long, c long").groupBy("slot").agg(F.sum("c")).collect():
+        out[slot] = c
+    return out
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, words: int, similarity: float, seed: int) -> DataFrame:
+    """(doc_id, digest, n, prefix) of every text with a word: a digest and the size of its shingle set, and the set's prefix."""
+    size = np.uint64(len(counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = distinct_shingles(t.as_py(), words, seed)
+                if len(s):
+                    length = len(s) - int(np.ceil(len(s) * similarity - 1e-9)) + 1
+                    first = s[np.lexsort((s, counts[(s % size).astype(np.int64)]))[:length]]
+                    rows.append((at, digest_of(s), len(s), first.view("<i8")))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "digest", "n", "prefix"])
+
+    return map_in_python(docs, run, "doc_id long, digest binary, n long, prefix array<long>")
+
+
+def whole_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(doc_id, hashes): the set of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t.as_py(), words, seed)])).view("<i8") for t in batch.column(1)]
-            digests = [hashlib.sha256(s.tobytes()).digest()[:16] for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "hashes": pa.array(sets, pa.list_(pa.int64()))})
+            sets = [distinct_shingles(t.as_py(), words, seed).view("<i8") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
-    return map_in_python(docs, run, "doc_id long, digest binary, hashes array<long>")
+    return map_in_python(docs, run, "doc_id long, hashes array<long>")
 
 
-def similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) groups of which two sets are alike by ``similarity`` or more; ``sets`` is (node, grp, hashes), written.
+def similar_pairs(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """(a, b) groups of which two texts have sets alike by ``similarity`` or more.
 
-    Frequencies are counted over all sets. The work grows with the pairs of sets of different groups that share a prefix
-    shingle and whose sizes allow the similarity. Empty sets are alike to none.
+    ``docs``: doc_id, text. ``own``: their ``prefixes``. ``reps``: node, grp, lo_n, hi_n, the texts that take part by their
+    doc_id, their group, and the least and largest size of a set under that id. The work grows with the pairs of such
+    texts of different groups that share a prefix shingle and whose sizes allow the similarity.
     """
-    tokens = sets.select("node", F.explode("hashes").alias("h"))
-    counts = written(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shingle-counts")
-    shared = written(tokens.join(counts, "h"), "shared-shingles")
-    # The shingles that no other set has come first, so they take up the front of the prefix.
-    own = shared.groupBy("node").agg(F.count("*").alias("m")).join(sets.select("node", "grp", F.size("hashes").alias("n")), "node")
-    own = own.withColumn("left", F.col("m") + 1 - F.ceil(F.col("n") * similarity - 1e-9)).where(F.col("left") > 0)
-    rarest = Window.partitionBy("node").orderBy("c", "h")
-    placed = shared.join(own, "node").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("left")).select("h", "node", "grp", "n")
-    placed = written(placed, "prefixes")
+    placed = written(own.join(reps.select(F.col("node").alias("doc_id"), "grp"), "doc_id").select("doc_id", "grp", F.explode("prefix").alias("h")), "prefixes")
     open_keys = written(placed.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("h"), "open-prefixes")
-    met = written(placed.join(open_keys, "h"), "open-places")
-    a, b = (met.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "grp", "n")]) for s in "ab")
-    fits = (F.col("grp_a") < F.col("grp_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9)
+    met = placed.join(open_keys, "h").select("h", F.col("doc_id").alias("node")).distinct()
+    met = written(met.join(reps, "node"), "open-places")
+    a, b = (met.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "grp", "lo_n", "hi_n")]) for s in "ab")
+    fits = (F.col("grp_a") < F.col("grp_b")) & (F.col("hi_n_a") >= F.col("lo_n_b") * similarity - 1e-9) & (F.col("hi_n_b") >= F.col("lo_n_a") * similarity - 1e-9)
     pairs = written(a.join(b, "h").where(fits).select("node_a", "node_b", "grp_a", "grp_b").distinct(), "set-pairs")
-    x, y = (sets.select(F.col("node").alias(f"node_{s}"), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
+    wanted = pairs.select(F.col("node_a").alias("doc_id")).union(pairs.select("node_b")).distinct()
+    sets = written(whole_sets(docs.join(wanted, "doc_id", "left_semi").distinct(), words, seed), "sets")
+    x, y = (sets.select(F.col("doc_id").alias(f"node_{s}"), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
     both = pairs.join(x, "node_a").join(y, "node_b").withColumn("common", F.size(F.array_intersect("hashes_a", "hashes_b")))
     alike = F.col("common") / (F.size("hashes_a") + F.size("hashes_b") - F.col("common")) >= similarity
-    return both.where(alike).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
+    return both.where((F.col("common") > 0) & alike).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
 
 
-def all_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+def all_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, similarity: float = 0.8, seed: int = 42, slots: int = 1 << 16) -> DataFrame:
     """(doc_id, component_id) for every row, as ``near_duplicates`` with a ``similarity``, but with no link missed.
 
     Its groups are found first; then all pairs of different groups are found whose texts' shingle sets are alike by
     ``similarity`` or more, and their groups united. Every distinct set takes part, also of texts with one fingerprint.
-    It shuffles a row for every distinct shingle of every distinct set, several times what ``near_duplicates`` moves.
+    ``slots`` only orders shingles and changes no result.
 
     Null texts and texts without words are one group, by their fingerprint of zero; rows with a null doc_id take the
     component of their fingerprint, null if only such rows have it; repeated rows are returned as often as they occur;
     other columns are ignored; an empty table gives an empty table.
     """
     found = written(near_duplicates(docs, id_col, text_col, words, radius, similarity=similarity), "groups")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = written(shingle_sets(plain.where("doc_id is not null"), words, seed).where(F.size("hashes") > 0), "shingle-sets")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    own = written(prefixes(plain, slot_counts(plain, words, seed, slots), words, similarity, seed), "shingle-prefixes")
     groups = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("grp"))
-    placed = written(own.select("doc_id", "digest").distinct().join(groups, "doc_id"), "placed-sets")
-    least = placed.groupBy("digest").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    placed = written(own.select("doc_id", "digest", "n").distinct().join(groups, "doc_id"), "placed-sets")
+    least = placed.groupBy("digest").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("doc_id").alias("node"), F.first("n").alias("n"))
     same = placed.join(least.where("lo < hi"), "digest").where("lo < grp").select(F.col("lo").alias("a"), F.col("grp").alias("b"))
-    sets = own.groupBy("digest").agg(F.any_value("hashes").alias("hashes")).join(least, "digest")
-    sets = written(sets.select(F.monotonically_increasing_id().alias("node"), F.col("lo").alias("grp"), "hashes"), "sets")
-    joined = connected_components(same.union(similar_pairs(sets, similarity)))
+    reps = written(least.groupBy("node").agg(F.min("lo").alias("grp"), F.min("n").alias("lo_n"), F.max("n").alias("hi_n")), "sets-of-groups")
+    joined = connected_components(same.union(similar_pairs(plain, own, reps, words, similarity, seed)))
     out = found.join(joined.select(F.col("node").alias("component_id"), "component"), "component_id", "left")
     return out.select("doc_id", F.coalesce("component", "component_id").alias("component_id"))

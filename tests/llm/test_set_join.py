@@ -70,7 +70,7 @@ def test_chains_and_one_large_group(spark):
     texts += [(2000 + i, " ".join(edited(rng, base, 3))) for i in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
     quick = groups(near_duplicates(df, words=5, similarity=0.8).collect())
-    assert groups(all_near_duplicates(df).collect()) == brute(texts, quick)
+    assert groups(all_near_duplicates(df, slots=3).collect()) == brute(texts, quick)
 
 
 def test_nulls_repeats_short_texts_and_other_columns(spark):
