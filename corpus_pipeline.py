@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namelens.llm import langid, mixing, packing, simhash, toxicity
+from namelens.llm import langid, mixing, packing, set_join, toxicity
 from namelens.llm.common import written
 
 #: Mean log probability of a letter below which a text is of no known language.
@@ -48,10 +48,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document with the smallest id of each near-duplicate group; of several rows with that id, the least.
 
     A group is connected by fingerprints of five-word shingles that differ in two bits at most, and by shingle sets that
-    are alike by 0.8 or more. Rows without an id go if another row has their fingerprint's group; else all of them stay.
+    are alike by 0.8 or more; no such link is missed. Rows without an id go if another row has their fingerprint's group; else all of them stay.
     Null and empty texts are one group. All columns stay; an empty table gives an empty table.
     """
-    found = written(simhash.near_duplicates(docs, words=WORDS, radius=RADIUS, similarity=SIMILARITY), "groups")
+    found = written(set_join.all_near_duplicates(docs, words=WORDS, radius=RADIUS, similarity=SIMILARITY), "groups")
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     others = [c for c in docs.columns if c != "doc_id"]
     kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
