@@ -12,17 +12,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.provenance import ANCHORS, CONFIRMED, KEYS, TYPED, UNCONFIRMED, VALIDATED
 from ..operators.screening import HIT, screen
+from ..sources.shared import written
 
 
-def screen_stream(people: DataFrame, entries: DataFrame, out: str, checkpoint: str, hit: int = HIT, blocking: str = "reference", index: DataFrame | None = None, available_now: bool = False) -> StreamingQuery:
+def screen_stream(people: DataFrame, entries: DataFrame, out: str, checkpoint: str, hit: int = HIT, blocking: str = "reference", index: DataFrame | None = None, available_now: bool = False, rows: bool = True) -> StreamingQuery:
     """Writes the hits of every micro-batch of ``people`` below ``out``, one folder for each batch.
 
     A batch that is run again after a failure overwrites its own folder, so each hit is there once. A query's ranking
-    is within its batch: a query_id must come in one row.
+    is within its batch: a query_id must come in one row. ``rows`` is that of ``screen``. Screening reads people and entries
+    several times, so each batch is written first, and the entries once.
     """
+    entries = written(entries, "entries")
 
     def write(batch: DataFrame, number: int) -> None:
-        screen(batch, entries, hit, blocking, index).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        screen(written(batch, "batch"), entries, hit, blocking, index, rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = people.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
