@@ -55,22 +55,30 @@ def with_zones(records: DataFrame, today: str, suffix: str = "") -> DataFrame:
     return parsed.withColumn(f"__latin{suffix}", F.when(~blank(F.col(f"fullName{suffix}")) & (full != ""), full))
 
 
-def scored_names(rows: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
-    """``rows`` with a struct of score and pairs for each (first, second, out); all distinct pairs of names are scored at once."""
-    both = [rows.select(F.col(a).alias("a"), F.col(b).alias("b")) for a, b, _ in pairs]
-    scores = written(name_scores(reduce(DataFrame.union, both).where("a is not null or b is not null").distinct()).select("a", "b", F.struct("score", "pairs", F.concat("rules_a", "rules_b").alias("rules"), "aggregated").alias("found")), "scores")
+def scored_names(rows: DataFrame, pairs: list[tuple[str, str, str]], shown: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with a struct of a score for each (first, second, out); all distinct pairs of names are scored at once.
+
+    Token pairs are sought for those whose ``out`` is in ``shown``.
+    """
+    both = [rows.select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(out in shown).alias("shown")) for a, b, out in pairs]
+    every = reduce(DataFrame.union, both).where("a is not null or b is not null")
+    told = ["score", *(["pairs"] if shown else []), F.concat("rules_a", "rules_b").alias("rules"), "aggregated"]
+    scores = written(name_scores(every, rows="shown" if shown else False).select("a", "b", F.struct(*told).alias("found")), "scores")
     for a, b, out in pairs:
         one = scores.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("found").alias(out))
         rows = rows.join(one, F.col(a).eqNullSafe(F.col("__a")) & F.col(b).eqNullSafe(F.col("__b")), "left").drop("__a", "__b")
     return rows
 
 
-def add_zone_checks(records: DataFrame, today: str, suffix: str = "", side: str = "", out: str = "zone_checks") -> DataFrame:
+def add_zone_checks(records: DataFrame, today: str, suffix: str = "", side: str = "", out: str = "zone_checks", names: bool = True) -> DataFrame:
     """``records`` with the check rows of their column ``mrz``; every field's column ends in ``suffix``.
 
     Names are scored once for each distinct pair of a zone's name and a printed one. A record without a zone has no
-    rows, one whose zone can't be read has MRZ-4 alone, and one without a printed name has no name row.
+    rows, one whose zone can't be read has MRZ-4 alone, and one without a printed name has no name row. Without
+    ``names`` no name is scored and there are no name rows.
     """
-    scored = scored_names(written(with_zones(records, today, suffix), "zones"), [(f"__latin{suffix}", f"fullName{suffix}", "__name")])
-    score = F.when(F.col(f"__latin{suffix}").isNotNull(), F.col("__name.score"))
+    scored, score = written(with_zones(records, today, suffix), "zones"), F.lit(None).cast("int")
+    if names:
+        scored = scored_names(scored, [(f"__latin{suffix}", f"fullName{suffix}", "__name")])
+        score = F.when(F.col(f"__latin{suffix}").isNotNull(), F.col("__name.score"))
     return scored.withColumn(out, zone_rows(F.col(f"__zone{suffix}"), lambda field: F.col(f"{field}{suffix}"), score, side)).select(*records.columns, out)
