@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,6 +69,8 @@ def provenance_stream(events: DataFrame) -> DataFrame:
 STATE = "record_id long, side string, field string, state string, value string"
 EVENT = "at long, seq long, event string, value string, validated boolean"
 START = (TYPED, "", None, False)
+#: Neighbouring records, as a power of two, whose fields are kept as one state.
+BLOCK = 8
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -76,6 +79,13 @@ def in_order(e: tuple) -> tuple:
     return e[1], e[2] not in ANCHORS, e[2], e[3] or ""
 
 
+def ripened(now: tuple, events: list[tuple], watermark: int) -> tuple[tuple, list[tuple]]:
+    """The state after all events up to the watermark, and the later events."""
+    for e in sorted((e for e in events if e[0] <= watermark), key=in_order):
+        now = advance(now, *e[2:])
+    return now, [e for e in events if e[0] > watermark]
+
+
 class FieldStates(StatefulProcessor):
     """A field's state behind the watermark, and the events after it in any order.
 
@@ -90,12 +100,9 @@ class FieldStates(StatefulProcessor):
 
     def settle(self, events: list[tuple], watermark: int) -> tuple[tuple, list[tuple]]:
         """The state after all events up to the watermark, which is kept, and the later events, which are kept too."""
-        now = tuple(self.settled.get()) if self.settled.exists() else START
-        ripe = sorted((e for e in events if e[0] <= watermark), key=in_order)
-        for e in ripe:
-            now = advance(now, *e[2:])
-        rest = [e for e in events if e[0] > watermark]
-        if ripe:
+        before = tuple(self.settled.get()) if self.settled.exists() else START
+        now, rest = ripened(before, events, watermark)
+        if len(rest) < len(events):
             self.settled.update(now)
         if rest:
             self.recent.put(rest)
@@ -125,16 +132,73 @@ class FieldStates(StatefulProcessor):
         pass
 
 
+class BlockStates(FieldStates):
+    """``FieldStates`` of all fields of a block of records: one group and two values of state for these, not one for each field.
+
+    Each is a JSON text, a map of fields (record_id, side, field) to a state or to later events.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "fields string")
+        self.recent = handle.getValueState("recent", "fields string")
+
+    def kept(self, variable) -> dict[tuple, list]:
+        return {tuple(k): v for k, v in json.loads(variable.get()[0])} if variable.exists() else {}
+
+    def settle_all(self, new: dict[tuple, list[tuple]], watermark: int) -> tuple[dict[tuple, tuple], dict[tuple, list[tuple]]]:
+        """Each field's state after its events up to the watermark, and its later events; both are kept."""
+        states, events = self.kept(self.settled), {k: [tuple(e) for e in es] for k, es in self.kept(self.recent).items()}
+        for k, es in new.items():
+            events.setdefault(k, []).extend(es)
+        changed, rest = False, {}
+        for k, es in events.items():
+            now, later = ripened(tuple(states.get(k, START)), es, watermark)
+            if len(later) < len(es):
+                states[k], changed = now, True
+            if later:
+                rest[k] = later
+        if changed:
+            self.settled.update((json.dumps(list(states.items())),))
+        if rest:
+            self.recent.update((json.dumps(list(rest.items())),))
+            self.handle.registerTimer(max(e[0] for es in rest.values() for e in es) + 1)
+        elif self.recent.exists():
+            self.recent.clear()
+        return states, rest
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new: dict[tuple, list[tuple]] = {}
+        given = lambda x: None if pd.isna(x) else x
+        for frame in rows:
+            for record, side, field, at, seq, event, value, validated in frame[["record", "side", "field", "millis", "seq", "event", "value", "validated"]].itertuples(index=False):
+                field_key = (None if pd.isna(record) else int(record), given(side), given(field))
+                new.setdefault(field_key, []).append((int(at), int(seq), event, given(value), None if pd.isna(validated) else bool(validated)))
+        states, rest = self.settle_all(new, timerValues.getCurrentWatermarkInMs())
+        out = []
+        for k in new:
+            now = tuple(states.get(k, START))
+            for e in sorted(rest.get(k, ()), key=in_order):
+                now = advance(now, *e[2:])
+            out.append((*k, now[0], now[1]))
+        yield pd.DataFrame(out, columns=[*KEYS, "state", "value"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.settle_all({}, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+
 def late_provenance_stream(events: DataFrame, delay: str) -> DataFrame:
     """(record_id, side, field, state, value) of each field that a micro-batch touches, in update mode.
 
     Beside the columns of ``provenance_states`` ``events`` has ``at``, a timestamp that rises with ``seq`` within a field.
     Events may come in any order, up to ``delay`` behind the latest; later ones are left out. After each batch a field's state
-    is that of the batch form over all its events so far. Needs the RocksDB state store, which is set in the session.
+    is that of the batch form over all its events so far. Needs the RocksDB state store, which is set in the session. Fields are
+    kept in blocks of 2**BLOCK neighbouring record_ids, since calls to Python and to the state cost far more than an event does.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = events.withColumn("millis", F.unix_millis("at")).withWatermark("at", delay)
-    return timed.groupBy(*KEYS).transformWithStateInPandas(FieldStates(), STATE, "update", "eventTime")
+    timed = events.withColumn("millis", F.unix_millis("at")).withColumn("record", F.col("record_id").cast("string")).withColumn("block", F.shiftright("record_id", BLOCK)).withWatermark("at", delay)
+    return timed.groupBy("block").transformWithStateInPandas(BlockStates(), STATE, "update", "eventTime")
 
 
 def latest_states(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -1,12 +1,16 @@
 """What keeps queries from growing in the driver, in one task or by calls as tables grow."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from namelens.operators import compare as cmp
 from namelens.operators.names import name_scores
+from namelens.operators.provenance import provenance_states
 from namelens.operators.zones import add_zone_checks
 from namelens.plans import people
 from namelens.sources.shared import written
+from namelens.streaming import screening as streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +44,22 @@ def test_verdicts_without_token_pairs(spark):
     pairs = written(people.record_pairs(spark, SF).limit(30), "pairs")
     whole = cmp.compare(pairs, "2026-01-01")
     assert rows_of(cmp.compare(pairs, "2026-01-01", rows=False)) == rows_of(whole.drop("name_pairs"))
+
+
+def test_fields_of_many_records_share_a_state(spark, tmp_path):
+    """Blocks of records, ids beyond 2**53 beside null ones, and late events give the states of the batch form."""
+    rng, kinds = random.Random(4), ["proposal", "edit", "clear", "confirm", "restore"]
+    ids = [0, 1, 255, 256, 700, -3, 2**60 + 1, 2**60 + 2, None]
+    rows = [(rng.choice(ids), rng.choice("ab"), rng.choice(["dob", "sex", None]), k, rng.choice(kinds), rng.choice(["x", "y", None]), rng.random() < 0.4, 1_700_000_000 + 60 * k) for k in range(600)]
+    late = sorted(rows, key=lambda r: r[3] + rng.randrange(60))
+    columns = "record_id long, side string, field string, seq long, event string, value string, validated boolean"
+    timed = lambda part: spark.createDataFrame(part, f"{columns}, secs long").withColumn("at", F.timestamp_seconds("secs")).drop("secs")
+    for k in range(0, 600, 200):
+        timed(late[k : k + 200]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"{columns}, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = streams.late_provenance_stream(stream, "2 hours")
+    assert "block" in kept._jdf.queryExecution().analyzed().toString()
+    streams.latest_states(kept, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    last = spark.read.parquet(str(tmp_path / "out")).groupBy("record_id", "side", "field").agg(F.max_by(F.struct("state", "value"), "batch").alias("s"))
+    got = {(r.record_id, r.side, r.field): tuple(r.s) for r in last.collect()}
+    assert got == {(r.record_id, r.side, r.field): (r.state, r.value) for r in provenance_states(timed(rows)).collect()}
