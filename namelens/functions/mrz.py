@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .text import let
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: SQL text for the value of each ASCII character by its code, null if it has none.
+VALUES = "array(" + ", ".join("0" if c == "<" else str(ALPHABET.index(c)) if c in ALPHABET else "null" for c in map(chr, range(128))) + ")"
 # Start (from 0) and length of each field by line; a digit field holds its own check digit.
 TD3 = {"documentCode": (0, 0, 2), "issuingState": (0, 2, 3), "name": (0, 5, 39), "documentNumber": (1, 0, 9), "nationality": (1, 10, 3), "dob": (1, 13, 6), "sex": (1, 20, 1), "expiry": (1, 21, 6), "personalNumber": (1, 28, 14)}
 TD1 = {"documentCode": (0, 0, 2), "issuingState": (0, 2, 3), "name": (2, 0, 30), "documentNumber": (0, 5, 9), "nationality": (1, 15, 3), "dob": (1, 0, 6), "sex": (1, 7, 1), "expiry": (1, 8, 6), "personalNumber": (0, 15, 15)}
@@ -19,7 +21,7 @@ def check_digit(text: Column) -> Column:
     """Weighted sum modulo 10 as text; null if a character has no value."""
 
     def of(t: Column) -> Column:
-        value = lambda c: F.when(c == "<", 0).otherwise(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)) - 1)
+        value = lambda c: F.get(F.expr(VALUES), F.ascii(c))
         weight = lambda k: F.element_at(F.array(F.lit(1), F.lit(7), F.lit(3)), k % 3 + 1)
         total = F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), lambda s, k: s + value(F.substring(t, k, F.lit(1))) * weight(k))
         return F.when(F.length(t) > 0, (total % 10).cast("string")).otherwise(F.lit("0"))
@@ -60,10 +62,9 @@ def parse(text: Column, today_year: int) -> Column:
         rows = []
         for field, (runs, (line, at)) in checks.items():
             value, stated = F.concat(*[cut(*r) for r in runs]), cut(line, at, 1)
-            computed = check_digit(value)
-            rows.append(F.struct(F.lit(field).alias("field"), value.alias("value"), stated.alias("stated"), computed.alias("computed"), F.coalesce(stated == computed, F.lit(False)).alias("valid")))
-        found = F.array(*rows)
-        return F.struct(F.lit(True).alias("ok"), F.lit(form).alias("format"), fields.alias("fields"), found.alias("checks"), F.forall(found, lambda c: c.valid).alias("all_valid"))
+            known = F.struct(F.lit(field).alias("field"), value.alias("value"), stated.alias("stated"), check_digit(value).alias("computed"))
+            rows.append(let(known, lambda r: F.struct(r.field.alias("field"), r.value.alias("value"), r.stated.alias("stated"), r.computed.alias("computed"), F.coalesce(r.stated == r.computed, F.lit(False)).alias("valid"))))
+        return let(F.array(*rows), lambda found: F.struct(F.lit(True).alias("ok"), F.lit(form).alias("format"), fields.alias("fields"), found.alias("checks"), F.forall(found, lambda c: c.valid).alias("all_valid")))
 
     def choose(lines: Column) -> Column:
         td3, td1 = of(lines, TD3, TD3_CHECKS, "TD3"), of(lines, TD1, TD1_CHECKS, "TD1")
@@ -80,20 +81,28 @@ def fit(value: Column, length: int) -> Column:
 
 
 def with_digit(value: Column) -> Column:
-    return F.concat(value, check_digit(value))
+    return let(value, lambda v: F.concat(v, check_digit(v)))
 
 
 def build_td1(code: Column, state: Column, surname: Column, given: Column, number: Column, nationality: Column, dob: Column, sex: Column, expiry: Column, first_optional: Column, second_optional: Column) -> Column:
     """Three lines of 30 with valid digits; dates as YYMMDD. Long fields are cut."""
     num, born, until = (with_digit(fit(c, n)) for c, n in ((number, 9), (dob, 6), (expiry, 6)))
     own, more = fit(first_optional, 15), fit(second_optional, 11)
-    second = F.concat(born, fit(sex, 1), until, fit(nationality, 3), more)
-    return F.concat(fit(code, 2), fit(state, 3), num, own, F.lit("\n"), second, check_digit(F.concat(num, own, born, until, more)), F.lit("\n"), fit(F.concat(surname, F.lit("<<"), given), 30))
+
+    def lines(x: Column) -> Column:
+        second = F.concat(x.born, fit(sex, 1), x.until, fit(nationality, 3), x.more)
+        return F.concat(fit(code, 2), fit(state, 3), x.num, x.own, F.lit("\n"), second, check_digit(F.concat(x.num, x.own, x.born, x.until, x.more)), F.lit("\n"), fit(F.concat(surname, F.lit("<<"), given), 30))
+
+    return let(F.struct(num.alias("num"), born.alias("born"), until.alias("until"), own.alias("own"), more.alias("more")), lines)
 
 
 def build_td3(code: Column, state: Column, surname: Column, given: Column, number: Column, nationality: Column, dob: Column, sex: Column, expiry: Column, personal: Column) -> Column:
     """Two lines of 44 with valid digits; dates as YYMMDD. Long fields are cut."""
     first = F.concat(fit(code, 2), fit(state, 3), fit(F.concat(surname, F.lit("<<"), given), 39))
     num, born, until, own = (with_digit(fit(c, n)) for c, n in ((number, 9), (dob, 6), (expiry, 6), (personal, 14)))
-    second = F.concat(num, fit(nationality, 3), born, fit(sex, 1), until, own)
-    return F.concat(first, F.lit("\n"), second, check_digit(F.concat(num, born, until, own)))
+
+    def lines(x: Column) -> Column:
+        second = F.concat(x.num, fit(nationality, 3), x.born, fit(sex, 1), x.until, x.own)
+        return F.concat(first, F.lit("\n"), second, check_digit(F.concat(x.num, x.born, x.until, x.own)))
+
+    return let(F.struct(num.alias("num"), born.alias("born"), until.alias("until"), own.alias("own")), lines)

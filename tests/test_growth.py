@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from namelens.functions import mrz
 from namelens.operators import compare as cmp
 from namelens.operators.names import name_scores
 from namelens.operators.provenance import provenance_states
@@ -63,3 +64,21 @@ def test_fields_of_many_records_share_a_state(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "out")).groupBy("record_id", "side", "field").agg(F.max_by(F.struct("state", "value"), "batch").alias("s"))
     got = {(r.record_id, r.side, r.field): tuple(r.s) for r in last.collect()}
     assert got == {(r.record_id, r.side, r.field): (r.state, r.value) for r in provenance_states(timed(rows)).collect()}
+
+
+def test_few_bytes_of_keys_are_dealt_in_parts_that_stay(spark):
+    assert people.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_addresses_alone_equal_those_of_passports(spark):
+    own = people.residents(spark, SF)
+    assert "FileScan" in own._jdf.queryExecution().executedPlan().toString() and "zone" not in own.columns
+    assert rows_of(own) == rows_of(people.zoned(spark, SF).drop("zone"))
+
+
+def test_check_digits_of_any_character(spark):
+    values = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")} | {"<": 0}
+    texts = [chr(k) * 2 + "7A<" for k in range(1, 300)] + ["", "\U0001d400", "L898902C3", None]
+    want = lambda t: None if any(c not in values for c in t or "") else str(sum(values[c] * (7, 3, 1)[i % 3] for i, c in enumerate(t or "")) % 10)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mrz.check_digit(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in got} == {t: want(t) for t in texts}
