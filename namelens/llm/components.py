@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_root
+from .common import shared_root, shuffles_removed
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,12 +13,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round replaces every node's neighbours by links to its smallest neighbour, so that a chain of n links
     shrinks to a star in about log n rounds. Minimums are aggregated before they are joined, hence a node with very
-    many neighbours is never gathered in one task. Each round is checkpointed. An empty table gives an empty table;
+    many neighbours is never gathered in one task. Each round is checkpointed, and what was
+    shuffled for the links is removed then. An empty table gives an empty table;
     self links and repeated links change nothing; links with a null end are left out.
     """
     shared_root(links.sparkSession)
     ends = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    current = ends.where("lo < hi").distinct().checkpoint()
+    with shuffles_removed(links.sparkSession):
+        current = ends.where("lo < hi").distinct().checkpoint()
     before = None
     for _ in range(max_rounds):
         state = current.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()

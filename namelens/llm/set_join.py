@@ -5,7 +5,9 @@ set is put in one order, the first n - ceil(s * n) + 1 of one and the first of t
 order that all sets keep will do; here it is by how many shingles of all texts fall into a shingle's slot, a table of
 fixed size, so that passages which very many texts share come last and the prefixes seldom hold them. Where copies are
 many, they are grouped beforehand, and a prefix shingle that only one group has is left out, so that copies aren't
-compared with each other. Only prefixes are shuffled, and whole sets only of texts that have a candidate.
+compared with each other. Only prefixes are shuffled. Of a pair of candidates, sketches are compared first: how many
+shingles of each set fall into each bucket, by which two sets have at most so many in common as the smaller counts add up
+to. Whole sets are shuffled only of texts with a candidate that this bound leaves.
 """
 
 from __future__ import annotations
@@ -50,8 +52,24 @@ def slot_counts(docs: DataFrame, words: int, seed: int, slots: int) -> np.ndarra
     return out
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of a power of two of buckets, half as many as hashes or more; 255 stands for more too."""
+    buckets = 1 << max(4, int(len(hashes) - 1).bit_length() - 1)
+    counts = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> int | None:
+    """A number that the common hashes of two sets with these sketches can't exceed; None if a count was cut."""
+    x, y = (np.frombuffer(t, np.uint8) for t in (a, b))
+    if max(x.max(), y.max()) == 255:
+        return None
+    x, y = (t.astype(np.int64).reshape(-1, min(len(x), len(y))).sum(axis=0) for t in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, similarity: float, seed: int) -> DataFrame:
-    """(doc_id, digest, n, prefix) of every text with a word: a digest and the size of its shingle set, and the set's prefix."""
+    """(doc_id, digest, n, prefix, sketch) of every text with a word: a digest, the size, the prefix and the sketch of its shingle set."""
     size = np.uint64(len(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +80,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, similarity: float,
                 if len(s):
                     length = len(s) - int(np.ceil(len(s) * similarity - 1e-9)) + 1
                     first = s[np.lexsort((s, counts[(s % size).astype(np.int64)]))[:length]]
-                    rows.append((at, digest_of(s), len(s), first.view("<i8")))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "digest", "n", "prefix"])
+                    rows.append((at, digest_of(s), len(s), first.view("<i8"), sketch_of(s)))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "digest", "n", "prefix", "sketch"])
 
-    return map_in_python(docs, run, "doc_id long, digest binary, n long, prefix array<long>")
+    return map_in_python(docs, run, "doc_id long, digest binary, n long, prefix array<long>, sketch binary")
 
 
 def whole_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -80,6 +99,22 @@ def whole_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return map_in_python(docs, run, "doc_id long, hashes array<long>")
 
 
+def within_bound(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (node_a, node_b, grp_a, grp_b) whose sets can be alike by ``similarity`` as far as their sketches tell."""
+    x, y = (own.select(F.col("doc_id").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
+    both = pairs.join(x, "node_a").join(y, "node_b").select("node_a", "node_b", "grp_a", "grp_b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, a, b in zip(*(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
+                most = most_common(a, b)
+                ok.append(most is None or most >= (n + m) * similarity / (1 + similarity) - 1e-6)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
+
+    return map_in_python(both, run, "node_a long, node_b long, grp_a long, grp_b long").distinct()
+
+
 def similar_pairs(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
     """(a, b) groups of which two texts have sets alike by ``similarity`` or more.
 
@@ -93,7 +128,8 @@ def similar_pairs(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int,
     met = written(met.join(reps, "node"), "open-places")
     a, b = (met.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "grp", "lo_n", "hi_n")]) for s in "ab")
     fits = (F.col("grp_a") < F.col("grp_b")) & (F.col("hi_n_a") >= F.col("lo_n_b") * similarity - 1e-9) & (F.col("hi_n_b") >= F.col("lo_n_a") * similarity - 1e-9)
-    pairs = written(a.join(b, "h").where(fits).select("node_a", "node_b", "grp_a", "grp_b").distinct(), "set-pairs")
+    met = written(a.join(b, "h").where(fits).select("node_a", "node_b", "grp_a", "grp_b").distinct(), "set-pairs")
+    pairs = written(within_bound(met, own, similarity), "close-set-pairs")
     wanted = pairs.select(F.col("node_a").alias("doc_id")).union(pairs.select("node_b")).distinct()
     sets = written(whole_sets(docs.join(wanted, "doc_id", "left_semi").distinct(), words, seed), "sets")
     x, y = (sets.select(F.col("doc_id").alias(f"node_{s}"), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")

@@ -1,8 +1,13 @@
 """Groups by shingle sets with no link missed, against all pairs."""
 
 import random
+import time
 
-from namelens.llm.set_join import all_near_duplicates
+import numpy as np
+from pyspark.sql import functions as F
+
+from namelens.llm.common import shuffles_removed, written
+from namelens.llm.set_join import all_near_duplicates, most_common, prefixes, sketch_of, within_bound
 from namelens.llm.simhash import near_duplicates, similarity_of
 
 
@@ -83,3 +88,43 @@ def test_nulls_repeats_short_texts_and_other_columns(spark):
 
 def test_empty_table(spark):
     assert all_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sketches_bound_what_sets_have_in_common():
+    rng = np.random.default_rng(3)
+    for n, m, shared in [(40, 45, 38), (300, 310, 290), (1000, 1200, 900), (5000, 5100, 0), (1, 1, 1), (700, 2000, 650)]:
+        drawn = np.unique(rng.integers(0, 1 << 64, 2 * (n + m), dtype=np.uint64))
+        rng.shuffle(drawn)
+        a, b = np.sort(drawn[:n]), np.sort(np.concatenate([drawn[:shared], drawn[n : n + m - shared]]))
+        most = most_common(sketch_of(a), sketch_of(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(n, m)
+    assert most < 700 and most_common(sketch_of(drawn[:1000]), sketch_of(drawn[1000:2000])) < 880  # 889 in common would be alike by 0.8
+    assert most_common(sketch_of(np.arange(1000, dtype=np.uint64) << np.uint64(20)), sketch_of(drawn[:1000])) is None  # a cut count tells nothing
+
+
+def test_whole_sets_only_of_pairs_that_sketches_leave(spark):
+    rng = random.Random(8)
+    vocab, passage = [f"w{k}" for k in range(4000)], [f"p{k}" for k in range(30)]
+    texts = [(k, " ".join(passage + rng.choices(vocab, k=90))) for k in range(40)] + [(100, " ".join(vocab[:120])), (101, " ".join(vocab[:117] + ["x"]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    own = prefixes(docs, np.ones(16, np.int64), 5, 0.8, 42)
+    pairs = spark.createDataFrame([(a, b, a, b) for a, _ in texts for b, _ in texts if a < b], "node_a long, node_b long, grp_a long, grp_b long")
+    assert [(r.node_a, r.node_b) for r in within_bound(pairs, own, 0.8).collect()] == [(100, 101)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(key), []
+    with shuffles_removed(spark):
+        seen.append(spark.conf.get(key))
+    assert seen == ["true"] and spark.conf.get(key) == before
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x.rsplit("/", 1)[-1] for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    old = held()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # files go a little later
+        if not held() - old:
+            break
+        time.sleep(0.1)
+    assert not held() - old
+    assert sum(r["count"] for r in table.collect()) == 1000
