@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from namelens.functions.distance import bounded_cost, least_cost, letters_of, skeleton_distance
+from namelens.functions.distance import bounded_cost, least_cost, letters_of, skeleton_distance, skeleton_way
 from namelens.operators import names, screening
 from namelens.operators.provenance import provenance_states
 from namelens.streaming import screening as streams
@@ -164,3 +164,28 @@ def test_letters_alone_leave_out_most_pairs(spark):
     traits = names.with_traits(rows, names.token_attributes(rows.select(F.explode("p.tokens").alias("token"))))
     both = traits.select(F.col("traits").alias("x")).crossJoin(traits.select(F.col("traits").alias("y")))
     assert 60 <= both.where(names.can_reach("x", "y", 75)).count() < 60 * 60 / 3
+
+
+def test_ways_by_batches_are_those_of_the_folded_table(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("BFMNLRHKJGDZTSXWYA", k=rng.choice((0, 1, 2, 3, 4, 5, 7, 11))))
+    weak = lambda t: [rng.random() < 0.3 for _ in t]
+    rows = [(a, b, weak(a), weak(b)) for a, b in ((word(), word()) for _ in range(700))]
+    rows += [(a, a[1:] + "X", weak(a), weak(a)) for a, *_ in rows[:200] if a] + [("K" * 90 + "S", "H" * 70, [False] * 91, [True] * 70), (None, "K", [], [False]), ("K", None, [False], [])]
+    df = spark.createDataFrame(rows, "a string, b string, wa array<boolean>, wb array<boolean>").repartition(3)
+    c = F.col
+    got = df.select(skeleton_distance(c("a"), c("b"), c("wa"), c("wb")).alias("x"), skeleton_way(c("a"), c("b"), c("wa"), c("wb")).alias("y"), letters_of(c("a"), c("wa")).alias("p"), letters_of(c("b"), c("wb")).alias("q"), "a", "b")
+    got = got.withColumn("z", bounded_cost(c("p"), c("q"), F.lit(1 << 20))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.a is None or r.b is None:
+            assert r.y is None
+        else:
+            assert r.x == r.y and r.z == r.x.cost, (r.a, r.b)
+
+
+def test_scores_fold_no_table_of_each_token_pair(spark):
+    pairs = spark.createDataFrame([("x", "y")], "a string, b string").select(F.struct(F.col("a").alias("token")).alias("x"), F.struct(F.col("b").alias("token")).alias("y"))
+    tokens = lambda out: names.token_attributes(pairs.select(F.col(f"{out}.token").alias("token"))).select(F.struct(*names.SCORING).alias(out))
+    plan = tokens("x").crossJoin(tokens("y")).select(bounded_cost(F.col("x.letters"), F.col("y.letters"), F.lit(9)))
+    assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
