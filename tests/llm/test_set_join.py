@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from namelens.llm.common import shuffles_removed, written
-from namelens.llm.set_join import all_near_duplicates, most_common, prefixes, sketch_of, within_bound
+from namelens.llm import set_join
+from namelens.llm.set_join import all_near_duplicates, most_common, prefixes, rare_places, sketch_of, within_bound
 from namelens.llm.simhash import near_duplicates, similarity_of
 
 
@@ -128,3 +129,52 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not held() - old
     assert sum(r["count"] for r in table.collect()) == 1000
+
+
+def compared(spark, monkeypatch, texts, **how):
+    """(groups, pairs of texts that were compared by their sketches) of texts that are each a group at first."""
+    rows = {}
+
+    def noted(df, label):
+        rows[label] = (out := written(df, label)).count()
+        return out
+
+    monkeypatch.setattr(set_join, "written", noted)
+    monkeypatch.setattr(set_join, "near_duplicates", lambda docs, *a, **k: docs.selectExpr("doc_id", "doc_id as component_id"))
+    got = groups(all_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), **how).collect())
+    return got, rows["set-pairs"]
+
+
+def test_many_edited_copies_are_compared_with_a_pivot(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"v{k}" for k in range(150)]
+    texts = [(k, " ".join(edited(rng, base, rng.choice((0, 1, 2, 3, 4, 4, 5, 6))))) for k in range(240)]
+    got, pairs = compared(spark, monkeypatch, texts)
+    assert got == brute(texts, []) and len(got) > 1
+    assert pairs < 3000  # of 28,680; those with few edits are linked to the pivot, and others share an edit or are not alike
+
+
+def test_crowds_change_no_result(spark, monkeypatch):
+    rng = random.Random(13)
+    vocab, passages = [f"w{k}" for k in range(300)], [[f"p{j}.{k}" for k in range(40)] for j in range(4)]
+    texts = []
+    for k in range(90):
+        parts = rng.sample(passages, rng.randrange(1, 4)) + [rng.choices(vocab, k=rng.randrange(0, 12))]
+        texts.append((k, " ".join(edited(rng, sum(parts, []), rng.randrange(0, 5)))))
+    want = brute(texts, [])
+    assert 1 < len(want) < 90
+    for crowd in (1, 3, 1000):
+        assert compared(spark, monkeypatch, texts, crowd=crowd)[0] == want
+
+
+def test_passages_of_many_texts_leave_prefixes(spark):
+    rng = random.Random(14)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [(k, " ".join([f"t{k}.{j}" for j in range(60)] + passage + rng.choices("abc", k=3))) for k in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    flat = np.ones(16, np.int64)  # an order that knows nothing of frequencies
+    own = prefixes(docs, flat, 5, 0.8, 42)
+    placed, keys = rare_places(docs, own, docs.selectExpr("doc_id as node", "doc_id as grp"), flat, 5, 0.8, 42, 16)
+    crowded = lambda p: p.groupBy("h").count().where("count > 16").agg(F.sum("count")).first()[0] or 0
+    assert crowded(placed) <= crowded(own.select(F.explode("prefix").alias("h"))) / 2
+    assert sorted(r["count"] for r in placed.groupBy("doc_id").count().collect()) == sorted(len(r.prefix) for r in own.collect())
