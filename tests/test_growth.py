@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from namelens.functions import mrz
+from namelens.functions.address import check_address, locality
 from namelens.operators import compare as cmp
 from namelens.operators.names import name_scores
 from namelens.operators.provenance import provenance_states
@@ -82,3 +83,23 @@ def test_check_digits_of_any_character(spark):
     want = lambda t: None if any(c not in values for c in t or "") else str(sum(values[c] * (7, 3, 1)[i % 3] for i, c in enumerate(t or "")) % 10)
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mrz.check_digit(F.col("t")).alias("d")).collect()
     assert {r.t: r.d for r in got} == {t: want(t) for t in texts}
+
+
+def test_localities_are_sought_once_for_addresses_that_differ_in_numbers(spark, monkeypatch):
+    rows = {}
+
+    def noted(df, label):
+        rows[label] = (out := written(df, label)).count()
+        return out
+
+    monkeypatch.setattr(cmp, "written", noted)
+    cities = ("King St., Haifa", "Road, عمّان", "Flat B; Nazareth", None, "", "7")
+    known = [(k, c and f"{k} {c}") for k, c in enumerate(cities * 20)]
+    df = spark.createDataFrame(known, "query_id long, address string")
+    got = cmp.with_locality(df, "address", "locality")
+    assert rows_of(got) == rows_of(df.withColumn("locality", locality(F.col("address"))))
+    assert rows["localities"] == 5  # no address and an empty one are the same; a number is not, as it leaves a blank
+    pairs = df.withColumnRenamed("address", "address_a").withColumn("address_b", F.when(F.col("query_id") % 7 > 1, F.lit("4 King St Haifa")))
+    want = pairs.withColumn("r", check_address(F.col("address_a"), F.col("address_b")).cast(cmp.CHECK))
+    assert rows_of(cmp.with_address_check(pairs, "r").select(want.columns)) == rows_of(want)
+    assert rows["address-pairs"] == 10
