@@ -60,6 +60,7 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tok
     empty document has no tokens; an empty file has no document; a file named twice is read once; null names and other
     columns are ignored; without files there are no rows. Blocks are dealt out to as many ``tasks`` as there are blocks,
     4096 at most, unless another number is given: their descriptions are too small for Spark to tell what they cost.
+    Only what the prefix scan tells of a block is broadcast, never its separators.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tok
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     summary = searched.select("file", "block", "until", "found", "last")
     stitched = summary.select("file", "block", F.coalesce(F.sum("found").over(before), F.lit(0)).alias("number"), (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("begin"))
-    ends = searched.join(stitched, ["file", "block"]).select("file", "number", "begin", F.col("at"), F.posexplode("at").alias("k", "end"))
+    ends = searched.join(F.broadcast(stitched), ["file", "block"]).select("file", "number", "begin", F.col("at"), F.posexplode("at").alias("k", "end"))
     begin = F.when(F.col("k") == 0, F.col("begin")).otherwise(F.get("at", F.col("k") - 1) + 1)
     closed = ends.select("file", (F.col("number") + F.col("k")).alias("doc_index"), begin.alias("start"), (F.col("end") - begin).alias("n_tokens"), F.lit(True).alias("closed"))
     tails = summary.groupBy("file").agg(F.sum("found").alias("doc_index"), (F.coalesce(F.max("last"), F.lit(-1)) + 1).alias("start"), F.max("until").alias("until"))
@@ -100,8 +101,9 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block_tok
 def token_counts(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, file, doc_index, start, n_tokens): writes ``docs`` to flat files, scans them, names the documents.
 
-    A row for each row of ``docs``, those with a null id included; an empty table gives an empty table.
+    A row for each row of ``docs``, those with a null id included; an empty table gives an empty table. The order's files
+    are a fiftieth of its rows in memory, so the planner isn't left to broadcast it by their size.
     """
     folder = shared_path(docs.sparkSession, "tokens")
     order = written(write_token_files(docs, folder, **settings), "order")
-    return scan(order).join(order, ["file", "doc_index"]).select("doc_id", F.element_at(F.split("file", "/"), -1).alias("file"), "doc_index", "start", "n_tokens")
+    return scan(order).hint("merge").join(order.hint("merge"), ["file", "doc_index"]).select("doc_id", F.element_at(F.split("file", "/"), -1).alias("file"), "doc_index", "start", "n_tokens")

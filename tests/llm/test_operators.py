@@ -213,6 +213,15 @@ def test_scan_stitches_blocks(spark, tmp_path):
         assert got == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 4, True), (3, 9, 1, False)]
 
 
+def test_token_counts_broadcast_neither_order_nor_separators(spark):
+    """Their files are far smaller than their rows, so the planner would take them for small ones."""
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    plan = token_counts.token_counts(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "SortMergeJoin" in plan
+    sent = plan[plan.index("BroadcastExchange") :]
+    assert "Window" in sent[: sent.index("FileScan")]
+
+
 def test_html(spark):
     page = lambda t: f"<html><head><title>x</title><script>a</script></head><body><nav>Menu</nav><div>Shared line of the site</div><div>{t}</div><footer>f</footer></body></html>"
     rows = [(1, "http://h.org/a/1", page("First &amp; text<br>goes&nbsp;on" + " and on" * 9)), (2, "http://h.org/a/2", page("Second <b>te</b>xt is another" + " long one" * 9)), (3, None, None), (4, "http://h.org/z", "<article><h1>T</h1><p>One<p>Two<aside>no</aside></article><div class='ad'>ad</div>"), (5, "x", "")]
