@@ -189,3 +189,35 @@ def test_scores_fold_no_table_of_each_token_pair(spark):
     tokens = lambda out: names.token_attributes(pairs.select(F.col(f"{out}.token").alias("token"))).select(F.struct(*names.SCORING).alias(out))
     plan = tokens("x").crossJoin(tokens("y")).select(bounded_cost(F.col("x.letters"), F.col("y.letters"), F.lit(9)))
     assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_score_as_names_do(spark):
+    """Each name against each, by the kernel of a tile and by joins; a list's best name counts, the first at a tie."""
+    rng = random.Random(8)
+    parts = "mohammad muhammed محمد khaled khalil chalil خليل חליל shadid shadeed hadad omar umar bashira nasser naser smith smyth ali bin abu al-farsi elfarsi فارسي a و wael".split()
+    names_ = sorted({" ".join(rng.choice(parts) for _ in range(rng.choice((1, 2, 2, 3, 3, 4, 5)))) for _ in range(60)})
+    people = spark.createDataFrame(list(enumerate(names_)), "qid long, fullName string")
+    lists = spark.createDataFrame([(k, [names_[k], names_[-k - 1], names_[k]]) for k in range(0, len(names_), 2)], "lid long, names array<string>")
+    every = {(r.a, r.b): r.score for r in names.name_scores(people.select(F.col("fullName").alias("a")).crossJoin(people.select(F.col("fullName").alias("b"))), rows=False).collect()}
+    keys = [df.select(df.columns[0], F.array(F.lit("k")).alias("keys")) for df in (people, lists)]
+    by_list = {r.lid: r.names for r in lists.collect()}
+    for hit in (1, 50, 75, 92):
+        want = {(q, k): max((every[n, own[p]], -p) for p in range(3)) for q, n in enumerate(names_) for k, own in by_list.items()}
+        got = screening.best_names(keys, people, lists, hit, rows=False).collect()
+        assert {(r.qid, r.lid): (r.best.score, r.best.at) for r in got} == {k: v for k, v in want.items() if v[0] >= hit}
+        assert all(r.best.name == by_list[r.lid][-r.best.at] for r in got)
+
+
+def test_candidates_are_no_rows(spark, people, listed, monkeypatch):
+    """What screening writes has rows for persons, lists and hits, also with tiles of two names, and the hits are the same."""
+    rows, write = {}, screening.written
+    want = sorted(map(str, screening.screen(people, listed).collect()))
+
+    def noted(df, label):
+        rows[label] = (out := write(df, label)).count()
+        return out
+
+    monkeypatch.setattr(screening, "TILE", 2)
+    monkeypatch.setattr(screening, "written", noted)
+    assert sorted(map(str, screening.screen(people, listed).collect())) == want
+    assert rows["found"] == len(want) and "candidates" not in rows
