@@ -221,3 +221,14 @@ def test_candidates_are_no_rows(spark, people, listed, monkeypatch):
     monkeypatch.setattr(screening, "written", noted)
     assert sorted(map(str, screening.screen(people, listed).collect())) == want
     assert rows["found"] == len(want) and "candidates" not in rows
+
+
+def test_sweep_makes_no_row_of_a_hit(spark, people, listed, monkeypatch):
+    """Counts by tiles are those of the hits; blanks, swapped dates and queries and entries that are alike included."""
+    asked = people.unionByName(people.withColumn("query_id", F.col("query_id") + 20)).unionByName(people.select((F.col("query_id") + 50).alias("query_id"), "fullName", F.lit("1970-02-01").alias("dob"), F.lit(" f").alias("sex"), F.lit("sy").alias("nationality")))
+    held = listed.unionByName(listed.withColumn("idx", F.col("idx") + 9)).unionByName(listed.select((F.col("idx") + 30).alias("idx"), "id", "source", "type", "program", "name", "aliases", F.lit(None).cast("string").alias("dob"), F.lit("").alias("sex"), F.lit("SY ").alias("nationality")))
+    want = sorted(map(str, screening.sweep(asked, screening.screen(asked, held, hit=50, rows=False)).collect()))
+    monkeypatch.setattr(screening, "screen", None)
+    monkeypatch.setattr(screening, "TILE", 3)
+    monkeypatch.setattr(screening, "SHARES", 4)
+    assert sorted(map(str, screening.swept(asked, held).collect())) == want
