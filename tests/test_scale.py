@@ -232,3 +232,19 @@ def test_sweep_makes_no_row_of_a_hit(spark, people, listed, monkeypatch):
     monkeypatch.setattr(screening, "TILE", 3)
     monkeypatch.setattr(screening, "SHARES", 4)
     assert sorted(map(str, screening.swept(asked, held).collect())) == want
+
+
+def test_blocking_report_writes_no_candidates(spark, people, listed, monkeypatch):
+    """Its counts are those of the pairs that share a key, which are never rows; tokens too long for small numbers are compared."""
+    labels, write = [], screening.written
+    monkeypatch.setattr(screening, "written", lambda df, label: labels.append(label) or write(df, label))
+    got = {r.blocking: r for r in screening.blocking_report(people, listed).collect()}
+    assert "blocked" not in labels and "candidates" not in labels
+    lists = listed.select("idx", screening.names_of().alias("names"))
+    for mode in ("reference", "wide"):
+        keys = screening.name_keys(people, "fullName", mode).join(people, "fullName").select("query_id", "block_key")
+        held = lists.select("idx", F.explode("names").alias("name"))
+        held = held.join(screening.name_keys(held, "name", mode), "name").select("idx", "block_key")
+        assert got[mode].candidates == keys.join(held, "block_key").select("query_id", "idx").distinct().count()
+    tokens = spark.createDataFrame([("kasima" * 40,), ("kasima" * 39 + "dasima",), ("b",)], "token string")
+    assert names.similar_tokens(tokens, tokens, 1).where("a != b and a != 'b' and b != 'b'").count() == 2
